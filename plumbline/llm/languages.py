@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, materialize, text_slices
+from plumbline.llm.tables import arrow_limits, materialize, settled, text_slices
 
 BUCKETS = 1 << 16
 #: At most so many labelled documents (those with the least hash of their id) train the model.
@@ -80,7 +80,7 @@ def train_languages(docs: DataFrame, max_docs: int = MAX_TRAIN) -> LanguageModel
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    rows = chosen.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect()
+    rows = chosen.mapInArrow(settled(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect()
     languages = sorted({r[0] for r in rows})
     counts = np.zeros((len(languages), BUCKETS))
     place = {x: i for i, x in enumerate(languages)}
@@ -122,7 +122,7 @@ def identify(records: DataFrame, model: LanguageModel, keys: list[str], language
         keys = [*keys, "text"]
         carried, schema = [*carried, "text"], "`text` string, " + schema
         carried = ["text", *carried[:-1]]
-    scored = base.mapInArrow(run, schema)
+    scored = base.mapInArrow(settled(run), schema)
     if not n:
         return scored.select(*keys, F.lit("und").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit("und").alias("text_lang"), F.lit(False).alias("kept"))
     scored = materialize(scored)
