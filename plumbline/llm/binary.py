@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, text_slices
+from plumbline.llm.tables import arrow_limits, settled, text_slices
 from plumbline.llm.vocabulary import TOKENIZER_FOLDER, byte_encoder
 
 END_ID = 50256
@@ -132,7 +132,7 @@ def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID,
         if tokens:
             yield from packed(docs_of, starts, tokens, at)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits
+from plumbline.llm.tables import arrow_limits, settled
 from plumbline.llm.vocabulary import TOKENIZER_FOLDER, offset_tokenizer
 
 _TURN = re.compile(r"<((?:\\.|[^\\>])*)>\n((?:\\.|[^\\<])*)</turn>\n", re.S)
@@ -96,7 +96,7 @@ def format_chats(chats: DataFrame, learn: str = "assistant", folder: str = TOKEN
                     rows.append((conv, len(spans), text, code.ids, pairs[:, 0], pairs[:, 1], mask, [{"start": a, "end": b} for a, b in covered]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return grouped.mapInArrow(run, schema)
+    return grouped.mapInArrow(settled(run), schema)
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
@@ -132,4 +132,4 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
                 rows.append((conv.as_py(), len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(mask), int(mask.sum())))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
-    return formatted.mapInArrow(run, schema)
+    return formatted.mapInArrow(settled(run), schema)

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, materialize, text_slices
+from plumbline.llm.tables import arrow_limits, materialize, settled, text_slices
 from plumbline.llm.vocabulary import TOKENIZER_FOLDER, byte_encoder
 
 END_ID = 0
@@ -51,7 +51,7 @@ def encode_pieces(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id",
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan_bins(counts: np.ndarray) -> np.ndarray:
@@ -183,4 +183,4 @@ def best_fit_placements(pieces: DataFrame, capacity: int = 2048, length_col: str
             over = rank - first
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bin_no + over // per), pa.array(offset + over % per * length)], [*keep, "sequence_id", "offset"])
 
-    return ranked.select(*keep, F.col(length_col).cast("long").alias("_at"), (F.col("_base") + F.col("_local")).cast("long").alias("_rank")).mapInArrow(place, schema)
+    return ranked.select(*keep, F.col(length_col).cast("long").alias("_at"), (F.col("_base") + F.col("_local")).cast("long").alias("_rank")).mapInArrow(settled(place), schema)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, text_slices
+from plumbline.llm.tables import arrow_limits, settled, text_slices
 from plumbline.llm.vocabulary import TOKENIZER_FOLDER
 
 MARK = "▁"
@@ -196,7 +196,7 @@ def encode_pieces(docs: DataFrame, path: str = f"{TOKENIZER_FOLDER}/piece_bpe_32
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), lists], ["doc_id", "text", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, text string, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, path: str = f"{TOKENIZER_FOLDER}/piece_bpe_32k.model") -> DataFrame:
@@ -214,4 +214,4 @@ def decode_pieces(encoded: DataFrame, path: str = f"{TOKENIZER_FOLDER}/piece_bpe
                 texts = model.decode(np.concatenate(([0], np.cumsum(counts))), pc.list_flatten(lists).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(settled(run), schema)

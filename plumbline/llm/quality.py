@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, mix64, row_of, split_words, text_slices
+from plumbline.llm.tables import arrow_limits, mix64, row_of, settled, split_words, text_slices
 
 BUCKETS = 1 << 16
 #: At most so many trusted documents (those with the least hash of their id) make the target.
@@ -106,7 +106,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "raw", "good"])
 
-    table = marked.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good"))
+    table = marked.mapInArrow(settled(run), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good"))
     out = np.zeros((2, buckets), np.int64)
     for bucket, raw, good in table.collect():
         out[:, bucket] = raw, good
@@ -158,4 +158,4 @@ def quality_signals(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
                 cols = [n, chars, symbols, lines, repeats, score, failed, ~failed & (score >= threshold)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passing), *map(pa.array, cols)], [*passing, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(settled(run), schema)

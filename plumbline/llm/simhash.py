@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.tables import arrow_limits, join_words, materialize, split_words, text_slices
+from plumbline.llm.tables import arrow_limits, join_words, materialize, settled, split_words, text_slices
 
 SEED = 42
 MAX_BITS = 2
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
                 fp = _fingerprints(part.column("text"), width).view(">u8").astype(np.uint64).view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, fp long")
 
 
 def _byte(fp: str, i: int) -> str:

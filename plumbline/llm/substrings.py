@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, join_words, materialize, mix64, row_of, split_words, text_slices
+from plumbline.llm.tables import arrow_limits, join_words, materialize, mix64, row_of, settled, split_words, text_slices
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -107,7 +107,7 @@ def _block_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 rest = [anchor.view(np.int64), block.view(np.int64), start.astype(np.int32), size.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, rest)], ["doc_id", "text_key", "anchor", "block", "start", "size"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, schema)
+    return docs.where("doc_id is not null").mapInArrow(settled(run), schema)
 
 
 def _ragged(column: pa.Array, field: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def _boundary_table(docs: DataFrame, ends: DataFrame, window: int) -> DataFrame:
                 ids = [part.column(c).take(pa.array(row)) for c in ("doc_id", "text_key")]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(anchor[block]), pa.array(win.view(np.int64)), pa.array(at.astype(np.int32))], ["doc_id", "text_key", "anchor", "win", "at"])
 
-    return once.mapInArrow(run, schema)
+    return once.mapInArrow(settled(run), schema)
 
 
 def factor_spans(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFrame:
@@ -206,4 +206,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 12, id_col: st
                     [*carry, "doc_id", "text", "n_words", "n_removed", "kept_text", "factors"],
                 )
 
-    return docs.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans", *(f"_{c}" for c in carry)).mapInArrow(run, schema)
+    return docs.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans", *(f"_{c}" for c in carry)).mapInArrow(settled(run), schema)
