@@ -1,9 +1,302 @@
-"""Registered queries of the decision operators, with their DuckDB SQL."""
+"""Registered queries of the decision operators over the driver's tables."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from plumbline.functions import confidence_level, fold_sessions
+from plumbline.operators import beliefs, effects, guards, routing
+from plumbline.operators.graphs import CausalGraph
+from plumbline.oracles import SQL
+from plumbline.plans.study import Study
+from plumbline.plans.workflow import TableNode, run_table
+from plumbline.sources import read_table
+
+GRAPHS = {
+    "smoking": [("smoking", "tar"), ("tar", "cancer"), ("smoking", "cancer")],
+    "confounder": [("Z", "X"), ("X", "Y"), ("Z", "Y")],
+    "mediated": [("Z", "X"), ("X", "M"), ("M", "Y"), ("Z", "Y")],
+    "mixed": [("A", "B"), ("B", "C"), ("C", "D"), ("A", "E"), ("B", "E"), ("E", "D")],
+    "frontdoor": [("U", "S"), ("U", "C"), ("S", "T"), ("T", "C")],
+}
+BACKDOOR_ASKED = {"smoking": ("smoking", "cancer"), "confounder": ("X", "Y"), "mediated": ("X", "Y"), "mixed": ("C", "D"), "frontdoor": ("S", "C")}
+SEPARATION_ASKED = [("mixed", "A", "D", ""), ("mixed", "A", "D", "B,E"), ("mixed", "A", "D", "C"), ("mixed", "B", "D", "C,E"), ("confounder", "Z", "Y", "X"), ("confounder", "Z", "Y", ""), ("mediated", "X", "Y", "M,Z"), ("frontdoor", "U", "T", "S"), ("frontdoor", "U", "T", ""), ("smoking", "smoking", "cancer", "tar")]
+ROUTES = {"Clear": ("http://clear", "free"), "Complicated": ("http://complicated", "low"), "Complex": ("http://complex", "medium"), "Chaotic": ("http://chaotic", "high")}
+#: Query texts made from the event type, as the tables hold none.
+TEXTS = {"click": "What is this? Define it, look up how many", "view": "Why did the impact cause this effect", "purchase": "uncertain: explore what if", "signup": "Emergency! outage now", "error": "nothing of note"}
+
+
+def _lineitem(spark, d) -> DataFrame:
+    t = read_table(spark, d, "lineitem")
+    y = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return t.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice", (F.col("l_discount") > 0.05).cast("double").alias("t"), y.alias("y"))
+
+
+def _events(spark, d) -> DataFrame:
+    return read_table(spark, d, "events")
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def diff_in_means(spark, d):
+    return _rounded(effects.difference_in_means(_lineitem(spark, d), "t", "y", ["l_returnflag"]), 4)
+
+
+def ols_adjusted(spark, d):
+    return _rounded(effects.ols_adjusted(_lineitem(spark, d), "t", "y", ["l_quantity"], ["l_returnflag"]), 3)
+
+
+def iv_2sls(spark, d):
+    return _rounded(effects.two_stage_ls(_lineitem(spark, d), "l_extendedprice", "y", ["l_quantity"], ["l_returnflag"]), 6)
+
+
+def ipw_effect(spark, d):
+    scaled = _lineitem(spark, d).withColumn("x", (F.col("l_quantity") - 25.5) / 25)
+    return _rounded(effects.ipw(scaled, "t", "y", ["x"]), 2)
+
+
+def counterfactual_units(spark, d):
+    got = effects.counterfactual_from_data(_lineitem(spark, d), "t", "y", 0.0, ["l_returnflag"])
+    return _rounded(got.select("l_orderkey", "l_linenumber", "cf_outcome", "cf_se", "lower", "upper"), 4)
+
+
+def _refuted(spark, d, test):
+    df = _lineitem(spark, d).withColumn("unit", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    ate = effects.difference_in_means(df, "t", "y").first()["ate"]
+    return _rounded(test(df, ate), 3)
+
+
+def placebo_refute(spark, d):
+    return _refuted(spark, d, lambda df, ate: effects.placebo(df, "y", ate, "unit", 1000.0))
+
+
+def subset_refute(spark, d):
+    return _refuted(spark, d, lambda df, ate: effects.subset_validation(df, "t", "y", ate, "unit"))
+
+
+def bootstrap_refute(spark, d):
+    return _refuted(spark, d, lambda df, ate: effects.bootstrap(df, "t", "y", ate, "unit"))
+
+
+def random_common_cause_refute(spark, d):
+    return _refuted(spark, d, lambda df, ate: effects.random_common_cause(df, "t", "y", ate, "unit"))
+
+
+def study_estimate(spark, d):
+    df = _lineitem(spark, d)
+    graph = CausalGraph([("l_quantity", "t"), ("l_quantity", "y"), ("t", "y")])
+    return _rounded(Study(df, graph, "t", "y").estimate(("l_returnflag",)), 3)
+
+
+def dag_parents(spark, d):
+    rows = [(g, v, ",".join(sorted(c.parents(v))), ",".join(sorted(c.children(v))), c.is_acyclic()) for g, e in GRAPHS.items() for c in [CausalGraph(e)] for v in c.variables]
+    return spark.createDataFrame(rows, "graph string, node string, parents string, children string, acyclic boolean")
+
+
+def dag_closure(spark, d):
+    rows = [(g, v, w) for g, e in GRAPHS.items() for c in [CausalGraph(e)] for v in c.variables for w in sorted(c.descendants(v))]
+    return spark.createDataFrame(rows, "graph string, node string, below string")
+
+
+def backdoor_set(spark, d):
+    rows = [(g, t, y, ",".join(sorted(CausalGraph(GRAPHS[g]).backdoor(t, y)))) for g, (t, y) in BACKDOOR_ASKED.items()]
+    return spark.createDataFrame(rows, "graph string, treatment string, outcome string, adjust string")
+
+
+def frontdoor_sets(spark, d):
+    rows = [(g, ",".join(sorted(CausalGraph(GRAPHS[g]).front_door(t, y) or ()))) for g, (t, y) in BACKDOOR_ASKED.items()]
+    return spark.createDataFrame(rows, "graph string, mediators string")
+
+
+def dsep_table(spark, d):
+    rows = [(g, x, y, z, CausalGraph(GRAPHS[g]).d_separated(x, y, z.split(",") if z else [])) for g, x, y, z in SEPARATION_ASKED]
+    return spark.createDataFrame(rows, "graph string, x string, y string, given string, separated boolean")
+
+
+def _ok():
+    return F.col("event_type") != "error"
+
+
+def beta_posterior(spark, d):
+    return _rounded(beliefs.beta_posterior(_events(spark, d), _ok().cast("int"), (~_ok()).cast("int"), ["user_id"]), 9)
+
+
+def normal_posterior(spark, d):
+    return _rounded(beliefs.normal_posterior(_events(spark, d), "value", ["user_id"], 0.0, 100.0, 25.0), 6)
+
+
+def gamma_posterior(spark, d):
+    days = _events(spark, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return _rounded(beliefs.gamma_posterior(days, "n", ["user_id"]), 9)
+
+
+def dirichlet_posterior(spark, d):
+    return _rounded(beliefs.dirichlet_posterior(_events(spark, d), "event_type", ["user_id"], ["click", "error", "purchase", "signup", "view"]), 9)
+
+
+def belief_running(spark, d):
+    got = beliefs.running_beta(_events(spark, d), _ok(), "user_id", ["ts", "event_id"], 0.005)
+    return _rounded(got.select("event_id", "running_mean", "running_variance", "confident"), 9)
+
+
+def belief_tracked(spark, d):
+    obs = _events(spark, d).select(F.col("user_id").cast("string").alias("entity"), F.when(F.col("event_id") % 10 == 0, F.lit("continuous")).otherwise("binary").alias("kind"), _ok().cast("long").alias("successes"), (~_ok()).cast("long").alias("failures"))
+    got = beliefs.track(obs, "binary", 1.0, 1.0)
+    return _rounded(got.select("entity", "p1", "p2", "mean", "observation_count", "mismatches"), 9)
+
+
+def belief_batch(spark, d):
+    obs = _events(spark, d).select(F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", F.lit("continuous")).otherwise("binary").alias("kind"))
+    return beliefs.before_first_mismatch(obs, "binary").groupBy("entity").agg(F.count("*").alias("applied"))
+
+
+def tool_reliability(spark, d):
+    return _rounded(beliefs.tool_reliability(_events(spark, d), "user_id", _ok(), ["ts", "event_id"], 0.8).withColumnRenamed("tool", "user_id"), 9)
+
+
+def most_reliable_tool(spark, d):
+    return beliefs.most_reliable(beliefs.tool_reliability(_events(spark, d), "user_id", _ok(), ["ts", "event_id"], 0.8))
+
+
+def mcmc_normal(spark, d):
+    got = beliefs.metropolis(spark, lambda x: -0.5 * float(np.dot(x, x)), [0.0, 0.0], 2000, 500, target_rate=0.4)
+    return got.groupBy("dim").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), F.avg("acceptance_rate").alias("acceptance_rate"))
+
+
+def _risk():
+    return guards.risk_of("props", "k") / 100
+
+
+def policy_decisions(spark, d):
+    chain = guards.policy_chain(guards.rule_policy(F.col("event_type") != "error", "errors are denied"), guards.risk_policy(_risk(), 0.5, 0.8))
+    return _events(spark, d).withColumn("p", chain).select("event_id", "p.decision", "p.reason", "p.target")
+
+
+def breaker_states(spark, d):
+    return guards.breaker(_events(spark, d), "user_id", _ok(), "ts", ["ts", "event_id"], 2, 43_200.0).select("event_id", "failures", "is_open", "allowed")
+
+
+def loop_checks(spark, d):
+    days = _events(spark, d)
+    return guards.loops(days, "user_id", "event_type", ["ts", "event_id"], 15, 2).select("event_id", "visits", "violation", "observed")
+
+
+def visit_history(spark, d):
+    got = guards.visit_history(_events(spark, d), "user_id", "event_type", ["ts", "event_id"], 2)
+    return got.select("user_id", F.array_join("history", ",").alias("history"), "total")
+
+
+def rate_limits(spark, d):
+    return guards.rate_limit(_events(spark, d), "user_id", "ts", ["ts", "event_id"], 3, 0.00002).select("event_id", "allowed", "remaining")
+
+
+def escalation_status(spark, d):
+    o = read_table(spark, d, "orders")
+    made = o.select(F.col("o_orderkey").alias("id"), F.lit(0).alias("seq"), F.lit("created").alias("event"), F.lit(None).cast("string").alias("by"), F.lit(None).cast("string").alias("reason"), F.col("o_orderdate").alias("ts"))
+    done = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("seq"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("rejected").alias("event"), F.col("o_orderpriority").alias("by"), F.lit("checked").alias("reason"), F.col("o_orderdate").alias("ts"))
+    return guards.escalation_status(made.unionByName(done), F.lit("1998-06-01").cast("timestamp"), 86400.0 * 365).select("id", "status", "by")
+
+
+def audit_recent(spark, d):
+    e = _events(spark, d)
+    entries = guards.audit_entries(e.withColumn("key", F.col("event_id")), "guard", "event_id", "ts", F.col("event_type"), guards.policy_chain(guards.risk_policy(_risk(), 0.5, 0.8))["decision"])
+    return guards.recent_entries(entries, 20, ["timestamp", "id"]).select("id", "timestamp", "action", "decision")
+
+
+def bias_uniformity(spark, d):
+    counts = _events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
+    return _rounded(guards.bias_uniformity(counts, "n"), 6)
+
+
+def bias_approval(spark, d):
+    o, c = read_table(spark, d, "orders"), read_table(spark, d, "customer")
+    joined = o.join(c, o.o_custkey == c.c_custkey).select("c_mktsegment", "o_orderstatus")
+    return _rounded(guards.bias_approval(joined, "c_mktsegment", F.col("o_orderstatus") == "F"), 6)
+
+
+def _routed(spark, d) -> DataFrame:
+    text = F.lit("")
+    for kind, said in TEXTS.items():
+        text = F.when(F.col("event_type") == kind, F.lit(said)).otherwise(text)
+    return routing.route(routing.classify(_events(spark, d).withColumn("text", text), "text"), routing.route_table(spark, ROUTES))
+
+
+def route_queries(spark, d):
+    got = _routed(spark, d)
+    return _rounded(got.select("event_id", "domain", "confidence", "confident", "url", "tier", F.array_join(F.transform("all_scores", lambda s: s["domain"]), ",").alias("ranked")), 9)
+
+
+def budget_running(spark, d):
+    got = routing.downgrade(routing.spend(_routed(spark, d), "tier", ["event_id"], 20_000), routing.route_table(spark, ROUTES))
+    return got.select("event_id", "cost_mills", "spent_mills", "within", "overage_mills", "suggested_tier", "final_url")
+
+
+def budget_tiers(spark, d):
+    return _rounded(routing.budget_summary(routing.spend(_routed(spark, d), "tier", ["event_id"], 20_000), "tier", 20_000), 9)
+
+
+def _matrix(spark, d) -> DataFrame:
+    truth = F.element_at(F.array(*map(F.lit, routing.DOMAINS)), (F.abs(F.floor("value")) % 5 + 1).cast("int"))
+    return routing.confusion(_routed(spark, d).withColumn("truth", truth), "domain", "truth")
+
+
+def confusion(spark, d):
+    return _matrix(spark, d)
+
+
+def precision_recall(spark, d):
+    return _rounded(routing.domain_metrics(_matrix(spark, d)), 9)
+
+
+def misrouting(spark, d):
+    return routing.misrouting_cost(_matrix(spark, d))
+
+
+def drift_kl(spark, d):
+    counted = _routed(spark, d).groupBy((F.dayofmonth("ts") <= 15).alias("first"), "domain").agg(F.count("*").alias("n"))
+    return _rounded(routing.drift(counted.where("not first"), counted.where("first"), 0.1), 9)
+
+
+def session_fold(spark, d):
+    chain = guards.policy_chain(guards.risk_policy(_risk(), 0.5, 0.95))
+    steps = _routed(spark, d).select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), "domain", "confidence", chain["decision"].alias("decision"))
+    return _rounded(fold_sessions(steps), 9)
+
+
+def confidence_levels(spark, d):
+    return _events(spark, d).select("event_id", confidence_level(F.abs(F.col("value")) / 100).alias("level"))
+
+
+def workflow_batch(spark, d):
+    states = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("state_id"), (F.col("o_orderkey") % 7).alias("x"), F.lit("start").alias("current_node"))
+    x = F.col("x")
+    nodes = {
+        "start": TableNode({"x": x + 1}, F.when(x % 2 == 0, F.lit("double")).otherwise("drop")),
+        "double": TableNode({"x": x * 2}, F.when(x < 20, F.lit("double")).otherwise("end")),
+        "drop": TableNode({"x": x - 3}, F.lit("end")),
+        "end": TableNode({}, F.lit(None).cast("string")),
+    }
+    return run_table(states, nodes, 6)
+
+
+_ALL = [
+    diff_in_means, ols_adjusted, iv_2sls, ipw_effect, counterfactual_units, placebo_refute, subset_refute, bootstrap_refute, random_common_cause_refute, study_estimate,
+    dag_parents, dag_closure, backdoor_set, frontdoor_sets, dsep_table,
+    beta_posterior, normal_posterior, gamma_posterior, dirichlet_posterior, belief_running, belief_tracked, belief_batch, tool_reliability, most_reliable_tool, mcmc_normal,
+    policy_decisions, breaker_states, loop_checks, visit_history, rate_limits, escalation_status, audit_recent, bias_uniformity, bias_approval,
+    route_queries, budget_running, budget_tiers, confusion, precision_recall, misrouting, drift_kl, session_fold, confidence_levels, workflow_batch,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in SQL.items() if k in queries()}

@@ -1,0 +1 @@
+"""Decision operators over DataFrames. Each takes a frame, column names and ``keys`` to group by."""

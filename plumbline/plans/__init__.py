@@ -1,0 +1 @@
+"""Workflows and whole pipelines built from the operators."""

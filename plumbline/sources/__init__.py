@@ -1,0 +1,20 @@
+"""Tables in, audit trails and checkpoints out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def append_audit(entries: DataFrame, path: str) -> None:
+    """Append entries to a trail; nothing written is changed again."""
+    entries.write.mode("append").parquet(path)
+
+
+def audit_json(entries: DataFrame) -> DataFrame:
+    """(json), a JSON object an entry: written as text this is a line-delimited log."""
+    return entries.select(F.to_json(F.struct(*entries.columns)).alias("json"))

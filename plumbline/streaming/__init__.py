@@ -1,0 +1,44 @@
+"""Structured Streaming forms of the operators whose input arrives over time."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from plumbline.operators import beliefs
+from plumbline.operators.guards import Bucket
+
+
+def beta_stream(events: DataFrame, success: Column, keys: list[str], alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """Running Beta posteriors; write in update or complete mode. Equal to the batch form over the same events."""
+    return beliefs.beta_posterior(events, success.cast("int"), (~success).cast("int"), keys, alpha, beta)
+
+
+def domain_counts(events: DataFrame, ts: str, domain: str, window: str, late: str) -> DataFrame:
+    """(window start, domain, n) for drift checks; events later than ``late`` behind the newest are dropped."""
+    timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    return timed.groupBy(F.window("_ts", window).alias("w"), F.col(domain).alias("domain")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("starts"), "domain", "n")
+
+
+def rate_limit_stream(events: DataFrame, key: str, ts: str, event_id: str, capacity: int, rate: float) -> DataFrame:
+    """(key, event_id, allowed): token buckets kept as keyed state across micro-batches.
+
+    Within a micro-batch a key's events are taken by (time, id); an event older than the
+    bucket's clock refills nothing.
+    """
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bucket = Bucket(capacity, rate)
+        if state.exists:
+            bucket.tokens, bucket.at = state.get
+        rows = pd.concat(list(frames)).sort_values(["_now", event_id])
+        allowed = [bucket.check(now)[0] for now in rows["_now"]]
+        state.update((bucket.tokens, bucket.at))
+        yield pd.DataFrame({key: rows[key], event_id: rows[event_id], "allowed": allowed})
+
+    timed = events.select(key, event_id, (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias("_now"))
+    kinds = {f.name: f.dataType.simpleString() for f in timed.schema}
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, allowed boolean", "tokens double, at double", "append", GroupStateTimeout.NoTimeout)
