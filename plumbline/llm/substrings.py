@@ -148,15 +148,17 @@ def factor_spans(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFrame
     doc_id apart).
     """
     blocks = materialize(_block_table(docs, window, gram))
-    met = blocks.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
+    # each aggregate is written before it is joined, so that the joins are plain shuffled ones
+    # whose hot partitions adaptive execution can split
+    met = materialize(blocks.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor"))
     shared = materialize(blocks.join(met, "anchor"))
     index = materialize(shared.groupBy("anchor", "block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")))
-    several = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("several"))
-    index = index.join(several, "anchor", "left").where("several or first_doc <> last_doc")
+    several = materialize(index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("several")))
+    index = materialize(index.join(several, "anchor", "left").where("several or first_doc <> last_doc"))
     parsed = materialize(shared.join(index, ["anchor", "block"]).where("doc_id > first_doc or several").select("doc_id", "text_key", "anchor", "start", "size", (F.col("doc_id") > F.col("first_doc")).alias("whole")))
     ends = parsed.where("not whole").distinct()
     windows = materialize(_boundary_table(docs, ends, window))
-    first = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
+    first = materialize(windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc"))
     late = windows.join(first, ["anchor", "win"]).where("doc_id > first_doc").select("doc_id", "text_key", F.col("at").alias("start"), F.lit(1).alias("size"))
     found = parsed.where("whole").select("doc_id", "text_key", "start", "size").unionByName(late)
     return found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
