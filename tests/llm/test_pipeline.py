@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline
 from plumbline.llm import packing
 from plumbline.llm.vocabulary import TOKENIZER_FOLDER, offset_tokenizer
-from test_operators import SF, base_signals, brute_components, brute_cut, brute_fingerprint
+from test_corpus_operators import SF, base_signals, brute_components, brute_cut, brute_fingerprint
 
 
 def test_stages_one_after_another(spark):
