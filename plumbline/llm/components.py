@@ -1,8 +1,9 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
 Every step is an aggregate or an equi-join, so no component, however large, meets in one
-task: ``min`` combines map-side and the joins are plain shuffled joins that adaptive
-execution may split. Rounds grow with the logarithm of a component's size.
+task: ``min`` combines map-side, and each aggregate is written before it is joined, so that
+the joins are plain shuffled ones whose hot partitions (a hub's links) adaptive execution
+can split. Rounds grow with the logarithm of a component's size.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         seen, mark = mark, _mark(links)
