@@ -31,12 +31,13 @@ def classify(df: DataFrame, text: str, keywords: dict[str, Sequence[str]] | None
     """
     table = KEYWORDS if keywords is None else keywords
     ranked = [d for d in DOMAINS if d in table] + [d for d in table if d not in DOMAINS]
-    low = F.lower(F.coalesce(text, F.lit("")))
+    df = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
+    low = F.col("_low")
     score = lambda ks: reduce(add, (F.contains(low, F.lit(k.lower())).cast("int") for k in ks), F.lit(0)) / F.lit(float(max(len(ks), 1)))
     scores = F.array(*(F.struct((-score(table[d])).alias("n"), F.lit(i).alias("i"), F.lit(d).alias("domain")) for i, d in enumerate(ranked)))
-    best = df.withColumn("_s", F.array_sort(scores))
+    best = df.withColumn("_s", F.sort_array(scores)).drop("_low")  # no lambda, so it stays in generated code
     top = -F.col("_s")[0]["n"]
-    return best.withColumns({"domain": F.when(top > 0, F.col("_s")[0]["domain"]).otherwise(FALLBACK), "confidence": F.when(top > 0, top).otherwise(0.0), "all_scores": F.transform("_s", lambda x: F.struct(x["domain"].alias("domain"), (-x["n"]).alias("score")))}).drop("_s")
+    return best.withColumns({"domain": F.when(top > 0, F.col("_s")[0]["domain"]).otherwise(FALLBACK), "confidence": F.when(top > 0, top).otherwise(0.0), "all_scores": F.array(*(F.struct(F.col("_s")[i]["domain"].alias("domain"), (-F.col("_s")[i]["n"]).alias("score")) for i in range(len(ranked))))}).drop("_s")
 
 
 def route_table(spark: SparkSession, routes: dict[str, tuple[str, str]]) -> DataFrame:
