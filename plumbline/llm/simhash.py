@@ -31,6 +31,9 @@ from plumbline.llm.tables import arrow_limits, join_words, materialize, settled,
 
 SEED = 42
 MAX_BITS = 2
+#: Classes without a doc_id are named at or below this. Names of two classes are equal only
+#: if their fingerprints differ in the last two bits alone, and those are linked anyway.
+NAMELESS = -(1 << 62)
 
 
 def _fingerprints(texts: pa.Array, width: int) -> np.ndarray:
@@ -68,8 +71,13 @@ def _fingerprints(texts: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def text_key(column: str):
+    """Tells the texts of rows with one doc_id apart."""
+    return F.coalesce(F.xxhash64(column), F.lit(0))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the signed 64-bit SimHash of every row of ``docs``.
+    """(doc_id, text_key, fp): the signed 64-bit SimHash of every row of ``docs``; text_key is ``text_key(text)``.
 
     Text is lower-cased over A-Z, split at ASCII white space, and voted on by the XXH64
     (seed 42) of each shingle of ``width`` words, repeats included; fewer words make one
@@ -81,9 +89,9 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
         for batch in batches:
             for part in text_slices(batch, "text"):
                 fp = _fingerprints(part.column("text"), width).view(">u8").astype(np.uint64).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fp)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key")).mapInArrow(settled(run), "doc_id long, text_key long, fp long")
 
 
 def _byte(fp: str, i: int) -> str:
@@ -114,19 +122,45 @@ def link_fingerprints(classes: DataFrame, list_limit: int = 64) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, width: int = 3, list_limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links of two bits or fewer.
+    """(doc_id, text_key, fp, component_id, group) for every row.
 
-    Repeated rows yield repeated rows. A row without doc_id takes part through its
-    fingerprint but is never a name: its component_id is the smallest doc_id reachable,
-    null if there is none. An empty table gives an empty result.
+    ``component_id`` is the smallest doc_id reachable over links of two bits or fewer, null
+    if no row reached has one; ``group`` is equal for the rows that reach each other.
+    Repeated rows yield repeated rows. A row without doc_id links like any other but is
+    never a name. An empty table gives an empty result.
     """
     signed = materialize(fingerprints(docs, width, id_col, text_col))
-    classes = signed.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = materialize(classes)
-    edges = link_fingerprints(named.where("rep is not null"), list_limit)
-    parts = connected_components(edges)
-    labels = named.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = materialize(classes.withColumn("rep", F.coalesce("least", F.lit(NAMELESS) - F.shiftrightunsigned("fp", 2))))
+    parts = connected_components(link_fingerprints(named, list_limit))
+    labels = named.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("group"))
+    labels = materialize(labels)
+    # a group is named by its smallest doc_id, except where one of its classes has none
+    odd = materialize(labels.where(F.col("group") <= NAMELESS).groupBy("group").agg(F.min("least").alias("named_id")))
+    ids = labels.join(odd, "group", "left").select("fp", "group", F.when(F.col("group") <= NAMELESS, F.col("named_id")).otherwise(F.col("group")).alias("component_id"))
+    return signed.join(ids, "fp", "left").select("doc_id", "text_key", "fp", "component_id", "group")
+
+
+def keep_representatives(docs: DataFrame, width: int = 3, list_limit: int = 64) -> DataFrame:
+    """One row of ``docs`` for each group: the one with the smallest doc_id.
+
+    Among rows with that doc_id, or in a group without any, the text with the least hash
+    stays, once however often its row is repeated (of rows that differ in other columns, which
+    must be orderable, the least). An empty table gives an empty result.
+    """
+    found = simhash_components(docs, width, list_limit)
+    least = found.where("doc_id = component_id or component_id is null").groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    stay = least.groupBy("group").agg(F.min(F.struct("doc_id", "text_key", "rows")).alias("s")).select("s.*")
+    stay = materialize(stay)
+    repeated = materialize(stay.where("rows > 1"))
+    keyed = docs.withColumn("_simhash_key", text_key("text"))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        names = chosen.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_chosen"))
+        return keyed.join(names, keyed["doc_id"].eqNullSafe(names["_id"]) & (keyed["_simhash_key"] == names["_chosen"]), "left_semi")
+
+    once = of(repeated).groupBy("doc_id", "_simhash_key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return of(stay.where("rows = 1")).select(*docs.columns).unionByName(once)
 
 
 def hex_digits(fp: str = "fp"):

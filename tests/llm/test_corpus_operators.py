@@ -230,6 +230,36 @@ def test_fingerprint_links_lose_nothing(spark, list_limit):
     assert [got.get(i, i) for i, _ in items] == brute_components(items)
 
 
+def test_simhash_rows_without_ids(spark, docs, table, monkeypatch):
+    # fingerprints 0, 3 and 15: the two ends reach each other over a row without an id
+    rows = [(7, 0), (None, 3), (9, 15), (None, 7 << 40), (None, (7 << 40) + 1), (4, -1), (4, -1), (4, -2), (None, -(2**63) + (7 << 20))]
+    fake = spark.createDataFrame([(d, i if d is None else d, f) for i, (d, f) in enumerate(rows)], "doc_id long, text_key long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: fake)
+    got = simhash.simhash_components(docs).collect()
+    want = [7, 7, 7, None, None, 4, 4, 4, None]
+    assert want == brute_components([(d, f % 2**64) for d, f in rows])
+    assert as_key((r.doc_id, r.fp, r.component_id) for r in got) == as_key((d, f, c) for (d, f), c in zip(rows, want))
+    assert len({r.group for r in got}) == 4
+
+
+def test_simhash_representatives(docs, table):
+    for source in (docs, table):
+        rows = [(r.doc_id, brute_fingerprint(r.text), r.text) for r in source.collect()]
+        parts = brute_components([(d, fp) for d, fp, _ in rows])
+        got = simhash.keep_representatives(source)
+        assert got.columns == source.columns
+        kept = [(r.doc_id, r.text) for r in got.collect()]
+        assert sorted(d for d, _ in kept) == sorted(set(parts)) and set(kept) <= {(d, t) for d, _, t in rows}
+    twice = docs.unionByName(docs)
+    assert as_key(map(tuple, simhash.keep_representatives(twice).collect())) == as_key(map(tuple, simhash.keep_representatives(docs).collect()))
+    nameless = docs.selectExpr("cast(null as long) as doc_id", "text")
+    kept = [r.text for r in simhash.keep_representatives(nameless).collect()]
+    fps = [brute_fingerprint(t) for t in kept]
+    groups = brute_components([(i, brute_fingerprint(r.text)) for i, r in enumerate(docs.collect())])
+    assert len(kept) == len(set(groups)) and all((a ^ b).bit_count() > 2 for i, a in enumerate(fps) for b in fps[:i])
+    assert simhash.keep_representatives(none_of(docs)).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}

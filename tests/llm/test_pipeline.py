@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline
 from plumbline.llm import packing
 from plumbline.llm.vocabulary import TOKENIZER_FOLDER, offset_tokenizer
-from test_corpus_operators import SF, base_signals, brute_components, brute_cut, brute_fingerprint
+from test_corpus_operators import AWKWARD, DOC, PASSAGE, SF, base_signals, brute_components, brute_cut, brute_fingerprint
 
 
 def test_stages_one_after_another(spark):
@@ -39,3 +39,23 @@ def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
     assert np.all([r.length <= 2048 for r in got.collect()])
+
+
+def test_stages_take_awkward_rows_and_no_rows(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    good = [tuple(r) for r in table.orderBy("doc_id").limit(60).collect()]
+    odd = [(1000 + i, t, None, None, None) for i, t in enumerate(AWKWARD)] + [(None, PASSAGE, None, None, None), (None, None, None, None, None)]
+    rows = good + good[:20] + odd + [(None, *good[-1][1:]), (good[3][0], good[4][1], "en", None, 1)]
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "1 as kept", "'x' as host", "2 as length", "3 as text_key", "4 as component_id")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    for name, source in (("odd", docs), ("none", docs.limit(0))):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, source, SF)
+            got.write.mode("overwrite").parquet(f"{folder}/{name}{i}")
+            source = spark.read.schema(got.schema).parquet(f"{folder}/{name}{i}")
+            if i < 4:
+                assert source.columns == corpus_pipeline.COLUMNS
+            if i == 2 and name == "odd":
+                kept = [(r.doc_id, brute_fingerprint(r.text)) for r in source.collect()]
+                assert len(kept) == len({f for _, f in kept}) and all((a ^ b).bit_count() > 2 for j, (_, a) in enumerate(kept) for _, b in kept[:j])
+        assert (source.count() > 0) == (name == "odd")
