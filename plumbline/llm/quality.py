@@ -4,10 +4,15 @@ Two multinomials over ``buckets`` hashed word 1-grams and 2-grams are counted: o
 of the raw corpus, one over trusted documents. A document's score is the mean over its
 n-grams of log(p_trusted / p_raw), so length does not matter, and a document is kept when
 the score reaches a fixed threshold: the same input always gives the same verdict.
+
+The table grows with the trusted n-grams. A bucket then holds about ``PER_BUCKET`` trusted
+n-grams by chance at most, and, as the raw counts are scaled to the trusted ones, as many
+raw ones, whatever the size of the corpus: n-grams of junk stand out of both alike.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +24,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tables import arrow_limits, mix64, row_of, settled, split_words, text_slices
 
+#: The least number of buckets.
 BUCKETS = 1 << 16
+#: Trusted n-grams a bucket, on average; more of them make more buckets.
+PER_BUCKET = 10
+#: Neighbouring buckets whose counts travel as one value.
+SEGMENT = 1 << 10
 #: At most so many trusted documents (those with the least hash of their id) make the target.
 MAX_TRUSTED = 20_000
 #: Mean log ratio in nats below which a document is not like the trusted ones.
@@ -87,11 +97,37 @@ def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as the narrowest unsigned integers, their width in the first byte."""
+    own = counts.astype(np.min_scalar_type(int(counts.max())))
+    return bytes([own.itemsize]) + zlib.compress(own.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)
+
+
+def table_size(docs: DataFrame, trusted: DataFrame) -> int:
+    """Buckets for at most PER_BUCKET trusted n-grams each, BUCKETS at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = 0
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                n = np.diff(split_words(part.column("text"))[0])
+                grams += int((2 * n - (n > 0)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([grams])], ["grams"])
+
+    grams = docs.join(F.broadcast(trusted.select("doc_id")), "doc_id").select("text").mapInArrow(settled(run), "grams long").agg(F.sum("grams")).first()[0]
+    return max(BUCKETS, -(-(grams or 0) // PER_BUCKET))
+
+
 def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """(2, buckets) counts of hashed n-grams: of all documents, and of the trusted ones.
 
-    Tasks count into arrays of fixed size; at most 2 * buckets numbers reach the driver.
-    ``trusted`` has MAX_TRUSTED ids at most, which bounds its broadcast.
+    Tasks count into arrays of fixed size, which are added segment by segment; at most
+    2 * buckets numbers reach the driver. ``trusted`` has MAX_TRUSTED ids at most, which
+    bounds its broadcast.
     """
     marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left").select("text", "good")
 
@@ -101,39 +137,51 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
             for part in text_slices(batch, "text"):
                 rows, at = _Words(part.column("text")).features(buckets)
                 good = part.column("good").is_valid().to_numpy(zero_copy_only=False)[rows]
-                total[0] += np.bincount(at, minlength=buckets)
-                total[1] += np.bincount(at[good], minlength=buckets)
-        used = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "raw", "good"])
-
-    table = marked.mapInArrow(settled(run), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good"))
+                np.add.at(total[0], at, 1)
+                np.add.at(total[1], at[good], 1)
+        live = [k for k in range(-(-buckets // SEGMENT)) if total[0, k * SEGMENT : (k + 1) * SEGMENT].any()]
+        raw, good = ([_packed(x[k * SEGMENT : (k + 1) * SEGMENT]) for k in live] for x in total)
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), pa.array(raw, pa.binary()), pa.array(good, pa.binary())], ["segment", "raw", "good"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, *pair in zip(*(c.to_pylist() for c in batch.columns)):
+                new = [_unpacked(x) for x in pair]
+                sums[k] = [a + b for a, b in zip(sums[k], new)] if k in sums else new
+        raw, good = ([_packed(x[i]) for x in sums.values()] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(raw, pa.binary()), pa.array(good, pa.binary())], ["segment", "raw", "good"])
+
+    schema = "segment long, raw binary, good binary"
+    table = marked.mapInArrow(settled(run), schema).repartition("segment").mapInArrow(settled(added), schema)
     out = np.zeros((2, buckets), np.int64)
-    for bucket, raw, good in table.collect():
-        out[:, bucket] = raw, good
+    for k, *pair in table.collect():
+        out[:, k * SEGMENT : (k + 1) * SEGMENT] = [_unpacked(x) for x in pair]
     return out
 
 
 def log_ratio(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """Per bucket log(p_trusted / p_raw); the trusted side is smoothed towards the raw one.
+    """Per bucket log(p_trusted / p_raw): the trusted count against the one expected from the raw share.
 
-    With no trusted n-gram at all the ratio is 0 everywhere.
+    ``smoothing`` is added to both, so a bucket with little of either says nothing, in a
+    table of any size. With no trusted n-gram at all the ratio is 0 everywhere.
     """
-    raw = counts[0] / max(counts[0].sum(), 1)
-    pseudo = smoothing * len(raw)
-    good = (counts[1] + pseudo * raw) / (counts[1].sum() + pseudo)
-    return np.log(np.divide(good, raw, out=np.ones(len(raw)), where=raw > 0))
+    expected = counts[0] * (counts[1].sum() / max(counts[0].sum(), 1))
+    return np.log((counts[1] + smoothing) / (expected + smoothing))
 
 
-def quality_signals(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, carry: tuple = ()) -> DataFrame:
+def quality_signals(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, carry: tuple = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ratio, base_failed, kept).
 
     One row per row of ``docs``; ``carry`` names further columns to pass through. Null and
     empty texts have no words: base_failed, not kept, log_ratio 0. Ties in the threshold
     are kept. Rows without doc_id are scored like others but are never trusted. Repeated
-    labels count once.
+    labels count once. Without ``buckets`` the table's size follows from the trusted texts.
     """
     arrow_limits(docs.sparkSession)
-    weights = log_ratio(ngram_counts(docs, trusted_ids(labels, max_trusted), buckets)).astype(np.float64)
+    trusted = trusted_ids(labels, max_trusted)
+    buckets = buckets or table_size(docs, trusted)
+    weights = log_ratio(ngram_counts(docs, trusted, buckets))
     rest = [c for c in carry if c not in ("doc_id", "text")]
     source = docs.select("doc_id", "text", *rest)
     own = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ratio double, base_failed boolean, kept boolean"

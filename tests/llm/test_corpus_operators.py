@@ -97,6 +97,13 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert bad.where("kept").count() <= 0.35 * bad.count()
 
 
+def test_quality_drops_junk_at_every_size(spark):
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        got = catalog.op1_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
+        good, bad = (got.where(f"quality = {k}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for k in (1, 0))
+        assert good >= 0.98 and bad <= 0.05, sf
+
+
 # SentencePiece
 
 
