@@ -1,7 +1,9 @@
-"""Removal of repeated passages by relative Lempel-Ziv factors.
+"""Removal of repeated passages by anchored window hashes.
 
-Every document is parsed against the texts of documents with smaller ids. The index that
-makes this a shuffle instead of a scan of all pairs rests on anchors: of the ``window``
+This stands in for a relative Lempel-Ziv parse against the texts of documents with smaller
+ids: it removes the same words, but a factor here is a removed range without a reference
+text or position, and may unite windows first met in different documents. What makes it a
+shuffle instead of a scan of all pairs are anchors: of the ``window``
 consecutive words of a window, the anchor is the ``gram``-word sequence with the least
 hash (the leftmost if equal). It depends on the window's words alone, so equal windows
 have equal anchors. Consecutive windows with one anchor position form a block, one row.
