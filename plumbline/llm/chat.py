@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.tables import arrow_limits, settled
-from plumbline.llm.vocabulary import TOKENIZER_FOLDER, offset_tokenizer
+from plumbline.llm.vocabulary import TOKENIZER_FOLDER, literal_tokenizer
 
 _TURN = re.compile(r"<((?:\\.|[^\\>])*)>\n((?:\\.|[^\\<])*)</turn>\n", re.S)
 
@@ -83,7 +83,7 @@ def format_chats(chats: DataFrame, learn: str = "assistant", folder: str = TOKEN
     names = [x.split()[0] for x in re.split(r", (?=\w+ )", schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = offset_tokenizer(folder)
+        tokenizer = literal_tokenizer(folder)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)

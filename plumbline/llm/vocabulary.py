@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 from collections.abc import Callable
 
@@ -25,20 +26,37 @@ def _ranks(folder: str) -> tiktoken.Encoding:
 
 @functools.lru_cache(maxsize=4)
 def offset_tokenizer(folder: str):
-    """The same vocabulary as a tokenizer that reports offsets; control strings in texts are ordinary text."""
+    """The tokenizer file as it is, which reports offsets; an added token's string in a text gets that token's id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(os.path.join(folder, "byte_bpe_50k.json"))
+    return Tokenizer.from_file(os.path.join(folder, "byte_bpe_50k.json"))
+
+
+@functools.lru_cache(maxsize=4)
+def literal_tokenizer(folder: str):
+    """The same vocabulary; control strings in texts are ordinary text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(offset_tokenizer(folder).to_str())
     t.encode_special_tokens = True
     return t
 
 
+@functools.lru_cache(maxsize=4)
+def _added(folder: str) -> tuple[str, ...]:
+    """The strings of the file's added tokens."""
+    with open(os.path.join(folder, "byte_bpe_50k.json"), encoding="utf-8") as f:
+        return tuple(x["content"] for x in json.load(f)["added_tokens"])
+
+
 def byte_encoder(folder: str = TOKENIZER_FOLDER) -> Callable[[str], list[int]]:
-    """text -> ids of byte_bpe_50k, equal to the tokenizer file's own without special tokens."""
-    fast = _ranks(folder).encode_ordinary
+    """text -> ids of byte_bpe_50k, equal to the tokenizer file's own with add_special_tokens=False."""
+    fast, added = _ranks(folder).encode_ordinary, _added(folder)
 
     def encode(text: str) -> list[int]:
+        if any(x in text for x in added):
+            return offset_tokenizer(folder).encode(text, add_special_tokens=False).ids
         try:
             return fast(text)
         except BaseException as e:  # the regular expression's stack on an endless run of white space

@@ -411,6 +411,18 @@ def test_placements(spark, docs, table):
         packing.best_fit_placements(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), 8)
 
 
+def test_added_tokens_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(f"{TOKENIZER_FOLDER}/byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext> |>", "<|endoftext|>" + " " * 5000 + "z"]
+    got = packing.encode_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1 << 20).collect()
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got}
+    assert ids == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)} and ids[0] == [64, 220, 50256, 275, 0]
+    alone = spark.createDataFrame([(1, 0, "user", texts[0]), (1, 1, "assistant", texts[0])], "conv_id long, turn long, role string, text string")
+    assert 50256 not in chat.format_chats(alone).first().ids
+
+
 def test_plan_is_a_packing():
     rng = np.random.default_rng(4)
     for capacity in (1, 2, 3, 7, 31, 200):
