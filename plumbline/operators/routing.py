@@ -20,6 +20,8 @@ KEYWORDS = {
 TIER_MILLS = {"free": 0, "low": 10, "medium": 50, "high": 200}
 DOMAIN_TIER = {"Clear": "free", "Complicated": "low", "Complex": "medium", "Chaotic": "high", "Disorder": "free"}
 THRESHOLD, FALLBACK, TIMEOUT_MS = 0.3, "Disorder", 30_000
+#: A route table of at most so many rows is broadcast.
+MAX_BROADCAST_ROUTES = 10_000
 
 
 def classify(df: DataFrame, text: str, keywords: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -48,11 +50,13 @@ def route_table(spark: SparkSession, routes: dict[str, tuple[str, str]]) -> Data
 def route(classified: DataFrame, routes: DataFrame, threshold: float = THRESHOLD, fallback: str = FALLBACK) -> DataFrame:
     """``classified`` with confident and the target's url, timeout_ms and tier (null without a route).
 
-    Under the threshold the fallback's target is taken; ``domain`` stays as classified.
+    Under the threshold the fallback's target is taken; ``domain`` stays as classified. A
+    table of any size is taken; one over MAX_BROADCAST_ROUTES rows is not broadcast.
     """
     sure = F.col("confidence") >= threshold
     used = classified.withColumns({"confident": sure, "target_domain": F.when(sure, F.col("domain")).otherwise(fallback)})
-    return used.join(F.broadcast(routes.limit(len(DOMAINS))), "target_domain", "left")
+    few = routes.limit(MAX_BROADCAST_ROUTES + 1).count() <= MAX_BROADCAST_ROUTES
+    return used.join(F.broadcast(routes) if few else routes, "target_domain", "left")
 
 
 def cost_mills(tier: Column | str, costs: dict[str, int] | None = None) -> Column:

@@ -286,6 +286,15 @@ def test_routes_and_budget(spark):
     assert {r.id: r.final_url for r in routing.downgrade(whole, table).collect()} == {1: "u0", 2: "u0", 3: "u0"}
 
 
+def test_routes_over_the_domains_are_all_kept(spark, monkeypatch):
+    names = [f"d{i}" for i in range(9)]
+    table = routing.route_table(spark, {n: (f"u-{n}", "low") for n in names})
+    asked = routing.classify(spark.createDataFrame([(n,) for n in names], "text string"), "text", {n: [n] for n in names})
+    for most in (routing.MAX_BROADCAST_ROUTES, 3):
+        monkeypatch.setattr(routing, "MAX_BROADCAST_ROUTES", most)
+        assert {(r.text, r.url, r.tier) for r in routing.route(asked, table).collect()} == {(n, f"u-{n}", "low") for n in names}
+
+
 def test_metrics(spark):
     pairs = [("Clear", "Clear"), ("Clear", "Clear"), ("Clear", "Complex"), ("Complex", "Complex"), ("Complex", "Clear")]
     m = routing.confusion(spark.createDataFrame(pairs, "p string, a string"), "p", "a")
