@@ -15,6 +15,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.scratch import materialize, release
+
 
 class CausalGraph:
     """Variables in order of arrival; parallel edges are kept and cycles not refused."""
@@ -160,15 +162,17 @@ class CausalGraph:
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(node, depth): all that the seeds (node) reach over (src, dst), by frontier joins.
 
-    Each round joins the frontier only and leaves out what is known, so cycles end.
-    ``checkpoint`` cuts the lineage every round; the session needs a checkpoint folder.
+    Each round joins the frontier only and leaves out what is known, so cycles end. Rounds are
+    written to the shared folder, which cuts the lineage; null nodes and ends are ignored.
     """
-    found = seeds.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
+    found = materialize(seeds.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
+    edges = edges.where("src is not null and dst is not null").select("src", "dst")
     frontier = found
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier.node == edges.src).select(edges.dst.alias("node")).distinct()
-        frontier = step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = materialize(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
+            release(frontier)
             return found
         found = found.unionByName(frontier)
     raise RuntimeError(f"no end within {max_depth} steps")
