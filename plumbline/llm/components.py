@@ -3,7 +3,7 @@
 Every step is an aggregate or an equi-join, so no component, however large, meets in one
 task: ``min`` combines map-side, and each aggregate is written before it is joined, so that
 the joins are plain shuffled ones whose hot partitions (a hub's links) adaptive execution
-can split. Rounds grow with the logarithm of a component's size.
+can split. Rounds grow with the logarithm of a component's size; a round's tables go with it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import materialize
+from plumbline.llm.tables import materialize, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,7 +35,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        release(links, least, large, low)
+        links = after
         seen, mark = mark, _mark(links)
         if seen == mark:
             break

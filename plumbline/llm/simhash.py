@@ -1,17 +1,21 @@
 """SimHash near-duplicate detection with a byte-position inverted index.
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most two bits
-share at least six of the eight, and so, of the four adjacent byte pairs, at least two whole
-ones. The index therefore posts each distinct fingerprint under the six unions of two byte
-pairs (four positional bytes, 32 bits): every linked pair meets in a posting list, while
-single-byte postings (256 lists for any corpus) would meet with a fixed share of the corpus.
-Within a posting list the shared positional bytes of each pair are tallied, pairs below
-the guaranteed six are dropped, and the rest are verified bit by bit.
-
-A posting list longer than ``list_limit`` is not enumerated. Its fingerprints are posted
-under themselves and their 64 one-bit neighbours instead: two fingerprints have such a
-point in common exactly when they differ in at most two bits, so linking each to the
-smallest document at the point loses no link and makes rows linear in the list.
+share at least six of them, the guaranteed minimum. Posting lists of single bytes are 256 a
+position for any corpus, so tallying pairs in them is quadratic; the index therefore posts
+sets of positional bytes, which counts several matches at once:
+
+1. Each distinct fingerprint is posted under the six unions of two of its four byte pairs:
+   four positional bytes, 32 bits. Any two changed bytes leave one such union whole. Lists
+   with one member are dropped.
+2. Members of the others are posted under six positional bytes: the four and two more. Of the
+   28 sets of six each belongs to one union. Pairs that meet here have reached the guaranteed
+   minimum, all others are filtered out.
+3. Fingerprints of a list of step 2 differ in two bytes only, so it has 65,536 members at most.
+   They are verified bit by bit against the 136 changes of one or two bits, in time linear in
+   the list, and give a spanning forest of their links, never all pairs.
+
+One way for every length of list: nothing is capped and nothing switches.
 """
 
 from __future__ import annotations
@@ -23,17 +27,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.tables import arrow_limits, join_words, materialize, settled, split_words, text_slices
+from plumbline.llm.tables import arrow_limits, free_names, join_words, materialize, release, settled, split_words, text_slices
 
 SEED = 42
-MAX_BITS = 2
-#: Classes without a doc_id are named at or below this. Names of two classes are equal only
-#: if their fingerprints differ in the last two bits alone, and those are linked anyway.
-NAMELESS = -(1 << 62)
+#: The unions of two byte pairs, by byte; and for each six-byte set (by the two bytes left out) the first union in it.
+UNIONS = [(2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)]
+SIXES = [(next(k for k, u in enumerate(UNIONS) if not {i, j} & set(u)), i, j) for i, j in combinations(range(8), 2)]
+#: Changes of one or two of sixteen bits.
+CHANGES = np.array([1 << a | 1 << b for a in range(16) for b in range(a, 16)], np.int64)
+#: Members of lists that are verified at once.
+CHUNK = 1 << 16
 
 
 def _fingerprints(texts: pa.Array, width: int) -> np.ndarray:
@@ -71,7 +78,7 @@ def _fingerprints(texts: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def text_key(column: str):
+def text_key(column: str) -> Column:
     """Tells the texts of rows with one doc_id apart."""
     return F.coalesce(F.xxhash64(column), F.lit(0))
 
@@ -94,75 +101,115 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key")).mapInArrow(settled(run), "doc_id long, text_key long, fp long")
 
 
-def _byte(fp: str, i: int) -> str:
-    return f"(shiftrightunsigned({fp}, {8 * i}) & 255)"
-
-
-def link_fingerprints(classes: DataFrame, list_limit: int = 64) -> DataFrame:
-    """(fp, rep) with distinct fp -> (u, v) links between reps whose fps differ in at most two bits."""
-    pairs = [int("FFFF" + "0000" * i, 16) for i in range(4)]
-    masks = [a | b for a, b in combinations(pairs, 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    postings = classes.select("fp", "rep", F.explode(keys).alias("k")).select("k.part", "k.key", "fp", "rep")
-    lists = postings.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(postings.join(lists, ["part", "key"]))
-    shared = " + ".join(f"int({_byte('x.fp', i)} = {_byte('y.fp', i)})" for i in range(8))
-    found = (
-        met.where(F.col("n") <= list_limit)
-        .groupBy("part", "key")
-        .agg(F.collect_list(F.struct("fp", "rep")).alias("members"))
-        .select(F.expr(f"explode(flatten(transform(members, (x, i) -> transform(filter(slice(members, i + 2, size(members)), y -> {shared} >= 6 and bit_count(x.fp ^ y.fp) <= {MAX_BITS}), y -> struct(x.rep as u, y.rep as v)))))").alias("e"))
-        .select("e.u", "e.v")
-    )
-    crowded = met.where(F.col("n") > list_limit).select("fp", "rep").distinct()
-    points = crowded.select(F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("point"), F.col("rep").alias("u"))
-    least = points.groupBy("point").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.unionByName(points.join(least, "point").where("u <> v").select("u", "v"))
-
-
-def simhash_components(docs: DataFrame, width: int = 3, list_limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _mask(kept) -> Column:
+    """A literal with all bits of the kept bytes set, as a signed 64-bit number."""
+    m = sum(255 << 8 * i for i in kept)
+    return F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+
+
+def _forest(lists: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For members of lists, by list and their two bytes that vary, the place of the least member linked, over links."""
+    code = lists << 16 | left
+    order = np.argsort(code, kind="stable")
+    code, at = code[order], np.arange(len(code))
+    found = []
+    for change in CHANGES.tolist():
+        place = np.minimum(np.searchsorted(code, code ^ change), len(code) - 1)
+        x = np.flatnonzero((code[place] == code ^ change) & (place > at))
+        found.append(np.stack((x, place[x])))
+    x, y = np.concatenate(found, axis=1)
+    root = at.copy()
+    while True:
+        least = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], least)
+        np.minimum.at(new, root[y], least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    out = np.empty(len(code), np.int64)
+    out[order] = order[root]
+    return out
+
+
+def link_fingerprints(classes: DataFrame) -> DataFrame:
+    """Distinct signed fingerprints (fp) -> links (u, v) that connect just those within two bits."""
+    unions = F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(_mask(u)).alias("key")) for k, u in enumerate(UNIONS)))
+    postings = classes.select("fp", F.explode(unions).alias("k")).select("k.part", "k.key", "fp")
+    lists = materialize(postings.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    six = F.array(*(F.struct(F.lit(k).alias("part"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("fp").bitwiseAND(_mask(set(range(8)) - {i, j})).alias("key")) for k, i, j in SIXES))
+    met = postings.join(lists, ["part", "key"]).select("part", "fp", F.explode(F.filter(six, lambda x: x["part"] == F.col("part"))).alias("x"))
+    held = met.groupBy("x.i", "x.j", "x.key").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("i", "j", "fps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column("fps")).to_numpy().astype(np.int64)
+            fps = pc.list_flatten(batch.column("fps")).to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(size)), size)
+            i, j = (batch.column(c).to_numpy().astype(np.uint64)[row] * np.uint64(8) for c in "ij")
+            low = np.uint64(255)
+            left = (((fps >> i) & low) | ((fps >> j) & low) << np.uint64(8)).astype(np.int64)
+            ends = np.cumsum(size)
+            a = 0
+            while a < len(size):  # whole lists, about CHUNK members at a time
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+                part = slice(ends[a - 1] if a else 0, ends[b - 1])
+                mine = fps[part].view(np.int64)
+                root = _forest(row[part], left[part])
+                hit = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(mine[hit]), pa.array(mine[root[hit]])], ["u", "v"])
+                a = b
+
+    return held.mapInArrow(settled(run), "u long, v long")
+
+
+def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, fp, component_id, group) for every row.
 
     ``component_id`` is the smallest doc_id reachable over links of two bits or fewer, null
     if no row reached has one; ``group`` is equal for the rows that reach each other.
-    Repeated rows yield repeated rows. A row without doc_id links like any other but is
-    never a name. An empty table gives an empty result.
+    Rows with one fingerprint are one class, named by it, so rows that share a doc_id stay
+    apart if their texts are. Repeated rows yield repeated rows. A row without doc_id links
+    like any other but is never a name. Null and empty texts have fingerprint zero and link
+    like any other. Other columns do not matter, whatever their names. An empty table gives
+    an empty result.
     """
     signed = materialize(fingerprints(docs, width, id_col, text_col))
-    classes = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = materialize(classes.withColumn("rep", F.coalesce("least", F.lit(NAMELESS) - F.shiftrightunsigned("fp", 2))))
-    parts = connected_components(link_fingerprints(named, list_limit))
-    labels = named.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("group"))
-    labels = materialize(labels)
-    # a group is named by its smallest doc_id, except where one of its classes has none
-    odd = materialize(labels.where(F.col("group") <= NAMELESS).groupBy("group").agg(F.min("least").alias("named_id")))
-    ids = labels.join(odd, "group", "left").select("fp", "group", F.when(F.col("group") <= NAMELESS, F.col("named_id")).otherwise(F.col("group")).alias("component_id"))
-    return signed.join(ids, "fp", "left").select("doc_id", "text_key", "fp", "component_id", "group")
-
-
-def keep_representatives(docs: DataFrame, width: int = 3, list_limit: int = 64) -> DataFrame:
+    classes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges = materialize(link_fingerprints(classes.select("fp")))
+    parts = connected_components(edges)
+    grouped = materialize(classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group")))
+    # written before it is joined, so that a giant group's rows can be split over tasks
+    names = materialize(grouped.groupBy("group").agg(F.min("least").alias("component_id")))
+    ids = materialize(grouped.join(names, "group").select("fp", "group", "component_id"))
+    release(classes, edges, parts, grouped, names)
+    return signed.join(ids, "fp").select("doc_id", "text_key", "fp", "component_id", "group")
+
+
+def keep_representatives(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row of ``docs`` for each group: the one with the smallest doc_id.
 
     Among rows with that doc_id, or in a group without any, the text with the least hash
     stays, once however often its row is repeated (of rows that differ in other columns, which
-    must be orderable, the least). An empty table gives an empty result.
+    must be orderable, the least). Null and empty texts are one group. Columns may have any
+    names. An empty table gives an empty result.
     """
-    found = simhash_components(docs, width, list_limit)
+    found = simhash_components(docs, width)
     least = found.where("doc_id = component_id or component_id is null").groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("rows"))
-    stay = least.groupBy("group").agg(F.min(F.struct("doc_id", "text_key", "rows")).alias("s")).select("s.*")
-    stay = materialize(stay)
-    repeated = materialize(stay.where("rows > 1"))
-    keyed = docs.withColumn("_simhash_key", text_key("text"))
+    stay = materialize(least.groupBy("group").agg(F.min(F.struct("doc_id", "text_key", "rows")).alias("s")).select("s.*"))
+    release(found)
+    key, an_id, chosen_key = free_names(docs.columns, "text_key", "chosen_id", "chosen_key")
+    keyed = docs.withColumn(key, text_key("text"))
 
     def of(chosen: DataFrame) -> DataFrame:
-        names = chosen.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_chosen"))
-        return keyed.join(names, keyed["doc_id"].eqNullSafe(names["_id"]) & (keyed["_simhash_key"] == names["_chosen"]), "left_semi")
+        names = chosen.select(F.col("doc_id").alias(an_id), F.col("text_key").alias(chosen_key))
+        return keyed.join(names, F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(key) == F.col(chosen_key)), "left_semi")
 
-    once = of(repeated).groupBy("doc_id", "_simhash_key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    once = of(stay.where("rows > 1")).groupBy("doc_id", key).agg(F.min(F.struct(*docs.columns)).alias(chosen_key)).select(f"{chosen_key}.*")
     return of(stay.where("rows = 1")).select(*docs.columns).unionByName(once)
 
 
-def hex_digits(fp: str = "fp"):
+def hex_digits(fp: str = "fp") -> Column:
     """The 16 lower-case hex digits of a signed 64-bit fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

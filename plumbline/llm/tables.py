@@ -1,69 +1,43 @@
-"""Shared plumbing: intermediate tables in the cluster's shared folder, and Arrow batch handling."""
+"""Shared plumbing: free column names and Arrow batch handling."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from plumbline.scratch import materialize, release, shared_folder  # noqa: F401
 
 #: Text bytes that one vectorised step handles at once; keeps a Python worker's memory flat.
 CHUNK_BYTES = 4 << 20
-_written: list[tuple[SparkSession, str]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores in front until no column, in any case of letters, has them."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def arrow_limits(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as rows, so very long texts do not pile up in a worker.
 
-    This cuts the lineage (a lost executor costs no recomputation) and gives the planner
-    true sizes. The table is removed by ``release`` or at exit.
+    A bound that the session was given stays as it is.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(keep: int = 0) -> None:
-    """Delete the intermediate tables written since the first ``keep``; only once no plan needs them."""
-    while len(_written) > keep:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the folder's owner cleans up
-            continue
-
-
-def written() -> int:
-    return len(_written)
-
-
-atexit.register(release)
-
-
-def arrow_limits(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, so very long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    given = spark.conf.getAll
+    for key, value in (("maxBytesPerBatch", str(CHUNK_BYTES)), ("maxRecordsPerBatch", "2000")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if key not in given:
+            spark.conf.set(key, value)
 
 
 def _give_back() -> None:
