@@ -4,13 +4,16 @@ Vectors are scaled to unit length and quantised to int8 with a step of their own
 where |e| is measured per vector. For two vectors v.w lies within |e_v|*|s_w q_w| + |e_w|
 of s_v*s_w*(q_v.q_w), as v.w = (s_v q_v).(s_w q_w) + e_v.(s_w q_w) + v.e_w and |v| = 1.
 Tiles of vectors with one label are multiplied in integers (exact in float32 up to 1,024
-components, in float64 beyond); only pairs that the bound cannot exclude are recomputed in
-double precision.
-
-Identical vectors of one label are merged first. A label's vectors are dealt into tiles of
-about ``tile`` by hash; each pair of tiles is one row, so a label with most rows is spread
-over many tasks. A tile pair gives counts per vector and a spanning forest of its links,
-never the pairs.
+components, in float64 beyond).
+
+1. Identical vectors of one label are merged into classes, each with a number of its own.
+2. Classes are quantised once and dealt into tiles by hash. A tile holds the int8 rows, steps
+   and errors only, TILE rows or TILE_BYTES at most.
+3. Each pair of tiles of a label is one row, so a label with most rows is spread over many
+   tasks. The products say which classes have a partner that the bound cannot exclude.
+4. For those classes alone the vectors are fetched, by pair of tiles, and just the pairs that
+   may reach the limit are recomputed in double precision. A pair of tiles gives counts per
+   class and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.tables import materialize
+from plumbline.llm.tables import arrow_limits, materialize, release, settled
 
 LIMIT = 0.98
+#: Rows and int8 bytes that a tile holds at most.
+TILE, TILE_BYTES = 8192, 2 << 20
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,22 +40,29 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, step, np.linalg.norm(unit - q * step[:, None], axis=1)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, limit: float, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with cosine(a[i], b[j]) >= limit in double precision, block by block."""
-    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    ua, ub = a / na[:, None], b / nb[:, None]
-    qa, sa, ea = quantise(ua)
-    qb, sb, eb = quantise(ub)
-    kind = np.float32 if a.shape[1] <= 1024 else np.float64
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # int8 rows, steps, errors
+
+
+def possible(a: Rows, b: Rows, limit: float, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of quantised rows whose cosine may reach the limit, block by block."""
+    (qa, sa, ea), (qb, sb, eb) = a, b
+    kind = np.float32 if qa.shape[1] <= 1024 else np.float64
     right = qb.T.astype(kind)
     long_b = np.linalg.norm(qb * sb[:, None], axis=1)
-    for at in range(0, len(a), block):
+    for at in range(0, len(qa), block):
         rows = slice(at, at + block)
         dots = qa[rows].astype(kind) @ right
         slack = ea[rows][:, None] * long_b[None, :] + eb[None, :] + 1e-6
         i, j = np.nonzero(dots * (sa[rows][:, None] * sb[None, :]) >= limit - slack)
+        yield i + at, j
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with cosine(a[i], b[j]) >= limit in double precision."""
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    for i, j in possible(quantise(a / na[:, None]), quantise(b / nb[:, None]), limit):
         for k in range(0, len(i), 1 << 16):
-            x, y = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
             sure = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y]) >= limit
             yield x[sure], y[sure]
 
@@ -75,74 +87,124 @@ class _Forest:
                 self.links.append((x, y))
 
 
-def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep")
-    vectors = np.array(pdf["embedding"].tolist(), np.float64)
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [vectors.shape[1]], "tile": [pdf["tile"].iloc[0]], "tiles": [pdf["tiles"].iloc[0]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]})
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A list column, all of one length, as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, embedding, ...) with the embedding as int8 bytes, step and error."""
+    for batch in batches:
+        size = batch.column("dim").to_numpy()
+        for dim in np.unique(size):
+            part = batch.filter(pa.array(size == dim))
+            vectors = _vectors(part.column("embedding"))
+            q, step, error = quantise(vectors / np.linalg.norm(vectors, axis=1)[:, None])
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(int(dim)), len(q), [None, pa.py_buffer(q.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("place", "dim", "tiles", "tile", "class")), rows, pa.array(step), pa.array(error)], ["place", "dim", "tiles", "tile", "class", "q", "step", "error"])
+
+
+def _rows(members: pa.ListArray, k: int, dim: int) -> tuple[np.ndarray, Rows]:
+    own = members[k].values
+    q = np.frombuffer(b"".join(own.field("q").to_pylist()), np.int8).reshape(-1, dim)
+    return own.field("class").to_numpy(), (q, own.field("step").to_numpy(), own.field("error").to_numpy())
+
+
+def _candidates(limit: float):
+    """Pairs of tiles -> (place, a, b, side, class) of the classes with a possible partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim, a, b = (batch.column(c)[k].as_py() for c in ("dim", "a", "b"))
+                ids, left = _rows(batch.column("left"), k, dim)
+                others, right = (ids, left) if a == b else _rows(batch.column("right"), k, dim)
+                hits = [np.zeros(len(ids), bool), np.zeros(len(others), bool)]
+                for i, j in possible(left, right, limit):
+                    if a == b:
+                        i, j = i[i < j], j[i < j]
+                    hits[0][i] = True
+                    hits[1][j] = True
+                if a == b:
+                    hits = [hits[0] | hits[1], hits[1][:0]]
+                found = np.concatenate([x[hit] for x, hit in zip((ids, others), hits) if len(hit)])
+                n = [int(h.sum()) for h in hits]
+                place = pa.array([batch.column("place")[k].as_py()] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([place, pa.array(np.full(len(found), a, np.int32)), pa.array(np.full(len(found), b, np.int32)), pa.array(np.repeat([0, 1], n).astype(np.int32)), pa.array(found)], ["place", "a", "b", "side", "class"])
+
+    return run
 
 
-def _pair_rows(limit: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                dim, same = int(r.dim), r.a == r.b
-                ids = [np.frombuffer(x, np.int64) for x in (r.ids_a, r.ids_b)]
-                copies = [np.frombuffer(x, np.int64) for x in (r.copies_a, r.copies_b)]
-                vectors = [np.frombuffer(x, np.float64).reshape(-1, dim) for x in (r.vectors_a, r.vectors_b)]
-                n = len(ids[0])
-                forest, links = _Forest(n if same else n + len(ids[1])), [np.zeros(len(x), np.int64) for x in ids]
-                for i, j in near_pairs(*vectors, limit):
+def _exact(limit: float):
+    """Pairs of tiles with the vectors of their candidates -> (class, links, other)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
+                own = batch.column("members")[k].values
+                side, ids, copies = (own.field(c).to_numpy() for c in ("side", "class", "copies"))
+                vectors = _vectors(own.field("embedding"))
+                x = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
+                y = x if same else np.flatnonzero(side == 1)
+                forest, links = _Forest(len(ids)), np.zeros(len(ids), np.int64)
+                for i, j in near_pairs(vectors[x], vectors[y], limit):
                     if same:
                         i, j = i[i < j], j[i < j]
-                    np.add.at(links[0], i, copies[1][j])
-                    np.add.at(links[1], j, copies[0][i])
-                    forest.add(i, j + (0 if same else n))
-                both = np.concatenate(ids)
-                counts = np.concatenate(links)
-                hit = counts > 0
-                out = pd.DataFrame({"rep": both[hit], "links": counts[hit]})
-                out["other"] = pd.array([None] * len(out), "Int64")
-                if forest.links:
-                    x, y = np.array(forest.links).T
-                    ends = pd.DataFrame({"rep": both[x], "links": 0, "other": pd.array(both[y], "Int64")})
-                    out = pd.concat([out, ends], ignore_index=True)
-                yield out
+                    i, j = x[i], y[j]
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    forest.add(i, j)
+                hit = np.flatnonzero(links)
+                u, v = np.array(forest.links, np.int64).reshape(-1, 2).T
+                found = np.concatenate((ids[hit], ids[u]))
+                other = pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(ids[v], pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.concatenate((links[hit], np.zeros(len(u), np.int64)))), other], ["class", "links", "other"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, limit: float = LIMIT, tile: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, limit: float = LIMIT, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Rows are compared only when labels are equal and not null. A vector that is null, empty,
     zero, or holds a null or non-finite component links with nothing, nor do vectors of
     different lengths. n_links counts the other rows with cosine >= ``limit`` in double
-    precision. Repeated rows count as rows; a row without vec_id counts as a link and can
-    join others but never names a component. kept: vec_id = component_id.
+    precision. Rows count as rows: repeated ones, and several vectors of one vec_id, each with
+    its own links and component. A row without vec_id counts as a link and can join others but
+    never names a component. kept: vec_id = component_id. Other columns do not matter, whatever
+    their names. An empty table gives an empty result. Equal vectors are recognised by 128 bits
+    of hashes, equal labels by 64.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
+    arrow_limits(vectors.sparkSession)
+    label, embedding = F.col(label_col), F.col(vector_col)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), embedding.alias("embedding"), label.alias("label"))
     fine = F.expr("coalesce(label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0), false)")
-    rows = materialize(rows.withColumn("fine", fine))
-    classes = rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    # a class is named by its least id; one without ids gets a negative name of its own
-    name = F.coalesce("least", -1 - F.abs(F.xxhash64("label", "embedding") % F.lit(1 << 60)))
-    classes = materialize(classes.withColumn("rep", name))
-    sizes = classes.groupBy(F.col("label").alias("_label"), F.size("embedding").alias("dim")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = classes.join(sizes, (F.col("label") == F.col("_label")) & (F.size("embedding") == F.col("dim"))).select("label", "dim", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), "rep", "copies", "embedding")
-    kind = rows.schema["label"].dataType.simpleString()
-    blobs = materialize(dealt.groupBy("label", "dim", "tile").applyInPandas(_tile, f"label {kind}, dim int, tile int, tiles int, ids binary, copies binary, vectors binary"))
-    one = blobs.select("label", "dim", F.col("tile").alias("a"), F.explode(F.expr("sequence(tile, tiles - 1)")).alias("b"), *(F.col(c).alias(f"{c}_a") for c in ("ids", "copies", "vectors")))
-    two = blobs.select("label", "dim", F.explode(F.expr("sequence(0, tile)")).alias("a"), F.col("tile").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("ids", "copies", "vectors")))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    found = materialize(one.join(two, ["label", "dim", "a", "b"]).drop("label").mapInPandas(_pair_rows(limit), "rep long, links long, other long"))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
-    # names below 0 stand for classes without ids: a component takes the least real id in it
-    grouped = classes.join(parts, F.col("rep") == F.col("node"), "left").select("label", "embedding", "least", "copies", "rep", F.coalesce("component", "rep").alias("part"))
-    grouped = materialize(grouped)
-    ids = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
-    whole = grouped.join(ids, "part").join(counts, "rep", "left").select("label", "embedding", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    linked = rows.where("fine").join(whole, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    keys = [F.when(fine, F.xxhash64(F.lit(i), "label", "embedding")).alias(f"h{i}") for i in (1, 2)]
+    names = materialize(rows.select("vec_id", *keys))
+    whole = rows.where(fine).groupBy(*keys).agg(F.first("embedding").alias("embedding"), F.xxhash64(F.first("label")).alias("place"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # numbers that hold once written: no two classes share one
+    classes = materialize(whole.withColumns({"class": F.monotonically_increasing_id(), "dim": F.size("embedding")}))
+    per_tile = F.greatest(F.least(F.lit(tile), F.floor(F.lit(TILE_BYTES) / F.col("dim"))), F.lit(1))
+    sizes = materialize(classes.groupBy("place", "dim").agg(F.count("*").alias("n")).select("place", "dim", F.ceil(F.col("n") / per_tile).cast("int").alias("tiles")))
+    dealt = classes.join(sizes, ["place", "dim"]).select("place", "dim", "tiles", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int").alias("tile"), "class", "embedding")
+    coded = dealt.mapInArrow(settled(_quantised), "place long, dim int, tiles int, tile int, class long, q binary, step double, error double")
+    tiles = materialize(coded.groupBy("place", "dim", "tiles", "tile").agg(F.collect_list(F.struct("class", "q", "step", "error")).alias("members")))
+    alone = tiles.select("place", "dim", F.col("tile").alias("a"), F.col("tile").alias("b"), F.col("members").alias("left"), F.lit(None).cast(tiles.schema["members"].dataType).alias("right"))
+    many = tiles.where("tiles > 1")
+    one = many.select("place", "dim", F.col("tile").alias("a"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("b"), F.col("members").alias("left")).where("a < b")
+    two = many.select("place", "dim", F.explode(F.expr("sequence(0, tiles - 1)")).alias("a"), F.col("tile").alias("b"), F.col("members").alias("right")).where("a < b")
+    pairs = alone.unionByName(one.join(two, ["place", "dim", "a", "b"]))
+    asked = materialize(pairs.mapInArrow(settled(_candidates(limit)), "place long, a int, b int, side int, class long"))
+    fetched = asked.join(classes.select("class", "embedding", "copies", "dim"), "class").groupBy("place", "dim", "a", "b").agg(F.collect_list(F.struct("side", "class", "copies", "embedding")).alias("members"))
+    found = materialize(fetched.select("a", "b", "members").mapInArrow(settled(_exact(limit)), "class long, links long, other long"))
+    parts = connected_components(found.where("other is not null").select(F.col("class").alias("u"), F.col("other").alias("v")))
+    counts = found.groupBy("class").agg(F.sum("links").alias("links"))
+    grouped = materialize(classes.select("class", "h1", "h2", "least", "copies").join(parts, F.col("class") == F.col("node"), "left").join(counts, "class", "left").select("h1", "h2", "least", F.coalesce("component", "class").alias("part"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    # written before it is joined, so that a giant component's rows can be split over tasks
+    least = materialize(grouped.groupBy("part").agg(F.min("least").alias("component_id")))
+    ends = materialize(grouped.join(least, "part").select("h1", "h2", "component_id", "n_links"))
+    release(classes, sizes, tiles, asked, found, parts, grouped, least)
+    linked = names.where("h1 is not null").join(ends, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    single = names.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(single).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
