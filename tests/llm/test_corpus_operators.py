@@ -174,11 +174,22 @@ def test_substrings_brute_force(spark, docs, table):
     for source, window, gram in ((docs, 50, 12), (table, 50, 12), (small, 12, 4), (small, 9, 9)):
         got = substrings.remove_repeats(source, window, gram).collect()
         assert as_key([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got]) == brute_cut([(r.doc_id, r.text) for r in source.collect()], window)
+        texts = defaultdict(list)
+        for r in source.collect():
+            texts[r.doc_id].append(words(r.text))
         for r in got:
-            assert sum(f.end - f.start for f in r.factors) == r.n_removed and all(f.end - f.start >= window for f in r.factors)
+            assert sum(f.end - f.start for f in r.factors) == r.n_removed and all(a.end <= b.start for a, b in zip(r.factors, r.factors[1:]))
+            w = words(r.text)
+            for f in r.factors:  # each factor is what its reference holds, word for word
+                assert f.ref_doc < r.doc_id and any(t[f.ref_start : f.ref_start + f.end - f.start] == w[f.start : f.end] for t in texts[f.ref_doc])
     assert substrings.remove_repeats(none_of(docs)).count() == 0
 
 
+def test_parse_is_greedy():
+    runs = [np.array(x) for x in zip((0, 3, 60, 7, 0), (0, 10, 70, 8, 5), (0, 65, 130, 9, 1), (0, 200, 255, 7, 0), (2, 0, 50, 4, 9))]
+    assert substrings.parse(runs) == [(0, 3, 60, 7, 0), (0, 60, 70, 8, 55), (0, 70, 130, 9, 6), (0, 200, 255, 7, 0), (2, 0, 50, 4, 9)]
+
+
 # SimHash
 
 
