@@ -33,18 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder for a table to be written, which ``release`` and the process's end remove."""
+    path = f"{shared_folder(spark)}/{_PREFIX}{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _live[path] = (target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage (a lost executor costs no recomputation) and gives the planner
     true sizes. ``release`` removes the table; what is left goes when the process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{_PREFIX}{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    _live[path] = (target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _named(files: Iterable[str]) -> set[str]:
