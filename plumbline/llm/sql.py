@@ -30,10 +30,20 @@ FROM embeddings LEFT JOIN part ON part.a = vec_id LEFT JOIN n ON n.a = vec_id
 WITH list AS (SELECT column0 AS domain, column1 AS action, column2 AS starts FROM (VALUES {url_list}) AS t(column0, column1, column2)),
 spans AS (SELECT *, lead(starts) OVER (PARTITION BY domain ORDER BY starts) AS ends FROM list),
 caps AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
-  nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host FROM pages),
+  nullif(rtrim(regexp_extract(trim(lower(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') AS host FROM pages),
 hits AS (SELECT page_id, domain, action, row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC) AS r
   FROM caps JOIN spans ON (host = domain OR ends_with(host, '.' || domain)) AND fetched >= starts AND (ends IS NULL OR fetched < ends) WHERE action <> 'remove')
 SELECT caps.page_id, url, CAST(fetched AS VARCHAR) AS fetched, host, domain AS matched_domain, action, coalesce(action <> 'block', true) AS kept
 FROM caps LEFT JOIN hits ON hits.page_id = caps.page_id AND r = 1
+""",
+    "op6_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(t, r))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(11 + length(role) + length(regexp_replace(role, '[^\\<>\n]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
 """,
 }

@@ -9,39 +9,61 @@ finds the entries active at that date. The longest active suffix decides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+from plumbline.llm.tables import free_names, materialize
+
+#: The host of an address in lower case, after any scheme and user: a bracketed number, or up to a port, path, query, fragment or backslash.
+HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#\\@]*@)?(\[[^\]/?#]*\]|[^/:?#\\\s]+)"
+#: The same without scheme; there the host must hold a dot.
+BARE = r"^(?:[^/?#\\@:\s]*@)?([^/:?#\\\s@]+\.[^/:?#\\\s@]+)(?::[0-9]*)?(?:[/?#\\].*)?$"
 #: Among entries of one domain and date the first of these wins.
 ACTIONS = ("block", "allow", "remove")
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address, in lower case and without a dot at its end; null if there is none.
+
+    Space and control characters around the address do not count. An address without a scheme
+    has a host if that holds a dot; a bracketed number is one part.
+    """
+    bare = F.regexp_replace(F.lower(url), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    host = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(bare, HOST, 1), F.lit("")), F.regexp_extract(bare, BARE, 1)), r"\.+$", "")
+    return F.nullif(host, F.lit(""))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(domain, action, starts, ends): when each entry is active; ends null while it still is.
 
-    Null domains, dates and unknown actions take no part.
+    Domains are compared in lower case without space around and a dot at the end. Null and
+    empty domains, null and malformed dates and unknown actions take no part; repeated entries
+    count once.
     """
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
-    one = entries.select(F.lower("domain").alias("domain"), F.col("dated").cast("date").alias("starts"), rank.alias("rank")).where("domain is not null and starts is not null and rank > 0").groupBy("domain", "starts").agg(F.min("rank").alias("rank"))
+    domain = F.regexp_replace(F.trim(F.lower("domain")), r"\.+$", "")
+    one = entries.select(domain.alias("domain"), F.col("dated").try_cast("date").alias("starts"), rank.alias("rank")).where("domain <> '' and starts is not null and rank > 0").groupBy("domain", "starts").agg(F.min("rank").alias("rank"))
     ends = F.lead("starts").over(Window.partitionBy("domain").orderBy("starts"))
     return one.withColumn("ends", ends).where(F.col("rank") < len(ACTIONS)).select("domain", F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("rank").cast("int")).alias("action"), "starts", "ends")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", fetched_col: str = "fetched") -> DataFrame:
-    """``captures`` with host, matched_domain, action and kept, one row per row.
+    """``captures`` with host, matched_domain, action and kept, one row per row, repeated ones included.
 
-    Captures without a URL, host or fetch date match nothing: host or matched_domain is null
-    and they are kept. Clashing column names of ``captures`` are replaced.
+    Captures without a URL, host or fetch date (null or malformed) match nothing: matched_domain
+    is null and they are kept. Columns named as the result's own, in any case of letters, are
+    replaced; others may have any names. Empty tables give an empty result, or one without matches.
+    Intervals and verdicts, an entry's and a host and date's, are written before they are joined,
+    so that the captures of a hot host can be split over tasks.
     """
-    own = [c for c in captures.columns if c not in ("host", "matched_domain", "action", "kept")]
-    host = F.regexp_extract(F.lower(url_col), HOST, 1)
-    rows = captures.select(*own, F.when(host != "", host).alias("host"), F.col(fetched_col).cast("date").alias("_on"))
-    asked = rows.select("host", "_on").where("host is not null and _on is not null").distinct()
+    own = [c for c in captures.columns if c.lower() not in ("host", "matched_domain", "action", "kept")]
+    host, on, hit, other, day = free_names([*own, "matched_domain", "action", "kept"], "host", "on", "hit", "other", "day")
+    rows = captures.select(*own, host_of(F.col(url_col)).alias(host), F.col(fetched_col).try_cast("date").alias(on))
+    asked = rows.select(F.col(host).alias("host"), F.col(on).alias("day")).where("host is not null and day is not null").distinct()
     parts = F.split("host", r"\.")
-    suffixes = asked.select("host", "_on", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("_depth", "domain"))
-    spans = intervals(entries)
-    active = suffixes.join(spans, (suffixes.domain == spans.domain) & (F.col("_on") >= F.col("starts")) & (F.col("ends").isNull() | (F.col("_on") < F.col("ends")))).select("host", "_on", F.struct((-F.col("_depth")).alias("d"), suffixes.domain, "action").alias("hit"))
-    verdict = active.groupBy("host", "_on").agg(F.max("hit").alias("hit"))
-    joined = rows.join(verdict, ["host", "_on"], "left")
-    return joined.select(*own, "host", F.col("hit.domain").alias("matched_domain"), F.col("hit.action").alias("action"), F.coalesce(F.col("hit.action") != "block", F.lit(True)).alias("kept"))
+    suffixes = asked.select("host", "day", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("depth", "domain"))
+    spans = materialize(intervals(entries))
+    active = suffixes.join(spans, "domain").where((F.col("day") >= F.col("starts")) & (F.col("ends").isNull() | (F.col("day") < F.col("ends")))).select("host", "day", F.struct((-F.col("depth")).alias("d"), "domain", "action").alias("hit"))
+    verdict = materialize(active.groupBy("host", "day").agg(F.max("hit").alias("hit"))).select(F.col("host").alias(other), F.col("day").alias(day), F.col("hit").alias(hit))
+    joined = rows.join(verdict, (F.col(host) == F.col(other)) & (F.col(on) == F.col(day)), "left")
+    return joined.select(*own, F.col(host).alias("host"), F.col(hit)["domain"].alias("matched_domain"), F.col(hit)["action"].alias("action"), F.coalesce(F.col(hit)["action"] != "block", F.lit(True)).alias("kept"))
