@@ -1,9 +1,11 @@
 """Token ids as packed binary matrices, by best-fit-decreasing with a segment tree.
 
-One pass, no shuffle: each task encodes its documents, cuts those over the capacity into
-pieces without loss, and packs a window of pieces at a time, longest first, each into the
-open sequence with the least room that still fits. The room is found in a segment tree
-over capacities. Windows bound memory; a window leaves at most one sequence under half full.
+Documents over the capacity are cut into pieces without loss. All the packing needs is how
+many pieces there are of each length, so one packing of the whole table is planned on the
+driver from that histogram, bounded by the capacity: longest first, each piece goes into the
+open sequence with the least room that still fits, found in a segment tree over capacities.
+Equal sequences are kept as one group, so the plan is that of placing pieces one by one. The
+executors look up each piece's place by its length and rank and gather the sequences.
 """
 
 from __future__ import annotations
@@ -12,36 +14,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.packing import best_fit_placements, segments
 from plumbline.llm.tables import arrow_limits, settled, text_slices
-from plumbline.llm.vocabulary import TOKENIZER_FOLDER, byte_encoder
+from plumbline.llm.vocabulary import byte_encoder
 
 END_ID = 50256
-#: Tokens packed together in a task.
-WINDOW_TOKENS = 8_000_000
-SCHEMA = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
 
 
 class CapacityTree:
-    """Which capacities have an open sequence; ``tightest`` finds the least one that is enough."""
+    """Groups of sequences by their room; ``tightest`` finds the least room that is enough."""
 
     def __init__(self, capacity: int):
         self.size = 1 << capacity.bit_length()
         self.live = bytearray(2 * self.size)
-        self.bins: dict[int, list[int]] = {}
+        self.groups: dict[int, list] = {}
 
-    def add(self, room: int, bin_no: int) -> None:
-        self.bins.setdefault(room, []).append(bin_no)
+    def add(self, room: int, group) -> None:
+        self.groups.setdefault(room, []).append(group)
         at = room + self.size
         while at and not self.live[at]:
             self.live[at] = 1
             at >>= 1
 
     def tightest(self, need: int) -> int:
-        """The least capacity >= need with an open sequence, or -1."""
+        """The least room >= need that a group has, or -1."""
         at = need + self.size
         if self.live[at]:
             return need
@@ -54,9 +53,9 @@ class CapacityTree:
             at >>= 1
         return -1
 
-    def take(self, room: int) -> int:
-        mine = self.bins[room]
-        bin_no = mine.pop()
+    def take(self, room: int):
+        mine = self.groups[room]
+        group = mine.pop()
         if not mine:
             at = room + self.size
             self.live[at] = 0
@@ -64,80 +63,86 @@ class CapacityTree:
             while at:
                 self.live[at] = self.live[2 * at] | self.live[2 * at + 1]
                 at >>= 1
-        return bin_no
-
-
-def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Indices of the pieces in each sequence."""
-    tree, out = CapacityTree(capacity), []
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        room = tree.tightest(n)
-        if room < 0:
-            bin_no, room = len(out), capacity
-            out.append([])
-        else:
-            bin_no = tree.take(room)
-        out[bin_no].append(i)
-        if room > n:
-            tree.add(room - n, bin_no)
-    return out
-
-
-def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZER_FOLDER, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """Packed sequences, a row each (see SCHEMA): a row of the id matrix and how to take it apart.
-
-    ``ids`` is ``capacity`` little-endian unsigned 16-bit ids, filled up with ``end_id``;
-    segment k is ids[cu_seqlens[k]:cu_seqlens[k + 1]] and holds the tokens of document
-    doc_ids[k] from starts[k] on; position ids restart at 0 at each of position_resets.
-    Every row of ``docs`` is encoded whole and ended by ``end_id`` (null text: only that), so
-    each has at least one segment; repeated rows and null ids included.
+        return group
+
+
+def plan_decreasing(counts: np.ndarray) -> np.ndarray:
+    """Histogram of lengths (index 0..capacity) -> segments, as best-fit-decreasing places piece after piece.
+
+    A piece that leaves room for another of its length makes its sequence the tightest for
+    that one, so a sequence takes as many as it holds before the next of its group.
     """
-    arrow_limits(docs.sparkSession)
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    kinds = [pa.int64(), pa.int32(), pa.binary(), ints, ints, longs, longs]
-
-    def packed(docs_of: list, starts: list, tokens: list, first: int) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([len(t) for t in tokens], np.int64)
-        rows = []
-        for k, items in enumerate(best_fit_decreasing(lengths, capacity)):
-            edges = np.concatenate(([0], np.cumsum(lengths[items]))).astype(np.int32)
-            row = np.full(capacity, end_id, "<u2")
-            row[: edges[-1]] = np.concatenate([tokens[i] for i in items])
-            rows.append((first + k, int(edges[-1]), row.tobytes(), edges, edges[:-1], [docs_of[i] for i in items], [starts[i] for i in items]))
-            if len(rows) == 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    capacity = len(counts) - 1
+    tree = CapacityTree(capacity)
+    for n in range(capacity, 0, -1):
+        left = int(counts[n])
+        while left:
+            room = tree.tightest(n)
+            bins, parts = tree.take(room) if room >= 0 else (left, [])
+            per = (room if room >= 0 else capacity) // n
+            whole = min(bins, left // per)
+            rest = left - whole * per if whole < bins else 0
+            rest = min(rest, per)
+            for many, each in ((whole, per), (1, rest)):
+                if many and each:
+                    tree.add((room if room >= 0 else capacity) - each * n, (many, [*parts, (n, each)]))
+            if room >= 0 and bins > whole + (rest > 0):
+                tree.add(room, (bins - whole - (rest > 0), parts))
+            left -= whole * per + rest
+    return segments([g for room in sorted(tree.groups) for g in tree.groups[room]], capacity)
+
+
+def encode_cut(docs: DataFrame, capacity: int, end_id: int, id_col: str, text_col: str, folder: str | None) -> DataFrame:
+    """(doc_id, start, length, ids): every document whole, ended by ``end_id``, in pieces of ``capacity`` but for the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_encoder(folder)
-        at, held, docs_of, starts, tokens = TaskContext.get().partitionId() << 33, 0, [], [], []
         for batch in batches:
             for part in text_slices(batch, "text"):
+                rows = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = np.array([*encode(text or ""), end_id], "<u2")
-                    for s in range(0, len(ids), capacity):
-                        docs_of.append(doc)
-                        starts.append(s)
-                        tokens.append(ids[s : s + capacity])
-                    held += len(ids)
-                    if held >= window_tokens:
-                        for out in packed(docs_of, starts, tokens, at):
-                            at += out.num_rows
-                            yield out
-                        held, docs_of, starts, tokens = 0, [], [], []
-        if tokens:
-            yield from packed(docs_of, starts, tokens, at)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), SCHEMA)
-
-
-def write_packed(packed: DataFrame, path: str) -> None:
-    """Write packed sequences as Parquet, the id matrix as one fixed-length binary column."""
+                    rows += [(doc, s, min(capacity, len(ids) - s), ids[s : s + capacity].tobytes()) for s in range(0, len(ids), capacity)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "length", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, start long, length long, ids binary")
+
+
+def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Packed sequences, a row each: a row of the id matrix and how to take it apart.
+
+    (sequence_id, n_tokens, ids, cu_seqlens, position_resets, doc_ids, starts). ``ids`` is
+    ``capacity`` little-endian unsigned 16-bit ids, filled up with ``end_id``; segment k is
+    ids[cu_seqlens[k]:cu_seqlens[k + 1]] and holds the tokens of document doc_ids[k] from
+    starts[k] on; position ids restart at 0 at each of position_resets. Sequences are numbered
+    from 0 without gaps; how many there are, and how full, does not depend on partitions.
+
+    Every row of ``docs`` is encoded whole and ended by ``end_id`` (null and empty texts: only
+    that), so each has at least one segment, repeated rows and null ids included. Pieces of one
+    length go by doc_id, start and ids. Other columns do not matter, whatever their names. An
+    empty table gives an empty result.
+    """
+    arrow_limits(docs.sparkSession)
+    pieces = encode_cut(docs, capacity, end_id, id_col, text_col, folder)
+    placed = best_fit_placements(pieces, capacity, tie_cols=("doc_id", "start", "ids"), plan=plan_decreasing)
+    # at most ``capacity`` pieces a sequence, and as many ids
+    rows = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids"))).alias("s"))
+    fill = "".join(f"{b:02X}" for b in int(end_id).to_bytes(2, "little"))
+    return rows.selectExpr(
+        "sequence_id",
+        "int(s[size(s) - 1].offset + s[size(s) - 1].length) as n_tokens",
+        f"rpad(aggregate(s, X'', (a, x) -> concat(a, x.ids)), {2 * capacity}, X'{fill}') as ids",
+        "concat(array(0), transform(s, x -> int(x.offset + x.length))) as cu_seqlens",
+        "transform(s, x -> int(x.offset)) as position_resets",
+        "s.doc_id as doc_ids",
+        "s.start as starts",
+    )
+
+
+def write_packed(packed: DataFrame, path: str) -> DataFrame:
+    """Write packed sequences as Parquet, a matrix row, its lengths and resets a record; returns what was written."""
     packed.write.option("compression", "zstd").parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def unpack_documents(packed: DataFrame) -> DataFrame:

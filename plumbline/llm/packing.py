@@ -10,16 +10,16 @@ executors then look each piece up by its length and its rank among pieces of tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, materialize, settled, text_slices
-from plumbline.llm.vocabulary import TOKENIZER_FOLDER, byte_encoder
+from plumbline.llm.tables import arrow_limits, free_names, materialize, settled, text_slices
+from plumbline.llm.vocabulary import byte_encoder
 
 END_ID = 0
 
@@ -30,12 +30,13 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, capacity) for s in range(head, n, capacity))]
 
 
-def encode_pieces(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZER_FOLDER) -> DataFrame:
+def encode_pieces(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids) with ids as little-endian unsigned 32-bit values.
 
-    Every row of ``docs`` is encoded whole and ended by id 0 (null text: only that id).
-    Documents over ``capacity`` ids are cut so that all pieces but the first are full.
-    Repeated rows give repeated pieces.
+    Every row of ``docs`` is encoded whole and ended by id 0 (null and empty texts: only that
+    id). Documents over ``capacity`` ids are cut so that all pieces but the first are full.
+    Repeated rows give repeated pieces; a null doc_id stays null; other columns are left out; an
+    empty table gives an empty result. ``folder`` holds the tokenizer's files (None: the installed ones).
     """
     arrow_limits(docs.sparkSession)
 
@@ -94,9 +95,7 @@ def plan_bins(counts: np.ndarray) -> np.ndarray:
     gaps: dict[int, list[list]] = {}
     for g in groups:
         gaps.setdefault(g[0], []).append(g)
-    done: list[list] = []
     open_gaps = sorted(gaps)
-    from bisect import bisect_left, insort
 
     def put(g: list) -> None:
         if g[0] not in gaps or not gaps[g[0]]:
@@ -131,9 +130,13 @@ def plan_bins(counts: np.ndarray) -> np.ndarray:
             if g[1] - whole - (rest > 0):
                 put([gap, g[1] - whole - (rest > 0), g[2]])
             left[short] -= whole * per + rest
-    done = [g for at in sorted(gaps) for g in gaps[at]]
+    return segments([g[1:] for at in sorted(gaps) for g in gaps[at]], capacity)
+
+
+def segments(groups: list, capacity: int) -> np.ndarray:
+    """Groups of equal bins, (bins, [(length, per bin), ...]) -> rows (length, first rank, bin, per bin, offset)."""
     rank, out, bin_no = np.zeros(capacity + 1, np.int64), [], 0
-    for _, bins, parts in done:
+    for bins, parts in groups:
         offset = 0
         for length, per in parts:
             out.append((length, rank[length], bin_no, per, offset))
@@ -143,44 +146,47 @@ def plan_bins(counts: np.ndarray) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def best_fit_placements(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", tie_cols: tuple = ("doc_id", "piece"), spread: int = 0) -> DataFrame:
+def best_fit_placements(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", tie_cols: tuple = ("doc_id", "piece"), spread: int = 0, plan: Callable[[np.ndarray], np.ndarray] = plan_bins) -> DataFrame:
     """``pieces`` with sequence_id and offset: one packing of the whole table.
 
     Lengths must lie in 1..capacity, else ValueError. ``pieces`` is written once to the
     shared folder, so give the columns that are wanted only. ``spread`` salts a length's
     pieces (0: twice the shuffle partitions), so that a length with most rows is ranked by
-    many tasks. Repeated rows are packed once each; an empty table gives an empty result.
+    many tasks. ``tie_cols`` order pieces of one length; rows equal in them are interchangeable,
+    so they should tell apart all rows that differ. ``plan`` makes the packing from the counts
+    of lengths. Repeated rows are packed once each; columns named sequence_id and offset are
+    replaced, others may have any names; an empty table gives an empty result.
     """
     spark = pieces.sparkSession
     spread = spread or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = materialize(pieces.withColumn("_salt", F.pmod(F.xxhash64(*tie_cols), F.lit(spread)).cast("int")))
-    per_salt = table.groupBy(F.col(length_col).alias("_len"), "_salt").agg(F.count("*").alias("_n"))
-    per_salt = materialize(per_salt)
-    totals = per_salt.groupBy("_len").agg(F.sum("_n")).limit(capacity + 2).collect()
+    keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    salt, size, n, base, other, local, rank = free_names(keep, "salt", "size", "n", "base", "other", "local", "rank")
+    table = materialize(pieces.select(*keep, F.col(length_col).cast("long").alias(size), F.pmod(F.xxhash64(*tie_cols), F.lit(spread)).cast("int").alias(salt)))
+    per_salt = materialize(table.groupBy(size, salt).agg(F.count("*").alias(n)))
+    totals = per_salt.groupBy(size).agg(F.sum(n)).limit(capacity + 2).collect()
     if any(k is None or not 0 < k <= capacity for k, _ in totals):
         raise ValueError(f"a piece's length lies outside 1..{capacity}")
     counts = np.zeros(capacity + 1, np.int64)
-    for k, n in totals:
-        counts[k] = n
-    plan = plan_bins(counts)  # at most a few thousand rows for any corpus
-    lengths, firsts = np.searchsorted(plan[:, 0], np.arange(capacity + 2)), plan[:, 1].copy()
-    base = per_salt.select("_len", "_salt", (F.sum("_n").over(Window.partitionBy("_len").orderBy("_salt")) - F.col("_n")).alias("_base"))
-    ranked = table.withColumn("_local", F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*tie_cols)) - 1)
-    ranked = ranked.join(base, (F.col(length_col) == F.col("_len")) & (ranked["_salt"] == base["_salt"])).drop(base["_salt"])
-    keep = pieces.columns
+    for k, total in totals:
+        counts[k] = total
+    places = plan(counts)  # at most a few thousand rows for any corpus
+    lengths, firsts = np.searchsorted(places[:, 0], np.arange(capacity + 2)), places[:, 1].copy()
+    before = per_salt.select(size, F.col(salt).alias(other), (F.sum(n).over(Window.partitionBy(size).orderBy(salt)) - F.col(n)).alias(base))
+    ranked = table.withColumn(local, F.row_number().over(Window.partitionBy(size, salt).orderBy(*tie_cols)) - 1)
+    ranked = ranked.join(before.withColumnRenamed(size, n), (F.col(size) == F.col(n)) & (F.col(salt) == F.col(other)))
     schema = ranked.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch.column("_at").to_numpy(zero_copy_only=False)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
+            length = batch.column(size).to_numpy(zero_copy_only=False)
+            mine = batch.column(rank).to_numpy(zero_copy_only=False)
             at = np.zeros(len(length), np.int64)
             for k in np.unique(length):
                 a, b = lengths[k], lengths[k + 1]
-                mine = length == k
-                at[mine] = a + np.searchsorted(firsts[a:b], rank[mine], "right") - 1
-            _, first, bin_no, per, offset = plan[at].T
-            over = rank - first
+                here = length == k
+                at[here] = a + np.searchsorted(firsts[a:b], mine[here], "right") - 1
+            _, first, bin_no, per, offset = places[at].T
+            over = mine - first
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bin_no + over // per), pa.array(offset + over % per * length)], [*keep, "sequence_id", "offset"])
 
-    return ranked.select(*keep, F.col(length_col).cast("long").alias("_at"), (F.col("_base") + F.col("_local")).cast("long").alias("_rank")).mapInArrow(settled(place), schema)
+    return ranked.select(*keep, size, (F.col(base) + F.col(local)).cast("long").alias(rank)).mapInArrow(settled(place), schema)

@@ -10,31 +10,37 @@ from collections.abc import Callable
 
 import tiktoken
 
-TOKENIZER_FOLDER = "/opt/tokenizers"
 #: Fixed value: the pre-tokenisation pattern that belongs to the byte-level vocabulary.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with a run this long (no change between white space and other) go to the slower, run-safe encoder.
-LONG_RUN = 2000
+
+
+def file_path(name: str, folder: str | None = None) -> str:
+    """A tokenizer file: of ``folder``, else of the installed public ones."""
+    if folder is not None:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 @functools.lru_cache(maxsize=4)
-def _ranks(folder: str) -> tiktoken.Encoding:
-    with open(os.path.join(folder, "byte_bpe_50k.tiktoken"), "rb") as f:
+def _ranks(folder: str | None) -> tiktoken.Encoding:
+    with open(file_path("byte_bpe_50k.tiktoken", folder), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("byte_bpe_50k", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.lru_cache(maxsize=4)
-def offset_tokenizer(folder: str):
+def offset_tokenizer(folder: str | None = None):
     """The tokenizer file as it is, which reports offsets; an added token's string in a text gets that token's id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(os.path.join(folder, "byte_bpe_50k.json"))
+    return Tokenizer.from_file(file_path("byte_bpe_50k.json", folder))
 
 
 @functools.lru_cache(maxsize=4)
-def literal_tokenizer(folder: str):
+def literal_tokenizer(folder: str | None = None):
     """The same vocabulary; control strings in texts are ordinary text."""
     from tokenizers import Tokenizer
 
@@ -44,13 +50,13 @@ def literal_tokenizer(folder: str):
 
 
 @functools.lru_cache(maxsize=4)
-def _added(folder: str) -> tuple[str, ...]:
+def _added(folder: str | None) -> tuple[str, ...]:
     """The strings of the file's added tokens."""
-    with open(os.path.join(folder, "byte_bpe_50k.json"), encoding="utf-8") as f:
+    with open(file_path("byte_bpe_50k.json", folder), encoding="utf-8") as f:
         return tuple(x["content"] for x in json.load(f)["added_tokens"])
 
 
-def byte_encoder(folder: str = TOKENIZER_FOLDER) -> Callable[[str], list[int]]:
+def byte_encoder(folder: str | None = None) -> Callable[[str], list[int]]:
     """text -> ids of byte_bpe_50k, equal to the tokenizer file's own with add_special_tokens=False."""
     fast, added = _ranks(folder).encode_ordinary, _added(folder)
 
@@ -59,8 +65,8 @@ def byte_encoder(folder: str = TOKENIZER_FOLDER) -> Callable[[str], list[int]]:
             return offset_tokenizer(folder).encode(text, add_special_tokens=False).ids
         try:
             return fast(text)
-        except BaseException as e:  # the regular expression's stack on an endless run of white space
-            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+        except BaseException as e:  # an endless run of white space overflows the stack of its regular expression
+            if type(e).__name__ != "PanicException":
                 raise
             return offset_tokenizer(folder).encode(text, add_special_tokens=False).ids
 
