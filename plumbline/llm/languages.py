@@ -15,14 +15,19 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.tables import arrow_limits, materialize, settled, text_slices
+from plumbline.llm.urls import host_of
 
 BUCKETS = 1 << 16
-#: At most so many labelled documents (those with the least hash of their id) train the model.
-MAX_TRAIN = 4000
+#: At most so many labelled documents of each language (those with the least hash of their id) train the model.
+MAX_TRAIN = 1000
+#: A column with more languages than this is not one of languages.
+MAX_LANGUAGES = 500
+#: A 3-gram's log-likelihood if all buckets were alike. Texts that no language explains better are in none of them.
+NO_LANGUAGE = -float(np.log(BUCKETS))
 #: Neighbouring 3-grams are not independent: a text counts as so many at most.
 MAX_EVIDENCE = 60
 MIN_GRAMS = 3
@@ -62,10 +67,19 @@ class LanguageModel:
 
 
 def train_languages(docs: DataFrame, max_docs: int = MAX_TRAIN) -> LanguageModel:
-    """A model from documents with ``lang``. Without any, it knows no language."""
+    """A model from documents with ``lang``, up to ``max_docs`` of each language, so that rare ones are known too.
+
+    Documents without id, lang or text do not train; without any other, the model knows no
+    language. Over MAX_LANGUAGES languages: ValueError.
+    """
     arrow_limits(docs.sparkSession)
-    ids = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
-    chosen = docs.join(F.broadcast(ids), "doc_id").where("lang is not null").select("lang", "text")
+    named = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text")
+    if named.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # the limit on a rank is applied before the shuffle too, so a hot language stays small
+    ids = named.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= max_docs).select("doc_id", "lang").distinct()
+    chosen = named.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -96,18 +110,31 @@ def html_text(html: str):
     return F.regexp_replace(bare, r"&#?\w{1,8};", " ")
 
 
+def page_records(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text, host, suffix, declared) of raw pages (url, html): what ``identify`` takes."""
+    host = host_of(F.col("url"))
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([^\"'\s>]*)", 1)
+    return pages.select(*keys, html_text("html").alias("text"), host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"), declared.alias("declared"))
+
+
 def identify(records: DataFrame, model: LanguageModel, keys: list[str], languages: list[str] | None = None, carry_text: bool = False, sure: float = 0.5, host_weight: float = 20.0, suffix_weight: float = 50.0, honest: float = 0.9) -> DataFrame:
-    """``keys`` (and, with ``carry_text``, text) of every record, with lang, posterior, text_lang and kept.
+    """``keys`` (and, with ``carry_text``, text) of every record, with lang, posterior, text_lang and kept (keys so named give way).
 
     ``records`` has the key columns, text, host, suffix and declared; any may be null. A
-    text with under MIN_GRAMS 3-grams (null and empty ones) is ``und`` with posterior null
-    and is not kept, whatever its page declares. Others are kept when their language is one
-    of ``languages`` (default: all known) with a posterior of ``sure`` at least. Ties take the first
-    language by name. Counts per host and suffix are sums that combine before the shuffle.
+    text with under MIN_GRAMS 3-grams (null and empty ones), or one that no known language
+    explains better than NO_LANGUAGE, is ``und`` with posterior null and is not kept, whatever
+    its page declares. Others are kept when their language is one of ``languages`` (default: all
+    known) with a posterior of ``sure`` at least. Ties take the first language by name. Repeated
+    rows are told each, and counted each; other columns do not matter, whatever their names; an
+    empty table gives an empty result. Counts per host and suffix are sums that combine before
+    the shuffle.
     """
     known, n = model.languages, len(model.languages)
     means = [f"m{i}" for i in range(n)]
-    base = records.select(*keys, "text", F.coalesce(F.lower("host"), F.lit("")).alias("host"), F.coalesce(F.lower("suffix"), F.lit("")).alias("suffix"), F.lower("declared").alias("declared"))
+    named = [k for k in keys if k.lower() not in ("lang", "posterior", "text_lang", "kept")]
+    keys = [f"k{i}" for i in range(len(named))]
+    # inside, only names of our own
+    base = records.select(*(F.col(c).alias(k) for c, k in zip(named, keys)), "text", F.coalesce(F.lower("host"), F.lit("")).alias("host"), F.coalesce(F.lower("suffix"), F.lit("")).alias("suffix"), F.lower("declared").alias("declared"))
     carried = [c for c in base.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*carried).schema) + ", grams long" + "".join(f", {m} double" for m in means)
 
@@ -119,16 +146,17 @@ def identify(records: DataFrame, model: LanguageModel, keys: list[str], language
 
     arrow_limits(records.sparkSession)
     if carry_text:
-        keys = [*keys, "text"]
+        keys, named = [*keys, "text"], [*named, "text"]
         carried, schema = [*carried, "text"], "`text` string, " + schema
         carried = ["text", *carried[:-1]]
     scored = base.mapInArrow(settled(run), schema)
+    ours = [F.col(k).alias(c) for c, k in zip(named, keys)]
     if not n:
-        return scored.select(*keys, F.lit("und").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit("und").alias("text_lang"), F.lit(False).alias("kept"))
+        return scored.select(*ours, F.lit("und").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit("und").alias("text_lang"), F.lit(False).alias("kept"))
     scored = materialize(scored)
     best = F.greatest(*means) if n > 1 else F.col(means[0])
     first = functools.reduce(lambda rest, i: F.when(F.col(means[i]) == best, F.lit(i)).otherwise(rest), reversed(range(n)), F.lit(None).cast("int"))
-    scored = scored.withColumn("first", F.when(F.col("grams") >= MIN_GRAMS, first))
+    scored = scored.withColumn("first", F.when((F.col("grams") >= MIN_GRAMS) & (best >= NO_LANGUAGE - 1e-9), first))
     hosts = materialize(scored.groupBy("host", "suffix").agg(*(F.count(F.when(F.col("first") == i, 1)).alias(f"h{i}") for i in range(n))))
     suffixes = hosts.groupBy("suffix").agg(*(F.sum(f"h{i}").alias(f"s{i}") for i in range(n)))
     whole = [(x or 0) + 1.0 for x in hosts.agg(*(F.sum(f"h{i}") for i in range(n))).first()]
@@ -136,7 +164,7 @@ def identify(records: DataFrame, model: LanguageModel, keys: list[str], language
     smooth = lambda count, total, weight, up: (F.col(count) + weight * up) / (total + weight)
     of_hosts, of_suffixes = (functools.reduce(add, (F.col(f"{c}{i}") for i in range(n))) for c in "hs")
     priors = hosts.join(suffixes, "suffix").select("host", "suffix", *(F.log(smooth(f"h{i}", of_hosts, host_weight, smooth(f"s{i}", of_suffixes, suffix_weight, F.lit(share[i])))).alias(f"p{i}") for i in range(n)))
-    joined = scored.join(priors, ["host", "suffix"])
+    joined = scored.join(materialize(priors), ["host", "suffix"])  # written first, so that a hot host can be split
     spread = F.lit(np.log((1 - honest) / max(n - 1, 1)).item())
     said = [F.when(F.substring_index("declared", "-", 1).isin(known), F.when(F.substring_index("declared", "-", 1) == x, F.lit(float(np.log(honest)))).otherwise(spread)).otherwise(0.0) for x in known]
     logs = joined.select(*keys, "first", *((F.col(f"p{i}") + said[i] + F.col(means[i]) * F.least("grams", F.lit(MAX_EVIDENCE))).alias(f"l{i}") for i in range(n)))
@@ -144,5 +172,5 @@ def identify(records: DataFrame, model: LanguageModel, keys: list[str], language
     lang = functools.reduce(lambda rest, i: F.when(F.col(f"l{i}") == F.col("top"), F.lit(known[i])).otherwise(rest), reversed(range(n)), F.lit("und"))
     text_lang = functools.reduce(lambda rest, i: F.when(F.col("first") == i, F.lit(known[i])).otherwise(rest), range(n), F.lit("und"))
     total = functools.reduce(add, (F.exp(F.col(f"l{i}") - F.col("top")) for i in range(n)))
-    out = logs.withColumn("top", top).select(*keys, F.when(F.col("first").isNull(), F.lit("und")).otherwise(lang).alias("lang"), F.when(F.col("first").isNotNull(), 1 / total).alias("posterior"), text_lang.alias("text_lang"))
+    out = logs.withColumn("top", top).select(*ours, F.when(F.col("first").isNull(), F.lit("und")).otherwise(lang).alias("lang"), F.when(F.col("first").isNotNull(), 1 / total).alias("posterior"), text_lang.alias("text_lang"))
     return out.withColumn("kept", F.coalesce(F.col("lang").isin(languages if languages is not None else known) & (F.col("posterior") >= sure), F.lit(False)))
