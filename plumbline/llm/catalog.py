@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import binary, chat, embeddings, languages, packing, pieces, quality, simhash, substrings, urls
+from plumbline.llm import binary, chat, embeddings, languages, packing, pieces, quality, simhash, substrings, tables, urls
 from plumbline.llm.sql import SQL
 
 #: Fixed value: the conversation that the formatting contract adds.
 AWKWARD = r"\### Assistant: </turn> ok"
-#: A dated list for the pages' hosts: (domain, action, date).
+#: Names of spam sites under the pages' three domains.
+SPAM = ["casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"]
+#: A dated list for the pages' hosts: (domain, action, date). Spam sites are blocked, with one
+#: branch allowed for a while and one for good; the rest has changes of every kind at several depths.
 URL_LIST = [
     ("example.net", "block", "2024-02-01"),
     ("example.net", "remove", "2024-08-15"),
@@ -28,6 +31,12 @@ URL_LIST = [
     ("ththth.example.org", "block", "2024-01-01"),
     ("blog.ththth.example.org", "allow", "2024-03-01"),
     ("org", "block", "2024-12-01"),
+    *(
+        (f"{branch}{site}.example.{top}", action, date)
+        for site in SPAM
+        for top in ("com", "net", "org")
+        for branch, action, date in (("", "block", "2024-01-10"), ("m.", "allow", "2024-04-01"), ("m.", "remove", "2024-07-01"), ("www.", "allow", "2024-10-01"))
+    ),
 ]
 
 
@@ -62,16 +71,15 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", AWKWARD), (-7, 1, "assistant", AWKWARD)], "conv_id long, turn long, role string, text string")
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.chat_digests(chat.format_chats(chats))
+    return chat.chat_digests(chat.format_chats(chats)).drop("n_tokens", "n_loss_tokens")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (their source is the host) and pages (host, suffix and markup of their own)."""
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
     none = F.lit(None).cast("string")
-    host = F.regexp_extract(F.lower("url"), urls.HOST, 1)
     records = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("source").alias("host"), none.alias("suffix"), none.alias("declared")).unionByName(
-        pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", languages.html_text("html").alias("text"), host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"), F.regexp_extract("html", r"(?i)<html[^>]*\blang=\"([^\"]*)\"", 1).alias("declared"))
+        languages.page_records(pages, ["page_id"]).withColumn("doc_id", F.lit(None).cast("long"))
     )
     return languages.identify(records, languages.train_languages(docs), ["doc_id", "page_id"])
 
@@ -79,7 +87,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = packing.encode_pieces(_table(spark, sf_dir, "documents"))
     digests = coded.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.best_fit_placements(digests)
+    return packing.best_fit_placements(digests, tie_cols=("doc_id", "piece", "start", "ids_crc32"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +99,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary.pack_token_ids(_table(spark, sf_dir, "documents"))
+    """Written to the shared folder, and read back."""
+    packed = binary.pack_token_ids(_table(spark, sf_dir, "documents"))
+    written = binary.write_packed(packed, tables.new_table(spark))
+    tables.release(packed)
+    return written
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

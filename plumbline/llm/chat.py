@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.tables import arrow_limits, settled
-from plumbline.llm.vocabulary import TOKENIZER_FOLDER, literal_tokenizer
+from plumbline.llm.vocabulary import literal_tokenizer
 
 _TURN = re.compile(r"<((?:\\.|[^\\>])*)>\n((?:\\.|[^\\<])*)</turn>\n", re.S)
 
@@ -67,17 +67,22 @@ def intersect(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]
     return mask, covered
 
 
-def format_chats(chats: DataFrame, learn: str = "assistant", folder: str = TOKENIZER_FOLDER) -> DataFrame:
+def format_chats(chats: DataFrame, learn: str = "assistant", folder: str | None = None) -> DataFrame:
     """(conv_id, n_turns, formatted, ids, starts, ends, loss_mask, loss_spans), one row per conv_id.
 
     ``chats`` has conv_id, turn, role and text, a row per turn; turns go by turn, then role,
     then text, null first, and repeated rows stay repeated turns. Null roles and texts are
-    empty. Rows without conv_id form one conversation without an id. A conversation is one
-    row of output and so must fit in a task; no other grouping is made.
+    empty. A row without conv_id belongs to no other: it is a conversation of one turn, and
+    such rows are never gathered. Other columns do not matter, whatever their names; an empty
+    table gives an empty result. A conversation is one row of output and so must fit in a task;
+    no other grouping is made.
     """
     arrow_limits(chats.sparkSession)
-    own = chats.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    grouped = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = chats.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    known = own.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    lone = own.where("conv_id is null").select("conv_id", F.array("t").alias("turns"))
+    grouped = known.unionByName(lone).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
     schema = "conv_id long, n_turns long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss_mask array<tinyint>, loss_spans array<struct<start:int,end:int>>"
     kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int8()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
     names = [x.split()[0] for x in re.split(r", (?=\w+ )", schema)]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.tables import arrow_limits, settled, text_slices
-from plumbline.llm.vocabulary import TOKENIZER_FOLDER
+from plumbline.llm.vocabulary import file_path
 
 MARK = "▁"
 #: Encoded words a Python worker remembers between batches.
@@ -184,8 +184,14 @@ def load_model(path: str) -> PieceModel:
     return PieceModel(pieces, byte_ids, p.unk_id(), spec.trainer_spec.model_type == proto.TrainerSpec.UNIGRAM)
 
 
-def encode_pieces(docs: DataFrame, path: str = f"{TOKENIZER_FOLDER}/piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, ids) for every row: whole texts, no shuffle. Null and empty texts have no ids."""
+def encode_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, ids) for every row: whole texts, no shuffle.
+
+    Null and empty texts have no ids; a null doc_id stays null; repeated rows are encoded each;
+    other columns are left out; an empty table gives an empty result. ``path``: the model file
+    (None: the installed public one).
+    """
+    path = path or file_path("piece_bpe_32k.model")
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +205,15 @@ def encode_pieces(docs: DataFrame, path: str = f"{TOKENIZER_FOLDER}/piece_bpe_32
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, text string, ids array<int>")
 
 
-def decode_pieces(encoded: DataFrame, path: str = f"{TOKENIZER_FOLDER}/piece_bpe_32k.model") -> DataFrame:
-    """``encoded`` with ``decoded``, the text that its ids spell (null ids: empty)."""
+def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``encoded`` with ``decoded``, the text that its ids spell (null ids: empty).
+
+    A column of that name, in any case of letters, is replaced; an empty table gives an empty result.
+    """
+    path = path or file_path("piece_bpe_32k.model")
+    names = [c for c in encoded.columns if c.lower() != "decoded"]
+    encoded = encoded.select(*names)
     schema = encoded.withColumn("decoded", F.lit("")).schema
-    names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(path)

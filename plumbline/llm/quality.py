@@ -118,7 +118,7 @@ def table_size(docs: DataFrame, trusted: DataFrame) -> int:
                 grams += int((2 * n - (n > 0)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([grams])], ["grams"])
 
-    grams = docs.join(F.broadcast(trusted.select("doc_id")), "doc_id").select("text").mapInArrow(settled(run), "grams long").agg(F.sum("grams")).first()[0]
+    grams = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id")), "doc_id").select("text").mapInArrow(settled(run), "grams long").agg(F.sum("grams")).first()[0]
     return max(BUCKETS, -(-(grams or 0) // PER_BUCKET))
 
 
@@ -129,7 +129,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     2 * buckets numbers reach the driver. ``trusted`` has MAX_TRUSTED ids at most, which
     bounds its broadcast.
     """
-    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left").select("text", "good")
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left").select("text", "good")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
@@ -173,19 +173,21 @@ def log_ratio(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
 def quality_signals(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, carry: tuple = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ratio, base_failed, kept).
 
-    One row per row of ``docs``; ``carry`` names further columns to pass through. Null and
-    empty texts have no words: base_failed, not kept, log_ratio 0. Ties in the threshold
-    are kept. Rows without doc_id are scored like others but are never trusted. Repeated
-    labels count once. Without ``buckets`` the table's size follows from the trusted texts.
+    One row per row of ``docs``, repeated rows included; ``carry`` names further columns to
+    pass through, but for those that the result makes itself. Other columns do not matter,
+    whatever their names. Null and empty texts have no words: base_failed, not kept, log_ratio
+    0. Ties in the threshold are kept. Rows without doc_id are scored like others but are never
+    trusted. Repeated labels count once. Without ``buckets`` the table's size follows from the
+    trusted texts. An empty table gives an empty result; without trusted texts every ratio is 0.
     """
     arrow_limits(docs.sparkSession)
     trusted = trusted_ids(labels, max_trusted)
     buckets = buckets or table_size(docs, trusted)
     weights = log_ratio(ngram_counts(docs, trusted, buckets))
-    rest = [c for c in carry if c not in ("doc_id", "text")]
-    source = docs.select("doc_id", "text", *rest)
     own = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ratio double, base_failed boolean, kept boolean"
     names = [x.split()[0] for x in own.split(", ")]
+    rest = [c for c in carry if c.lower() not in ("doc_id", "text", *names)]
+    source = docs.select("doc_id", "text", *rest)
     passed = source.select("doc_id", *(["text"] if "text" in carry else []), *rest)
     passing = passed.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema.fields) + ", " + own

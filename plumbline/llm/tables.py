@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-from plumbline.scratch import materialize, release, shared_folder  # noqa: F401
+from plumbline.scratch import materialize, new_table, release  # noqa: F401
 
 #: Text bytes that one vectorised step handles at once; keeps a Python worker's memory flat.
 CHUNK_BYTES = 4 << 20

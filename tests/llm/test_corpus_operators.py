@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import binary, catalog, chat, embeddings, languages, packing, pieces, quality, simhash, substrings, urls
 from plumbline.llm.components import connected_components
-from plumbline.llm.vocabulary import TOKENIZER_FOLDER, offset_tokenizer
+from plumbline.llm.vocabulary import file_path, offset_tokenizer
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,7 +30,7 @@ def docs(spark):
     rows = [(i, t, "en", "hot" if i % 3 else "s", 1) for i, t in enumerate(AWKWARD)]
     rows += [(100 + i, t, "de", None, None) for i, t in enumerate(AWKWARD)]  # copies
     rows += [(3, "one", "en", "hot", 3), (None, PASSAGE, None, None, None), (None, None, None, None, None)]
-    extra = spark.createDataFrame(rows, DOC).selectExpr("*", "1 as text_key", "2 as anchor", "3 as length", "'x' as kept_text")
+    extra = spark.createDataFrame(rows, DOC).selectExpr("*", "1 as text_key", "2 as anchor", "3 as length", "'x' as kept_text", "true as good", "4 as grams", "5 as m0", "6 as fp", "7 as ids", "8 as Kept", "9 as start", "10 as sequence_id")
     return extra.repartition(3)
 
 
@@ -89,6 +89,36 @@ def test_quality_ratio_by_hand(spark):
     assert weights[a] == pytest.approx(np.log((2 / 5) / (2 / 8)), abs=0.01)
 
 
+def test_quality_ratio_brute_force(docs, table, spark):
+    labels = spark.createDataFrame([(6, 1, 0), (6, 1, 0), (7, 1, 0), (9, 0, 0), (None, 1, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ x >> 33) * k) & mask
+        return x ^ x >> 33
+
+    def grams(text, buckets):
+        h = [xxhash.xxh3_64_intdigest(w) for w in words(text)]
+        return [x % buckets for x in [*h, *(mix((a * 0x9E3779B97F4A7C15 + b) & mask) for a, b in zip(h, h[1:]))]]
+
+    for source, buckets in ((docs, 1000), (table, quality.BUCKETS)):
+        rows = source.collect()
+        raw, good = np.zeros(buckets), np.zeros(buckets)
+        for r in rows:
+            np.add.at(raw, grams(r.text, buckets), 1)
+            if r.doc_id in (6, 7):
+                np.add.at(good, grams(r.text, buckets), 1)
+        weights = np.log((good + 1) / (raw * good.sum() / raw.sum() + 1))
+        want = []
+        for r in rows:
+            at = grams(r.text, buckets)
+            score = round(float(weights[at].mean()) if at else 0.0, 6)
+            want.append((r.doc_id, score, not base_signals(r.text)[-1] and score >= quality.THRESHOLD))
+        got = quality.quality_signals(source, labels, buckets=None if source is table else buckets).select("doc_id", F.round("log_ratio", 6), "kept").collect()
+        assert as_key(map(tuple, got)) == as_key(want)
+
+
 def test_quality_keeps_good_and_drops_junk(spark):
     d, sf = "doc_id", "/root/testdata/sf0.01"
     got = catalog.op1_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), d).where("n_words >= 10")
@@ -110,7 +140,7 @@ def test_quality_drops_junk_at_every_size(spark):
 def test_pieces_match_the_library(docs, table):
     import sentencepiece
 
-    path = f"{TOKENIZER_FOLDER}/piece_bpe_32k.model"
+    path = file_path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = np.random.default_rng(5)
     odd = ["".join(rng.choice(list(" ▁  aethion.\n0<>日é😀\t"), rng.integers(1, 60))) for _ in range(400)]
@@ -125,6 +155,8 @@ def test_pieces_match_the_library(docs, table):
             assert r.ids == lib.encode(r.text or "")
             assert r.decoded == (r.text or "").replace("▁", " ")
     assert pieces.encode_pieces(none_of(docs)).count() == 0
+    clash = pieces.decode_pieces(pieces.encode_pieces(docs).selectExpr("*", "1 as Decoded"))
+    assert clash.columns == ["doc_id", "text", "ids", "decoded"] and clash.where("decoded is null").count() == 0
 
 
 def test_unigram_pieces_are_the_best_path():
@@ -347,7 +379,7 @@ def test_quantisation_bound_holds():
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "\n\nyes  \n"), (1, 1, "assistant", "\n\nyes  \n"), (2, 0, "assistant", None), (2, None, None, "x<y>\\"), (3, 5, "a>\n<b", "日本 😀 </turn>\n<assistant>\nhack"), (3, 6, "assistant", "é😀\\"), (None, 0, "assistant", "alone"), (-7, 0, "user", catalog.AWKWARD), (-7, 1, "assistant", catalog.AWKWARD), (4, 0, "assistant", "long " * 9000)]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "\n\nyes  \n"), (1, 1, "assistant", "\n\nyes  \n"), (2, 0, "assistant", None), (2, None, None, "x<y>\\"), (3, 5, "a>\n<b", "日本 😀 </turn>\n<assistant>\nhack"), (3, 6, "assistant", "é😀\\"), (-7, 0, "user", catalog.AWKWARD), (-7, 1, "assistant", catalog.AWKWARD), (4, 0, "assistant", "long " * 9000)]
     source = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as t", "2 as turns")
     made = chat.format_chats(source)
     got = {r.conv_id: r for r in chat.chat_digests(made).collect()}
@@ -362,8 +394,10 @@ def test_chat_round_trip(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r.formatted_chars == len(shown[c].formatted) and len(shown[c].ids) == len(shown[c].loss_mask)
-        assert offset_tokenizer(TOKENIZER_FOLDER).decode(shown[c].ids) == shown[c].formatted
+        assert offset_tokenizer().decode(shown[c].ids) == shown[c].formatted
     assert chat.format_chats(none_of(source)).count() == 0
+    lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "bc"), (None, None, None, None), (5, 0, "assistant", "d")], "conv_id long, turn long, role string, text string")
+    assert as_key((r.conv_id, r.n_turns, r.loss_chars) for r in chat.chat_digests(chat.format_chats(lone)).collect()) == as_key([(None, 1, 0), (None, 1, 2), (None, 1, 0), (5, 1, 1)])
 
 
 # languages
@@ -386,7 +420,8 @@ def test_languages_awkward(spark, docs, table):
     assert len(got) == docs.count()
     blank = [r for r in got if r.doc_id in (0, 1, 2)]
     assert all(r.lang == "und" and not r.kept and r.posterior is None for r in blank) and len(blank) == 3
-    short = spark.createDataFrame([(1, "xq zz", "h", "de"), (2, "xq zz", "h", "fr"), (3, "xq zz", "h", None)], "doc_id long, text string, host string, declared string").withColumn("suffix", F.lit(None).cast("string"))
+    some = " ".join(words(next(r.text for r in table.collect() if r.lang == "en" and len(words(r.text)) > 9))[:2])
+    short = spark.createDataFrame([(1, some, "h", "de"), (2, some, "h", "fr"), (3, some, "h", None)], "doc_id long, text string, host string, declared string").withColumn("suffix", F.lit(None).cast("string"))
     said = {r.doc_id: r for r in languages.identify(short, model, ["doc_id"]).collect()}
     assert said[1].posterior != said[2].posterior
     assert languages.identify(none_of(rows), model, ["doc_id"]).count() == 0
@@ -406,11 +441,78 @@ def test_language_evidence_by_hand(spark):
     assert got[1].posterior == pytest.approx(max(odds, 1) / (1 + odds))
 
 
+def plain_grams(text):
+    """Hashed 3-grams by definition, from the letters and marks of a text."""
+    import regex
+
+    body = " ".join(regex.findall(r"[\p{L}\p{M}]+", (text or "").lower()))
+    data = f" {body} ".encode() if body else b""
+    return [((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 16 for a, b, c in zip(data, data[1:], data[2:])]
+
+
+def plain_languages(records, model, host_weight=20.0, suffix_weight=50.0, honest=0.9):
+    """(key, lang, posterior, text_lang, kept) straight from the formula."""
+    n, told, hosts, suffixes, whole = len(model.languages), [], defaultdict(lambda: np.zeros(10)), defaultdict(lambda: np.zeros(10)), np.ones(10)
+    for key, text, host, suffix, declared in records:
+        g, host, suffix = plain_grams(text), (host or "").lower(), (suffix or "").lower()
+        mean = np.array([np.mean(model.logs[k][g]) if g else 0.0 for k in range(n)])
+        first = int(np.argmax(mean)) if len(g) >= languages.MIN_GRAMS and mean.max() >= languages.NO_LANGUAGE - 1e-9 else None
+        if first is not None:
+            for t in (hosts[host, suffix], suffixes[suffix], whole):
+                t[first] += 1
+        told.append((key, len(g), mean, first, host, suffix, (declared or "").lower().split("-")[0]))
+    out = []
+    for key, grams, mean, first, host, suffix, said in told:
+        if first is None:
+            out.append((key, "und", None, "und", False))
+            continue
+        up = whole[:n] / whole[:n].sum()
+        for counts, weight in ((suffixes[suffix][:n], suffix_weight), (hosts[host, suffix][:n], host_weight)):
+            up = (counts + weight * up) / (counts.sum() + weight)
+        markup = np.array([honest if x == said else (1 - honest) / (n - 1) for x in model.languages]) if said in model.languages else np.ones(n)
+        logs = np.log(up) + np.log(markup) + mean * min(grams, languages.MAX_EVIDENCE)
+        post = np.exp(logs - logs.max())
+        post /= post.sum()
+        best = int(np.argmax(logs))
+        out.append((key, model.languages[best], round(float(post[best]), 6), model.languages[first], bool(post[best] >= 0.5)))
+    return out
+
+
+def test_languages_brute_force(spark, docs, table):
+    model = languages.train_languages(table)
+    raw = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    raw += [(None, None, None), (-1, "HTTP://u@Ab.Example.DE.:80/x", "<HTML class=x lang='de-AT'><script>var x = '<p>';</script><!-- no --><p>Der&nbsp;Hund</p><style>a{}</style></html>"), (-2, "x.fr/y", "<html lang=fr>le chien\net le chat"), (-3, "http://h", "Привет мир и всем добрый день")]
+    raw += raw[:3]
+    pages = spark.createDataFrame(raw, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as first")
+
+    def fields(page):
+        key, url, html = page
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html or "")
+        m = re.match(r"(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", url or "") or re.match(r"([^/]+\.[^/]+)", url or "")
+        host = m[1].lower().rstrip(".") if m else None
+        said = re.search(r"(?i)<html[^>]*\blang\s*=\s*[\"']?([^\"'\s>]*)", html or "")
+        return key, re.sub(r"&#?\w{1,8};", " ", text), host, host and host.rsplit(".", 1)[-1], said and said[1]
+
+    made = languages.page_records(pages, ["page_id"])
+    got = languages.identify(made, model, ["page_id"]).select("page_id", "lang", F.round("posterior", 6), "text_lang", "kept").collect()
+    assert as_key(map(tuple, got)) == as_key(plain_languages(map(fields, raw), model))
+    assert {r.lang for r in got if r.page_id == -3} == {"und"}
+    rows = docs.select("doc_id", "text", F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), "lang").withColumnRenamed("lang", "declared").withColumn("m0", F.col("doc_id"))
+    got = languages.identify(rows, model, ["doc_id", "m0"]).select("doc_id", "lang", F.round("posterior", 6), "text_lang", "kept").collect()
+    assert as_key(map(tuple, got)) == as_key(plain_languages([(r.doc_id, r.text, r.host, None, r.declared) for r in rows.collect()], model))
+
+
+def test_rare_languages_are_known(spark):
+    rows = [(i, "en", "the cat and the dog") for i in range(500)] + [(1000, "fi", "kissa ja koira juoksevat metsassa")]
+    model = languages.train_languages(spark.createDataFrame(rows, "doc_id long, lang string, text string"), max_docs=20)
+    assert model.languages == ["en", "fi"]
+
+
 # packing
 
 
 def test_placements(spark, docs, table):
-    tokenizer = offset_tokenizer(TOKENIZER_FOLDER)
+    tokenizer = offset_tokenizer()
     for source in (docs, table):
         coded = packing.encode_pieces(source)
         got = packing.best_fit_placements(coded.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("crc"))).collect()
@@ -433,14 +535,19 @@ def test_placements(spark, docs, table):
             assert at <= 2048
         assert len(bins) <= 1.02 * -(-total // 2048) + 1
     assert packing.best_fit_placements(none_of(packing.encode_pieces(docs)).drop("ids")).count() == 0
+    clash = spark.range(50).selectExpr("id as doc_id", "1 as piece", "id + 1 as length", "7 as salt", "8 as _salt", "'x' as Size", "9 as Sequence_ID", "10 as offset", "11 as base", "12 as rank", "13 as n")
+    got = packing.best_fit_placements(clash)
+    assert got.columns == ["doc_id", "piece", "length", "salt", "_salt", "Size", "base", "rank", "n", "sequence_id", "offset"]
+    assert as_key(map(tuple, got.drop("sequence_id", "offset").collect())) == as_key(map(tuple, clash.drop("Sequence_ID", "offset").collect()))
     with pytest.raises(ValueError):
         packing.best_fit_placements(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), 8)
 
 
 def test_added_tokens_get_their_ids(spark):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(f"{TOKENIZER_FOLDER}/byte_bpe_50k.json")
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext> |>", "<|endoftext|>" + " " * 5000 + "z"]
     got = packing.encode_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1 << 20).collect()
     ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got}
@@ -465,45 +572,63 @@ def test_plan_is_a_packing():
             assert len(fill) <= 11 / 9 * -(-lengths.sum() // capacity) + 4 or (lengths > capacity // 3).any()
 
 
-def test_token_binary_round_trip(docs, table):
-    tokenizer = offset_tokenizer(TOKENIZER_FOLDER)
-    for source, window in ((docs, 500), (table, 10**7)):
-        packed = binary.pack_token_ids(source, window_tokens=window)
+def test_token_binary_round_trip(spark, docs, table, tmp_path):
+    tokenizer = offset_tokenizer()
+    for source in (docs, table):
+        packed = binary.write_packed(binary.pack_token_ids(source), f"{tmp_path}/{source.count()}")
         rows = packed.collect()
-        assert len({r.sequence_id for r in rows}) == len(rows)
+        assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
         for r in rows:
             assert len(r.ids) == 4096 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and r.position_resets == r.cu_seqlens[:-1]
             assert set(np.frombuffer(r.ids, "<u2")[r.n_tokens :]) <= {binary.END_ID}
         back = defaultdict(list)
         for r in binary.unpack_documents(packed).collect():
             back[r.doc_id].append((r.start, tuple(r.ids)))
-        want = defaultdict(list)
+        want, lengths = defaultdict(list), []
         for r in source.collect():
             ids = (*tokenizer.encode(r.text or "", add_special_tokens=False).ids, binary.END_ID)
             want[r.doc_id] += [(s, ids[s : s + 2048]) for s in range(0, len(ids), 2048)]
+            lengths += [min(2048, len(ids) - s) for s in range(0, len(ids), 2048)]
         assert {k: as_key(v) for k, v in back.items()} == {k: as_key(v) for k, v in want.items()}
+        assert as_key(2048 - r.n_tokens for r in rows) == as_key(one_by_one(lengths, 2048))  # one packing of the whole table
+    other = binary.pack_token_ids(docs.repartition(7)).collect()
+    assert as_key(map(tuple, other)) == as_key(map(tuple, binary.pack_token_ids(docs).collect()))
     assert binary.pack_token_ids(none_of(docs)).count() == 0
 
 
-def test_capacity_tree_is_best_fit():
+def one_by_one(lengths, capacity):
+    """The rooms left by best-fit-decreasing, piece after piece."""
+    rooms = []
+    for n in sorted(map(int, lengths), reverse=True):
+        fit = [r for r in rooms if r >= n]
+        rooms.remove(min(fit)) if fit else None
+        rooms.append((min(fit) if fit else capacity) - n)
+    return rooms
+
+
+def test_plan_is_best_fit_decreasing():
     rng = np.random.default_rng(6)
-    for _ in range(40):
-        lengths = rng.integers(1, 65, 200)
-        bins, rooms = binary.best_fit_decreasing(lengths, 64), []
-        for n in sorted(lengths.tolist(), reverse=True):
-            fit = [r for r in rooms if r >= n]
-            rooms.remove(min(fit)) if fit else None
-            rooms.append((min(fit) if fit else 64) - n)
-        assert sorted(64 - sum(lengths[b]) for b in bins) == sorted(rooms)
+    for capacity in (1, 2, 7, 64):
+        for _ in range(30):
+            lengths = rng.integers(1, capacity + 1, rng.integers(0, 200))
+            plan = binary.plan_decreasing(np.bincount(lengths, minlength=capacity + 1))
+            fill = defaultdict(int)
+            for n in range(1, capacity + 1):
+                mine = plan[plan[:, 0] == n]
+                for rank in range(int((lengths == n).sum())):
+                    _, first, bin_no, per, offset = mine[np.searchsorted(mine[:, 1], rank, "right") - 1]
+                    fill[bin_no + (rank - first) // per] += n
+            assert sorted(capacity - x for x in fill.values()) == sorted(one_by_one(lengths, capacity))
 
 
 # URL filters
 
 
 def test_url_filters_by_hand(spark):
-    entries = spark.createDataFrame([("bad.com", "block", "2024-01-10"), ("bad.com", "remove", "2024-02-01"), ("ok.bad.com", "allow", "2024-01-20"), ("same.org", "allow", "2024-01-01"), ("same.org", "block", "2024-01-01"), (None, "block", "2024-01-01"), ("com", "odd", "2024-01-01"), ("bad.com", "block", None)], "domain string, action string, dated string")
+    entries = spark.createDataFrame([("bad.com", "block", "2024-01-10"), ("bad.com", "remove", "2024-02-01"), ("ok.bad.com", "allow", "2024-01-20"), ("same.org", "allow", "2024-01-01"), ("same.org", "block", "2024-01-01"), (None, "block", "2024-01-01"), ("com", "odd", "2024-01-01"), ("bad.com", "block", None), ("bad.com", "allow", "someday"), (" Dotted.NET. ", "block", "2024-01-01"), ("[2001:db8::1]", "block", "2024-01-01"), ("", "block", "2024-01-01")], "domain string, action string, dated string")
     rows = [("http://bad.com/x", "2024-01-09", True), ("http://bad.com/x", "2024-01-10", False), ("https://u@A.BAD.com:8/", "2024-01-31", False), ("https://ok.bad.com", "2024-01-19", False), ("https://ok.bad.com", "2024-01-20", True), ("http://bad.com/x", "2024-02-01", True), ("http://notbad.com", "2024-01-15", True), ("ftp://x.same.org/a?b", "2024-05-05", False), (None, "2024-01-15", True), ("", "2024-01-15", True), ("http://bad.com", None, True), ("http://bad.com/x", "2024-01-10", False)]
-    captures = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, url string, fetched string, want boolean").selectExpr("*", "1 as host", "2 as domain", "3 as starts")
+    rows += [("  http://bad.com./x", "2024-01-15", False), ("//bad.com/x", "2024-01-15", False), ("bad.com/x?y", "2024-01-15", False), ("a.bad.com:80", "2024-01-15", False), ("http://bad.com", "not a date", True), ("http://bad.com", "2024-13-45", True), ("http://x.dotted.net", "2024-02-02", False), ("https://[2001:DB8::1]:443/", "2024-02-02", False), ("https://[2001:db8::2]/", "2024-02-02", True), ("http:\\\\bad.com", "2024-01-15", True), ("mailto", "2024-01-15", True), ("\thttp://bad.com\n", "2024-01-15", False)]
+    captures = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, url string, fetched string, want boolean").selectExpr("*", "1 as Host", "2 as domain", "3 as starts", "4 as hit", "5 as _on", "6 as on", "7 as day", "8 as other", "9 as KEPT")
     got = urls.filter_urls(captures, entries).collect()
     assert len(got) == len(rows) and all(r.kept == r.want for r in got)
     assert urls.filter_urls(none_of(captures), entries).count() == 0
@@ -518,7 +643,7 @@ def test_sql_agrees(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.queries()[name](spark, SF)
     names = sorted(df.columns)

@@ -1,10 +1,14 @@
 """The pipeline against the brute-force operators, stage by stage."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from plumbline.llm import packing
-from plumbline.llm.vocabulary import TOKENIZER_FOLDER, offset_tokenizer
+from plumbline.llm.vocabulary import offset_tokenizer
+from plumbline.scratch import release
 from test_corpus_operators import AWKWARD, DOC, PASSAGE, SF, base_signals, brute_components, brute_cut, brute_fingerprint
 
 
@@ -29,16 +33,22 @@ def test_stages_one_after_another(spark):
     assert set(texts) == {d for d, (n, gone, _) in brute.items() if gone < n}
     assert all(r.text == brute[d][2] for d, r in texts.items() if brute[d][1]) and all(len(r.text) == r.n_chars for r in texts.values())
     placed = pack(spark, left, SF).collect()
-    tokenizer = offset_tokenizer(TOKENIZER_FOLDER)
+    tokenizer = offset_tokenizer()
     sizes = {d: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for d, r in texts.items()}
     assert sorted((r.doc_id, r.start, r.length) for r in placed) == sorted((d, *p) for d, n in sizes.items() for p in packing.pieces_of(n, 2048))
     assert len({r.sequence_id for r in placed}) <= 1.02 * -(-sum(sizes.values()) // 2048) + 1
 
 
 def test_run_is_the_stages(spark):
-    got = corpus_pipeline.run(spark, SF)
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
-    assert np.all([r.length <= 2048 for r in got.collect()])
+    with ThreadPoolExecutor(2) as pool:  # two pipelines beside each other do not touch each other's tables
+        one, two = pool.map(lambda _: corpus_pipeline.run(spark, SF), range(2))
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(one.columns) and one.count() > 0
+    assert np.all([r.length <= 2048 for r in one.collect()])
+    own = [c for c in one.columns if c not in ("sequence_id", "offset")]
+    assert one.select(own).exceptAll(two.select(own)).isEmpty() and one.select("sequence_id").distinct().count() == two.select("sequence_id").distinct().count()
+    release(one, two)
+    with pytest.raises(Exception, match="(?i)does not exist"):
+        one.collect()
 
 
 def test_stages_take_awkward_rows_and_no_rows(spark):
