@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import languages, packing, quality, simhash, substrings, tables
+from plumbline.llm import languages, packing, quality, simhash, substrings
+from plumbline.scratch import materialize, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose base rules or likelihood ratio reject them go."""
+    """Documents whose base rules or likelihood ratio reject them go: null and empty texts among them. Repeated rows are judged each."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_signals(docs, labels, carry=tuple(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the known languages go; lang becomes the language found."""
+    """Documents in none of the known languages go (null and empty texts are); lang becomes the language found, ties the first by name."""
     none = F.lit(None).cast("string")
     records = docs.select(*COLUMNS, F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
     found = languages.identify(records, languages.train_languages(docs), ["doc_id", "source", "n_chars"], carry_text=True)
@@ -39,9 +38,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of 2048 tokens."""
+    """The place of every piece of every document in sequences of 2048 tokens; null and empty texts are one token, repeated rows are placed each."""
     coded = packing.encode_pieces(docs)
-    return packing.best_fit_placements(coded.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    digests = coded.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.best_fit_placements(digests, tie_cols=("doc_id", "piece", "start", "ids_crc32"))
 
 
 STAGES = [
@@ -57,13 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written to the shared folder."""
+    """All stages over documents, each stage's rows written to the shared folder.
+
+    A stage's own tables, and the stage before it, go as soon as its rows are written; the last
+    stage's rows stay until ``plumbline.scratch.release`` of the result, or the process's end.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        before = tables.written()
         out = stage(spark, docs, sf_dir)
-        path = f"{tables.shared_folder(spark)}/plumbline-stage-{uuid.uuid4().hex}"
-        out.write.option("compression", "zstd").parquet(path)
-        tables.release(before)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = materialize(out)
+        release(out)
     return docs
