@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import confidence_level, fold_sessions
-from plumbline.operators import beliefs, effects, guards, routing
-from plumbline.operators.graphs import CausalGraph
+from plumbline.functions import confidence_level, fold_sessions, reasoning_log, reclassify
+from plumbline.functions.order import epochs
+from plumbline.operators import beliefs, effects, guards, refuters, routing
+from plumbline.operators.graphs import CausalGraph, closure, reachable, separated
+from plumbline.operators.policy_text import text_policy
 from plumbline.oracles import SQL
 from plumbline.plans.study import Study
 from plumbline.plans.workflow import TableNode, run_table
@@ -73,19 +76,41 @@ def _refuted(spark, d, test):
 
 
 def placebo_refute(spark, d):
-    return _refuted(spark, d, lambda df, ate: effects.placebo(df, "y", ate, "unit", 1000.0))
+    return _refuted(spark, d, lambda df, ate: refuters.placebo(df, "y", ate, "unit", 1000.0))
 
 
 def subset_refute(spark, d):
-    return _refuted(spark, d, lambda df, ate: effects.subset_validation(df, "t", "y", ate, "unit"))
+    return _refuted(spark, d, lambda df, ate: refuters.subset_validation(df, "t", "y", ate, "unit"))
 
 
 def bootstrap_refute(spark, d):
-    return _refuted(spark, d, lambda df, ate: effects.bootstrap(df, "t", "y", ate, "unit"))
+    return _refuted(spark, d, lambda df, ate: refuters.bootstrap(df, "t", "y", ate, "unit"))
 
 
 def random_common_cause_refute(spark, d):
-    return _refuted(spark, d, lambda df, ate: effects.random_common_cause(df, "t", "y", ate, "unit"))
+    return _refuted(spark, d, lambda df, ate: refuters.random_common_cause(df, "t", "y", ate, "unit"))
+
+
+def _refuted_in_order(spark, d, test):
+    df = _lineitem(spark, d)
+    ate = effects.difference_in_means(df, "t", "y").first()["ate"]
+    return _rounded(test(df, ate, ["l_orderkey", "l_linenumber", "l_extendedprice", "y", "t"]), 3)
+
+
+def placebo_sequential(spark, d):
+    return _refuted_in_order(spark, d, lambda df, ate, order: refuters.placebo_sequential(df, "y", ate, order, 1000.0))
+
+
+def common_cause_sequential(spark, d):
+    return _refuted_in_order(spark, d, lambda df, ate, order: refuters.random_common_cause_sequential(df, "t", "y", ate, order))
+
+
+def bootstrap_sequential(spark, d):
+    return _refuted_in_order(spark, d, lambda df, ate, order: refuters.bootstrap_sequential(df, "t", "y", ate, order))
+
+
+def subset_sequential(spark, d):
+    return _refuted_in_order(spark, d, lambda df, ate, order: refuters.subset_sequential(df, "t", "y", ate, order))
 
 
 def study_estimate(spark, d):
@@ -119,6 +144,34 @@ def dsep_table(spark, d):
     return spark.createDataFrame(rows, "graph string, x string, y string, given string, separated boolean")
 
 
+def _links(spark, d) -> DataFrame:
+    """Regions over nations over customers and suppliers, customers over their orders and market segments."""
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    pairs = [("nation", "r", "n_regionkey", "n", "n_nationkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("supplier", "n", "s_nationkey", "s", "s_suppkey"), ("customer", "c", "c_custkey", "m", "c_mktsegment"), ("orders", "c", "o_custkey", "o", "o_orderkey")]
+    tables = [read_table(spark, d, t).select(node(a, x).alias("src"), node(b, y).alias("dst")) for t, a, x, b, y in pairs]
+    return functools.reduce(lambda p, q: p.unionByName(q), tables)
+
+
+def graph_reachable(spark, d):
+    """All below the first two regions, with their distance."""
+    return reachable(_links(spark, d), spark.createDataFrame([("r0",), ("r1",)], "node string"))
+
+
+def graph_ancestors(spark, d):
+    """All above each order."""
+    orders = read_table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return closure(_links(spark, d), orders, above=True)
+
+
+def graph_separated(spark, d):
+    """Each supplier and the customer of the same number: given nothing, its nation, the customer's segment, or both."""
+    both = read_table(spark, d, "supplier").join(read_table(spark, d, "customer"), F.col("s_suppkey") == F.col("c_custkey"))
+    text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    asked = both.select(F.col("s_suppkey").alias("question"), text("s", "s_suppkey").alias("x"), text("c", "c_custkey").alias("y"), text("n", "s_nationkey").alias("nation"), text("m", "c_mktsegment").alias("segment"))
+    given = asked.where("question % 4 in (1, 3)").select("question", F.col("nation").alias("node")).unionByName(asked.where("question % 4 >= 2").select("question", F.col("segment").alias("node")))
+    return separated(_links(spark, d).where("dst not like 'o%'"), asked, given)
+
+
 def _ok():
     return F.col("event_type") != "error"
 
@@ -151,6 +204,15 @@ def belief_tracked(spark, d):
     return _rounded(got.select("entity", "p1", "p2", "mean", "observation_count", "mismatches"), 9)
 
 
+def belief_categorical(spark, d):
+    """A count vector an event: three kinds, purchases ten at a time; one in seven has the wrong length."""
+    kinds = ["click", "purchase", "view"]
+    counts = F.array(*(F.when(F.col("event_type") == k, F.lit(10 if k == "purchase" else 1)).otherwise(0).cast("long") for k in kinds))
+    obs = _events(spark, d).select(F.col("user_id").cast("string").alias("entity"), F.when(F.col("event_type") == "error", F.lit("binary")).otherwise("categorical").alias("kind"), F.when(F.col("event_id") % 7 == 0, F.slice(counts, 1, 2)).otherwise(counts).alias("counts"))
+    got = beliefs.track(obs, "categorical", prior=[1.0, 2.0, 0.5])
+    return _rounded(got.select("entity", "p1", "p2", "mean", "variance", "lower", "upper", "observation_count", "mismatches", F.get("alphas", F.lit(1)).alias("alpha_purchase"), F.get("alphas", F.lit(2)).alias("alpha_view")), 9)
+
+
 def belief_batch(spark, d):
     obs = _events(spark, d).select(F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", F.lit("continuous")).otherwise("binary").alias("kind"))
     return beliefs.before_first_mismatch(obs, "binary").groupBy("entity").agg(F.count("*").alias("applied"))
@@ -164,6 +226,17 @@ def most_reliable_tool(spark, d):
     return beliefs.most_reliable(beliefs.tool_reliability(_events(spark, d), "user_id", _ok(), ["ts", "event_id"], 0.8))
 
 
+def unreliable_tools(spark, d):
+    return beliefs.unreliable(beliefs.tool_reliability(_events(spark, d), "user_id", _ok(), ["ts", "event_id"], 0.8), 0.8).select("tool", F.round("reliability", 9).alias("reliability"))
+
+
+def registered_tools(spark, d):
+    """Customers as the registry: some have no calls, some callers are not registered."""
+    registry = read_table(spark, d, "customer").select(F.col("c_custkey").alias("tool"))
+    got = beliefs.tool_reliability(_events(spark, d), "user_id", _ok(), ["ts", "event_id"], 0.8, registry=registry)
+    return _rounded(got.select("tool", "reliability", "total_calls", "recent_failures"), 9)
+
+
 def mcmc_normal(spark, d):
     got = beliefs.metropolis(spark, lambda x: -0.5 * float(np.dot(x, x)), [0.0, 0.0], 2000, 500, target_rate=0.4)
     return got.groupBy("dim").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), F.avg("acceptance_rate").alias("acceptance_rate"))
@@ -178,6 +251,25 @@ def policy_decisions(spark, d):
     return _events(spark, d).withColumn("p", chain).select("event_id", "p.decision", "p.reason", "p.target")
 
 
+POLICY = """
+package policy
+default allow := false
+
+# reading is free, the rest needs a low risk and a known kind
+allow if { input.kind == "view" }
+allow {
+    input.kind in ["click", "signup"]
+    not input.k > 60
+}
+allow { input.kind == "purchase"; input.k < 40; input["k"] != 7 }
+"""
+
+
+def policy_text(spark, d):
+    context = F.to_json(F.struct(F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k")))
+    return _events(spark, d).withColumn("p", guards.policy_chain(text_policy(POLICY, context))).select("event_id", "p.decision", "p.reason")
+
+
 def breaker_states(spark, d):
     return guards.breaker(_events(spark, d), "user_id", _ok(), "ts", ["ts", "event_id"], 2, 43_200.0).select("event_id", "failures", "is_open", "allowed")
 
@@ -196,6 +288,12 @@ def rate_limits(spark, d):
     return guards.rate_limit(_events(spark, d), "user_id", "ts", ["ts", "event_id"], 3, 0.00002).select("event_id", "allowed", "remaining")
 
 
+def rate_limits_reset(spark, d):
+    """As ``rate_limits``, but a signup resets its user's bucket."""
+    live = epochs(_events(spark, d), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
+    return guards.rate_limit(live, ["user_id", "epoch"], "ts", ["ts", "event_id"], 3, 0.00002).select("event_id", "epoch", "allowed", "remaining")
+
+
 def escalation_status(spark, d):
     o = read_table(spark, d, "orders")
     made = o.select(F.col("o_orderkey").alias("id"), F.lit(0).alias("seq"), F.lit("created").alias("event"), F.lit(None).cast("string").alias("by"), F.lit(None).cast("string").alias("reason"), F.col("o_orderdate").alias("ts"))
@@ -214,6 +312,12 @@ def bias_uniformity(spark, d):
     return _rounded(guards.bias_uniformity(counts, "n"), 6)
 
 
+def bias_distribution(spark, d):
+    """Event types of the month's second half against the first half's counts, errors without expectation."""
+    counted = _events(spark, d).groupBy("event_type").agg(F.count(F.when(F.dayofmonth("ts") > 15, 1)).alias("observed"), F.count(F.when(F.dayofmonth("ts") <= 15, 1)).cast("double").alias("expected"))
+    return _rounded(guards.bias_distribution(counted.select("event_type", "observed"), counted.where("event_type <> 'error'").select("event_type", "expected"), "event_type"), 6)
+
+
 def bias_approval(spark, d):
     o, c = read_table(spark, d, "orders"), read_table(spark, d, "customer")
     joined = o.join(c, o.o_custkey == c.c_custkey).select("c_mktsegment", "o_orderstatus")
@@ -237,6 +341,12 @@ def budget_running(spark, d):
     return got.select("event_id", "cost_mills", "spent_mills", "within", "overage_mills", "suggested_tier", "final_url")
 
 
+def budget_reset(spark, d):
+    """A budget a user, which each signup resets."""
+    live = epochs(_routed(spark, d), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
+    return routing.spend(live, "tier", ["ts", "event_id"], 100, ["user_id", "epoch"]).select("event_id", "epoch", "cost_mills", "spent_mills", "within")
+
+
 def budget_tiers(spark, d):
     return _rounded(routing.budget_summary(routing.spend(_routed(spark, d), "tier", ["event_id"], 20_000), "tier", 20_000), 9)
 
@@ -269,6 +379,19 @@ def session_fold(spark, d):
     return _rounded(fold_sessions(steps), 9)
 
 
+def session_reclassified(spark, d):
+    """Sessions as ``session_fold``, but an error puts its session into Disorder right after it."""
+    chain = guards.policy_chain(guards.risk_policy(_risk(), 0.5, 0.95))
+    steps = _routed(spark, d).select(F.col("user_id").alias("session"), F.struct("ts", "event_id", F.lit(0).alias("late")).alias("seq"), "domain", "confidence", chain["decision"].alias("decision"), "event_type")
+    changes = steps.where("event_type = 'error'").select("session", F.struct("seq.ts", "seq.event_id", F.lit(1).alias("late")).alias("seq"), F.lit("Disorder").alias("domain"), F.lit(0.9).alias("confidence"))
+    return _rounded(fold_sessions(reclassify(steps, changes)), 9)
+
+
+def session_reasoning(spark, d):
+    steps = _events(spark, d).select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("reasoning"))
+    return reasoning_log(steps).select("session", F.array_join("log", ",").alias("log"))
+
+
 def confidence_levels(spark, d):
     return _events(spark, d).select("event_id", confidence_level(F.abs(F.col("value")) / 100).alias("level"))
 
@@ -286,11 +409,13 @@ def workflow_batch(spark, d):
 
 
 _ALL = [
-    diff_in_means, ols_adjusted, iv_2sls, ipw_effect, counterfactual_units, placebo_refute, subset_refute, bootstrap_refute, random_common_cause_refute, study_estimate,
-    dag_parents, dag_closure, backdoor_set, frontdoor_sets, dsep_table,
-    beta_posterior, normal_posterior, gamma_posterior, dirichlet_posterior, belief_running, belief_tracked, belief_batch, tool_reliability, most_reliable_tool, mcmc_normal,
-    policy_decisions, breaker_states, loop_checks, visit_history, rate_limits, escalation_status, audit_recent, bias_uniformity, bias_approval,
-    route_queries, budget_running, budget_tiers, confusion, precision_recall, misrouting, drift_kl, session_fold, confidence_levels, workflow_batch,
+    diff_in_means, ols_adjusted, iv_2sls, ipw_effect, counterfactual_units, placebo_refute, subset_refute, bootstrap_refute, random_common_cause_refute,
+    placebo_sequential, common_cause_sequential, bootstrap_sequential, subset_sequential, study_estimate,
+    dag_parents, dag_closure, backdoor_set, frontdoor_sets, dsep_table, graph_reachable, graph_ancestors, graph_separated,
+    beta_posterior, normal_posterior, gamma_posterior, dirichlet_posterior, belief_running, belief_tracked, belief_categorical, belief_batch,
+    tool_reliability, most_reliable_tool, unreliable_tools, registered_tools, mcmc_normal,
+    policy_decisions, policy_text, breaker_states, loop_checks, visit_history, rate_limits, rate_limits_reset, escalation_status, audit_recent, bias_uniformity, bias_distribution, bias_approval,
+    route_queries, budget_running, budget_reset, budget_tiers, confusion, precision_recall, misrouting, drift_kl, session_fold, session_reclassified, session_reasoning, confidence_levels, workflow_batch,
 ]
 
 

@@ -36,3 +36,20 @@ def fold_sessions(steps: DataFrame) -> DataFrame:
     """
     got = steps.groupBy("session").agg(F.count("*").alias("depth"), F.max_by(F.struct("domain", "confidence"), "seq").alias("e"), F.max(F.coalesce(F.col("decision") == "reject", F.lit(False))).alias("has_rejection"), F.max(F.coalesce(needs_review("decision"), F.lit(False))).alias("_up"))
     return got.select("session", "depth", "e.domain", "e.confidence", confidence_level(F.col("e.confidence")).alias("level"), "has_rejection", (requires_human(F.col("e.domain")) | F.col("_up")).alias("requires_human"))
+
+
+def reasoning_log(steps: DataFrame) -> DataFrame:
+    """(session, log): what each step of a session gave as its reasoning, in order; steps without any are left out.
+
+    A session's log is one row, so a session must fit in a task.
+    """
+    said = F.struct("seq", "reasoning")
+    return steps.where("reasoning is not null").groupBy("session").agg(F.sort_array(F.collect_list(said)).alias("_log")).select("session", F.transform("_log", lambda x: x["reasoning"]).alias("log"))
+
+
+def reclassify(steps: DataFrame, changes: DataFrame) -> DataFrame:
+    """``steps`` (session, seq, domain, confidence, decision) with further classifications (session, seq, domain, confidence).
+
+    They count as steps without a decision, so ``fold_sessions`` takes the latest of both.
+    """
+    return steps.select("session", "seq", "domain", "confidence", "decision").unionByName(changes.select("session", "seq", "domain", "confidence", F.lit(None).cast("string").alias("decision")))

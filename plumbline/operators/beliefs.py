@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.scratch import materialize
+
 Z = 1.96
 
 
@@ -78,17 +80,21 @@ def dirichlet_posterior(df: DataFrame, category: str, keys: Sequence[str], categ
 OBSERVATION = "entity string, seq long, kind string, successes long, failures long, value double, count long, periods long, counts array<long>"
 
 
-def track(obs: DataFrame, kind: str, p1: float, p2: float, obs_variance: float = 1.0) -> DataFrame:
-    """(entity, kind, p1, p2, mean, variance, lower, upper, observation_count, mismatches).
+def track(obs: DataFrame, kind: str, p1: float = 1.0, p2: float = 1.0, obs_variance: float = 1.0, prior: Sequence[float] | None = None) -> DataFrame:
+    """(entity, kind, p1, p2, mean, variance, lower, upper, observation_count, mismatches, alphas).
 
-    One belief kind for all entities: binary, continuous or count. Observations of another
-    kind are mismatches: counted apart and without effect. A count observation of several
-    periods adds count * periods over that many periods.
+    One belief kind for all entities: binary, continuous, count or categorical. Observations of
+    another kind are mismatches: counted apart and without effect. A count observation of several
+    periods adds count * periods over that many periods. A categorical belief starts from ``prior``,
+    a parameter a category, and ``alphas`` has the parameters; the other figures are those of the
+    first category, p2 the sum of the rest. An observation with another number of counts, or null
+    ones, is counted but changes nothing. ``obs`` may be a stream.
     """
     mine = F.col("kind") == kind
     n = F.count(F.when(mine, 1)).alias("observation_count")
     other = F.count(F.when(~mine, 1)).alias("mismatches")
     add = lambda c: F.coalesce(F.sum(F.when(mine, c)), F.lit(0)).cast("double")
+    alphas = F.lit(None).cast("array<double>")
     if kind == "continuous":
         _positive(p2=p2, obs_variance=obs_variance)
         got = obs.groupBy("entity").agg(add(F.col("value")).alias("_s"), n, other)
@@ -104,9 +110,19 @@ def track(obs: DataFrame, kind: str, p1: float, p2: float, obs_variance: float =
         got = obs.groupBy("entity").agg((add(F.col("count") * F.col("periods")) + p1).alias("p1"), (add(F.col("periods")) + p2).alias("p2"), n, other)
         mean, var = F.col("p1") / F.col("p2"), F.col("p1") / (F.col("p2") * F.col("p2"))
         look = {"mean": mean, "variance": var, "lower": mean - Z * F.sqrt(var), "upper": mean + Z * F.sqrt(var)}
+    elif kind == "categorical":
+        if not prior or len(prior) < 2:
+            raise ValueError("a prior of at least two categories is needed")
+        _positive(**{f"alpha{i}": a for i, a in enumerate(prior)})
+        fits = F.coalesce((F.size("counts") == len(prior)) & F.forall("counts", lambda c: c.isNotNull()), F.lit(False))
+        got = obs.groupBy("entity").agg(*((add(F.when(fits, F.get("counts", F.lit(i)))) + float(a)).alias(f"_a{i}") for i, a in enumerate(prior)), n, other)
+        alphas = F.array(*(f"_a{i}" for i in range(len(prior))))
+        rest = F.aggregate(F.slice(alphas, 2, len(prior) - 1), F.lit(0.0), lambda x, y: x + y)
+        got = got.withColumns({"p1": F.col("_a0"), "p2": rest})
+        look = {k: v for k, v in beta_summary(F.col("p1"), F.col("p2")).items() if k != "mode"}
     else:
         raise ValueError(f"unknown kind {kind}")
-    return got.withColumns(look).select("entity", F.lit(kind).alias("kind"), "p1", "p2", "mean", "variance", "lower", "upper", "observation_count", "mismatches")
+    return got.withColumns(look).select("entity", F.lit(kind).alias("kind"), "p1", "p2", "mean", "variance", "lower", "upper", "observation_count", "mismatches", alphas.alias("alphas"))
 
 
 def before_first_mismatch(obs: DataFrame, kind: str) -> DataFrame:
@@ -123,23 +139,37 @@ def running_beta(df: DataFrame, success: Column, key: str, order: Sequence[str],
     return df.withColumns({"_a": a, "_b": b}).withColumns({"running_mean": look["mean"], "running_variance": look["variance"], "confident": look["variance"] < threshold}).drop("_a", "_b")
 
 
-def tool_reliability(calls: DataFrame, tool: str, ok: Column, order: Sequence[str], min_reliability: float, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+def tool_reliability(calls: DataFrame, tool: str, ok: Column, order: Sequence[str], min_reliability: float, alpha: float = 1.0, beta: float = 1.0, registry: DataFrame | None = None) -> DataFrame:
     """(tool, reliability, lower, upper, total_calls, recent_failures, is_reliable, should_break, failure_rate, frequency).
 
     recent_failures counts failures since the last success. should_break looks at the
     interval's lower end. failure_rate is (beta - 1) / calls, right for a uniform prior
-    only; ``frequency`` is the plain share of failures.
+    only; ``frequency`` is the plain share of failures. A null tool is a tool; a call whose
+    outcome is null counts as a failure. With a ``registry`` (tool) calls of other tools are
+    left out, and registered ones without calls have the prior.
     """
     _positive(alpha=alpha, beta=beta)
-    at = F.struct(*order)
-    rows = calls.select(F.col(tool).alias("tool"), ok.alias("_ok"), at.alias("_at"))
-    last = rows.groupBy("tool").agg(F.max(F.when(F.col("_ok"), F.col("_at"))).alias("_last"))
-    per = rows.join(last, "tool").groupBy("tool").agg(F.count(F.when(F.col("_ok"), 1)).alias("_s"), F.count("*").alias("total_calls"), F.count(F.when(~F.col("_ok") & (F.col("_last").isNull() | (F.col("_at") > F.col("_last"))), 1)).alias("recent_failures"))
+    rows = calls.select(F.col(tool).alias("tool"), F.coalesce(ok, F.lit(False)).alias("_ok"), F.struct(*order).alias("_at"))
+    if registry is not None:
+        known = registry.select(F.col("tool").alias("_tool")).distinct()
+        rows = rows.join(known, F.col("tool").eqNullSafe(F.col("_tool")), "left_semi")
+    # written before it is joined, so that a hot tool's calls can be split over tasks
+    last = materialize(rows.where("_ok").groupBy("tool").agg(F.max("_at").alias("_last")).withColumnRenamed("tool", "_tool"))
+    late = rows.join(last, F.col("tool").eqNullSafe(F.col("_tool")), "left")
+    failed = ~F.col("_ok") & (F.col("_last").isNull() | (F.col("_at") > F.col("_last")))
+    per = late.groupBy("tool").agg(F.count(F.when(F.col("_ok"), 1)).alias("_s"), F.count("*").alias("total_calls"), F.count(F.when(failed, 1)).alias("recent_failures"))
+    if registry is not None:
+        per = known.join(per, F.col("tool").eqNullSafe(F.col("_tool")), "left").select(F.col("_tool").alias("tool"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("_s", "total_calls", "recent_failures")))
     per = per.withColumns({"_a": F.col("_s") + alpha, "_b": F.col("total_calls") - F.col("_s") + beta})
     look = beta_summary(F.col("_a"), F.col("_b"))
     return per.select("tool", look["mean"].alias("reliability"), look["lower"].alias("lower"), look["upper"].alias("upper"), "total_calls", "recent_failures", (look["mean"] > min_reliability).alias("is_reliable"), (look["lower"] < min_reliability).alias("should_break"), F.try_divide(F.col("_b") - 1, F.col("total_calls")).alias("failure_rate"), F.try_divide(F.col("total_calls") - F.col("_s"), F.col("total_calls")).alias("frequency"))
 
 
+def unreliable(tools: DataFrame, threshold: float) -> DataFrame:
+    """The tools whose reliability does not exceed the threshold."""
+    return tools.where(~(F.col("reliability") > threshold))
+
+
 def most_reliable(tools: DataFrame) -> DataFrame:
     """The tool with the highest reliability; the first by name among equals."""
     return tools.agg(F.min_by("tool", F.struct(-F.col("reliability"), "tool")).alias("tool"))

@@ -7,17 +7,23 @@ null.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.scratch import materialize, release
+
 #: Pivots below this, relative to the matrix's largest entry in the row, mean a singular system.
 PIVOT = 1e-12
 #: Fixed values of the gradient descent for propensities.
 STEPS, RATE, CLAMP = 100, 0.1, 0.01
+#: Distinct (covariates, treatment) cells of a group that one task fits at most.
+MAX_CELLS = 100_000
 
 
 def sigmoid(x: Column | str) -> Column:
@@ -151,17 +157,49 @@ def _ipw_fit(cells: pd.DataFrame, p: int) -> tuple[float, float | None, int]:
     return ate, np.sqrt(square / total / (total - 1)) if total > 1 else None, int(total)
 
 
-def ipw(df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def _ipw_steps(cells: DataFrame, names: Sequence[str], p: int) -> DataFrame:
+    """The same fit with each gradient step an aggregate over the cells; a step's weights are one row a group."""
+    keys = [f"k{i}" for i in range(len(names))]
+    groups = cells.select(*(F.col(c).alias(k) for c, k in zip(names, keys))).distinct() if names else cells.sparkSession.range(1).select()
+    weights = materialize(groups.select(*keys, *(F.lit(0.0).alias(f"w{i}") for i in range(p + 1))))
+    same = functools.reduce(and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(names, keys)), F.lit(True))
+    x = [F.lit(1.0), *(F.col(f"x{i}") for i in range(p))]
+    fitted = sigmoid(functools.reduce(add, (F.col(f"w{i}") * x[i] for i in range(p + 1))))
+    for _ in range(STEPS):
+        joined = cells.join(weights, same) if keys else cells.crossJoin(F.broadcast(weights))  # one row
+        pull = F.col("n") * (F.col("t") - fitted)
+        own = [F.col(k) for k in keys] + [F.col(f"w{i}") for i in range(p + 1)]
+        moved = joined.groupBy(*own).agg(F.sum("n").alias("_n"), *(F.sum(pull * x[i]).alias(f"_g{i}") for i in range(p + 1)))
+        after = materialize(moved.select(*keys, *((F.col(f"w{i}") + RATE * F.col(f"_g{i}") / F.col("_n")).alias(f"w{i}") for i in range(p + 1))))
+        release(weights)
+        weights = after
+    joined = cells.join(weights, same) if keys else cells.crossJoin(F.broadcast(weights))
+    e, on = F.least(F.greatest(fitted, F.lit(CLAMP)), F.lit(1 - CLAMP)), F.col("t") > 0.5
+    w = F.when(on, 1 / e).otherwise(1 / (1 - e))
+    sums = {"a1": F.when(on, w * F.col("sy")), "b1": F.when(on, w * F.col("n")), "a0": F.when(~on, w * F.col("sy")), "b0": F.when(~on, w * F.col("n")), "yy": w * w * F.col("syy"), "total": F.col("n")}
+    got = joined.groupBy(*names).agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    mean = lambda arm: F.coalesce(F.try_divide(f"_a{arm}", f"_b{arm}"), F.lit(0.0))
+    got = got.withColumn("ate", mean(1) - mean(0))
+    signed = F.coalesce("_a1", F.lit(0.0)) - F.coalesce("_a0", F.lit(0.0))
+    square = F.col("_yy") - 2 * F.col("ate") * signed + F.col("_total") * F.col("ate") * F.col("ate")
+    return got.select(*names, "ate", F.when(F.col("_total") > 1, F.sqrt(F.try_divide(square / F.col("_total"), F.col("_total") - 1))).alias("std_error"), F.col("_total").cast("long").alias("n_obs"))
+
+
+def ipw(df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str], keys: Sequence[str] = (), max_cells: int = MAX_CELLS) -> DataFrame:
     """(keys, ate, std_error, n_obs): inverse-propensity weighting, normalised within arms.
 
     Propensities come from a fixed number of full-batch gradient steps from zero, clamped.
-    Rows are first collapsed to distinct (covariates, treatment) cells with their sums, so
-    the steps run over cells; continuous covariates should be binned beforehand.
+    Rows are first collapsed to distinct (covariates, treatment) cells with their sums, written
+    once. Where every group has ``max_cells`` at most, a group is fitted in one task; else each
+    step is an aggregate over all cells (same result, a hundred small jobs), so continuous
+    covariates cost time, not memory.
     """
     p = len(covariates)
     named = df.dropna(subset=[treatment, outcome, *covariates]).select(*keys, F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)))
-    cells = named.groupBy(*keys, "t", *(f"x{i}" for i in range(p))).agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    cells = materialize(named.groupBy(*keys, "t", *(f"x{i}" for i in range(p))).agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")))
     names = list(keys)
+    if (cells.groupBy(*names).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0) > max_cells:
+        return _ipw_steps(cells, names, p)
 
     def fit(cells: pd.DataFrame) -> pd.DataFrame:
         ate, error, n = _ipw_fit(cells, p)
@@ -175,85 +213,21 @@ def counterfactual(df: DataFrame, effect: DataFrame, treatment: str, outcome: st
     """``df`` with cf_outcome, cf_se, lower, upper under another treatment, given (keys, ate, std_error).
 
     The outcome moves by ate per unit of treatment; the interval is 1.96 errors either way.
-    ``effect`` has one row a group; without keys it is a single row.
+    ``effect`` has one row a group (without keys: one row); several make the query fail. Null
+    keys are a group like any other. Rows of a group without effect stay, with nulls.
     """
     shift = (new_treatment if isinstance(new_treatment, Column) else F.lit(float(new_treatment))) - F.col(treatment).cast("double")
-    small = effect.select(*keys, "ate", "std_error")
-    joined = df.join(small, list(keys)) if keys else df.crossJoin(F.broadcast(small.limit(1)))
-    y, se = F.col(outcome) + F.col("ate") * shift, F.abs(shift) * F.col("std_error")
-    return joined.withColumns({"cf_outcome": y, "cf_se": se, "lower": y - 1.96 * se, "upper": y + 1.96 * se}).drop("ate", "std_error")
+    own = [f"_key{i}" for i in range(len(keys))]
+    named = effect.select(*(F.col(c).alias(k) for c, k in zip(keys, own)), "ate", "std_error")
+    one = _grouped(named, own, F.count("*").alias("_n"), F.first("ate").alias("ate"), F.first("std_error").alias("std_error"))
+    only = lambda c: F.when(F.col("_n") > 1, F.raise_error(F.lit("several effects of one group")).cast("double")).otherwise(F.col(c))
+    small = one.select(*own, only("ate").alias("_ate"), only("std_error").alias("_se"))
+    same = functools.reduce(and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(keys, own)), F.lit(True))
+    joined = df.join(small, same, "left") if keys else df.crossJoin(F.broadcast(small))  # one row
+    y, se = F.col(outcome) + F.col("_ate") * shift, F.abs(shift) * F.col("_se")
+    return joined.withColumns({"cf_outcome": y, "cf_se": se, "lower": y - 1.96 * se, "upper": y + 1.96 * se}).drop(*own, "_ate", "_se")
 
 
 def counterfactual_from_data(df: DataFrame, treatment: str, outcome: str, new_treatment: Column | float, keys: Sequence[str] = ()) -> DataFrame:
     """``counterfactual`` with the effect estimated on ``df`` by difference in means."""
     return counterfactual(df, difference_in_means(df, treatment, outcome, keys), treatment, outcome, new_treatment, keys)
-
-
-# refutation
-
-
-def passes(original: Column, refuted: Column, tolerance: float) -> Column:
-    """Whether the change, relative unless the original is nearly 0, is below the tolerance."""
-    change = F.abs(refuted - original)
-    return F.when(F.abs(original) > 1e-10, change / F.abs(original)).otherwise(change) < tolerance
-
-
-def coin(unit: str, rep: Column, salt: int) -> Column:
-    """A number in 0..1000002 from a unit and a replicate, by integer arithmetic that any engine repeats."""
-    return (F.col(unit) * 2654435761 + rep * 40503 + salt) % 1000003
-
-
-def placebo(df: DataFrame, outcome: str, original: float, unit: str, tolerance: float, seed: int = 42) -> DataFrame:
-    """Treatment replaced by coin flips: passes if the effect's size is below the tolerance."""
-    flipped = df.withColumn("_t", (coin(unit, F.lit(0), seed) % 2).cast("double"))
-    got = difference_in_means(flipped, "_t", outcome)
-    return got.select(F.lit("placebo_treatment").alias("test_name"), F.lit(float(original)).alias("original_effect"), F.col("ate").alias("refuted_effect"), (F.abs("ate") < tolerance).alias("passed"))
-
-
-def _replicates(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-
-def random_common_cause(df: DataFrame, treatment: str, outcome: str, original: float, unit: str, replicates: int = 10, seed: int = 123, tolerance: float = 0.15) -> DataFrame:
-    """A random covariate in (-1, 1) is adjusted for; the mean effect must stay."""
-    many = _replicates(df, replicates).withColumn("_x", coin(unit, F.col("_rep"), seed) / 500001.0 - 1)
-    mean = ols_adjusted(many, treatment, outcome, ["_x"], ["_rep"]).agg(F.avg("ate").alias("m"))
-    return _verdict(mean, "random_common_cause", original, tolerance)
-
-
-def subset_validation(df: DataFrame, treatment: str, outcome: str, original: float, unit: str, fraction: float = 0.8, replicates: int = 10, seed: int = 456, tolerance: float = 0.2) -> DataFrame:
-    """Effects on hashed subsets of about ``fraction`` of the units; the mean must stay."""
-    many = _replicates(df, replicates).where(coin(unit, F.col("_rep"), seed) < int(fraction * 1000003))
-    mean = difference_in_means(many, treatment, outcome, ["_rep"]).agg(F.avg("ate").alias("m"))
-    return _verdict(mean, "subset_validation", original, tolerance)
-
-
-def bootstrap(df: DataFrame, treatment: str, outcome: str, original: float, unit: str, replicates: int = 20, seed: int = 789, tolerance: float = 0.2) -> DataFrame:
-    """Resampling with replacement as Poisson(1) weights by hash; the mean effect must stay."""
-    edges, total, term = [], 0.0, float(np.exp(-1))
-    for k in range(1, 9):
-        total += term
-        edges.append(round(total * 1000003))
-        term /= k
-    many = _replicates(df, replicates).withColumn("_u", coin(unit, F.col("_rep"), seed))
-    weighted = many.withColumn("_w", sum((F.col("_u") >= e).cast("int") for e in edges)).where("_w > 0")
-    arm = F.col(treatment) > 0.5
-    one = lambda on: F.coalesce(F.try_divide(F.sum(F.when(on, F.col(outcome) * F.col("_w"))), F.sum(F.when(on, F.col("_w")))), F.lit(0.0))
-    mean = weighted.groupBy("_rep").agg((one(arm) - one(~arm)).alias("ate")).agg(F.avg("ate").alias("m"))
-    return _verdict(mean, "bootstrap", original, tolerance)
-
-
-def _verdict(mean: DataFrame, name: str, original: float, tolerance: float) -> DataFrame:
-    first = F.lit(float(original))
-    return mean.select(F.lit(name).alias("test_name"), first.alias("original_effect"), F.col("m").alias("refuted_effect"), F.coalesce(passes(first, F.col("m"), tolerance), F.lit(False)).alias("passed"))
-
-
-class Lcg:
-    """The exact generator for parity at small sizes: s <- s * a + 1 modulo 2^64, upper 31 bits."""
-
-    def __init__(self, seed: int):
-        self.state = seed
-
-    def uniform(self) -> float:
-        self.state = (self.state * 6364136223846793005 + 1) % (1 << 64)
-        return (self.state >> 33) / float(1 << 31)

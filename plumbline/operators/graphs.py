@@ -1,8 +1,9 @@
 """Causal graphs: structure, separation, and adjustment sets.
 
 A causal graph is a modelling artefact of at most some thousands of edges, so questions
-about one graph are answered on the driver. ``reachable`` answers closure over an edge
-table of any size by frontier joins.
+about one graph are answered on the driver. Edge tables of any size are asked by frontier
+joins: ``reachable`` and ``closure`` for what is above or below, ``separated`` for a whole
+table of separation questions at once.
 """
 
 from __future__ import annotations
@@ -176,3 +177,59 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> Data
             return found
         found = found.unionByName(frontier)
     raise RuntimeError(f"no end within {max_depth} steps")
+
+
+def _rounds(start: DataFrame, step, max_rounds: int) -> DataFrame:
+    """All distinct rows that repeated steps reach from ``start``; each round joins new rows only."""
+    found = frontier = materialize(start.distinct())
+    for _ in range(max_rounds):
+        new = step(frontier).distinct()
+        frontier = materialize(new.join(found, new.columns, "left_anti"))
+        if frontier.isEmpty():
+            release(frontier)
+            return found
+        found = found.unionByName(frontier)
+    raise RuntimeError(f"no end within {max_rounds} rounds")
+
+
+def closure(edges: DataFrame, seeds: DataFrame, above: bool = False, max_rounds: int = 1000) -> DataFrame:
+    """(seed, node): every seed with itself and all below it, or above it, over (src, dst); ``seeds`` has node.
+
+    The result has a row for each pair, which is what is asked for. Null nodes are ignored.
+    """
+    a, b = ("dst", "src") if above else ("src", "dst")
+    links = edges.where("src is not null and dst is not null").select(F.col(a).alias("node"), F.col(b).alias("next"))
+    start = seeds.where("node is not null").select(F.col("node").alias("seed"), "node")
+    return _rounds(start, lambda f: f.join(links, "node").select("seed", F.col("next").alias("node")), max_rounds)
+
+
+def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(question, x, y, separated): whether no path between x and y is open given the question's set.
+
+    ``edges`` (src, dst), ``questions`` (question, x, y) and ``given`` (question, node) are tables
+    of any size. All questions walk together: a state is a node and the way it was entered, a
+    round one join with the edges upwards and one downwards, and a question stops once it has met
+    its y. As for one graph, an unknown x or y is separated from all, and unknown nodes of the set
+    are ignored. Questions without id are left out.
+    """
+    links = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
+    asked = questions.where("question is not null").select("question", "x", "y")
+    known = materialize(asked.join(nodes.withColumnRenamed("node", "x"), "x", "left_semi").join(nodes.withColumnRenamed("node", "y"), "y", "left_semi"))
+    fixed = materialize(given.where("question is not null and node is not null").select("question", "node").distinct())
+    up, down = links.select(F.col("dst").alias("node"), F.col("src").alias("next")), links.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    ancestors = _rounds(fixed, lambda f: f.join(up, "node").select("question", F.col("next").alias("node")), max_rounds)
+    no, yes = F.lit(False), F.lit(True)
+    marked = fixed.select("question", "node", yes.alias("shut"), no.alias("lifts"), no.alias("met")).unionByName(ancestors.select("question", "node", no.alias("shut"), yes.alias("lifts"), no.alias("met")))
+    marked = marked.unionByName(known.select("question", F.col("y").alias("node"), no.alias("shut"), no.alias("lifts"), yes.alias("met")))
+    marks = materialize(marked.groupBy("question", "node").agg(*(F.max(c).alias(c) for c in ("shut", "lifts", "met"))))
+
+    def step(frontier: DataFrame) -> DataFrame:
+        at = frontier.join(marks, ["question", "node"], "left").na.fill(False, ["shut", "lifts", "met"]).where("not met")
+        goes_up = at.where("if(way = 'up', not shut, lifts)").join(up, "node").select("question", F.col("next").alias("node"), F.lit("up").alias("way"))
+        goes_down = at.where("not shut").join(down, "node").select("question", F.col("next").alias("node"), F.lit("down").alias("way"))
+        return goes_up.unionByName(goes_down)
+
+    start = known.select("question", F.col("x").alias("node"), F.explode(F.array(F.lit("up"), F.lit("down"))).alias("way"))
+    reached = _rounds(start, step, max_rounds).join(marks.where("met"), ["question", "node"], "left_semi").select("question").distinct().withColumn("open", F.lit(True))
+    return asked.join(reached, "question", "left").select("question", "x", "y", F.col("open").isNull().alias("separated"))

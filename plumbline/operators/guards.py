@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +54,17 @@ def risk_error(risk: Column, field: str) -> Column:
     return F.when(risk.isNull(), F.lit(f"missing or non-numeric field: {field}"))
 
 
-def breaker(df: DataFrame, key: str, ok: Column, ts: str, order: Sequence[str], threshold: int, timeout_s: float) -> DataFrame:
+def breaker(df: DataFrame, key: str | Sequence[str], ok: Column, ts: str, order: Sequence[str], threshold: int, timeout_s: float) -> DataFrame:
     """``df`` with failures, is_open (after the event) and allowed (before it).
 
     A breaker opens at ``threshold`` failures in a row (0 acts as 1); a success closes it. An
-    open breaker allows every call once ``timeout_s`` have passed since its latest failure.
+    open breaker allows every call once ``timeout_s`` have passed since its latest failure. For
+    resets give the columns of ``functions.order.epochs`` as key.
     """
-    w = Window.partitionBy(key).orderBy(*order)
+    key = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*key).orderBy(*order)
     rows = df.withColumns({"_ok": ok, "_island": F.sum(ok.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    inside = Window.partitionBy(key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("failures", F.sum((~F.col("_ok")).cast("int")).over(inside)).withColumn("is_open", F.col("failures") >= max(threshold, 1))
     last = F.max(F.when(~F.col("_ok"), F.unix_micros(F.col(ts).cast("timestamp")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     was = F.coalesce(F.lag("is_open").over(w), F.lit(False))
@@ -70,7 +72,7 @@ def breaker(df: DataFrame, key: str, ok: Column, ts: str, order: Sequence[str],
     return rows.withColumn("allowed", ~was | F.coalesce(waited, F.lit(False))).drop("_ok", "_island")
 
 
-def loops(df: DataFrame, run: str, node: str, order: Sequence[str], max_visits: int, max_alternations: int) -> DataFrame:
+def loops(df: DataFrame, run: str | Sequence[str], node: str, order: Sequence[str], max_visits: int, max_alternations: int) -> DataFrame:
     """``df`` with visits, violation ('overvisit', 'alternation' or null), observed and allowed_count.
 
     Overvisit means more than ``max_visits`` and hides an alternation: the last
@@ -78,8 +80,9 @@ def loops(df: DataFrame, run: str, node: str, order: Sequence[str], max_visits:
     """
     if max_alternations < 1:
         raise ValueError("max_alternations must be at least 1")
-    w = Window.partitionBy(run).orderBy(*order)
-    visits = F.row_number().over(Window.partitionBy(run, node).orderBy(*order)).cast("long")
+    run = [run] if isinstance(run, str) else list(run)
+    w = Window.partitionBy(*run).orderBy(*order)
+    visits = F.row_number().over(Window.partitionBy(*run, node).orderBy(*order)).cast("long")
     v = F.col(node)
     if max_alternations == 1:
         swings = F.coalesce(v != F.lag(node).over(w), F.lit(False))
@@ -108,11 +111,12 @@ class Bucket:
             raise ValueError("capacity of at least 1 and a rate of at least 0 are needed")
         self.capacity, self.rate, self.tokens, self.at = capacity, rate, float(capacity), None
 
-    def check(self, now: float, consume: bool = True) -> tuple[bool, int, int]:
-        """(allowed, remaining, retry_after_ms)."""
-        if self.at is not None:
-            self.tokens = min(float(self.capacity), self.tokens + max(0.0, now - self.at) * self.rate)
-        self.at = now if self.at is None else max(now, self.at)
+    def check(self, now: float | None, consume: bool = True) -> tuple[bool, int, int]:
+        """(allowed, remaining, retry_after_ms). A call without time refills nothing."""
+        if now is not None:
+            if self.at is not None:
+                self.tokens = min(float(self.capacity), self.tokens + max(0.0, now - self.at) * self.rate)
+            self.at = now if self.at is None else max(now, self.at)
         if self.tokens >= 1:
             left = self.tokens - 1
             if consume:
@@ -121,29 +125,32 @@ class Bucket:
         return False, 0, math.ceil((1 - self.tokens) / self.rate * 1000) if self.rate else -1
 
 
-def rate_limit(df: DataFrame, key: str, ts: str, order: Sequence[str], capacity: int, rate: float, consume: bool = True) -> DataFrame:
+def rate_limit(df: DataFrame, key: str | Sequence[str], ts: str, order: Sequence[str], capacity: int, rate: float, consume: bool = True) -> DataFrame:
     """(key, order columns, allowed, remaining, retry_after_ms) of every call, in each key's order.
 
     The cap and the rejections make the state non-linear, so a key's calls are folded in
     order: rows are dealt by key, sorted, and streamed; only the current key's two numbers
-    are held. ``consume=False`` peeks. retry_after_ms is -1 where the rate is 0.
+    are held. ``consume=False`` peeks. retry_after_ms is -1 where the rate is 0. A null key is a
+    key. For resets give the columns of ``functions.order.epochs`` as key.
     """
     Bucket(capacity, rate)
-    rows = df.select(key, *order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias("_now")).repartition(key).sortWithinPartitions(key, *order)
-    names = [key, *order]
+    key = [key] if isinstance(key, str) else list(key)
+    names = list(dict.fromkeys([*key, *order]))
+    rows = df.select(*names, (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias("_now")).repartition(*key).sortWithinPartitions(*key, *order)
     schema = rows.drop("_now").schema.add("allowed", "boolean").add("remaining", "long").add("retry_after_ms", "long")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, bucket = object(), None
-        for frame in frames:
+        for batch in batches:
             out = []
-            for k, now in zip(frame[key], frame["_now"]):
+            for *k, now in zip(*(batch.column(c).to_pylist() for c in (*key, "_now"))):
                 if k != current:
                     current, bucket = k, Bucket(capacity, rate)
                 out.append(bucket.check(now, consume))
-            yield frame[names].assign(allowed=[a for a, _, _ in out], remaining=[b for _, b, _ in out], retry_after_ms=[c for _, _, c in out])
+            allowed, remaining, wait = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(wait, pa.int64())], [*names, "allowed", "remaining", "retry_after_ms"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def escalation_status(log: DataFrame, now: Column, timeout_s: float) -> DataFrame:
@@ -169,6 +176,12 @@ def audit_entries(decisions: DataFrame, engine: str, id_col: str, ts: str, actio
     return decisions.select(F.col(id_col).cast("string").alias("id"), F.col(ts).alias("timestamp"), action.alias("action"), F.lit(engine).alias("engine"), decision.alias("decision"), (metadata if metadata is not None else F.lit(None).cast("string")).alias("metadata"))
 
 
+def new_entries(decisions: DataFrame, engine: str, action: Column, decision: Column, metadata: Column | None = None) -> DataFrame:
+    """``audit_entries`` stamped here: a random id and the time at which the query runs."""
+    stamped = decisions.withColumns({"_id": F.expr("uuid()"), "_now": F.current_timestamp()})
+    return audit_entries(stamped, engine, "_id", "_now", action, decision, metadata)
+
+
 # bias
 
 
@@ -182,10 +195,10 @@ def normal_quantile(p: float) -> float:
 
 
 def chi2_critical(df: Column, alpha: float = 0.05) -> Column:
-    """The Wilson-Hilferty approximation of the chi-squared quantile; 0 for no degrees of freedom."""
+    """The Wilson-Hilferty approximation of the chi-squared quantile, never below 0; 0 for no degrees of freedom."""
     k, z = df.cast("double"), normal_quantile(1 - alpha)
     part = F.try_divide(F.lit(2.0), 9 * k)
-    return F.when(k > 0, k * F.pow(1 - part + z * F.sqrt(part), F.lit(3))).otherwise(0.0)
+    return F.when(k > 0, F.greatest(k * F.pow(1 - part + z * F.sqrt(part), F.lit(3)), F.lit(0.0))).otherwise(0.0)
 
 
 def _chi2(cells: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.order import running_total
+
 # The domains in order, their default keywords, tier costs (in thousandths) and tiers.
 DOMAINS = ["Clear", "Complicated", "Complex", "Chaotic", "Disorder"]
 KEYWORDS = {
@@ -42,6 +46,38 @@ def classify(df: DataFrame, text: str, keywords: dict[str, Sequence[str]] | None
     return best.withColumns({"domain": F.when(top > 0, F.col("_s")[0]["domain"]).otherwise(FALLBACK), "confidence": F.when(top > 0, top).otherwise(0.0), "all_scores": F.array(*(F.struct(F.col("_s")[i]["domain"].alias("domain"), (-F.col("_s")[i]["n"]).alias("score")) for i in range(len(ranked))))}).drop("_s")
 
 
+class QueryClassifier(Protocol):
+    """Anything that adds domain, confidence and all_scores to a table of texts."""
+
+    def classify(self, df: DataFrame, text: str) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class KeywordClassifier:
+    """``classify`` with its own keywords."""
+
+    keywords: dict[str, Sequence[str]] = field(default_factory=lambda: dict(KEYWORDS))
+
+    def classify(self, df: DataFrame, text: str) -> DataFrame:
+        return classify(df, text, self.keywords)
+
+
+@dataclass(frozen=True)
+class Router:
+    """A classifier, its targets and the rules of ``route``."""
+
+    routes: DataFrame
+    classifier: QueryClassifier = field(default_factory=KeywordClassifier)
+    threshold: float = 0.3
+    fallback: str = "Disorder"
+
+    def route(self, df: DataFrame, text: str) -> DataFrame:
+        return route(self.classifier.classify(df, text), self.routes, self.threshold, self.fallback)
+
+    def route_with_budget(self, df: DataFrame, text: str, order: Sequence[str], budget_mills: int, keys: Sequence[str] = ()) -> DataFrame:
+        return downgrade(spend(self.route(df, text), "tier", order, budget_mills, keys), self.routes)
+
+
 def route_table(spark: SparkSession, routes: dict[str, tuple[str, str]]) -> DataFrame:
     """{domain: (url, tier)} -> (domain, url, timeout_ms, tier), the broadcast dimension of ``route``."""
     return spark.createDataFrame([(d, u, TIMEOUT_MS, t) for d, (u, t) in routes.items()], "target_domain string, url string, timeout_ms int, tier string")
@@ -69,22 +105,16 @@ def spend(df: DataFrame, tier: str, order: Sequence[str], budget_mills: int, key
 
     Costs are whole thousandths, so running sums are exact; spending the budget to the last
     is within. The suggestion beyond it is the free tier. Without ``keys`` there is one
-    budget and one order; a running total over all rows is made of sums per range of
-    ``order[0]``, not in one task.
+    budget and one order; its running total is made of sums per range, not in one task, from
+    rows written once. Rows with null order come first. To reset budgets give the columns of
+    ``functions.order.epochs`` as keys.
     """
-    costed = df.withColumn("cost_mills", F.coalesce(cost_mills(tier, costs), F.lit(0)).cast("long"))
+    cost = F.coalesce(cost_mills(tier, costs), F.lit(0)).cast("long")
     if keys:
         total = F.sum("cost_mills").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        rows = costed.withColumn("spent_mills", total)
+        rows = df.withColumn("cost_mills", cost).withColumn("spent_mills", total)
     else:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        edges = [e for e in (costed.select(F.col(order[0]).cast("double").alias("o")).approxQuantile("o", [i / n for i in range(1, n)], 0.01) if n > 1 else [])]
-        bucket = reduce(add, ((F.col(order[0]).cast("double") >= e).cast("int") for e in sorted(set(edges))), F.lit(0))
-        costed = costed.withColumn("_b", bucket)
-        sums = costed.groupBy("_b").agg(F.sum("cost_mills").alias("_t"))  # one row a range
-        base = sums.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_base"))
-        local = F.sum("cost_mills").over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        rows = costed.withColumn("_l", local).join(F.broadcast(base), "_b").withColumn("spent_mills", F.col("_l") + F.col("_base")).drop("_b", "_l", "_base")
+        rows = running_total(df.withColumn("cost_mills", cost), F.col("cost_mills"), order, "spent_mills")
     left = F.lit(budget_mills) - F.col("spent_mills")
     over = left < 0
     return rows.withColumns({"within": ~over, "remaining_mills": F.greatest(left, F.lit(0)), "overage_mills": F.greatest(-left, F.lit(0)), "suggested_tier": F.when(over, F.lit("free"))})
@@ -108,13 +138,17 @@ def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 
 
 def domain_metrics(matrix: DataFrame) -> DataFrame:
-    """(domain, precision, recall, f1, accuracy, total) of every domain, 0 where undefined."""
-    tall = matrix.select(F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), (F.col("predicted") == d).alias("p"), (F.col("actual") == d).alias("a")) for d in DOMAINS))).alias("x"), "n", (F.col("predicted") == F.col("actual")).alias("hit")).select("x.*", "n", "hit")
-    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    got = tall.groupBy("domain").agg(total(F.col("p") & F.col("a")).alias("tp"), total(F.col("p")).alias("np"), total(F.col("a")).alias("na"), total(F.col("hit")).alias("ok"), F.sum("n").alias("total"))
+    """(domain, precision, recall, f1, accuracy, total) of the five domains and every other one met, 0 where undefined."""
+    none = F.lit(0).cast("long")
+    hit = F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(none)
+    sides = F.array(F.struct(F.col("predicted").alias("domain"), F.col("n").alias("p"), none.alias("a"), hit.alias("tp")), F.struct(F.col("actual").alias("domain"), none.alias("p"), F.col("n").alias("a"), none.alias("tp")))
+    fixed = matrix.sparkSession.createDataFrame([(d, 0, 0, 0) for d in DOMAINS], "domain string, p long, a long, tp long")
+    tall = matrix.select(F.explode(sides).alias("x")).select("x.*").unionByName(fixed).where("domain is not null")
+    got = tall.groupBy("domain").agg(F.sum("tp").alias("tp"), F.sum("p").alias("np"), F.sum("a").alias("na"))
+    whole = matrix.agg(F.coalesce(F.sum(hit), none).alias("ok"), F.sum("n").alias("total"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0)).cast("double")
     p, r = ratio(F.col("tp"), F.col("np")), ratio(F.col("tp"), F.col("na"))
-    return got.select("domain", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), ratio(F.col("ok"), F.col("total")).alias("accuracy"), "total")
+    return got.crossJoin(F.broadcast(whole)).select("domain", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), ratio(F.col("ok"), F.col("total")).alias("accuracy"), "total")
 
 
 def misrouting_cost(matrix: DataFrame, costs: dict[str, int] | None = None) -> DataFrame:
@@ -123,18 +157,19 @@ def misrouting_cost(matrix: DataFrame, costs: dict[str, int] | None = None) -> D
     return matrix.where("predicted <> actual").agg(F.coalesce(F.sum(F.col("n") * cost_mills(tier, costs)), F.lit(0)).alias("cost_mills"))
 
 
-def drift(current: DataFrame, reference: DataFrame, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, kl, drifted, n): KL(current || reference) in nats over the five domains.
+def drift(current: DataFrame, reference: DataFrame, threshold: float, keys: Sequence[str] = (), domains: Sequence[str] = tuple(DOMAINS)) -> DataFrame:
+    """(keys, kl, drifted, n): KL(current || reference) in nats over ``domains``, the five unless given.
 
-    Both sides are (keys, domain, n). Shares under 1e-10 are raised to it, without scaling
-    again. An empty side gives 0 and no drift.
+    Both sides are (keys, domain, n); other domains do not count. Shares under 1e-10 are raised
+    to it, without scaling again. An empty side gives 0 and no drift.
     """
     def shares(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"{name}{i}") for i, d in enumerate(DOMAINS))) if keys else df.agg(*(F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"{name}{i}") for i, d in enumerate(DOMAINS)))
+        sums = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"{name}{i}") for i, d in enumerate(domains)]
+        return df.groupBy(*keys).agg(*sums) if keys else df.agg(*sums)
 
     c, r = shares(current, "c"), shares(reference, "r")
-    both = c.join(r, list(keys), "left").na.fill(0, [f"r{i}" for i in range(len(DOMAINS))]) if keys else c.crossJoin(r)
-    total = lambda n: reduce(add, (F.col(f"{n}{i}") for i in range(len(DOMAINS))))
+    both = c.join(r, list(keys), "left").na.fill(0, [f"r{i}" for i in range(len(domains))]) if keys else c.crossJoin(r)
+    total = lambda n: reduce(add, (F.col(f"{n}{i}") for i in range(len(domains))))
     share = lambda n, i: F.greatest(F.try_divide(F.col(f"{n}{i}"), total(n)).cast("double"), F.lit(1e-10))
-    kl = F.when((total("c") > 0) & (total("r") > 0), reduce(add, (share("c", i) * F.log(share("c", i) / share("r", i)) for i in range(len(DOMAINS))))).otherwise(0.0)
+    kl = F.when((total("c") > 0) & (total("r") > 0), reduce(add, (share("c", i) * F.log(share("c", i) / share("r", i)) for i in range(len(domains))))).otherwise(0.0)
     return both.select(*keys, kl.alias("kl"), (kl > threshold).alias("drifted"), total("c").alias("n"))

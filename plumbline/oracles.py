@@ -27,11 +27,37 @@ k AS (SELECT chi, d, d * pow(1 - 2.0 / (9 * d) + {z} * sqrt(2.0 / (9 * d)), 3) A
 SELECT round(chi, 6) AS chi2, CAST(d AS BIGINT) AS df, round(crit, 6) AS critical, chi > crit AS biased FROM k"""
 
 
+_P = 2147483647
+
+
 def _refute(name: str, refuted: str, passed: str) -> str:
     return f"""WITH {_L}, o AS (SELECT {_DIM} AS ate FROM l), {refuted}
 SELECT '{name}' AS test_name, round(o.ate, 3) AS original_effect, round(m.m, 3) AS refuted_effect, {passed} AS passed FROM o, m"""
 
 
+def _coins(seed: int, reps: int) -> str:
+    """h: each line with a hash u below the prime for every replicate."""
+    factors = ", ".join("(" + ", ".join(str(x) for x in [r, *(pow(16807, 4 * (1009 * seed + r) + k, _P) for k in range(1, 5))]) + ")" for r in range(reps))
+    return f"""f(rep, a, b, c, d) AS (VALUES {factors}),
+h0 AS (SELECT l.*, f.*, ((unit % {_P}) * a + ((unit >> 31) % {_P} * b) % {_P} + d) % {_P} AS x0 FROM l, f),
+h1 AS (SELECT *, (xor(x0, x0 >> 15) * c) % {_P} AS x1 FROM h0), h AS (SELECT *, (xor(x1, x1 >> 13) * b) % {_P} AS u FROM h1)"""
+
+
+def _draws(seed: int, reps: int) -> str:
+    """w: the sequential generator's draw u at each line of every replicate, in order; z: how many lines."""
+    out = [f"z AS (SELECT count(*) AS n FROM l), g AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice, y, t) - 1 AS i FROM l), g0 AS (SELECT rep, i, rep * n + i + 1 AS k, {seed}::HUGEINT AS s FROM g, z, range({reps}) AS x(rep))"]
+    mul, inc, bits = 6364136223846793005, 1, 26
+    for j in range(bits):
+        out.append(f"g{j + 1} AS (SELECT rep, i, k, CASE WHEN (k >> {j}) & 1 = 1 THEN (((s * {mul >> 32}) % 4294967296 * 4294967296 + s * {mul & 0xFFFFFFFF}) % 18446744073709551616 + {inc}::HUGEINT) % 18446744073709551616 ELSE s END AS s FROM g{j})")
+        mul, inc = mul * mul % 2**64, inc * (mul + 1) % 2**64
+    out.append(f"w AS (SELECT rep, i, CAST((s - s % 8589934592) / 8589934592 AS DOUBLE) / 2147483648 AS u FROM g{bits})")
+    return ", ".join(out)
+
+
+_NODES = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+ UNION ALL SELECT 'c' || c_custkey, 'm' || c_mktsegment FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+
+
 SQL = {
     "diff_in_means": f"WITH {_L} SELECT l_returnflag, round({_DIM}, 4) AS ate, round({_SE}, 4) AS std_error, count(*) AS n_obs FROM l GROUP BY 1",
     "ols_adjusted": f"""WITH {_L}, s AS (SELECT l_returnflag, count(*) AS n, covar_pop(t,t)*count(*) AS tt, covar_pop(l_quantity,l_quantity)*count(*) AS xx, covar_pop(t,l_quantity)*count(*) AS tx, covar_pop(t,y)*count(*) AS ty, covar_pop(l_quantity,y)*count(*) AS xy, covar_pop(y,y)*count(*) AS yy FROM l GROUP BY 1),
@@ -48,10 +74,14 @@ m AS (SELECT sum(w*sy) FILTER (t > 0.5)/sum(w*n) FILTER (t > 0.5) - sum(w*sy) FI
 SELECT round(any_value(ate), 2) AS ate, round(sqrt(sum(w*w*syy - 2*ate*CASE WHEN t > 0.5 THEN w ELSE -w END*sy + n*ate*ate)/(sum(n)*(sum(n) - 1))), 2) AS std_error, CAST(sum(n) AS BIGINT) AS n_obs FROM w, m""",
     "counterfactual_units": f"""WITH {_L}, g AS (SELECT l_returnflag, {_DIM} AS ate, {_SE} AS se FROM l GROUP BY 1)
 SELECT l_orderkey, l_linenumber, round(y - ate*t, 4) AS cf_outcome, round(t*se, 4) AS cf_se, round(y - ate*t - 1.96*t*se, 4) AS lower, round(y - ate*t + 1.96*t*se, 4) AS upper FROM l JOIN g USING (l_returnflag)""",
-    "placebo_refute": _refute("placebo_treatment", "m AS (SELECT coalesce(avg(y) FILTER (c = 1), 0) - coalesce(avg(y) FILTER (c = 0), 0) AS m FROM (SELECT y, ((unit * 2654435761 + 42) % 1000003) % 2 AS c FROM l))", "abs(m.m) < 1000"),
-    "subset_refute": _refute("subset_validation", f"m AS (SELECT avg(a) AS m FROM (SELECT {_DIM} AS a FROM l, range(10) AS x(rep) WHERE (unit * 2654435761 + rep * 40503 + 456) % 1000003 < 800002 GROUP BY rep))", "abs(m.m - o.ate)/abs(o.ate) < 0.2"),
-    "random_common_cause_refute": _refute("random_common_cause", """s AS (SELECT rep, covar_pop(t,t) AS tt, covar_pop(x,x) AS xx, covar_pop(t,x) AS tx, covar_pop(t,y) AS ty, covar_pop(x,y) AS xy FROM (SELECT rep, t, y, ((unit * 2654435761 + rep * 40503 + 123) % 1000003)/500001.0::DOUBLE - 1 AS x FROM l, range(10) AS r(rep)) GROUP BY rep),
+    "placebo_refute": _refute("placebo_treatment", _coins(42, 1) + ", m AS (SELECT coalesce(avg(y) FILTER (u % 2 = 1), 0) - coalesce(avg(y) FILTER (u % 2 = 0), 0) AS m FROM h)", "abs(m.m) < 1000"),
+    "subset_refute": _refute("subset_validation", _coins(456, 10) + f", m AS (SELECT avg(a) AS m FROM (SELECT {_DIM} AS a FROM h WHERE u < {int(0.8 * _P)} GROUP BY rep))", "abs(m.m - o.ate)/abs(o.ate) < 0.2"),
+    "random_common_cause_refute": _refute("random_common_cause", _coins(123, 10) + f""", s AS (SELECT rep, covar_pop(t,t) AS tt, covar_pop(x,x) AS xx, covar_pop(t,x) AS tx, covar_pop(t,y) AS ty, covar_pop(x,y) AS xy FROM (SELECT rep, t, y, u * (2.0::DOUBLE / {_P}) - 1 AS x FROM h) GROUP BY rep),
+m AS (SELECT avg((xx*ty - tx*xy)/(tt*xx - tx*tx)) AS m FROM s)""", "abs(m.m - o.ate)/abs(o.ate) < 0.15"),
+    "placebo_sequential": _refute("placebo_treatment", _draws(42, 1) + ", m AS (SELECT coalesce(avg(y) FILTER (u < 0.5), 0) - coalesce(avg(y) FILTER (u >= 0.5), 0) AS m FROM g JOIN w USING (i))", "abs(m.m) < 1000"),
+    "common_cause_sequential": _refute("random_common_cause", _draws(123, 10) + """, s AS (SELECT rep, covar_pop(t,t) AS tt, covar_pop(x,x) AS xx, covar_pop(t,x) AS tx, covar_pop(t,y) AS ty, covar_pop(x,y) AS xy FROM (SELECT rep, t, y, 2 * u - 1 AS x FROM g JOIN w USING (i)) GROUP BY rep),
 m AS (SELECT avg((xx*ty - tx*xy)/(tt*xx - tx*tx)) AS m FROM s)""", "abs(m.m - o.ate)/abs(o.ate) < 0.15"),
+    "bootstrap_sequential": _refute("bootstrap_refutation", _draws(789, 20) + f", m AS (SELECT avg(a) AS m FROM (SELECT {_DIM} AS a FROM (SELECT rep, CAST(floor(u * n) AS BIGINT) % n AS i FROM w, z) JOIN g USING (i) GROUP BY rep))", "abs(m.m - o.ate)/abs(o.ate) < 0.2"),
     "study_estimate": "",
     "dag_parents": f"""WITH {_EDGES}, nodes AS (SELECT graph, src AS node FROM edges UNION SELECT graph, dst FROM edges)
 SELECT graph, node, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM edges e WHERE e.graph = n.graph AND e.dst = n.node), '') AS parents, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges e WHERE e.graph = n.graph AND e.src = n.node), '') AS children, true AS acyclic FROM nodes n""",
@@ -70,6 +100,51 @@ s(graph, x, y, given, node, way) AS (SELECT graph, x, y, given, x, w FROM q, (VA
     UNION ALL
     SELECT e.dst, 'down' FROM edges e WHERE e.graph = s.graph AND e.src = s.node AND NOT list_contains(string_split(s.given, ','), s.node)) n)
 SELECT graph, x, y, given, NOT bool_or(node = y) AS separated FROM s GROUP BY 1, 2, 3, 4""",
+    "frontdoor_sets": f"""WITH RECURSIVE {_EDGES},
+q(graph, t, y) AS (VALUES ('smoking','smoking','cancer'),('confounder','X','Y'),('mediated','X','Y'),('mixed','C','D'),('frontdoor','S','C')),
+c(graph, node, below) AS (SELECT graph, src, dst FROM edges UNION SELECT c.graph, c.node, e.dst FROM c JOIN edges e ON e.graph = c.graph AND e.src = c.below),
+able AS (SELECT q.*, a.below AS v, row_number() OVER (PARTITION BY q.graph ORDER BY a.below) - 1 AS i FROM q JOIN c a ON a.graph = q.graph AND a.node = t JOIN c b ON b.graph = q.graph AND b.node = a.below AND b.below = y
+  WHERE a.below NOT IN (t, y) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = q.graph AND e.dst = a.below AND e.src <> t)),
+sets AS (SELECT graph, t, y, mask, list(v ORDER BY i) FILTER ((mask >> i) & 1 = 1) AS m FROM able, range(1, 16) AS r(mask) GROUP BY ALL HAVING mask < (1 << count(*))),
+p(graph, mask, m, y, node) AS (SELECT graph, mask, m, y, t FROM sets UNION SELECT p.graph, p.mask, p.m, p.y, e.dst FROM p JOIN edges e ON e.graph = p.graph AND e.src = p.node WHERE NOT list_contains(p.m, e.dst)),
+good AS (SELECT graph, arg_min(m, (len(m), m)) AS m FROM sets WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.graph = sets.graph AND p.mask = sets.mask AND p.node = sets.y) GROUP BY graph)
+SELECT q.graph, coalesce(array_to_string(list_sort(m), ','), '') AS mediators FROM q LEFT JOIN good USING (graph)""",
+    "graph_reachable": f"""WITH RECURSIVE {_NODES}, c(node, depth) AS (SELECT x, 0 FROM (VALUES ('r0'), ('r1')) AS t(x) UNION SELECT e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.node)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY node""",
+    "graph_ancestors": f"""WITH RECURSIVE {_NODES}, c(seed, node) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey FROM orders UNION SELECT c.seed, e.src FROM c JOIN e ON e.dst = c.node)
+SELECT seed, node FROM c""",
+    "graph_separated": f"""WITH RECURSIVE {_NODES.replace(" UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders", "")},
+q AS (SELECT s_suppkey AS question, 's' || s_suppkey AS x, 'c' || c_custkey AS y, 'n' || s_nationkey AS nation, 'm' || c_mktsegment AS segment FROM supplier JOIN customer ON s_suppkey = c_custkey),
+g AS (SELECT question, nation AS node FROM q WHERE question % 4 IN (1, 3) UNION SELECT question, segment FROM q WHERE question % 4 >= 2),
+a(question, node) AS (SELECT question, node FROM g UNION SELECT a.question, e.src FROM a JOIN e ON e.dst = a.node),
+s(question, node, way) AS (SELECT question, x, w FROM q, (VALUES ('up'), ('down')) AS t(w)
+  UNION SELECT n.question, CASE WHEN d.w = 'up' THEN e.src ELSE e.dst END, d.w FROM (SELECT s.*, g.node IS NOT NULL AS shut, a.node IS NOT NULL AS lifts FROM s LEFT JOIN g ON g.question = s.question AND g.node = s.node LEFT JOIN a ON a.question = s.question AND a.node = s.node) n,
+    (VALUES ('up'), ('down')) AS d(w), e WHERE n.node = CASE WHEN d.w = 'up' THEN e.dst ELSE e.src END AND ((d.w = 'down' AND NOT shut) OR (d.w = 'up' AND CASE WHEN n.way = 'up' THEN NOT shut ELSE lifts END)))
+SELECT q.question, q.x, q.y, count(s.node) = 0 AS separated FROM q LEFT JOIN s ON s.question = q.question AND s.node = q.y GROUP BY ALL""",
+    "belief_categorical": """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS entity, event_type AS k, event_id % 7 <> 0 AS fits FROM events),
+s AS (SELECT entity, 1.0::DOUBLE + count(*) FILTER (fits AND k = 'click') AS p1, 2.0::DOUBLE + 10 * count(*) FILTER (fits AND k = 'purchase') AS b, 0.5::DOUBLE + count(*) FILTER (fits AND k = 'view') AS v, count(*) FILTER (k <> 'error') AS observation_count, count(*) FILTER (k = 'error') AS mismatches FROM c GROUP BY 1),
+m AS (SELECT *, p1/(p1 + b + v) AS mean, p1*(b + v)/((p1 + b + v)*(p1 + b + v)*(p1 + b + v + 1)) AS variance FROM s)
+SELECT entity, p1, b + v AS p2, round(mean, 9) AS mean, round(variance, 9) AS variance, round(greatest(mean - 1.96*sqrt(variance), 0), 9) AS lower, round(least(mean + 1.96*sqrt(variance), 1), 9) AS upper, observation_count, mismatches, b AS alpha_purchase, v AS alpha_view FROM m""",
+    "unreliable_tools": f"WITH {_E}, s AS (SELECT user_id AS tool, (count(*) FILTER (ok) + 1.0::DOUBLE)/(count(*) + 2) AS r FROM e GROUP BY 1) SELECT tool, round(r, 9) AS reliability FROM s WHERE NOT r > 0.8",
+    "registered_tools": f"""WITH {_E}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e), z AS (SELECT user_id, max(i) FILTER (ok) AS z FROM n GROUP BY 1),
+s AS (SELECT user_id, count(*) FILTER (ok) AS ok, count(*) AS total, count(*) FILTER (NOT ok AND i > coalesce(z, 0)) AS late FROM n JOIN z USING (user_id) GROUP BY 1)
+SELECT c_custkey AS tool, round((coalesce(ok, 0) + 1.0::DOUBLE)/(coalesce(total, 0) + 2), 9) AS reliability, coalesce(total, 0) AS total_calls, coalesce(late, 0) AS recent_failures FROM customer LEFT JOIN s ON user_id = c_custkey""",
+    "policy_text": """WITH k AS (SELECT event_id, event_type AS kind, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+a AS (SELECT event_id, coalesce(kind = 'view', false) OR coalesce(kind IN ('click', 'signup') AND NOT coalesce(k > 60, false), false) OR coalesce(kind = 'purchase' AND k < 40 AND k <> 7, false) AS allow FROM k)
+SELECT event_id, CASE WHEN allow THEN 'approve' ELSE 'reject' END AS decision, CASE WHEN NOT allow THEN 'Rego policy denied the action' END AS reason FROM a""",
+    "rate_limits_reset": """WITH RECURSIVE m AS (SELECT *, sum(CAST(event_type = 'signup' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM events),
+n AS (SELECT event_id, user_id, CAST(epoch AS BIGINT) AS epoch, epoch_us(ts)/1000000.0::DOUBLE AS now_, row_number() OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id) AS i FROM m WHERE event_type <> 'signup'),
+f(event_id, user_id, epoch, i, at_, had, allowed) AS (SELECT event_id, user_id, epoch, i, now_, 3.0::DOUBLE, true FROM n WHERE i = 1
+ UNION ALL SELECT n.event_id, n.user_id, n.epoch, n.i, n.now_, least(3.0, f.had - CAST(f.allowed AS INT) + (n.now_ - f.at_)*0.00002::DOUBLE), least(3.0, f.had - CAST(f.allowed AS INT) + (n.now_ - f.at_)*0.00002::DOUBLE) >= 1 FROM f JOIN n ON n.user_id = f.user_id AND n.epoch = f.epoch AND n.i = f.i + 1)
+SELECT event_id, epoch, allowed, CASE WHEN allowed THEN CAST(floor(had - 1) AS BIGINT) ELSE 0 END AS remaining FROM f""",
+    "bias_distribution": "WITH n AS (SELECT event_type, CAST(count(*) FILTER (day(ts) > 15) AS DOUBLE) AS o, CAST(count(*) FILTER (day(ts) <= 15) AS DOUBLE) AS f FROM events GROUP BY 1), " + _chi("SELECT o, greatest(CASE WHEN event_type = 'error' THEN 1.0 ELSE f END, 1e-10) AS e FROM n"),
+    "budget_reset": f"""WITH {_ROUTED}, m AS (SELECT *, CAST(sum(CAST(event_type = 'signup' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM r),
+s AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM m WHERE event_type <> 'signup')
+SELECT event_id, epoch, CAST(cost AS BIGINT) AS cost_mills, spent AS spent_mills, spent <= 100 AS within FROM s""",
+    "session_reclassified": f"""WITH {_ROUTED}, k AS (SELECT user_id, ts, event_id, 0 AS late, domain, confidence, {_RISK} AS risk FROM r UNION ALL SELECT user_id, ts, event_id, 1, 'Disorder', 0.9, NULL FROM r WHERE event_type = 'error'),
+s AS (SELECT user_id AS session, count(*) AS depth, arg_max(domain, (ts, event_id, late)) AS domain, arg_max(confidence, (ts, event_id, late)) AS confidence, coalesce(bool_or(risk >= 0.95), false) AS has_rejection, coalesce(bool_or(risk >= 0.5 AND risk < 0.95), false) AS up FROM k GROUP BY 1)
+SELECT session, depth, domain, round(confidence, 9) AS confidence, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence > 0 THEN 'low' ELSE 'unknown' END AS level, has_rejection, up OR domain = 'Disorder' AS requires_human FROM s""",
+    "session_reasoning": "SELECT user_id AS session, string_agg(event_type, ',' ORDER BY ts, event_id) AS log FROM events WHERE event_type <> 'view' GROUP BY 1",
     "beta_posterior": f"""WITH {_E}, s AS (SELECT user_id, count(*) FILTER (ok) + 1.0::DOUBLE AS a, count(*) FILTER (NOT ok) + 1.0::DOUBLE AS b FROM e GROUP BY 1), m AS (SELECT *, {_BETA} FROM s)
 SELECT user_id, a AS alpha, b AS beta, round(mean, 9) AS mean, round(variance, 9) AS variance, round(CASE WHEN a > 1 AND b > 1 THEN (a - 1)/(a + b - 2) ELSE mean END, 9) AS mode, round(greatest(mean - 1.96*sqrt(variance), 0), 9) AS lower, round(least(mean + 1.96*sqrt(variance), 1), 9) AS upper FROM m""",
     "normal_posterior": """WITH s AS (SELECT user_id, count(value) AS n, coalesce(sum(value), 0) AS s FROM events GROUP BY 1), p AS (SELECT user_id, (s/25)/(0.01 + n/25) AS mean, 1/(0.01 + n/25) AS v FROM s)
@@ -134,7 +209,7 @@ SELECT session, depth, domain, round(confidence, 9) AS confidence, CASE WHEN con
 SELECT state_id, arg_max(x, steps) AS x, arg_max(prev, steps) AS final_node, CAST(max(steps) AS BIGINT) AS steps, CASE WHEN bool_or(node IS NULL) THEN NULL ELSE 'max_steps_exceeded' END AS error FROM w GROUP BY 1""",
 }
 SQL["study_estimate"] = SQL["ols_adjusted"]
-_CUTS = [round(sum(2.718281828459045**-1 / f for f in fs) * 1000003) for fs in [[1], [1, 1], [1, 1, 2], [1, 1, 2, 6], [1, 1, 2, 6, 24], [1, 1, 2, 6, 24, 120], [1, 1, 2, 6, 24, 120, 720], [1, 1, 2, 6, 24, 120, 720, 5040]]]
+_CUTS = [round(sum(2.718281828459045**-1 / f for f in fs) * _P) for fs in [[1], [1, 1], [1, 1, 2], [1, 1, 2, 6], [1, 1, 2, 6, 24], [1, 1, 2, 6, 24, 120], [1, 1, 2, 6, 24, 120, 720], [1, 1, 2, 6, 24, 120, 720, 5040]]]
 _WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in _CUTS)
-SQL["bootstrap_refute"] = _refute("bootstrap", f"""h AS (SELECT rep, on_, y, (unit * 2654435761 + rep * 40503 + 789) % 1000003 AS u FROM l, range(20) AS x(rep)), g AS (SELECT rep, on_, y, {_WEIGHT} AS w FROM h),
-m AS (SELECT avg(a) AS m FROM (SELECT coalesce(sum(y*w) FILTER (on_)/sum(w) FILTER (on_), 0) - coalesce(sum(y*w) FILTER (NOT on_)/sum(w) FILTER (NOT on_), 0) AS a FROM g GROUP BY rep))""", "abs(m.m - o.ate)/abs(o.ate) < 0.2")
+SQL["bootstrap_refute"] = _refute("bootstrap_refutation", _coins(789, 20) + f""", v AS (SELECT rep, on_, y, {_WEIGHT} AS w FROM h),
+m AS (SELECT avg(a) AS m FROM (SELECT coalesce(sum(y*w) FILTER (on_)/sum(w) FILTER (on_), 0) - coalesce(sum(y*w) FILTER (NOT on_)/sum(w) FILTER (NOT on_), 0) AS a FROM v GROUP BY rep))""", "abs(m.m - o.ate)/abs(o.ate) < 0.2")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from plumbline.operators import effects
+from plumbline.operators import effects, refuters
 from plumbline.operators.graphs import CausalGraph
 
 
@@ -37,4 +37,4 @@ class Study:
         """A row for each refutation test of the unadjusted effect."""
         ate = effects.difference_in_means(self.df, self.treatment, self.outcome).first()["ate"]
         args = (self.df, self.treatment, self.outcome, ate, unit)
-        return effects.placebo(self.df, self.outcome, ate, unit, tolerance).unionByName(effects.random_common_cause(*args)).unionByName(effects.subset_validation(*args)).unionByName(effects.bootstrap(*args))
+        return refuters.placebo(self.df, self.outcome, ate, unit, tolerance).unionByName(refuters.random_common_cause(*args)).unionByName(refuters.subset_validation(*args)).unionByName(refuters.bootstrap(*args))

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import concurrent.futures
+import functools
 import json
-from collections.abc import Callable
+import logging
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from typing import Any
+from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.scratch import materialize, release
+
+#: Steps of a table of states between two writes of it.
+STEPS_A_WRITE = 20
+
 
 class WorkflowError(Exception):
     """Base of the workflow errors."""
@@ -63,6 +70,48 @@ class Checkpoint:
         return cls(**json.loads(text))
 
 
+class EventCollector:
+    """A hook that keeps events in their order."""
+
+    def __init__(self):
+        self.events: list[dict] = []
+
+    def __call__(self, event: dict) -> None:
+        self.events.append(event)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(ord, event, node, step, target, error), a row an event."""
+        rows = [(i, e["event"], e.get("node"), e.get("step", e.get("steps")), e.get("target"), e.get("error")) for i, e in enumerate(self.events)]
+        return spark.createDataFrame(rows, "ord int, event string, node string, step int, target string, error string")
+
+
+class TracingHook:
+    """A hook that writes events to a logger: failures as warnings, the rest as debug messages."""
+
+    def __init__(self, logger: logging.Logger | None = None):
+        self.logger = logger or logging.getLogger("plumbline.workflow")
+
+    def __call__(self, event: dict) -> None:
+        level = logging.WARNING if event["event"] == "node_failed" else logging.DEBUG
+        self.logger.log(level, "%s %s", event["event"], {k: v for k, v in event.items() if k != "event"})
+
+
+class AnalyticalEngine(Protocol):
+    """What answers the requests of one domain: a table in, a table out."""
+
+    domain: str
+
+    def analyze(self, requests: DataFrame) -> DataFrame: ...
+
+
+def dispatch(requests: DataFrame, engines: Sequence[AnalyticalEngine], domain: str = "domain") -> DataFrame:
+    """Each domain's requests through its engine, in one table; requests without an engine are left out."""
+    parts = [e.analyze(requests.where(F.col(domain) == e.domain)) for e in engines]
+    if not parts:
+        raise ValueError("no engine")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 class Workflow:
     """Nodes are functions state -> state; an edge chosen by the state goes before a fixed edge."""
 
@@ -188,12 +237,21 @@ def run_table(states: DataFrame, nodes: dict[str, TableNode], max_steps: int) ->
     """``states`` (current_node and data columns) with final_node, steps and error.
 
     All rows take their steps together in one projection a step, without shuffle; a row that
-    is done stays as it is. Unfinished rows get the error max_steps_exceeded, rows that meet
+    is done stays as it is. Every STEPS_A_WRITE steps the states are written, so that plans stay
+    small, and once all are done no further step is made. Unfinished rows get the error max_steps_exceeded, rows that meet
     an unknown node node_not_found.
     """
     data = sorted({c for n in nodes.values() for c in n.updates})
     out = states.withColumns({"final_node": F.lit(None).cast("string"), "steps": F.lit(0).cast("long"), "error": F.lit(None).cast("string")})
-    for _ in range(max_steps):
+    before = None
+    for step in range(max_steps):
+        if step and step % STEPS_A_WRITE == 0:
+            out = materialize(out)
+            if before is not None:
+                release(before)
+            before = out
+            if out.where("current_node is not null and error is null").isEmpty():
+                break
         live = F.col("current_node").isNotNull() & F.col("error").isNull()
         known = F.col("current_node").isin(list(nodes))
         changed = {}

@@ -6,10 +6,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.functions import confidence_level, fold_sessions
-from plumbline.operators import beliefs, effects, guards, routing
-from plumbline.operators.graphs import CausalGraph, reachable
+from plumbline import scratch
+from plumbline.functions import confidence_level, fold_sessions, reasoning_log, reclassify
+from plumbline.functions.order import epochs, numbered, running_total
+from plumbline.operators import beliefs, effects, guards, refuters, routing
+from plumbline.operators.graphs import CausalGraph, closure, reachable, separated
+from plumbline.operators.policy_text import PolicyError, compile_policy, text_policy
 from plumbline.plans.study import Study
+from plumbline.plans import workflow
 from plumbline.plans.workflow import ApprovalNeeded, Checkpoint, CycleFound, NodeFailed, NodeTimedOut, NoEntry, TableNode, TooManySteps, UnknownNode, Workflow, run_table
 
 
@@ -74,13 +78,90 @@ def test_counterfactuals(spark):
 
 
 def test_refuters(spark):
-    df = spark.range(100).select("id", (F.col("id") < 50).cast("double").alias("t"), F.when(F.col("id") < 50, 10.0).otherwise(5.0).alias("y"))
-    assert effects.subset_validation(df, "t", "y", 5.0, "id").first().passed
-    assert effects.bootstrap(df, "t", "y", 5.0, "id").first().passed
-    assert effects.random_common_cause(df, "t", "y", 5.0, "id").first().passed
-    assert effects.placebo(df, "y", 5.0, "id", 3.0).first().passed
-    lcg = effects.Lcg(42)
-    assert [round(lcg.uniform(), 9) for _ in range(3)] == [0.490021672, 0.468765184, 0.560224195]
+    df = spark.range(100).selectExpr("id", "double(id < 50) as t", "if(id < 50, 10D, 5D) as y")
+    assert refuters.subset_validation(df, "t", "y", 5.0, "id").first().passed
+    assert refuters.bootstrap(df, "t", "y", 5.0, "id").first().passed
+    assert refuters.random_common_cause(df, "t", "y", 5.0, "id").first().passed
+    assert refuters.placebo(df, "y", 5.0, "id", 3.0).first().passed
+    assert not refuters.subset_validation(df.limit(0), "t", "y", 5.0, "id").first().passed
+    # units of any size, and null ones
+    far = df.selectExpr("if(id = 7, null, id * 92233720368547758 - 4000000000000000000) as id", "t", "y")
+    assert refuters.subset_validation(far, "t", "y", 5.0, "id").first().passed and refuters.bootstrap(far, "t", "y", 5.0, "id").first().passed
+
+
+def test_replicates_are_independent(spark):
+    cols = [refuters.coin("id", r, 456) for r in range(6)]
+    x = np.array([list(r) for r in spark.range(4000).select(*cols).collect()]) / refuters.COIN
+    assert x.min() >= 0 and x.max() < 1 and np.abs(x.mean(axis=0) - 0.5).max() < 0.03 and np.abs(x.std(axis=0) - 12**-0.5).max() < 0.02
+    assert np.abs(np.corrcoef(x.T) - np.eye(6)).max() < 0.06 and np.abs(np.corrcoef(x[1:, 0], x[:-1, 0])[0, 1]) < 0.06
+
+
+class Sequential:
+    """The generator, draw after draw."""
+
+    def __init__(self, seed):
+        self.state = seed
+
+    def draw(self):
+        self.state = (self.state * 6364136223846793005 + 1) % (1 << 64)
+        return (self.state >> 33) / float(1 << 31)
+
+
+def test_sequential_refuters(spark):
+    one = Sequential(42)
+    want = [one.draw() for _ in range(300)]
+    assert want[:3] == pytest.approx([0.490021672, 0.468765184, 0.560224195])
+    assert refuters.draws_at(42, np.arange(300)).tolist() == want and refuters.draws_at(42, np.array([299, 7])).tolist() == [want[299], want[7]]
+    rng = np.random.default_rng(3)
+    t, y = (rng.random(41) < 0.5).astype(float), rng.normal(size=41)
+    y[5], n = np.nan, 41
+    rows = [(i, float(a), None if np.isnan(b) else float(b)) for i, (a, b) in enumerate(zip(t, y))]
+    df = spark.createDataFrame(rows, "id long, t double, y double").repartition(5)
+    keep = ~np.isnan(y)
+    t, y, n = t[keep], y[keep], 40
+    mean = lambda a, b: (b[a > 0.5].mean() if (a > 0.5).any() else 0.0) - (b[a <= 0.5].mean() if (a <= 0.5).any() else 0.0)
+    g = Sequential(42)
+    flips = np.array([float(g.draw() < 0.5) for _ in range(n)])
+    assert refuters.placebo_sequential(df, "y", 0.3, ["id"], 1.0).first().refuted_effect == pytest.approx(mean(flips, y))
+    g, effects_ = Sequential(123), []
+    for _ in range(4):
+        x = np.array([g.draw() * 2 - 1 for _ in range(n)])
+        effects_.append(np.linalg.lstsq(np.column_stack([np.ones(n), t, x]), y, rcond=None)[0][1])
+    assert refuters.random_common_cause_sequential(df, "t", "y", 0.3, ["id"], 4).first().refuted_effect == pytest.approx(np.mean(effects_))
+    g, effects_ = Sequential(456), []
+    for _ in range(4):
+        items = list(range(n))
+        for i in range(32):
+            j = i + int(g.draw() * (n - i)) % (n - i)
+            items[i], items[j] = items[j], items[i]
+        effects_.append(mean(t[items[:32]], y[items[:32]]))
+    assert refuters.subset_sequential(df, "t", "y", 0.3, ["id"], 0.8, 4).first().refuted_effect == pytest.approx(np.mean(effects_))
+    g, effects_ = Sequential(789), []
+    for _ in range(4):
+        items = [int(g.draw() * n) % n for _ in range(n)]
+        effects_.append(mean(t[items], y[items]))
+    assert refuters.bootstrap_sequential(df, "t", "y", 0.3, ["id"], 4).first().refuted_effect == pytest.approx(np.mean(effects_))
+
+
+def test_null_groups_and_several_effects(spark):
+    df = spark.createDataFrame([(1, "a", 1.0, 5.0), (2, None, 1.0, 6.0), (3, None, 0.0, 2.0), (4, "a", 0.0, 1.0), (5, "lone", 1.0, 7.0)], "id int, k string, t double, y double")
+    got = {r.id: r.cf_outcome for r in effects.counterfactual_from_data(df, "t", "y", 0.0, ["k"]).collect()}
+    assert got == {1: 1.0, 2: 2.0, 3: 2.0, 4: 1.0, 5: 0.0}
+    other = {r.id: r.cf_outcome for r in effects.counterfactual(df, spark.createDataFrame([("a", 2.0, None)], "k string, ate double, std_error double"), "t", "y", 0.0, ["k"]).collect()}
+    assert other == {1: 3.0, 2: None, 3: None, 4: 1.0, 5: None}
+    two = spark.createDataFrame([(1.0, None), (2.0, None)], "ate double, std_error double")
+    with pytest.raises(Exception, match="several effects"):
+        effects.counterfactual(df, two, "t", "y", 0.0).collect()
+
+
+def test_ipw_by_steps_is_the_same(spark, monkeypatch):
+    df = spark.range(120).selectExpr("if(id % 3 = 0, null, 'g') as k", "double(id % 5 < 2) as t", "double(id % 7) / 7 as x", "double(id % 11) + id % 5 as y")
+    monkeypatch.setattr(effects, "STEPS", 6)
+    cells = df.groupBy("k", "t", F.col("x").alias("x0")).agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")).toPandas()
+    for keys, parts in (([], [cells]), (["k"], [cells[cells.k.isna()], cells[cells.k == "g"]])):
+        far = sorted(effects.ipw(df, "t", "y", ["x"], keys, max_cells=1).collect(), key=lambda r: r.n_obs)
+        for (ate, error, n), r in zip(sorted((effects._ipw_fit(part, 1) for part in parts), key=lambda x: x[2]), far, strict=True):
+            assert r.n_obs == n and r.ate == pytest.approx(ate) and r.std_error == pytest.approx(error)
 
 
 def test_study(spark):
@@ -266,7 +347,7 @@ def test_bias(spark):
 
 
 def test_classification(spark):
-    texts = ["Why did it change? What was the cause and effect?", "asdfg12345", "There is an emergency outage, urgent crisis!", None]
+    texts = ["Why did sales fall, and what was the cause or effect of it?", "zz 9 qq", "Crisis: an urgent emergency, the third outage today", None]
     got = routing.classify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string"), "text").orderBy("id").collect()
     assert [r.domain for r in got] == ["Complicated", "Disorder", "Chaotic", "Disorder"] and got[1].confidence == 0.0
     assert got[2].confidence == pytest.approx(4 / 6) and len(got[0].all_scores) == 4 and got[0].all_scores[0].domain == "Complicated"
@@ -360,3 +441,159 @@ def test_sessions(spark):
     got = {r.session: r for r in fold_sessions(steps).collect()}
     assert (got["s"].depth, got["s"].domain, got["s"].level, got["s"].has_rejection, got["s"].requires_human) == (2, "Complex", "low", True, False)
     assert got["t"].requires_human
+
+
+# tables of any order, nulls and resets
+
+
+def test_running_total_and_places(spark):
+    rows = [(None if i % 10 == 0 else (i * 37) % 101, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "o int, id int").repartition(6)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert {r.id: r.position for r in numbered(df, ["o", "id"]).collect()} == {r[1]: k for k, r in enumerate(order)}
+    sums = np.cumsum([r[1] for r in order])
+    assert {r.id: r.total for r in running_total(df, F.col("id"), ["o", "id"], "total").collect()} == {r[1]: int(x) for r, x in zip(order, sums)}
+
+
+def test_null_keys_and_orders(spark):
+    calls = spark.createDataFrame([(None, i, "2024-01-01") for i in range(6)] + [(9007199254740993, 10 + i, "2024-01-01") for i in range(2)], "k long, id int, ts string")
+    got = guards.rate_limit(calls, "k", "ts", ["id"], 2, 0.0).collect()
+    assert sum(r.allowed for r in got if r.k is None) == 2 and {r.k for r in got} == {None, 9007199254740993}
+    late = guards.rate_limit(spark.createDataFrame([("a", 1, None), ("a", 2, "2024-01-01")], "k string, id int, ts string"), "k", "ts", ["id"], 1, 1.0).orderBy("id").collect()
+    assert [r.allowed for r in late] == [True, False]
+    spent = routing.spend(spark.createDataFrame([(None, "low"), (2, "low"), (1, "high"), (3, None)], "id int, tier string"), "tier", ["id"], 100).collect()
+    assert sorted((r.id or 0, r.spent_mills) for r in spent) == [(0, 10), (1, 210), (2, 220), (3, 220)]
+    tools = beliefs.tool_reliability(spark.createDataFrame([(None, True, 1), ("a", False, 2), (None, False, 3), ("a", None, 4)], "t string, ok boolean, at int"), "t", F.col("ok"), ["at"], 0.5)
+    assert {r.tool: (r.total_calls, r.recent_failures) for r in tools.collect()} == {None: (2, 1), "a": (2, 2)}
+    assert [r.tool for r in beliefs.unreliable(tools, 0.4).collect()] == ["a"]
+    known = spark.createDataFrame([("a",), ("new",)], "tool string")
+    got = {r.tool: (r.reliability, r.total_calls) for r in beliefs.tool_reliability(spark.createDataFrame([("a", True, 1), ("b", True, 1)], "t string, ok boolean, at int"), "t", F.col("ok"), ["at"], 0.5, registry=known).collect()}
+    assert got == {"a": (pytest.approx(2 / 3), 1), "new": (0.5, 0)}
+
+
+def test_resets(spark):
+    rows = [("a", i, "reset" if i == 3 else "call", "2024-01-01") for i in range(7)]
+    live = epochs(spark.createDataFrame(rows, "k string, id int, kind string, ts string"), ["k"], ["id"], F.col("kind") == "reset")
+    limited = guards.rate_limit(live, ["k", "epoch"], "ts", ["id"], 2, 0.0).orderBy("id").collect()
+    assert [(r.id, r.epoch, r.allowed) for r in limited] == [(0, 0, True), (1, 0, True), (2, 0, False), (4, 1, True), (5, 1, True), (6, 1, False)]
+    spent = routing.spend(live.withColumn("tier", F.lit("low")), "tier", ["id"], 20, ["k", "epoch"]).orderBy("id").collect()
+    assert [r.spent_mills for r in spent] == [10, 20, 30, 10, 20, 30]
+    seen = guards.loops(live.withColumn("node", F.lit("n")), ["k", "epoch"], "node", ["id"], 2, 2).orderBy("id").collect()
+    assert [r.visits for r in seen] == [1, 2, 3, 1, 2, 3]
+    broken = guards.breaker(live, ["k", "epoch"], F.lit(False), "ts", ["id"], 2, 10.0).orderBy("id").collect()
+    assert [r.failures for r in broken] == [1, 2, 3, 1, 2, 3]
+
+
+def test_categorical_tracking(spark):
+    rows = [("a", "categorical", [1, 0, 2]), ("a", "categorical", [1, 1]), ("a", "binary", None), ("a", "categorical", [None, 1, 1]), ("b", "binary", None)]
+    obs = spark.createDataFrame(rows, "entity string, kind string, counts array<long>")
+    got = {r.entity: r for r in beliefs.track(obs, "categorical", prior=[1.0, 2.0, 3.0]).collect()}
+    assert got["a"].alphas == [2.0, 2.0, 5.0] and (got["a"].observation_count, got["a"].mismatches) == (3, 1) and got["a"].mean == pytest.approx(2 / 9)
+    assert got["b"].alphas == [1.0, 2.0, 3.0] and got["b"].observation_count == 0
+    assert got["a"].variance == pytest.approx(2 * 7 / (81 * 10)) and got["a"].lower == 0.0
+    with pytest.raises(ValueError):
+        beliefs.track(obs, "categorical", prior=[1.0])
+
+
+def test_policy_texts(spark):
+    rows = ['{"role": "admin", "risk": 0.2, "n": 3}', '{"role": "guest", "risk": 0.2, "deep": {"ok": true}}', '{"risk": "high"}', None, "not json", '{"role": "a;b # c"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, c string")
+    allow = lambda text: [r[0] for r in df.orderBy("id").select(compile_policy(text, "c")).collect()]
+    assert allow('package policy\ndefault allow = false\nallow { input.role == "admin"; input.risk < 0.5 }') == [True, False, False, False, False, False]
+    assert allow('allow if { input.deep.ok }\nallow if input.role == "admin"') == [True, True, False, False, False, False]
+    assert allow('allow {\n not input.role == "admin" # never\n}') == [False, True, True, True, True, True]
+    assert allow('allow { input.role in ["guest", "a;b # c"] }') == [False, True, False, False, False, True]
+    assert allow("default allow := true") == [True] * 6 and allow('allow { input["n"] >= 3 }') == [True] + [False] * 5
+    told = df.orderBy("id").select(guards.policy_chain(text_policy('allow { input.role == "admin" }', "c")).alias("p")).collect()
+    assert told[0].p.decision == "approve" and told[1].p.decision == "reject" and told[1].p.reason
+    for bad in ("deny { input.x }", "allow { }", "allow { count(input.x) > 1 }", "allow { input.a == b }", 'allow { "x" }', "allow { true < input.a }", "else"):
+        with pytest.raises(PolicyError):
+            compile_policy(bad, "c")
+
+
+def test_metrics_and_drift_with_other_domains(spark):
+    m = spark.createDataFrame([("Clear", "Own", 3), ("Own", "Own", 1)], "predicted string, actual string, n long")
+    got = {r.domain: r for r in routing.domain_metrics(m).collect()}
+    assert set(got) == {*routing.DOMAINS, "Own"} and got["Own"].recall == 0.25 and got["Own"].precision == 1.0 and got["Chaotic"].total == 4
+    assert {r.total for r in routing.domain_metrics(m.limit(0)).collect()} == {None}
+    now, then = (spark.createDataFrame([("x", a), ("y", b)], "domain string, n long") for a, b in ((1, 3), (3, 1)))
+    assert routing.drift(now, then, 0.1, domains=("x", "y")).first().kl == pytest.approx(0.25 * np.log(1 / 3) + 0.75 * np.log(3))
+
+    class Fixed:
+        def classify(self, df, text):
+            return df.withColumns({"domain": F.lit("Own"), "confidence": F.lit(1.0), "all_scores": F.array()})
+
+    table = routing.route_table(spark, {"Own": ("u", "high"), "Clear": ("c", "free")})
+    asked = spark.createDataFrame([(1, "what is this? define it"), (2, "zz")], "id int, text string")
+    assert {r.url for r in routing.Router(table, Fixed()).route(asked, "text").collect()} == {"u"}
+    kept = routing.Router(table).route_with_budget(asked, "text", ["id"], 0).orderBy("id").collect()
+    assert [(r.domain, r.final_url) for r in kept] == [("Clear", "c"), ("Disorder", None)]
+
+
+def test_edge_tables_agree_with_graphs(spark):
+    rng = np.random.default_rng(4)
+    names = [f"v{i}" for i in range(8)]
+    pairs = [(names[i], names[j]) for i in range(8) for j in range(i + 1, 8) if rng.random() < 0.3]
+    graph = CausalGraph(pairs, names)
+    edges = spark.createDataFrame([*pairs, (None, "v1"), pairs[0]], "src string, dst string")
+    seen = {v for p in pairs for v in p}
+    asked = [(q, *rng.choice(names, 2).tolist(), rng.choice(names, rng.integers(0, 3), replace=False).tolist()) for q in range(40)] + [(90, "v0", "gone", []), (91, "v2", "v2", [])]
+    questions = spark.createDataFrame([a[:3] for a in asked], "question int, x string, y string")
+    given_ = spark.createDataFrame([(a[0], z) for a in asked for z in [*a[3], "unknown"]], "question int, node string")
+    got = {r.question: r.separated for r in separated(edges, questions, given_).collect()}
+    assert got == {q: not {x, y} <= seen or graph.d_separated(x, y, z) for q, x, y, z in asked}
+    seeds = spark.createDataFrame([("v0",), ("v5",), (None,)], "node string")
+    below = {(r.seed, r.node) for r in closure(edges, seeds).collect()}
+    assert below == {(s, n) for s in ("v0", "v5") for n in graph.descendants(s) | {s}}
+    above = {(r.seed, r.node) for r in closure(edges, seeds, above=True).collect()}
+    assert above == {(s, n) for s in ("v0", "v5") for n in graph.ancestors([s])}
+
+
+def test_hooks_and_engines(spark, caplog):
+    flow, seen = Workflow(), workflow.EventCollector()
+    flow.add_node("a", lambda s: s + 1).add_node("b", lambda s: 1 // 0).set_entry("a").add_conditional_edge("a", lambda s: "b").add_hook(seen).add_hook(workflow.TracingHook())
+    with caplog.at_level("DEBUG", "plumbline.workflow"), pytest.raises(NodeFailed):
+        flow.execute(1, 5)
+    assert [e["event"] for e in seen.events] == ["node_started", "node_completed", "route_decision", "node_started", "node_failed"]
+    assert [r.event for r in seen.frame(spark).orderBy("ord").collect()] == [e["event"] for e in seen.events]
+    assert [r.levelname for r in caplog.records].count("WARNING") == 1
+
+    class Engine:
+        def __init__(self, domain):
+            self.domain = domain
+
+        def analyze(self, requests):
+            return requests.withColumn("by", F.lit(self.domain))
+
+    asked = spark.createDataFrame([(1, "Clear"), (2, "Complex"), (3, "Chaotic")], "id int, domain string")
+    assert {(r.id, r.by) for r in workflow.dispatch(asked, [Engine("Clear"), Engine("Complex")]).collect()} == {(1, "Clear"), (2, "Complex")}
+
+
+def test_long_table_workflow(spark):
+    x = F.col("x")
+    nodes = {"count": TableNode({"x": x - 1}, F.when(x > 0, F.lit("count")))}
+    states = spark.createDataFrame([(i, i, "count") for i in (0, 3, 50)], "id int, x int, current_node string")
+    got = {r.id: (r.x, r.steps, r.error) for r in run_table(states, nodes, 1000).collect()}
+    assert got == {0: (-1, 1, None), 3: (0, 3, None), 50: (0, 50, None)}
+
+
+def test_session_logs(spark):
+    steps = spark.createDataFrame([("s", 2, "Clear", 0.9, None, "b"), ("s", 1, "Complex", 0.4, "approve", "a"), ("u", 1, "Clear", 0.2, None, None)], "session string, seq int, domain string, confidence double, decision string, reasoning string")
+    assert [(r.session, r.log) for r in reasoning_log(steps).collect()] == [("s", ["a", "b"])]
+    changes = spark.createDataFrame([("s", 9, "Disorder", 0.1)], "session string, seq int, domain string, confidence double")
+    got = {r.session: r for r in fold_sessions(reclassify(steps, changes)).collect()}
+    assert (got["s"].domain, got["s"].depth, got["s"].requires_human) == ("Disorder", 3, True) and got["u"].domain == "Clear"
+
+
+def test_new_audit_entries(spark):
+    got = guards.new_entries(spark.range(3), "guard", F.lit("act"), F.lit("approve")).collect()
+    assert len({r.id for r in got}) == 3 and all(r.timestamp and r.metadata is None for r in got)
+
+
+def test_intermediate_tables_go(spark):
+    before = set(scratch._live)
+    one, two = scratch.materialize(spark.range(5)), scratch.materialize(spark.range(7))
+    scratch.release(one.where("id > 2"), two, keep=[two])
+    assert len(set(scratch._live) - before) == 1 and two.count() == 7
+    scratch.release(two)
+    assert set(scratch._live) == before
