@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import confidence_level, fold_sessions, reasoning_log, reclassify
 from plumbline.functions.order import epochs
 from plumbline.operators import beliefs, effects, guards, refuters, routing
-from plumbline.operators.graphs import CausalGraph, closure, reachable, separated
+from plumbline.operators.graphs import CausalGraph, adjustment_sets, closure, reachable, separated
 from plumbline.operators.policy_text import text_policy
 from plumbline.oracles import SQL
 from plumbline.plans.study import Study
@@ -163,6 +163,14 @@ def graph_ancestors(spark, d):
     return closure(_links(spark, d), orders, above=True)
 
 
+def graph_adjustment(spark, d):
+    """What to adjust for with each order and market segment as the treatment, where a segment also leads to a region."""
+    links = _links(spark, d)
+    back = links.where("dst like 'm%'").select(F.col("dst").alias("src"), F.lit("r0").alias("dst")).distinct()
+    asked = links.where("dst like 'o%' or dst like 'm%'").select(F.col("dst").alias("question"), F.col("dst").alias("x")).distinct()
+    return adjustment_sets(links.unionByName(back), asked)
+
+
 def graph_separated(spark, d):
     """Each supplier and the customer of the same number: given nothing, its nation, the customer's segment, or both."""
     both = read_table(spark, d, "supplier").join(read_table(spark, d, "customer"), F.col("s_suppkey") == F.col("c_custkey"))
@@ -411,7 +419,7 @@ def workflow_batch(spark, d):
 _ALL = [
     diff_in_means, ols_adjusted, iv_2sls, ipw_effect, counterfactual_units, placebo_refute, subset_refute, bootstrap_refute, random_common_cause_refute,
     placebo_sequential, common_cause_sequential, bootstrap_sequential, subset_sequential, study_estimate,
-    dag_parents, dag_closure, backdoor_set, frontdoor_sets, dsep_table, graph_reachable, graph_ancestors, graph_separated,
+    dag_parents, dag_closure, backdoor_set, frontdoor_sets, dsep_table, graph_reachable, graph_ancestors, graph_adjustment, graph_separated,
     beta_posterior, normal_posterior, gamma_posterior, dirichlet_posterior, belief_running, belief_tracked, belief_categorical, belief_batch,
     tool_reliability, most_reliable_tool, unreliable_tools, registered_tools, mcmc_normal,
     policy_decisions, policy_text, breaker_states, loop_checks, visit_history, rate_limits, rate_limits_reset, escalation_status, audit_recent, bias_uniformity, bias_distribution, bias_approval,

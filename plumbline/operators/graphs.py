@@ -203,6 +203,17 @@ def closure(edges: DataFrame, seeds: DataFrame, above: bool = False, max_rounds:
     return _rounds(start, lambda f: f.join(links, "node").select("seed", F.col("next").alias("node")), max_rounds)
 
 
+def adjustment_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(question, node): for each treatment (question, x) its parents that it does not reach, over (src, dst).
+
+    The table form of the back-door set in its ``parents`` mode; a treatment without any has no row.
+    """
+    asked = questions.where("question is not null and x is not null").select("question", "x")
+    parents = asked.join(edges.where("src is not null").select("src", F.col("dst").alias("x")).distinct(), "x").select("question", "x", F.col("src").alias("node"))
+    below = closure(edges, asked.select(F.col("x").alias("node")), max_rounds=max_rounds).where("seed <> node").withColumnRenamed("seed", "x")
+    return parents.join(below, ["x", "node"], "left_anti").select("question", "node")
+
+
 def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(question, x, y, separated): whether no path between x and y is open given the question's set.
 

@@ -113,6 +113,9 @@ SELECT q.graph, coalesce(array_to_string(list_sort(m), ','), '') AS mediators FR
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY node""",
     "graph_ancestors": f"""WITH RECURSIVE {_NODES}, c(seed, node) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey FROM orders UNION SELECT c.seed, e.src FROM c JOIN e ON e.dst = c.node)
 SELECT seed, node FROM c""",
+    "graph_adjustment": f"""WITH RECURSIVE {_NODES}, b AS (SELECT * FROM e UNION ALL SELECT DISTINCT 'm' || c_mktsegment, 'r0' FROM customer),
+c(seed, node) AS (SELECT DISTINCT src, dst FROM b WHERE src LIKE 'm%' OR src LIKE 'o%' UNION SELECT c.seed, b.dst FROM c JOIN b ON b.src = c.node)
+SELECT DISTINCT dst AS question, src AS node FROM b WHERE (dst LIKE 'o%' OR dst LIKE 'm%') AND NOT EXISTS (SELECT 1 FROM c WHERE c.seed = b.dst AND c.node = b.src)""",
     "graph_separated": f"""WITH RECURSIVE {_NODES.replace(" UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders", "")},
 q AS (SELECT s_suppkey AS question, 's' || s_suppkey AS x, 'c' || c_custkey AS y, 'n' || s_nationkey AS nation, 'm' || c_mktsegment AS segment FROM supplier JOIN customer ON s_suppkey = c_custkey),
 g AS (SELECT question, nation AS node FROM q WHERE question % 4 IN (1, 3) UNION SELECT question, segment FROM q WHERE question % 4 >= 2),

@@ -10,7 +10,7 @@ from plumbline import scratch
 from plumbline.functions import confidence_level, fold_sessions, reasoning_log, reclassify
 from plumbline.functions.order import epochs, numbered, running_total
 from plumbline.operators import beliefs, effects, guards, refuters, routing
-from plumbline.operators.graphs import CausalGraph, closure, reachable, separated
+from plumbline.operators.graphs import CausalGraph, adjustment_sets, closure, reachable, separated
 from plumbline.operators.policy_text import PolicyError, compile_policy, text_policy
 from plumbline.plans.study import Study
 from plumbline.plans import workflow
@@ -542,6 +542,8 @@ def test_edge_tables_agree_with_graphs(spark):
     given_ = spark.createDataFrame([(a[0], z) for a in asked for z in [*a[3], "unknown"]], "question int, node string")
     got = {r.question: r.separated for r in separated(edges, questions, given_).collect()}
     assert got == {q: not {x, y} <= seen or graph.d_separated(x, y, z) for q, x, y, z in asked}
+    sets = {(r.question, r.node) for r in adjustment_sets(edges, questions).collect()}
+    assert sets == {(q, v) for q, x, y, _ in asked for v in graph.backdoor(x, x) or ()}
     seeds = spark.createDataFrame([("v0",), ("v5",), (None,)], "node string")
     below = {(r.seed, r.node) for r in closure(edges, seeds).collect()}
     assert below == {(s, n) for s in ("v0", "v5") for n in graph.descendants(s) | {s}}
