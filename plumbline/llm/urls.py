@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import free_names, materialize
+from plumbline.llm.tables import free_names, materialize, release
 
 #: The host of an address in lower case, after any scheme and user: a bracketed number, or up to a port, path, query, fragment or backslash.
 HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#\\@]*@)?(\[[^\]/?#]*\]|[^/:?#\\\s]+)"
@@ -64,6 +64,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", f
     suffixes = asked.select("host", "day", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("depth", "domain"))
     spans = materialize(intervals(entries))
     active = suffixes.join(spans, "domain").where((F.col("day") >= F.col("starts")) & (F.col("ends").isNull() | (F.col("day") < F.col("ends")))).select("host", "day", F.struct((-F.col("depth")).alias("d"), "domain", "action").alias("hit"))
-    verdict = materialize(active.groupBy("host", "day").agg(F.max("hit").alias("hit"))).select(F.col("host").alias(other), F.col("day").alias(day), F.col("hit").alias(hit))
+    best = materialize(active.groupBy("host", "day").agg(F.max("hit").alias("hit")))
+    release(spans)
+    verdict = best.select(F.col("host").alias(other), F.col("day").alias(day), F.col("hit").alias(hit))
     joined = rows.join(verdict, (F.col(host) == F.col(other)) & (F.col(on) == F.col(day)), "left")
     return joined.select(*own, F.col(host).alias("host"), F.col(hit)["domain"].alias("matched_domain"), F.col(hit)["action"].alias("action"), F.coalesce(F.col(hit)["action"] != "block", F.lit(True)).alias("kept"))
