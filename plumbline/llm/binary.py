@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,19 +94,26 @@ def plan_decreasing(counts: np.ndarray) -> np.ndarray:
 
 
 def encode_cut(docs: DataFrame, capacity: int, end_id: int, id_col: str, text_col: str, folder: str | None) -> DataFrame:
-    """(doc_id, start, length, ids): every document whole, ended by ``end_id``, in pieces of ``capacity`` but for the last."""
+    """(doc_id, start, length, ids, task, place): every document whole, ended by ``end_id``, in pieces of ``capacity`` but for the last.
+
+    ``place`` counts a task's pieces of one length from 0.
+    """
+    names, kinds = ["doc_id", "start", "length", "ids", "task", "place"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_encoder(folder)
+        encode, task, met = byte_encoder(folder), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 rows = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = np.array([*encode(text or ""), end_id], "<u2")
-                    rows += [(doc, s, min(capacity, len(ids) - s), ids[s : s + capacity].tobytes()) for s in range(0, len(ids), capacity)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "length", "ids"])
+                    for s in range(0, len(ids), capacity):
+                        n = min(capacity, len(ids) - s)
+                        rows.append((doc, s, n, ids[s : s + n].tobytes(), task, met[n]))
+                        met[n] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, start long, length long, ids binary, task int, place long")
 
 
 def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -118,13 +126,13 @@ def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID,
     from 0 without gaps; how many there are, and how full, does not depend on partitions.
 
     Every row of ``docs`` is encoded whole and ended by ``end_id`` (null and empty texts: only
-    that), so each has at least one segment, repeated rows and null ids included. Pieces of one
-    length go by doc_id, start and ids. Other columns do not matter, whatever their names. An
+    that), so each has at least one segment, repeated rows and null ids included. Which pieces
+    of one length go where follows the tasks that encoded them. Other columns do not matter, whatever their names. An
     empty table gives an empty result.
     """
     arrow_limits(docs.sparkSession)
     pieces = encode_cut(docs, capacity, end_id, id_col, text_col, folder)
-    placed = best_fit_placements(pieces, capacity, tie_cols=("doc_id", "start", "ids"), plan=plan_decreasing)
+    placed = best_fit_placements(pieces, capacity, plan=plan_decreasing, counted=("task", "place"))
     # at most ``capacity`` pieces a sequence, and as many ids
     rows = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids"))).alias("s"))
     fill = "".join(f"{b:02X}" for b in int(end_id).to_bytes(2, "little"))
