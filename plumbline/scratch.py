@@ -52,9 +52,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _named(files: Iterable[str]) -> set[str]:
-    """The intermediate tables that hold these files, by the last part of their path."""
-    return {part for f in files for part in f.split("/")[-2:-1] if part.startswith(_PREFIX)}
+def _tables_of(df: DataFrame) -> set[str]:
+    """The intermediate tables that a plan scans, by name. Asks the plan for the folders of its scans, not for files."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out.update(roots.apply(k).getName() for k in range(roots.size()))
+    return {name for name in out if name.startswith(_PREFIX)}
 
 
 def release(*tables: DataFrame, keep: Iterable[DataFrame] = ()) -> None:
@@ -63,16 +69,15 @@ def release(*tables: DataFrame, keep: Iterable[DataFrame] = ()) -> None:
     Call it once a result has been written or collected. Only tables of these plans go, so
     queries that run beside each other do not meet.
     """
-    gone = set().union(*(_named(t.inputFiles()) for t in tables)) if tables else set()
-    gone -= set().union(*(_named(t.inputFiles()) for t in keep)) if keep else set()
-    for path in [p for p in _live if p.rsplit("/", 1)[1] in gone]:
+    gone = set().union(*map(_tables_of, tables)) - set().union(*map(_tables_of, keep))
+    for path in [p for p in list(_live) if p.rsplit("/", 1)[1] in gone]:
         system, target = _live.pop(path)
         system.delete(target, True)
 
 
 @atexit.register
 def _at_exit() -> None:
-    for system, target in _live.values():
+    for system, target in list(_live.values()):
         with contextlib.suppress(Exception):  # the JVM may be gone; the folder's owner cleans up
             system.delete(target, True)
     for folder in _own:
