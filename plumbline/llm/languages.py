@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, materialize, settled, text_slices
+from plumbline.llm.tables import arrow_limits, materialize, release, settled, text_slices
 from plumbline.llm.urls import host_of
 
 BUCKETS = 1 << 16
@@ -74,11 +74,15 @@ def train_languages(docs: DataFrame, max_docs: int = MAX_TRAIN) -> LanguageModel
     """
     arrow_limits(docs.sparkSession)
     named = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text")
-    if named.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("doc_id")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # the limit on a rank is applied before the shuffle too, so a hot language stays small
-    ids = named.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= max_docs).select("doc_id", "lang").distinct()
+    # a language's ids below this share of all hashes are half as many again as are wanted, so ranking them stays small
+    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(1.5 * max_docs / max(n, 1))) for lang, n in sizes), F.lit(1.0))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    few = named.where(spot < share * (1 << 31)).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(spot, F.xxhash64("doc_id"), "doc_id"))
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= max_docs).select("doc_id", "lang")
     chosen = named.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +168,9 @@ def identify(records: DataFrame, model: LanguageModel, keys: list[str], language
     smooth = lambda count, total, weight, up: (F.col(count) + weight * up) / (total + weight)
     of_hosts, of_suffixes = (functools.reduce(add, (F.col(f"{c}{i}") for i in range(n))) for c in "hs")
     priors = hosts.join(suffixes, "suffix").select("host", "suffix", *(F.log(smooth(f"h{i}", of_hosts, host_weight, smooth(f"s{i}", of_suffixes, suffix_weight, F.lit(share[i])))).alias(f"p{i}") for i in range(n)))
-    joined = scored.join(materialize(priors), ["host", "suffix"])  # written first, so that a hot host can be split
+    written = materialize(priors)  # so that a hot host's records can be split over tasks
+    release(hosts)
+    joined = scored.join(written, ["host", "suffix"])
     spread = F.lit(np.log((1 - honest) / max(n - 1, 1)).item())
     said = [F.when(F.substring_index("declared", "-", 1).isin(known), F.when(F.substring_index("declared", "-", 1) == x, F.lit(float(np.log(honest)))).otherwise(spread)).otherwise(0.0) for x in known]
     logs = joined.select(*keys, "first", *((F.col(f"p{i}") + said[i] + F.col(means[i]) * F.least("grams", F.lit(MAX_EVIDENCE))).alias(f"l{i}") for i in range(n)))
