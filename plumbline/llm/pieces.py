@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from plumbline.llm.tables import arrow_limits, settled, text_slices
 from plumbline.llm.vocabulary import file_path
 
 MARK = "▁"
-#: Encoded words a Python worker remembers between batches.
-REMEMBER = 300_000
+#: Characters of encoded words, and tests of neighbours, that a Python worker remembers between batches.
+REMEMBER_CHARS, REMEMBER_TESTS = 6_000_000, 1_500_000
 
 
 class PieceModel:
@@ -39,14 +40,16 @@ class PieceModel:
         if bad := [p for p in pieces if MARK in p.lstrip(MARK)]:
             raise ValueError(f"pieces cross marked words: {bad[:3]}")
         self.pieces, self.byte_ids, self.unknown, self.additive = pieces, byte_ids, unknown, additive
-        self.memo: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.backward: dict = {}
+        self.known: dict[str, bytes] = {}
+        self.known_chars = self.tests = 0
+        # pieces backwards, a node: (nodes by character, [piece, what may stand before it])
+        self.backward: tuple[dict, list] = ({}, [])
         for p in pieces:
             at = self.backward
             for c in reversed(p):
-                at = at.setdefault(c, {})
-            at[""] = p
+                at = at[0].setdefault(c, ({}, []))
+            at[1][:] = (p, {})
+        self.packed = {p: struct.pack("<i", i) for p, (i, _) in pieces.items()}
         self.floor = min((s for _, s in pieces.values()), default=0.0) - 10.0
         size = 1 + max([unknown, *(i for i, _ in pieces.values()), *byte_ids.values()])
         self.spelling = [b""] * size
@@ -69,62 +72,93 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _follows(self, a: str, b: str) -> bool:
-        key = (a, b)
-        got = self.memo.get(key)
-        if got is None:
-            if len(self.memo) > 2_000_000:
-                self.memo.clear()
-            got = self.memo[key] = self.merged(a + b) == ([a, b] if a else [b])
-        return got
-
     def _step(self, word: str, end: int, last: list[str], score: list[float]) -> None:
-        """Append the state of word[:end]."""
+        """Append the state of word[:end]: the best sum of scores."""
         at, best, value, begin = self.backward, None, 0.0, end
-        while begin and (at := at.get(word[begin - 1])) is not None:
+        while begin and (at := at[0].get(word[begin - 1])) is not None:
             begin -= 1
-            piece = at.get("")
-            if piece is None:
-                continue
-            if self.additive:
-                if best is None or score[begin] + self.pieces[piece][1] > value:
-                    best, value = piece, score[begin] + self.pieces[piece][1]
-            elif self._follows(last[begin], piece):
-                best = piece
-                break
+            if at[1] and (best is None or score[begin] + self.pieces[at[1][0]][1] > value):
+                best, value = at[1][0], score[begin] + self.pieces[at[1][0]][1]
         char = word[end - 1]
-        if char not in self.pieces and (best is None or self.additive and score[end - 1] + self.floor > value):
+        if char not in self.pieces and (best is None or score[end - 1] + self.floor > value):
             best, value = char, score[end - 1] + self.floor
         if best is None:
             raise ValueError(f"no piece sequence reaches {word[:end]!r}")
         last.append(best)
         score.append(value)
 
-    def _ids(self, piece: str) -> list[int]:
-        if piece in self.pieces:
-            return [self.pieces[piece][0]]
-        return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
+    def _steps(self, word: str, begin: int, last: list[str]) -> None:
+        """Append the states of word[: begin + 1] and on: the last piece, the one that may follow the state before it."""
+        root = self.backward
+        for end in range(begin + 1, len(word) + 1):
+            at, here = root, end
+            while here:
+                here -= 1
+                at = at[0].get(word[here])
+                if at is None:
+                    best = None
+                    break
+                if at[1]:
+                    best, may = at[1]
+                    before = last[here]
+                    good = may.get(before)
+                    if good is None:
+                        self.tests += 1
+                        good = may[before] = self.merged(before + best) == ([before, best] if before else [best])
+                    if good:
+                        break
+            else:
+                best = None
+            if best is None:
+                best = word[end - 1]
+                if best in self.pieces:
+                    raise ValueError(f"no piece sequence reaches {word[:end]!r}")
+            last.append(best)
+
+    def _ids(self, piece: str) -> bytes:
+        """The packed ids of a character that is no piece."""
+        ids = [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _forget(self) -> None:
+        if self.known_chars > REMEMBER_CHARS:
+            self.known.clear()
+            self.known_chars = 0
+        if self.tests > REMEMBER_TESTS:
+            nodes = [self.backward]
+            while nodes:
+                children, own = nodes.pop()
+                nodes += children.values()
+                if own:
+                    own[1].clear()
+            self.tests = 0
 
     def learn(self, words: list[str]) -> None:
         """Encode the words that are new, sorted, on one stack of prefix states."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        last, score, before = [""], [0.0], ""
+        self._forget()
+        last, score, before, packed = [""], [0.0], "", self.packed
         for word in sorted(set(words) - self.known.keys()):
             same = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :], score[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                self._step(word, end, last, score)
-            out: list[list[int]] = []
+            del last[same + 1 :]
+            if self.additive:
+                del score[same + 1 :]
+                for end in range(same + 1, len(word) + 1):
+                    self._step(word, end, last, score)
+            else:
+                self._steps(word, same, last)
+            out = []
             end = len(word)
             while end:
-                out.append(self._ids(last[end]))
-                end -= len(last[end])
-            self.known[word] = [i for ids in reversed(out) for i in ids]
+                piece = last[end]
+                out.append(packed.get(piece) or self._ids(piece))
+                end -= len(piece)
+            out.reverse()
+            self.known[word] = b"".join(out)
+            self.known_chars += len(word)
             before = word
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +168,8 @@ class PieceModel:
         own = coded.dictionary.to_pylist()
         self.learn(own)
         each = [self.known[w] for w in own]
-        size = np.array([len(x) for x in each], np.int64)
-        flat = np.fromiter((i for x in each for i in x), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<i4")
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n = size[codes]
         ends = np.concatenate(([0], np.cumsum(n)))
