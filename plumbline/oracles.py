@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries, written apart from the Spark code."""
 
+from plumbline.operators.routing import KEYWORDS
+
 _L = "l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice, l_discount > 0.05 AS on_, CAST(l_discount > 0.05 AS DOUBLE) AS t, l_extendedprice * (1 - l_discount) AS y, l_orderkey * 8 + l_linenumber AS unit FROM lineitem)"
 _DIM = """coalesce(avg(y) FILTER (on_), 0) - coalesce(avg(y) FILTER (NOT on_), 0)"""
 _SE = """sqrt(var_samp(y) FILTER (on_) / count(*) FILTER (on_) + var_samp(y) FILTER (NOT on_) / count(*) FILTER (NOT on_))"""
@@ -11,11 +13,14 @@ _EDGES = """edges(graph, src, dst) AS (VALUES
  ('mixed','A','B'),('mixed','B','C'),('mixed','C','D'),('mixed','A','E'),('mixed','B','E'),('mixed','E','D'),
  ('frontdoor','U','S'),('frontdoor','U','C'),('frontdoor','S','T'),('frontdoor','T','C'))"""
 _BETA = "a / (a + b) AS mean, a * b / ((a + b) * (a + b) * (a + b + 1)) AS variance"
-_ROUTED = """r0 AS (SELECT *, CASE event_type WHEN 'click' THEN 'Clear' WHEN 'view' THEN 'Complicated' WHEN 'purchase' THEN 'Complex' WHEN 'signup' THEN 'Chaotic' ELSE 'Disorder' END AS domain,
-  CASE event_type WHEN 'click' THEN 4 / 4.0::DOUBLE WHEN 'view' THEN 4 / 7.0::DOUBLE WHEN 'purchase' THEN 3 / 7.0::DOUBLE WHEN 'signup' THEN 2 / 6.0::DOUBLE ELSE 0 END AS confidence FROM events),
-r AS (SELECT *, CASE domain WHEN 'Clear' THEN 'http://clear' WHEN 'Complicated' THEN 'http://complicated' WHEN 'Complex' THEN 'http://complex' WHEN 'Chaotic' THEN 'http://chaotic' END AS url,
-  CASE domain WHEN 'Clear' THEN 'free' WHEN 'Complicated' THEN 'low' WHEN 'Complex' THEN 'medium' WHEN 'Chaotic' THEN 'high' END AS tier,
-  CASE domain WHEN 'Complicated' THEN 10 WHEN 'Complex' THEN 50 WHEN 'Chaotic' THEN 200 ELSE 0 END AS cost FROM r0)"""
+_SCORES = ", ".join("(" + " + ".join(f"CAST(contains(said, '{k}') AS INT)" for k in ks) + f") / {len(ks)}.0::DOUBLE AS s{i}" for i, ks in enumerate(KEYWORDS.values()))
+_ROUTED = f"""t0 AS (SELECT *, lower(CASE event_type WHEN 'click' THEN 'What is this? Define it, look up how many' WHEN 'view' THEN 'Why did the impact cause this effect' WHEN 'purchase' THEN 'uncertain: explore what if' WHEN 'signup' THEN 'Emergency! outage now' WHEN 'error' THEN 'nothing of note' ELSE '' END) AS said FROM events),
+t1 AS (SELECT *, {_SCORES} FROM t0), t2 AS (SELECT *, greatest(s0, s1, s2, s3) AS confidence FROM t1),
+r0 AS (SELECT *, CASE confidence WHEN 0 THEN 'Disorder' WHEN s0 THEN 'Clear' WHEN s1 THEN 'Complicated' WHEN s2 THEN 'Complex' ELSE 'Chaotic' END AS domain, CASE WHEN confidence < 0.3 THEN 'Disorder' WHEN confidence = s0 THEN 'Clear' WHEN confidence = s1 THEN 'Complicated' WHEN confidence = s2 THEN 'Complex' ELSE 'Chaotic' END AS target,
+  array_to_string(list_transform(list_sort([{{'s': -s0, 'i': 0, 'n': 'Clear'}}, {{'s': -s1, 'i': 1, 'n': 'Complicated'}}, {{'s': -s2, 'i': 2, 'n': 'Complex'}}, {{'s': -s3, 'i': 3, 'n': 'Chaotic'}}]), lambda x: x.n), ',') AS ranked FROM t2),
+r AS (SELECT *, CASE target WHEN 'Clear' THEN 'http://clear' WHEN 'Complicated' THEN 'http://complicated' WHEN 'Complex' THEN 'http://complex' WHEN 'Chaotic' THEN 'http://chaotic' END AS url,
+  CASE target WHEN 'Clear' THEN 'free' WHEN 'Complicated' THEN 'low' WHEN 'Complex' THEN 'medium' WHEN 'Chaotic' THEN 'high' END AS tier,
+  CASE target WHEN 'Complicated' THEN 10 WHEN 'Complex' THEN 50 WHEN 'Chaotic' THEN 200 ELSE 0 END AS cost FROM r0)"""
 _MATRIX = _ROUTED + """, m AS (SELECT domain AS predicted, list_extract(['Clear','Complicated','Complex','Chaotic','Disorder'], CAST(abs(floor(value)) % 5 + 1 AS INTEGER)) AS actual, count(*) AS n FROM r GROUP BY 1, 2)"""
 _RISK = "CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100"
 
@@ -190,7 +195,7 @@ SELECT id, "timestamp", action, CASE WHEN r >= 0.8 THEN 'reject' WHEN r >= 0.5 T
     "bias_uniformity": "WITH n AS (SELECT event_type, CAST(count(*) AS DOUBLE) AS o FROM events GROUP BY 1), " + _chi("SELECT o, avg(o) OVER () AS e FROM n"),
     "bias_approval": "WITH g AS (SELECT c_mktsegment, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) AS o FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), " + _chi("SELECT o, n * sum(o) OVER () / sum(n) OVER () AS e FROM g"),
     "route_queries": f"""WITH {_ROUTED} SELECT event_id, domain, round(confidence, 9) AS confidence, confidence >= 0.3 AS confident, url, tier,
-CASE event_type WHEN 'view' THEN 'Complicated,Clear,Complex,Chaotic' WHEN 'purchase' THEN 'Complex,Clear,Complicated,Chaotic' WHEN 'signup' THEN 'Chaotic,Clear,Complicated,Complex' ELSE 'Clear,Complicated,Complex,Chaotic' END AS ranked FROM r""",
+ranked FROM r""",
     "budget_running": f"""WITH {_ROUTED}, s AS (SELECT *, CAST(sum(cost) OVER (ORDER BY event_id) AS BIGINT) AS spent FROM r)
 SELECT event_id, CAST(cost AS BIGINT) AS cost_mills, spent AS spent_mills, spent <= 20000 AS within, greatest(spent - 20000, 0) AS overage_mills, CASE WHEN spent > 20000 THEN 'free' END AS suggested_tier, CASE WHEN spent <= 20000 THEN url ELSE 'http://clear' END AS final_url FROM s""",
     "budget_tiers": f"WITH {_ROUTED} SELECT tier, count(*) AS routes, CAST(sum(cost) AS BIGINT) AS spent_mills, round(sum(cost)/count(*), 9) AS average_mills, round(sum(cost)/20000, 9) AS utilization FROM r GROUP BY 1",
