@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.tables import arrow_limits, settled
-from plumbline.llm.vocabulary import literal_tokenizer
+from plumbline.llm.vocabulary import literal_encoder
 
 _TURN = re.compile(r"<((?:\\.|[^\\>])*)>\n((?:\\.|[^\\<])*)</turn>\n", re.S)
 
@@ -88,17 +88,16 @@ def format_chats(chats: DataFrame, learn: str = "assistant", folder: str | None
     names = [x.split()[0] for x in re.split(r", (?=\w+ )", schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = literal_tokenizer(folder)
+        encode = literal_encoder(folder)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 done = [render(list(zip(r, t))) for r, t in zip(part.column("roles").to_pylist(), part.column("texts").to_pylist())]
                 rows = []
                 for conv, (text, spans) in zip(part.column("conv_id").to_pylist(), done):
-                    code = tokenizer.encode(text, add_special_tokens=False)
-                    pairs = np.array(code.offsets, np.int32).reshape(-1, 2)
-                    mask, covered = intersect(pairs[:, 0], pairs[:, 1], [(a, b) for role, a, b in spans if role == learn])
-                    rows.append((conv, len(spans), text, code.ids, pairs[:, 0], pairs[:, 1], mask, [{"start": a, "end": b} for a, b in covered]))
+                    ids, starts, ends = encode(text)
+                    mask, covered = intersect(starts, ends, [(a, b) for role, a, b in spans if role == learn])
+                    rows.append((conv, len(spans), text, ids, starts, ends, mask, [{"start": a, "end": b} for a, b in covered]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return grouped.mapInArrow(settled(run), schema)
@@ -113,14 +112,21 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
     def under_mask(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray, spans: list) -> str:
         """Characters of masked tokens that lie in the loss spans, each once."""
         live = mask.astype(bool)
+        starts, ends = starts[live], ends[live]
         out, at = [], 0
         for s in spans:
-            lo, hi = np.searchsorted(ends[live], s["start"], "right"), np.searchsorted(starts[live], s["end"], "left")
-            for a, b in zip(starts[live][lo:hi].tolist(), ends[live][lo:hi].tolist()):
-                a, b = max(a, at, s["start"]), min(b, s["end"])
-                if a < b:
-                    out.append(text[a:b])
-                    at = b
+            lo, hi = np.searchsorted(ends, s["start"], "right"), np.searchsorted(starts, s["end"], "left")
+            if lo == hi:
+                continue
+            b = np.minimum(ends[lo:hi], s["end"])
+            before = np.concatenate(([max(at, s["start"])], np.maximum.accumulate(b)[:-1]))
+            a = np.maximum(np.maximum(starts[lo:hi], s["start"]), before)
+            keep = a < b
+            a, b = a[keep], b[keep]
+            if len(a):
+                new = np.flatnonzero(a[1:] != b[:-1]) + 1
+                out += [text[x:y] for x, y in zip(a[[0, *new]].tolist(), b[[*(new - 1), -1]].tolist())]
+                at = int(b[-1])
         return unescape("".join(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

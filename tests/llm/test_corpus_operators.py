@@ -400,6 +400,18 @@ def test_chat_round_trip(spark):
     assert as_key((r.conv_id, r.n_turns, r.loss_chars) for r in chat.chat_digests(chat.format_chats(lone)).collect()) == as_key([(None, 1, 0), (None, 1, 2), (None, 1, 0), (5, 1, 1)])
 
 
+def test_places_of_ids_match_the_library(docs):
+    from plumbline.llm.vocabulary import literal_encoder, literal_tokenizer
+
+    rng = np.random.default_rng(9)
+    odd = ["".join(rng.choice(list(" \n\tab'sé日😀ñ<|>endoftext.0Ω"), rng.integers(0, 50))) for _ in range(500)]
+    encode, library = literal_encoder(), literal_tokenizer()
+    for text in [*odd, "<|endoftext|>", *(r.text or "" for r in docs.collect()), "日" * 300, "a" + " " * 3000]:
+        ids, starts, ends = encode(text)
+        want = library.encode(text, add_special_tokens=False)
+        assert ids.tolist() == want.ids and list(zip(starts.tolist(), ends.tolist())) == want.offsets, text[:60]
+
+
 # languages
 
 
