@@ -9,10 +9,11 @@ rows need not pass one after another. Only the shuffle of ``subset`` is one task
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,15 +65,34 @@ def _placebo_verdict(effect: DataFrame, original: float, tolerance: float) -> Da
     return effect.select(F.lit("placebo_treatment").alias("test_name"), F.lit(float(original)).alias("original_effect"), F.col("ate").alias("refuted_effect"), (F.abs("ate") < tolerance).alias("passed"))
 
 
-def _weighted_mean_effect(df: DataFrame, treatment: str, outcome: str, weights: Sequence[Column]) -> DataFrame:
-    """(m): the mean over replicates of the difference in weighted means; an empty arm's mean is 0. One pass."""
-    rows = df.where(F.col(treatment).isNotNull() & F.col(outcome).isNotNull()).select((F.col(treatment) > 0.5).alias("arm"), F.col(outcome).cast("double").alias("y"), *(w.cast("int").alias(f"w{r}") for r, w in enumerate(weights)))
-    sums = rows.agg(*(f.alias(f"{n}{r}{a}") for r in range(len(weights)) for a, arm in enumerate((~F.col("arm"), F.col("arm"))) for n, f in (("s", F.sum(F.when(arm, F.col("y") * F.col(f"w{r}")))), ("n", F.sum(F.when(arm, F.col(f"w{r}")))))))
-    mean = lambda r, a: F.coalesce(F.try_divide(f"s{r}{a}", f"n{r}{a}"), F.lit(0.0))
-    total = F.lit(0.0)
-    for r in range(len(weights)):
-        total = total + mean(r, 1) - mean(r, 0)
-    return sums.select(F.try_divide(total, F.lit(len(weights))).alias("m"))
+def coins(units: np.ndarray, rep: int, salt: int) -> np.ndarray:
+    """``coin`` of an array of integers."""
+    a, b, c, d = coin_factors(rep, salt)
+    x = (units % COIN * a + (units >> 31) % COIN * b % COIN + d) % COIN
+    x = (x ^ x >> 15) * c % COIN
+    return (x ^ x >> 13) * b % COIN
+
+
+def _weighted_mean_effect(df: DataFrame, treatment: str, outcome: str, unit: str, replicates: int, salt: int, weigh: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(m): the mean over replicates of the difference in means weighted by ``weigh`` of the coins; an empty arm's mean is 0.
+
+    One pass: each batch gives a row of sums a replicate, so rows are neither repeated nor shuffled.
+    """
+    rows = df.select(F.coalesce(F.col(unit).cast("long"), F.lit(0).cast("long")).alias("unit"), (F.col(treatment) > 0.5).alias("arm"), F.col(outcome).cast("double").alias("y")).where("arm is not null and y is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, arm, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "arm", "y"))
+            out = []
+            for r in range(replicates):
+                w = weigh(coins(units, r, salt)).astype(np.float64)
+                on = w * arm
+                out.append((r, (on * y).sum(), on.sum(), ((w - on) * y).sum(), (w - on).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)] if out else [pa.array([], t) for t in (pa.int64(), *[pa.float64()] * 4)], ["rep", "s1", "n1", "s0", "n0"])
+
+    sums = rows.mapInArrow(run, "rep long, s1 double, n1 double, s0 double, n0 double").groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("s1", "n1", "s0", "n0")))
+    mean = lambda a: F.coalesce(F.try_divide(f"s{a}", f"n{a}"), F.lit(0.0))
+    return sums.agg(F.avg(mean(1) - mean(0)).alias("m"))
 
 
 def placebo(df: DataFrame, outcome: str, original: float, unit: str, tolerance: float, seed: int = PLACEBO_SEED) -> DataFrame:
@@ -97,8 +117,7 @@ def random_common_cause(df: DataFrame, treatment: str, outcome: str, original: f
 
 def subset_validation(df: DataFrame, treatment: str, outcome: str, original: float, unit: str, fraction: float = 0.8, replicates: int = 10, seed: int = SUBSET_SEED, tolerance: float = 0.2) -> DataFrame:
     """Effects on hashed subsets of about ``fraction`` of the units; the mean must stay. All in one pass."""
-    chosen = [coin(unit, r, seed) < int(fraction * COIN) for r in range(replicates)]
-    return _verdict(_weighted_mean_effect(df, treatment, outcome, chosen), "subset_validation", original, tolerance)
+    return _verdict(_weighted_mean_effect(df, treatment, outcome, unit, replicates, seed, lambda u: u < int(fraction * COIN)), "subset_validation", original, tolerance)
 
 
 def poisson_edges() -> list[int]:
@@ -113,9 +132,8 @@ def poisson_edges() -> list[int]:
 
 def bootstrap(df: DataFrame, treatment: str, outcome: str, original: float, unit: str, replicates: int = 20, seed: int = BOOTSTRAP_SEED, tolerance: float = 0.2) -> DataFrame:
     """Resampling with replacement as Poisson(1) weights by hash; the mean effect must stay. All in one pass."""
-    draws = df.select(treatment, outcome, *(coin(unit, r, seed).alias(f"u{r}") for r in range(replicates)))
-    weights = [sum((F.col(f"u{r}") >= e).cast("int") for e in poisson_edges()) for r in range(replicates)]
-    return _verdict(_weighted_mean_effect(draws, treatment, outcome, weights), "bootstrap_refutation", original, tolerance)
+    edges = np.array(poisson_edges())
+    return _verdict(_weighted_mean_effect(df, treatment, outcome, unit, replicates, seed, lambda u: np.searchsorted(edges, u, "right")), "bootstrap_refutation", original, tolerance)
 
 
 # the sequential generator
