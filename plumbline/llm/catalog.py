@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import binary, chat, embeddings, languages, packing, pieces, quality, simhash, substrings, tables, urls
+from plumbline.llm import binary, chat, divergence, embeddings, exact, interactions, languages, packing, pieces, quality, simhash, substrings, tables, urls
 from plumbline.llm.sql import SQL
 
 #: Fixed value: the conversation that the formatting contract adds.
@@ -106,6 +106,18 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,7 +125,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_rules, op2_sentencepiece, op3_substring_dedup, op4_simhash, op5_embedding_dedup, op6_chat_format, op7_language_id, op8_best_fit_packing, op9_url_filters, op10_token_binary, pipeline]
+    own = [op1_quality_rules, op2_sentencepiece, op3_substring_dedup, op4_simhash, op5_embedding_dedup, op6_chat_format, op7_language_id, op8_best_fit_packing, op9_url_filters, op10_token_binary, op11_filter_audit, op12_source_divergence, op13_exact_dedup, pipeline]
     return {f.__name__: f for f in own}
 
 
