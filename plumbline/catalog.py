@@ -278,6 +278,39 @@ def policy_text(spark, d):
     return _events(spark, d).withColumn("p", guards.policy_chain(text_policy(POLICY, context))).select("event_id", "p.decision", "p.reason")
 
 
+def _contexts(spark, d) -> DataFrame:
+    """Events with a context whose k is a number, a string, missing, null, a fraction or a boolean, and whose live has any type; some are no JSON."""
+    k, by = F.get_json_object("props", "$.k"), lambda n: F.col("event_id") % n
+    pick = lambda n, texts: F.element_at(F.array(*texts), (by(n) + 1).cast("int"))
+    kinds = pick(6, [F.concat(F.lit(', "k": '), k), F.concat(F.lit(', "k": "'), k, F.lit('"')), F.lit(""), F.lit(', "k": null'), F.concat(F.lit(', "k": '), k, F.lit(".5")), F.lit(', "k": true')])
+    live = pick(4, [F.lit(t) for t in (', "live": true', ', "live": "true"', ', "live": 1', "")])
+    return _events(spark, d).withColumn("context", F.when(by(31) == 5, F.lit("not json")).otherwise(F.concat(F.lit('{"kind": "'), "event_type", F.lit('"'), kinds, live, F.lit("}"))))
+
+
+TYPED_POLICY = """
+package policy
+default allow := false
+
+allow { input.live; input.kind in ["view", "click"] }
+allow { input.k < 20 }
+allow { input.k == "7" }
+allow { input.kind == "purchase"; input.k != 50 }
+allow { input.kind == "signup"; not input.k >= 30 }
+allow { input.kind == "error"; input.k in [1, 2.5, "3", true, null] }
+allow { input.k == input.live }
+"""
+
+
+def policy_typed(spark, d):
+    return _contexts(spark, d).withColumn("p", guards.policy_chain(text_policy(TYPED_POLICY, "context"))).select("event_id", "p.decision", "p.reason")
+
+
+def risk_decisions(spark, d):
+    """A rejection before an error stands; an error is a decision of its own, and no row goes."""
+    chain = guards.policy_chain(guards.rule_policy(F.col("event_type") != "error", "errors are denied"), guards.risk_policy(guards.risk_of("context", "k"), 50, 80, field="k"), guards.rule_policy(F.col("value") < 100, "dear"))
+    return _contexts(spark, d).withColumn("p", chain).select("event_id", "p.decision", "p.reason", "p.target")
+
+
 def breaker_states(spark, d):
     return guards.breaker(_events(spark, d), "user_id", _ok(), "ts", ["ts", "event_id"], 2, 43_200.0).select("event_id", "failures", "is_open", "allowed")
 
@@ -320,6 +353,12 @@ def bias_uniformity(spark, d):
     return _rounded(guards.bias_uniformity(counts, "n"), 6)
 
 
+def bias_keyed(spark, d):
+    """Event types of each of five groups of users, one of them null."""
+    counts = _events(spark, d).groupBy(F.nullif(F.col("user_id") % 5, F.lit(0)).alias("team"), "event_type").agg(F.count("*").alias("n"))
+    return _rounded(guards.bias_uniformity(counts, "n", ["team"]), 6)
+
+
 def bias_distribution(spark, d):
     """Event types of the month's second half against the first half's counts, errors without expectation."""
     counted = _events(spark, d).groupBy("event_type").agg(F.count(F.when(F.dayofmonth("ts") > 15, 1)).alias("observed"), F.count(F.when(F.dayofmonth("ts") <= 15, 1)).cast("double").alias("expected"))
@@ -381,6 +420,12 @@ def drift_kl(spark, d):
     return _rounded(routing.drift(counted.where("not first"), counted.where("first"), 0.1), 9)
 
 
+def drift_keyed(spark, d):
+    """Second against first half of the month for each of five groups of users, one of them null."""
+    counted = _routed(spark, d).groupBy(F.nullif(F.col("user_id") % 5, F.lit(0)).alias("team"), (F.dayofmonth("ts") <= 15).alias("first"), "domain").agg(F.count("*").alias("n"))
+    return _rounded(routing.drift(counted.where("not first"), counted.where("first"), 0.001, ["team"]), 9)
+
+
 def session_fold(spark, d):
     chain = guards.policy_chain(guards.risk_policy(_risk(), 0.5, 0.95))
     steps = _routed(spark, d).select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), "domain", "confidence", chain["decision"].alias("decision"))
@@ -422,8 +467,8 @@ _ALL = [
     dag_parents, dag_closure, backdoor_set, frontdoor_sets, dsep_table, graph_reachable, graph_ancestors, graph_adjustment, graph_separated,
     beta_posterior, normal_posterior, gamma_posterior, dirichlet_posterior, belief_running, belief_tracked, belief_categorical, belief_batch,
     tool_reliability, most_reliable_tool, unreliable_tools, registered_tools, mcmc_normal,
-    policy_decisions, policy_text, breaker_states, loop_checks, visit_history, rate_limits, rate_limits_reset, escalation_status, audit_recent, bias_uniformity, bias_distribution, bias_approval,
-    route_queries, budget_running, budget_reset, budget_tiers, confusion, precision_recall, misrouting, drift_kl, session_fold, session_reclassified, session_reasoning, confidence_levels, workflow_batch,
+    policy_decisions, policy_text, policy_typed, risk_decisions, breaker_states, loop_checks, visit_history, rate_limits, rate_limits_reset, escalation_status, audit_recent, bias_uniformity, bias_keyed, bias_distribution, bias_approval,
+    route_queries, budget_running, budget_reset, budget_tiers, confusion, precision_recall, misrouting, drift_kl, drift_keyed, session_fold, session_reclassified, session_reasoning, confidence_levels, workflow_batch,
 ]
 
 

@@ -7,17 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import free_names
 from plumbline.scratch import materialize
 
-_RANGE, _BEFORE = "_range", "_before"
 
-
-def ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``df`` dealt into ranges of ``order`` (null first), numbered by ``_range``, and written once.
+def ranges(df: DataFrame, order: Sequence[str], name: str = "range") -> DataFrame:
+    """``df`` dealt into ranges of ``order`` (null first), numbered by ``name``, and written once.
 
     The ranges are sampled, so they hold only for what was written.
     """
-    return materialize(df.repartitionByRange(*order).withColumn(_RANGE, F.spark_partition_id()))
+    return materialize(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
 
 
 def running_total(df: DataFrame, value: Column, order: Sequence[str], name: str) -> DataFrame:
@@ -26,11 +25,12 @@ def running_total(df: DataFrame, value: Column, order: Sequence[str], name: str)
     A total of sums per range and a sum within the range: no task holds more than a range, and
     what is broadcast has one row a range.
     """
-    dealt = ranges(df.withColumn(name, value), order)
-    sums = dealt.groupBy(_RANGE).agg(F.sum(name).alias("_sum"))
-    before = sums.select(_RANGE, (F.sum("_sum").over(Window.orderBy(_RANGE)) - F.col("_sum")).alias(_BEFORE))
-    inside = F.sum(name).over(Window.partitionBy(_RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn(name, inside).join(F.broadcast(before), _RANGE).withColumn(name, F.col(name) + F.col(_BEFORE)).drop(_RANGE, _BEFORE)
+    at, own, before = free_names([*df.columns, name], "range", "own", "before")
+    dealt = ranges(df.withColumn(name, value), order, at)
+    sums = dealt.groupBy(at).agg(F.sum(name).alias(own))
+    earlier = sums.select(at, (F.sum(own).over(Window.orderBy(at)) - F.col(own)).alias(before))
+    inside = F.sum(name).over(Window.partitionBy(at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(name, inside).join(F.broadcast(earlier), at).withColumn(name, F.col(name) + F.col(before)).drop(at, before)
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
@@ -44,6 +44,7 @@ def epochs(df: DataFrame, keys: Sequence[str], order: Sequence[str], reset: Colu
     Operators that keep state by key (budgets, limits, breakers, loops, beliefs) start anew at
     a reset when they are given ``name`` as a further key.
     """
-    marked = df.withColumn("_reset", F.coalesce(reset, F.lit(False)))
-    count = F.sum(F.col("_reset").cast("long")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn(name, count).where("not _reset").drop("_reset")
+    (at,) = free_names([*df.columns, name], "reset")
+    marked = df.withColumn(at, F.coalesce(reset, F.lit(False)))
+    count = F.sum(F.col(at).cast("long")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn(name, count).where(~F.col(at)).drop(at)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import free_names
 from plumbline.scratch import materialize
 
 Z = 1.96
@@ -128,15 +129,17 @@ def track(obs: DataFrame, kind: str, p1: float = 1.0, p2: float = 1.0, obs_varia
 def before_first_mismatch(obs: DataFrame, kind: str) -> DataFrame:
     """The observations of each entity that a batch applies: those before its first of another kind."""
     bad = F.sum((F.col("kind") != kind).cast("int")).over(Window.partitionBy("entity").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return obs.withColumn("_bad", bad).where("_bad = 0").drop("_bad")
+    (name,) = free_names(obs.columns, "bad")
+    return obs.withColumn(name, bad).where(F.col(name) == 0).drop(name)
 
 
 def running_beta(df: DataFrame, success: Column, key: str, order: Sequence[str], threshold: float, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
     """``df`` with running_mean, running_variance and confident (variance under the threshold) after each event."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     a, b = F.sum(success.cast("int")).over(w) + alpha, F.sum((~success).cast("int")).over(w) + beta
-    look = beta_summary(F.col("_a"), F.col("_b"))
-    return df.withColumns({"_a": a, "_b": b}).withColumns({"running_mean": look["mean"], "running_variance": look["variance"], "confident": look["variance"] < threshold}).drop("_a", "_b")
+    first, second = free_names([*df.columns, "running_mean", "running_variance", "confident"], "a", "b")
+    look = beta_summary(F.col(first), F.col(second))
+    return df.withColumns({first: a, second: b}).withColumns({"running_mean": look["mean"], "running_variance": look["variance"], "confident": look["variance"] < threshold}).drop(first, second)
 
 
 def tool_reliability(calls: DataFrame, tool: str, ok: Column, order: Sequence[str], min_reliability: float, alpha: float = 1.0, beta: float = 1.0, registry: DataFrame | None = None) -> DataFrame:

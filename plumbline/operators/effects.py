@@ -13,9 +13,11 @@ from operator import add, and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import free_names
 from plumbline.scratch import materialize, release
 
 #: Pivots below this, relative to the matrix's largest entry in the row, mean a singular system.
@@ -74,7 +76,8 @@ def _moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> Data
     whole = df.dropna(subset=list(columns))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     aggs = [F.coalesce(F.covar_pop(cols[i], cols[j]) * F.count("*"), F.lit(0.0)) for i, j in pairs]
-    return _grouped(whole, keys, F.count("*").alias("n"), F.array(*aggs).alias("s"))
+    n, s = free_names(keys, "n", "s")
+    return _grouped(whole, keys, F.count("*").alias(n), F.array(*aggs).alias(s))
 
 
 def _square(s: Sequence[float], k: int) -> np.ndarray:
@@ -86,18 +89,17 @@ def _square(s: Sequence[float], k: int) -> np.ndarray:
 def _per_group(stats: DataFrame, keys: Sequence[str], fit) -> DataFrame:
     """Solve each aggregated row; ``fit(n, s)`` -> (ate, std_error or None)."""
     names = list(keys)
+    n_, s_ = stats.columns[-2:]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [fit(int(n), np.array(s, float)) for n, s in zip(frame["n"], frame["s"])]
-            out = frame[names].copy()
-            out["ate"] = [float(a) for a, _ in done]
-            out["std_error"] = pd.array([None if e is None or not np.isfinite(e) else float(e) for _, e in done], "Float64")
-            out["n_obs"] = frame["n"].astype("int64")
-            yield out
-
-    schema = ", ".join([*(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in names), "ate double, std_error double, n_obs long"])
-    return stats.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(n_)
+            done = [fit(int(k), np.array(s, float)) for k, s in zip(n.to_pylist(), batch.column(s_).to_pylist())]
+            errors = [None if e is None or not np.isfinite(e) else float(e) for _, e in done]
+            # key columns pass as they came: no value changes its type beside a null
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([float(a) for a, _ in done], pa.float64()), pa.array(errors, pa.float64()), n.cast(pa.int64())], [*names, "ate", "std_error", "n_obs"])
+
+    return stats.mapInArrow(run, stats.select(*names).schema.add("ate", "double").add("std_error", "double").add("n_obs", "long"))
 
 
 def ols_adjusted(df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:

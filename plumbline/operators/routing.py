@@ -11,6 +11,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import free_names, join_null_safe
 from plumbline.functions.order import running_total
 
 # The domains in order, their default keywords, tier costs (in thousandths) and tiers.
@@ -24,8 +25,6 @@ KEYWORDS = {
 TIER_MILLS = {"free": 0, "low": 10, "medium": 50, "high": 200}
 DOMAIN_TIER = {"Clear": "free", "Complicated": "low", "Complex": "medium", "Chaotic": "high", "Disorder": "free"}
 THRESHOLD, FALLBACK, TIMEOUT_MS = 0.3, "Disorder", 30_000
-#: A route table of at most so many rows is broadcast.
-MAX_BROADCAST_ROUTES = 10_000
 
 
 def classify(df: DataFrame, text: str, keywords: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -37,13 +36,14 @@ def classify(df: DataFrame, text: str, keywords: dict[str, Sequence[str]] | None
     """
     table = KEYWORDS if keywords is None else keywords
     ranked = [d for d in DOMAINS if d in table] + [d for d in table if d not in DOMAINS]
-    df = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
-    low = F.col("_low")
+    lowered, listed = free_names([*df.columns, "domain", "confidence", "all_scores"], "lowered", "scored")
+    df = df.withColumn(lowered, F.lower(F.coalesce(text, F.lit(""))))
+    low = F.col(lowered)
     score = lambda ks: reduce(add, (F.contains(low, F.lit(k.lower())).cast("int") for k in ks), F.lit(0)) / F.lit(float(max(len(ks), 1)))
     scores = F.array(*(F.struct((-score(table[d])).alias("n"), F.lit(i).alias("i"), F.lit(d).alias("domain")) for i, d in enumerate(ranked)))
-    best = df.withColumn("_s", F.sort_array(scores)).drop("_low")  # no lambda, so it stays in generated code
-    top = -F.col("_s")[0]["n"]
-    return best.withColumns({"domain": F.when(top > 0, F.col("_s")[0]["domain"]).otherwise(FALLBACK), "confidence": F.when(top > 0, top).otherwise(0.0), "all_scores": F.array(*(F.struct(F.col("_s")[i]["domain"].alias("domain"), (-F.col("_s")[i]["n"]).alias("score")) for i in range(len(ranked))))}).drop("_s")
+    best = df.withColumn(listed, F.sort_array(scores)).drop(lowered)  # no lambda, so it stays in generated code
+    top = -F.col(listed)[0]["n"]
+    return best.withColumns({"domain": F.when(top > 0, F.col(listed)[0]["domain"]).otherwise(FALLBACK), "confidence": F.when(top > 0, top).otherwise(0.0), "all_scores": F.array(*(F.struct(F.col(listed)[i]["domain"].alias("domain"), (-F.col(listed)[i]["n"]).alias("score")) for i in range(len(ranked))))}).drop(listed)
 
 
 class QueryClassifier(Protocol):
@@ -86,13 +86,14 @@ def route_table(spark: SparkSession, routes: dict[str, tuple[str, str]]) -> Data
 def route(classified: DataFrame, routes: DataFrame, threshold: float = THRESHOLD, fallback: str = FALLBACK) -> DataFrame:
     """``classified`` with confident and the target's url, timeout_ms and tier (null without a route).
 
-    Under the threshold the fallback's target is taken; ``domain`` stays as classified. A
-    table of any size is taken; one over MAX_BROADCAST_ROUTES rows is not broadcast.
+    Under the threshold the fallback's target is taken; ``domain`` stays as classified. Of
+    several routes to one domain the first by url, timeout and tier counts. A table of any
+    size is taken: the planner broadcasts it where its size allows.
     """
     sure = F.col("confidence") >= threshold
     used = classified.withColumns({"confident": sure, "target_domain": F.when(sure, F.col("domain")).otherwise(fallback)})
-    few = routes.limit(MAX_BROADCAST_ROUTES + 1).count() <= MAX_BROADCAST_ROUTES
-    return used.join(F.broadcast(routes) if few else routes, "target_domain", "left")
+    one = routes.groupBy("target_domain").agg(F.min(F.struct("url", "timeout_ms", "tier")).alias("to")).select("target_domain", "to.*")
+    return used.join(one, "target_domain", "left")
 
 
 def cost_mills(tier: Column | str, costs: dict[str, int] | None = None) -> Column:
@@ -123,8 +124,9 @@ def spend(df: DataFrame, tier: str, order: Sequence[str], budget_mills: int, key
 def downgrade(spent: DataFrame, routes: DataFrame) -> DataFrame:
     """``spent`` with final_url: beyond the budget the first free route by domain order, if any. The charge stays."""
     order = reduce(lambda rest, i: F.when(F.col("target_domain") == DOMAINS[i], F.lit(i)).otherwise(rest), range(len(DOMAINS)), F.lit(len(DOMAINS)))
-    free = routes.where("tier = 'free'").agg(F.min_by("url", order).alias("_free"))
-    return spent.crossJoin(F.broadcast(free)).withColumn("final_url", F.when(F.col("within"), F.col("url")).otherwise(F.coalesce("_free", "url"))).drop("_free")
+    (name,) = free_names([*spent.columns, "final_url"], "free")
+    free = routes.where("tier = 'free'").agg(F.min_by("url", order).alias(name))
+    return spent.crossJoin(F.broadcast(free)).withColumn("final_url", F.when(F.col("within"), F.col("url")).otherwise(F.coalesce(name, "url"))).drop(name)
 
 
 def budget_summary(spent: DataFrame, tier: str, budget_mills: int) -> DataFrame:
@@ -161,14 +163,14 @@ def drift(current: DataFrame, reference: DataFrame, threshold: float, keys: Sequ
     """(keys, kl, drifted, n): KL(current || reference) in nats over ``domains``, the five unless given.
 
     Both sides are (keys, domain, n); other domains do not count. Shares under 1e-10 are raised
-    to it, without scaling again. An empty side gives 0 and no drift.
+    to it, without scaling again. An empty side gives 0 and no drift. A null key is a key.
     """
     def shares(df: DataFrame, name: str) -> DataFrame:
         sums = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"{name}{i}") for i, d in enumerate(domains)]
         return df.groupBy(*keys).agg(*sums) if keys else df.agg(*sums)
 
     c, r = shares(current, "c"), shares(reference, "r")
-    both = c.join(r, list(keys), "left").na.fill(0, [f"r{i}" for i in range(len(domains))]) if keys else c.crossJoin(r)
+    both = join_null_safe(c, r, keys, "left").na.fill(0, [f"r{i}" for i in range(len(domains))]) if keys else c.crossJoin(r)
     total = lambda n: reduce(add, (F.col(f"{n}{i}") for i in range(len(domains))))
     share = lambda n, i: F.greatest(F.try_divide(F.col(f"{n}{i}"), total(n)).cast("double"), F.lit(1e-10))
     kl = F.when((total("c") > 0) & (total("r") > 0), reduce(add, (share("c", i) * F.log(share("c", i) / share("r", i)) for i in range(len(domains))))).otherwise(0.0)

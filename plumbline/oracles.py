@@ -216,6 +216,25 @@ SELECT session, depth, domain, round(confidence, 9) AS confidence, CASE WHEN con
  FROM (SELECT *, CASE node WHEN 'start' THEN x + 1 WHEN 'double' THEN x * 2 WHEN 'drop' THEN x - 3 ELSE x END AS y FROM w) WHERE node IS NOT NULL AND steps < 6)
 SELECT state_id, arg_max(x, steps) AS x, arg_max(prev, steps) AS final_node, CAST(max(steps) AS BIGINT) AS steps, CASE WHEN bool_or(node IS NULL) THEN NULL ELSE 'max_steps_exceeded' END AS error FROM w GROUP BY 1""",
 }
+_CONTEXTS = """j AS (SELECT event_id, event_type AS kind, value, json_extract_string(props, '$.k') AS k0, CASE WHEN event_id % 31 = 5 THEN NULL ELSE '{"kind": "' || event_type || '"'
+  || CASE event_id % 6 WHEN 0 THEN ', "k": ' || json_extract_string(props, '$.k') WHEN 1 THEN ', "k": "' || json_extract_string(props, '$.k') || '"' WHEN 2 THEN '' WHEN 3 THEN ', "k": null' WHEN 4 THEN ', "k": ' || json_extract_string(props, '$.k') || '.5' ELSE ', "k": true' END
+  || CASE event_id % 4 WHEN 0 THEN ', "live": true' WHEN 1 THEN ', "live": "true"' WHEN 2 THEN ', "live": 1' ELSE '' END || '}' END AS ctx FROM events),
+t AS (SELECT *, json_type(ctx, '$.k') AS kt, json_extract_string(ctx, '$.k') AS kv, json_type(ctx, '$.live') AS lt, json_extract_string(ctx, '$.live') AS lv FROM j),
+x AS (SELECT *, CASE WHEN kt IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(kv AS DOUBLE) END AS num, CASE WHEN kt = 'VARCHAR' THEN kv END AS str FROM t)"""
+SQL["policy_typed"] = f"""WITH {_CONTEXTS}, a AS (SELECT event_id, ctx, coalesce(lt = 'BOOLEAN' AND lv = 'true' AND kind IN ('view', 'click'), false) OR coalesce(num < 20, false) OR coalesce(str = '7', false)
+  OR coalesce(kind = 'purchase' AND kt IS NOT NULL AND num IS DISTINCT FROM 50, false) OR (kind = 'signup' AND NOT coalesce(num >= 30, false))
+  OR coalesce(kind = 'error' AND (num IN (1, 2.5) OR str = '3' OR (kt = 'BOOLEAN' AND kv = 'true') OR kt = 'NULL'), false)
+  OR coalesce(lt = 'BOOLEAN' AND kt = 'BOOLEAN' AND kv = lv, false) OR coalesce(lt = 'VARCHAR' AND str = lv, false) OR coalesce(lt = 'UBIGINT' AND num = 1, false) AS allow FROM x)
+SELECT event_id, CASE WHEN ctx IS NULL THEN 'error' WHEN allow THEN 'approve' ELSE 'reject' END AS decision, CASE WHEN ctx IS NULL THEN 'Policy evaluation failed: context is not JSON' WHEN NOT allow THEN 'Rego policy denied the action' END AS reason FROM a"""
+SQL["risk_decisions"] = f"""WITH {_CONTEXTS}, r AS (SELECT *, CASE WHEN kind = 'error' THEN 'reject' WHEN num IS NULL THEN 'error' WHEN num >= 80 THEN 'reject' WHEN num >= 50 THEN 'escalate' WHEN value < 100 THEN 'approve' ELSE 'reject' END AS decision FROM x)
+SELECT event_id, decision, CASE WHEN kind = 'error' THEN 'errors are denied' WHEN decision = 'error' THEN 'Policy evaluation failed: Missing or invalid risk field ''k'' in context' WHEN num >= 80 THEN 'Risk score ' || printf('%.3f', num) || ' exceeds reject threshold 80.000' WHEN decision = 'reject' THEN 'dear' END AS reason,
+CASE WHEN decision = 'escalate' THEN 'role:reviewer' END AS target FROM r"""
+SQL["bias_keyed"] = """WITH n AS (SELECT nullif(user_id % 5, 0) AS team, CAST(count(*) AS DOUBLE) AS o FROM events GROUP BY 1, event_type), e AS (SELECT *, avg(o) OVER (PARTITION BY team) AS e FROM n),
+c AS (SELECT team, sum((o - e) * (o - e) / e) AS chi, count(*) - 1 AS d FROM e GROUP BY 1), k AS (SELECT *, d * pow(1 - 2.0 / (9 * d) + 1.645211440143815 * sqrt(2.0 / (9 * d)), 3) AS crit FROM c)
+SELECT team, round(chi, 6) AS chi2, CAST(d AS BIGINT) AS df, round(crit, 6) AS critical, chi > crit AS biased FROM k"""
+SQL["drift_keyed"] = f"""WITH {_ROUTED}, d(domain) AS (VALUES ('Clear'),('Complicated'),('Complex'),('Chaotic'),('Disorder')), g AS (SELECT nullif(user_id % 5, 0) AS team, domain, day(ts) > 15 AS late FROM r),
+s AS (SELECT team, d.domain, greatest(CAST(count(*) FILTER (g.domain = d.domain AND late) AS DOUBLE)/count(*) FILTER (late), 1e-10) AS p, greatest(CAST(count(*) FILTER (g.domain = d.domain AND NOT late) AS DOUBLE)/count(*) FILTER (NOT late), 1e-10) AS q, count(*) FILTER (late) AS n FROM d, g GROUP BY 1, 2)
+SELECT team, round(sum(p*ln(p/q)), 9) AS kl, sum(p*ln(p/q)) > 0.001 AS drifted, max(n) AS n FROM s GROUP BY 1"""
 SQL["study_estimate"] = SQL["ols_adjusted"]
 _CUTS = [round(sum(2.718281828459045**-1 / f for f in fs) * _P) for fs in [[1], [1, 1], [1, 1, 2], [1, 1, 2, 6], [1, 1, 2, 6, 24], [1, 1, 2, 6, 24, 120], [1, 1, 2, 6, 24, 120, 720], [1, 1, 2, 6, 24, 120, 720, 5040]]]
 _WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in _CUTS)

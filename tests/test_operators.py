@@ -280,9 +280,18 @@ def test_sampling(spark):
 def test_policies(spark):
     df = spark.createDataFrame([('{"risk": 0.2}',), ('{"risk": 0.6}',), ('{"risk": 0.9}',), ('{"risk": "x"}',), ("{}",)], "ctx string")
     risk = guards.risk_of("ctx", "risk")
-    got = df.select(guards.policy_chain(guards.risk_policy(risk, 0.5, 0.8)).alias("d"), guards.risk_error(risk, "risk").alias("e")).collect()
-    assert [r.d.decision for r in got[:3]] == ["approve", "escalate", "reject"] and "0.900" in got[2].d.reason
-    assert [r.e is None for r in got] == [True, True, True, False, False]
+    got = [r[0] for r in df.select(guards.policy_chain(guards.risk_policy(risk, 0.5, 0.8))).collect()]
+    assert [r.decision for r in got] == ["approve", "escalate", "reject", "error", "error"] and "0.900" in got[2].reason
+    assert got[3].reason == "Policy evaluation failed: Missing or invalid risk field 'risk' in context"
+    odd = ['{"risk": "0.2"}', '{"risk": null}', '{"risk": true}', '{"risk": [0.2]}', "no json", None, '{"deep": {"risk": 0.2}}', '{"risk": 1}']
+    seen = spark.createDataFrame([(i, c) for i, c in enumerate(odd)], "id int, ctx string").orderBy("id")
+    assert [r[0] for r in seen.select(guards.policy_chain(guards.risk_policy(risk, 0.5, 0.8)).decision).collect()] == ["error"] * 7 + ["reject"]
+    number = spark.createDataFrame([(float("nan"),), (None,), (0.1,)], "r double").select(guards.policy_chain(guards.risk_policy(F.col("r"), 0.5, 0.8)).decision)
+    assert [r[0] for r in number.collect()] == ["error", "error", "approve"]
+    # the first of rejection, escalation and error stands
+    late = guards.policy_chain(guards.rule_policy(F.lit(False), "no"), guards.error("late"))
+    early = guards.policy_chain(guards.error("early"), guards.rule_policy(F.lit(False), "no"))
+    assert df.select(late.decision, early.decision, early.reason).first() == ("reject", "error", "Policy evaluation failed: early")
     who = spark.createDataFrame([("admin",), ("viewer",), (None,)], "role string")
     assert [r[0] for r in who.select(guards.policy_chain(guards.rule_policy("role = 'admin'")).decision).collect()] == ["approve", "reject", "reject"]
     assert who.select(guards.policy_chain().decision).first()[0] == "approve"
@@ -367,13 +376,11 @@ def test_routes_and_budget(spark):
     assert {r.id: r.final_url for r in routing.downgrade(whole, table).collect()} == {1: "u0", 2: "u0", 3: "u0"}
 
 
-def test_routes_over_the_domains_are_all_kept(spark, monkeypatch):
+def test_routes_over_the_domains_are_all_kept(spark):
     names = [f"d{i}" for i in range(9)]
     table = routing.route_table(spark, {n: (f"u-{n}", "low") for n in names})
     asked = routing.classify(spark.createDataFrame([(n,) for n in names], "text string"), "text", {n: [n] for n in names})
-    for most in (routing.MAX_BROADCAST_ROUTES, 3):
-        monkeypatch.setattr(routing, "MAX_BROADCAST_ROUTES", most)
-        assert {(r.text, r.url, r.tier) for r in routing.route(asked, table).collect()} == {(n, f"u-{n}", "low") for n in names}
+    assert {(r.text, r.url, r.tier) for r in routing.route(asked, table).collect()} == {(n, f"u-{n}", "low") for n in names}
 
 
 def test_metrics(spark):
@@ -511,6 +518,82 @@ def test_policy_texts(spark):
             compile_policy(bad, "c")
 
 
+def test_policy_values_keep_their_types(spark):
+    def allowed(context, condition):
+        df = spark.createDataFrame([(context,)], "c string")
+        return df.select(compile_policy(f"allow {{ {condition} }}", "c")).first()[0]
+
+    cases = [
+        ('{"a": 1}', 'input.a == "1"', False), ('{"a": 1}', "input.a == 1", True), ('{"a": 1}', "input.a == 1.0", True), ('{"a": true}', 'input.a == "true"', False),
+        ('{"a": "5"}', "input.a < 40", False), ('{"a": "true"}', "input.a", False), ('{"a": true}', "input.a", True), ('{"a": false}', "input.a", False), ('{"a": 1}', "input.a", False),
+        ('{"a": "1"}', "input.a in [1]", False), ('{"a": 1.0}', "input.a in [1]", True), ('{"a": 1}', 'input.a in ["1", true]', False), ('{"a": null}', "input.a in [null]", True),
+        ('{"a": "x"}', "input.a != 1", True), ("{}", "input.a != 1", False), ("{}", "not input.a == 1", True), ('{"a": null}', "input.a == null", True), ("{}", "input.a == null", False),
+        ('{"a": 9007199254740993}', "input.a == 9007199254740992", False), ('{"a": 9007199254740993}', "input.a > 9007199254740992", True), ('{"a": "b"}', 'input.a > "a"', True),
+        ('{"a": 1, "b": "1"}', "input.a == input.b", False), ('{"a": 1, "b": 1.0}', "input.a == input.b", True), ('{"a": 2, "b": 10}', "input.a < input.b", True), ('{"a": "2", "b": 10}', "input.a < input.b", False),
+        ('{"a": [1, 2], "b": [1, 2]}', "input.a == input.b", True), ('{"a": {"x": 1}}', "input.a == 1", False), ('{"a": [1]}', "input.a < 2", False), ('{"a b": {"c": 3}}', 'input["a b"].c == 3', True), ('{"a": 1e300}', "input.a > 5", True),
+        ("not json", "not input.a", True),
+    ]
+    assert [(c, t) for c, t, want in cases if allowed(c, t) is not want] == []
+    told = spark.createDataFrame([("no json",), (None,), ("[1]",), ('{"a": 1, "a": 2}',)], "c string").select(guards.policy_chain(text_policy("default allow := true", "c")).decision)
+    assert [r[0] for r in told.collect()] == ["error", "error", "approve", "error"]
+    with pytest.raises(PolicyError):
+        compile_policy("allow { input.a < null }", "c")
+
+
+BIG = 2**53 + 1
+KEYS = [("long", [None, BIG, BIG - 1]), ("double", [None, float("nan"), 1.0])]
+
+
+@pytest.mark.parametrize(("kind", "keys"), KEYS)
+def test_every_key_is_kept(spark, kind, keys):
+    """Null, NaN and long keys are keys, and helper columns meet no column of the caller's."""
+    named = ["_ok", "_range", "_low", "_s", "_a", "_b", "_now", "_n", "good", "island", "range", "own", "before", "lowered", "scored", "swung", "step", "now", "reset", "free", "a", "b", "bad", "n", "s", "chi", "d"]
+    rows = [(k, i, "xy"[i % 2], float(i * i % 7), float(i % 3), i % 2 == 0) for k in keys for i in range(8)]
+    df = spark.createDataFrame(rows, f"k {kind}, id int, node string, y double, x double, hit boolean").withColumns({c: F.lit("mine") for c in named}).withColumn("ts", F.timestamp_seconds("id"))
+    key = lambda v: "NaN" if v != v else v
+    want = sorted(map(repr, map(key, keys)))
+    held = lambda got, n: (sorted(map(repr, {key(r.k) for r in got})) == want, len(got)) == (True, n)
+    own = lambda got: all(r[c] == "mine" for r in got for c in named)
+
+    limited = guards.rate_limit(df, "k", "ts", ["id"], 2, 0.0).collect()
+    assert held(limited, 24) and all(sum(r.allowed for r in limited if key(r.k) == key(k)) == 2 for k in keys)
+    assert held(effects.ols_adjusted(df.withColumn("t", F.col("hit").cast("double")), "t", "y", ["x"], ["k"]).collect(), 3)
+    assert held(effects.two_stage_ls(df, "x", "y", ["id"], ["k"]).collect(), 3)
+    assert held(effects.difference_in_means(df.withColumn("t", F.col("hit").cast("double")), "t", "y", ["k"]).collect(), 3)
+    broken = guards.breaker(df, "k", F.col("hit"), "ts", ["id"], 1, 1e9).collect()
+    assert held(broken, 24) and own(broken)
+    looped = guards.loops(df, "k", "node", ["id"], 3, 2).collect()
+    assert held(looped, 24) and own(looped) and sum(r.violation == "alternation" for r in looped) == 9
+    history = guards.visit_history(df, "k", "node", ["id"], 1).collect()
+    assert held(history, 3) and all(r.history == ["x", "y", "x", "y"] and r.total == 8 for r in history)
+    counts = df.groupBy("k", "node").agg(F.count("*").alias("n"))
+    assert held(guards.bias_uniformity(counts, "n", ["k"]).collect(), 3)
+    equal = guards.bias_distribution(df.groupBy("k").agg(F.count("*").alias("observed")), df.groupBy("k").agg(F.count("*").cast("double").alias("expected")), "k").first()
+    assert equal.chi2 == 0.0 and not equal.biased and equal.df == 2
+    drifts = routing.drift(df.select("k", F.when(F.col("id") < 6, "Clear").otherwise("Complex").alias("domain"), F.lit(1).alias("n")), df.select("k", F.when(F.col("id") < 2, "Clear").otherwise("Complex").alias("domain"), F.lit(1).alias("n")), 0.1, ["k"]).collect()
+    assert held(drifts, 3) and len({r.kl for r in drifts}) == 1 and all(r.drifted for r in drifts)
+    spent = routing.spend(df.withColumn("tier", F.lit("low")), "tier", ["id"], 30, ["k"]).collect()
+    assert held(spent, 24) and own(spent) and sum(r.within for r in spent) == 9
+    whole = routing.spend(df.withColumn("tier", F.lit("low")), "tier", ["k", "id"], 30).collect()
+    assert held(whole, 24) and own(whole) and max(r.spent_mills for r in whole) == 240
+    running = beliefs.running_beta(df, F.col("hit"), "k", ["id"], 0.1).collect()
+    assert held(running, 24) and own(running)
+    assert own(epochs(df, ["k"], ["id"], F.col("id") == 2).collect()) and own(routing.classify(df, "node").collect())
+    log = df.select(F.col("k").alias("id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "created").otherwise("approved").alias("event"), F.lit("me").alias("by"), F.lit(None).cast("string").alias("reason"), "ts")
+    status = guards.escalation_status(log, F.current_timestamp(), 1.0).withColumnRenamed("id", "k").collect()
+    assert held(status, 3) and {r.status for r in status} == {"approved"}
+
+
+def test_null_outcomes_and_doubled_routes(spark):
+    got = guards.breaker(calls(spark, [None, None, True, None]), "key", F.col("ok"), "ts", ["seq"], 2, 100.0).orderBy("seq").collect()
+    assert [(r.failures, r.is_open, r.allowed) for r in got] == [(1, False, True), (2, True, True), (0, False, False), (1, False, True)]
+    routes = spark.createDataFrame([("Clear", "b", 1, "low"), ("Clear", "a", 1, "high"), (None, "x", 1, "low")], "target_domain string, url string, timeout_ms int, tier string")
+    asked = spark.createDataFrame([(1, "what is this, define it"), (2, None)], "id int, text string")
+    assert [(r.id, r.url) for r in routing.route(routing.classify(asked, "text"), routes).orderBy("id").collect()] == [(1, "a"), (2, None)]
+    nodes = spark.createDataFrame([("r", i, n) for i, n in enumerate([None, "A", None, "A"])], "run string, seq long, node string")
+    assert [r.violation for r in guards.loops(nodes, "run", "node", ["seq"], 9, 2).orderBy("seq").collect()] == [None] * 3 + ["alternation"]
+
+
 def test_metrics_and_drift_with_other_domains(spark):
     m = spark.createDataFrame([("Clear", "Own", 3), ("Own", "Own", 1)], "predicted string, actual string, n long")
     got = {r.domain: r for r in routing.domain_metrics(m).collect()}
