@@ -12,22 +12,13 @@ from pyspark.sql import functions as F
 from plumbline.functions import confidence_level, fold_sessions, reasoning_log, reclassify
 from plumbline.functions.order import epochs
 from plumbline.operators import beliefs, effects, guards, refuters, routing
-from plumbline.operators.graphs import CausalGraph, adjustment_sets, closure, reachable, separated
+from plumbline.operators.graphs import CausalGraph, adjustment_sets, closure, cycles, degrees, front_door_sets, levels, paths_avoiding, reachable, separated, verified_adjustment
 from plumbline.operators.policy_text import text_policy
 from plumbline.oracles import SQL
 from plumbline.plans.study import Study
 from plumbline.plans.workflow import TableNode, run_table
 from plumbline.sources import read_table
 
-GRAPHS = {
-    "smoking": [("smoking", "tar"), ("tar", "cancer"), ("smoking", "cancer")],
-    "confounder": [("Z", "X"), ("X", "Y"), ("Z", "Y")],
-    "mediated": [("Z", "X"), ("X", "M"), ("M", "Y"), ("Z", "Y")],
-    "mixed": [("A", "B"), ("B", "C"), ("C", "D"), ("A", "E"), ("B", "E"), ("E", "D")],
-    "frontdoor": [("U", "S"), ("U", "C"), ("S", "T"), ("T", "C")],
-}
-BACKDOOR_ASKED = {"smoking": ("smoking", "cancer"), "confounder": ("X", "Y"), "mediated": ("X", "Y"), "mixed": ("C", "D"), "frontdoor": ("S", "C")}
-SEPARATION_ASKED = [("mixed", "A", "D", ""), ("mixed", "A", "D", "B,E"), ("mixed", "A", "D", "C"), ("mixed", "B", "D", "C,E"), ("confounder", "Z", "Y", "X"), ("confounder", "Z", "Y", ""), ("mediated", "X", "Y", "M,Z"), ("frontdoor", "U", "T", "S"), ("frontdoor", "U", "T", ""), ("smoking", "smoking", "cancer", "tar")]
 ROUTES = {"Clear": ("http://clear", "free"), "Complicated": ("http://complicated", "low"), "Complex": ("http://complex", "medium"), "Chaotic": ("http://chaotic", "high")}
 #: Query texts made from the event type, as the tables hold none.
 TEXTS = {"click": "What is this? Define it, look up how many", "view": "Why did the impact cause this effect", "purchase": "uncertain: explore what if", "signup": "Emergency! outage now", "error": "nothing of note"}
@@ -119,31 +110,6 @@ def study_estimate(spark, d):
     return _rounded(Study(df, graph, "t", "y").estimate(("l_returnflag",)), 3)
 
 
-def dag_parents(spark, d):
-    rows = [(g, v, ",".join(sorted(c.parents(v))), ",".join(sorted(c.children(v))), c.is_acyclic()) for g, e in GRAPHS.items() for c in [CausalGraph(e)] for v in c.variables]
-    return spark.createDataFrame(rows, "graph string, node string, parents string, children string, acyclic boolean")
-
-
-def dag_closure(spark, d):
-    rows = [(g, v, w) for g, e in GRAPHS.items() for c in [CausalGraph(e)] for v in c.variables for w in sorted(c.descendants(v))]
-    return spark.createDataFrame(rows, "graph string, node string, below string")
-
-
-def backdoor_set(spark, d):
-    rows = [(g, t, y, ",".join(sorted(CausalGraph(GRAPHS[g]).backdoor(t, y)))) for g, (t, y) in BACKDOOR_ASKED.items()]
-    return spark.createDataFrame(rows, "graph string, treatment string, outcome string, adjust string")
-
-
-def frontdoor_sets(spark, d):
-    rows = [(g, ",".join(sorted(CausalGraph(GRAPHS[g]).front_door(t, y) or ()))) for g, (t, y) in BACKDOOR_ASKED.items()]
-    return spark.createDataFrame(rows, "graph string, mediators string")
-
-
-def dsep_table(spark, d):
-    rows = [(g, x, y, z, CausalGraph(GRAPHS[g]).d_separated(x, y, z.split(",") if z else [])) for g, x, y, z in SEPARATION_ASKED]
-    return spark.createDataFrame(rows, "graph string, x string, y string, given string, separated boolean")
-
-
 def _links(spark, d) -> DataFrame:
     """Regions over nations over customers and suppliers, customers over their orders and market segments."""
     node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
@@ -172,7 +138,11 @@ def graph_adjustment(spark, d):
 
 
 def graph_separated(spark, d):
-    """Each supplier and the customer of the same number: given nothing, its nation, the customer's segment, or both."""
+    """Each supplier and the customer of the same number: given nothing, its nation, the customer's segment, or both.
+
+    Orders lead nowhere and are in no given set, so their edges cannot open or close a path; a
+    question's walk would only visit those of a whole nation.
+    """
     both = read_table(spark, d, "supplier").join(read_table(spark, d, "customer"), F.col("s_suppkey") == F.col("c_custkey"))
     text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     asked = both.select(F.col("s_suppkey").alias("question"), text("s", "s_suppkey").alias("x"), text("c", "c_custkey").alias("y"), text("n", "s_nationkey").alias("nation"), text("m", "c_mktsegment").alias("segment"))
@@ -180,6 +150,88 @@ def graph_separated(spark, d):
     return separated(_links(spark, d).where("dst not like 'o%'"), asked, given)
 
 
+def _circular(spark, d) -> DataFrame:
+    """The links, and each market segment leading back to a region by the length of its name."""
+    back = read_table(spark, d, "customer").select(F.concat(F.lit("m"), "c_mktsegment").alias("src"), F.concat(F.lit("r"), (F.length("c_mktsegment") % 5).cast("string")).alias("dst")).distinct()
+    return _links(spark, d).unionByName(back)
+
+
+def _supplied(spark, d) -> DataFrame:
+    """The links, and every third supplier leading to the customer of its number."""
+    more = read_table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("c"), "s_suppkey").alias("dst"))
+    return _links(spark, d).unionByName(more)
+
+
+def graph_levels(spark, d):
+    return levels(_links(spark, d))
+
+
+def graph_levels_circular(spark, d):
+    """Without level: the regions that segments lead back to, and all below."""
+    return levels(_circular(spark, d))
+
+
+def graph_cycles(spark, d):
+    return cycles(_circular(spark, d))
+
+
+def graph_avoiding(spark, d):
+    """From the nation of each order's customer to the order, round the customer or round a supplier of its number."""
+    both = read_table(spark, d, "orders").join(read_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    asked = both.select(F.col("o_orderkey").alias("question"), text("n", "c_nationkey").alias("x"), text("o", "o_orderkey").alias("y"), F.when(F.col("o_orderkey") % 3 == 0, text("s", "c_custkey")).when(F.col("o_orderkey") % 3 == 1, text("c", "c_custkey")).alias("node"))
+    # suppliers lead to the customers of their number and nations no longer do where one does
+    edges = _supplied(spark, d)
+    fed = edges.where("src like 's%'").select("dst")
+    return paths_avoiding(edges.where("src not like 'n%'").unionByName(edges.where("src like 'n%'").join(fed, "dst", "left_anti").select("src", "dst")), asked, asked.select("question", "node"))
+
+
+def dag_parents(spark, d):
+    """How many causes and effects each node has, its cause if there is one only, and whether the whole graph is acyclic."""
+    acyclic = graph_levels(spark, d).agg(F.every(F.col("level").isNotNull()).alias("acyclic"))
+    return degrees(_supplied(spark, d)).crossJoin(F.broadcast(acyclic))
+
+
+def dag_closure(spark, d):
+    """Each supplier and customer with all below."""
+    edges = _supplied(spark, d)
+    return closure(edges, edges.where("dst like 's%' or dst like 'c%'").select(F.col("dst").alias("node")).distinct())
+
+
+def backdoor_set(spark, d):
+    """Whether the parents of each supplier and segment block its back-door paths to a nation, a segment or a region, where segments lead back to region 0."""
+    links = _links(spark, d)
+    back = links.where("dst like 'm%'").select(F.col("dst").alias("src"), F.lit("r0").alias("dst")).distinct()
+    both = read_table(spark, d, "supplier").join(read_table(spark, d, "customer"), F.col("s_suppkey") == F.col("c_custkey"))
+    text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    pairs = both.select(text("s", "s_suppkey").alias("x"), F.explode(F.array(text("n", "s_nationkey"), text("m", "c_mktsegment"))).alias("y"))
+    regions = read_table(spark, d, "region").select(text("r", "r_regionkey").alias("y"))
+    wide = back.select(F.col("src").alias("x")).crossJoin(F.broadcast(regions))  # five segments, five regions
+    asked = pairs.unionByName(wide).withColumn("question", F.concat_ws(">", "x", "y"))
+    return verified_adjustment(links.unionByName(back), asked).select("x", "y", "verified")
+
+
+def frontdoor_sets(spark, d):
+    """Mediators between nations and their orders, nations and segments, regions and orders, where some customers have a supplier as a second cause."""
+    n = read_table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    c = read_table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    o = read_table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    asks = [o.select(text("n", "c_nationkey").alias("x"), text("o", "o_orderkey").alias("y")), c.select(text("n", "c_nationkey").alias("x"), text("m", "c_mktsegment").alias("y")), o.select(text("r", "n_regionkey").alias("x"), text("o", "o_orderkey").alias("y")), o.select(text("c", "c_custkey").alias("x"), text("o", "o_orderkey").alias("y"))]
+    asked = functools.reduce(lambda p, q: p.unionByName(q), asks).distinct().withColumn("question", F.concat_ws(">", "x", "y"))
+    return front_door_sets(_supplied(spark, d), asked)
+
+
+def dsep_table(spark, d):
+    """Each supplier and the segment of the customer of its number, where segments lead to customers: given nothing, or that customer, at which both ways meet."""
+    both = read_table(spark, d, "supplier").join(read_table(spark, d, "customer"), F.col("s_suppkey") == F.col("c_custkey"))
+    text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    links = _links(spark, d).where("dst not like 'o%'")
+    turned = links.where("dst not like 'm%'").unionByName(links.where("dst like 'm%'").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    asked = both.select(F.col("s_suppkey").alias("question"), text("s", "s_suppkey").alias("x"), text("m", "c_mktsegment").alias("y"), text("c", "c_custkey").alias("node"))
+    return separated(turned, asked, asked.where("question % 2 = 1").select("question", "node"))
+
+
 def _ok():
     return F.col("event_type") != "error"
 
@@ -465,6 +517,7 @@ _ALL = [
     diff_in_means, ols_adjusted, iv_2sls, ipw_effect, counterfactual_units, placebo_refute, subset_refute, bootstrap_refute, random_common_cause_refute,
     placebo_sequential, common_cause_sequential, bootstrap_sequential, subset_sequential, study_estimate,
     dag_parents, dag_closure, backdoor_set, frontdoor_sets, dsep_table, graph_reachable, graph_ancestors, graph_adjustment, graph_separated,
+    graph_levels, graph_levels_circular, graph_cycles, graph_avoiding,
     beta_posterior, normal_posterior, gamma_posterior, dirichlet_posterior, belief_running, belief_tracked, belief_categorical, belief_batch,
     tool_reliability, most_reliable_tool, unreliable_tools, registered_tools, mcmc_normal,
     policy_decisions, policy_text, policy_typed, risk_decisions, breaker_states, loop_checks, visit_history, rate_limits, rate_limits_reset, escalation_status, audit_recent, bias_uniformity, bias_keyed, bias_distribution, bias_approval,

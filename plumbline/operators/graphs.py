@@ -2,18 +2,20 @@
 
 A causal graph is a modelling artefact of at most some thousands of edges, so questions
 about one graph are answered on the driver. Edge tables of any size are asked by frontier
-joins: ``reachable`` and ``closure`` for what is above or below, ``separated`` for a whole
-table of separation questions at once.
+joins, whole tables of questions at once: ``reachable`` and ``closure`` for what is above or
+below, ``levels`` and ``cycles`` for order, ``paths_avoiding``, ``separated``, ``adjustment_sets``,
+``verified_adjustment`` and ``front_door_sets`` for identification.
 """
 
 from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.scratch import materialize, release
@@ -160,68 +162,255 @@ class CausalGraph:
         return None
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(node, depth): all that the seeds (node) reach over (src, dst), by frontier joins.
+#: Tables of as many rounds are written into one.
+FAN = 4
+
 
-    Each round joins the frontier only and leaves out what is known, so cycles end. Rounds are
-    written to the shared folder, which cuts the lineage; null nodes and ends are ignored.
+class _Found:
+    """Rows found round by round, as a few tables: FAN tables of one rank become one of the next.
+
+    A plan over them has some scans for a thousand rounds, not one a round, and a row is
+    written again once a rank only.
     """
-    found = materialize(seeds.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
-    edges = edges.where("src is not null and dst is not null").select("src", "dst")
-    frontier = found
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier.node == edges.src).select(edges.dst.alias("node")).distinct()
-        frontier = materialize(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            release(frontier)
-            return found
-        found = found.unionByName(frontier)
-    raise RuntimeError(f"no end within {max_depth} steps")
 
+    def __init__(self) -> None:
+        self.tables: list[tuple[int, DataFrame]] = []
 
-def _rounds(start: DataFrame, step, max_rounds: int) -> DataFrame:
-    """All distinct rows that repeated steps reach from ``start``; each round joins new rows only."""
-    found = frontier = materialize(start.distinct())
-    for _ in range(max_rounds):
-        new = step(frontier).distinct()
-        frontier = materialize(new.join(found, new.columns, "left_anti"))
+    def add(self, table: DataFrame) -> None:
+        self.tables.append((0, table))
+        while len(self.tables) >= FAN and self.tables[-1][0] == self.tables[-FAN][0]:
+            rank, last = self.tables[-1][0], [t for _, t in self.tables[-FAN:]]
+            self.tables[-FAN:] = [(rank + 1, materialize(reduce(DataFrame.unionByName, last)))]
+            release(*last)
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t for _, t in self.tables])
+
+    def holds(self, table: DataFrame) -> bool:
+        return any(t is table for _, t in self.tables)
+
+
+def _rounds(start: DataFrame, step, max_rounds: int, keys: Sequence[str] | None = None) -> DataFrame:
+    """All rows, distinct in ``keys`` (all columns unless given), that repeated steps reach from ``start``.
+
+    Each round joins new rows only and is written to the shared folder, which cuts the lineage;
+    ``step(frontier, round)`` gives rows of the same columns. A round's table goes when it has
+    been written into a larger one and is no frontier any more.
+    """
+    found = _Found()
+    frontier = materialize(start.distinct())
+    found.add(frontier)
+    keys = list(keys or frontier.columns)
+    for i in range(1, max_rounds + 1):
+        new = step(frontier, i).dropDuplicates(keys)
+        before, frontier = frontier, materialize(new.join(found.rows().select(*keys), keys, "left_anti"))
+        if not found.holds(before):
+            release(before)
         if frontier.isEmpty():
             release(frontier)
-            return found
-        found = found.unionByName(frontier)
+            return found.rows()
+        found.add(materialize(frontier) if _closes_rank(found) else frontier)
     raise RuntimeError(f"no end within {max_rounds} rounds")
 
 
+def _closes_rank(found: _Found) -> bool:
+    """Whether the next table completes a rank, which removes it: a frontier then needs a copy."""
+    return len(found.tables) >= FAN - 1 and all(rank == 0 for rank, _ in found.tables[-(FAN - 1) :])
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.where("src is not null and dst is not null").select("src", "dst")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(node, depth): all that the seeds (node) reach over (src, dst), by frontier joins.
+
+    Each round joins the frontier only and leaves out what is known, so cycles end. Null nodes
+    and ends are ignored; no seeds reach nothing.
+    """
+    links = _links(edges)
+    start = seeds.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0))
+    return _rounds(start, lambda f, i: f.join(links, f.node == links.src).select(links.dst.alias("node"), F.lit(i).alias("depth")), max_depth, ["node"])
+
+
 def closure(edges: DataFrame, seeds: DataFrame, above: bool = False, max_rounds: int = 1000) -> DataFrame:
     """(seed, node): every seed with itself and all below it, or above it, over (src, dst); ``seeds`` has node.
 
     The result has a row for each pair, which is what is asked for. Null nodes are ignored.
     """
     a, b = ("dst", "src") if above else ("src", "dst")
-    links = edges.where("src is not null and dst is not null").select(F.col(a).alias("node"), F.col(b).alias("next"))
+    links = _links(edges).select(F.col(a).alias("node"), F.col(b).alias("next"))
     start = seeds.where("node is not null").select(F.col("node").alias("seed"), "node")
-    return _rounds(start, lambda f: f.join(links, "node").select("seed", F.col("next").alias("node")), max_rounds)
+    return _rounds(start, lambda f, i: f.join(links, "node").select("seed", F.col("next").alias("node")), max_rounds)
+
+
+def levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(node, level): the longest way to each node from a node without causes; null on and behind cycles.
+
+    Nodes are peeled by in-degree: a round takes the nodes whose causes have all gone, counts
+    their edges towards their effects (summed map-side, so a hub is no hot row) and keeps the
+    counts of effects that still wait. Every edge is joined once. A graph is acyclic if no
+    level is null. Parallel edges count each; null ends are ignored.
+    """
+    links = materialize(_links(edges))
+    needs = materialize(links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("needs")))
+    nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
+    found = _Found()
+    frontier = materialize(nodes.join(needs, "node", "left_anti").withColumn("level", F.lit(0)))
+    waits = None
+    for i in range(1, max_rounds + 1):
+        if frontier.isEmpty():
+            break
+        found.add(materialize(frontier) if _closes_rank(found) else frontier)
+        got = frontier.join(links, frontier.node == links.src).groupBy(links.dst.alias("node")).agg(F.count("*").alias("seen"))
+        both = got if waits is None else got.unionByName(waits.select("node", "seen")).groupBy("node").agg(F.sum("seen").alias("seen"))
+        counted = materialize(both.join(needs, "node"))
+        old = [t for t in (waits, None if found.holds(frontier) else frontier) if t is not None]
+        waits, frontier = counted.where("seen < needs"), materialize(counted.where("seen = needs").select("node", F.lit(i).alias("level")))
+        release(*old)
+    else:
+        raise RuntimeError(f"no end within {max_rounds} rounds")
+    every = materialize(nodes)
+    release(links, needs, *([] if waits is None else [waits]))
+    return every.join(found.rows() if found.tables else frontier, "node", "left")
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """(src, dst): the edges between nodes that lie on a cycle or on a way from one cycle to another.
+
+    What peeling from above and then from below leaves; without cycles it is empty.
+    """
+    links = materialize(_links(edges))
+    left = materialize(levels(links).where("level is null").select("node"))
+    inner = materialize(links.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    turned = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    kept = materialize(levels(turned).where("level is null").select("node"))
+    core = materialize(inner.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    release(links, left, inner, kept)
+    return core
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, position, node): closed ways through the graph, from their smallest node (``cycle``, position 0) on.
+
+    Every node of the cyclic core points to its smallest effect in the core; these pointers
+    end in cycles, at least one for each connected core, no two of which share a node. Cycle
+    nodes, their smallest node and their places are found by doubling the pointers, so rounds
+    grow with the logarithm of a cycle's length. An acyclic graph has no rows.
+    """
+    core = cyclic_core(edges)
+    point = materialize(core.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next")))
+    release(core)
+
+    def doubled(table: DataFrame, *more: Column) -> DataFrame:
+        """Each node's pointer led on by the node it points to, whose columns are prefixed with to_."""
+        other = table.withColumnsRenamed({c: f"to_{c}" for c in table.columns if c != "node"}).withColumnRenamed("node", "next")
+        return materialize(table.join(other, "next").select("node", F.col("to_next").alias("next"), *more))
+
+    size, jump = -1, point
+    while True:  # nodes that some node reaches in 2^i steps: at last those on cycles
+        ends = jump.select(F.col("next").alias("node")).distinct()
+        count = ends.count()
+        if count in (size, 0):
+            break
+        size, before = count, jump
+        jump = doubled(jump)
+        release(*(() if before is point else (before,)))
+    ring = materialize(point.join(ends, "node", "left_semi").withColumn("least", F.least("node", "next")))
+    state = ring
+    while True:  # the smallest of the next 2^i nodes
+        after = doubled(state, F.least("least", "to_least").alias("least"), (F.col("to_least") < F.col("least")).alias("moved"))
+        release(*(() if state is ring else (state,)))
+        state = after.drop("moved")
+        if after.where("moved").isEmpty():
+            break
+    # steps from a node to its cycle's smallest, which stays where it is
+    stops = F.col("node") == F.col("cycle")
+    named = ring.select("node", "next").join(state.select("node", F.col("least").alias("cycle")), "node")
+    walk = materialize(named.select("node", "cycle", F.when(stops, F.col("node")).otherwise(F.col("next")).alias("next"), F.when(stops, 0).otherwise(1).cast("long").alias("steps")))
+    release(point, jump, ring, state)
+    while not walk.where("next <> cycle").isEmpty():
+        before, walk = walk, doubled(walk, F.col("cycle"), (F.col("steps") + F.col("to_steps")).alias("steps"))
+        release(before)
+    length = walk.groupBy("cycle").agg(F.count("*").alias("length"))
+    return walk.join(length, "cycle").select("cycle", ((F.col("length") - F.col("steps")) % F.col("length")).alias("position"), "node")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node, n_parents, n_children, only_parent): distinct causes and effects of each node; its cause if it has one only."""
+    links = _links(edges).distinct()
+    none = F.lit(0).cast("long")
+    up = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_parents"), F.min("src").alias("first"))
+    down = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_children"))
+    both = up.join(down, "node", "full")
+    return both.select("node", F.coalesce("n_parents", none).alias("n_parents"), F.coalesce("n_children", none).alias("n_children"), F.when(F.col("n_parents") == 1, F.col("first")).alias("only_parent"))
 
 
 def adjustment_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(question, node): for each treatment (question, x) its parents that it does not reach, over (src, dst).
 
-    The table form of the back-door set in its ``parents`` mode; a treatment without any has no row.
+    The table form of the back-door set in its ``parents`` mode; a treatment without any has no
+    row, a repeated question its rows once. A treatment reaches a parent only round a cycle,
+    so ways are walked inside the cyclic core alone: an acyclic graph needs none.
     """
-    asked = questions.where("question is not null and x is not null").select("question", "x")
+    asked = questions.where("question is not null and x is not null").select("question", "x").distinct()
     parents = asked.join(edges.where("src is not null").select("src", F.col("dst").alias("x")).distinct(), "x").select("question", "x", F.col("src").alias("node"))
-    below = closure(edges, asked.select(F.col("x").alias("node")), max_rounds=max_rounds).where("seed <> node").withColumnRenamed("seed", "x")
-    return parents.join(below, ["x", "node"], "left_anti").select("question", "node")
+    core = cyclic_core(edges)
+    inside = parents.select("x", "node").distinct().join(core.select(F.col("src").alias("x")).distinct(), "x", "left_semi").join(core.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+    asks = inside.select(F.struct("x", "node").alias("question"), "x", F.col("node").alias("y"))
+    met = paths_avoiding(core, asks, max_rounds=max_rounds).where("connected and x <> y").select("x", F.col("y").alias("node"))
+    return parents.join(met, ["x", "node"], "left_anti").select("question", "node")
+
+
+def paths_avoiding(edges: DataFrame, questions: DataFrame, avoided: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+    """(question, x, y, connected): whether a directed way leads from x to y that meets none of the question's ``avoided`` (question, node) in between.
+
+    All questions walk together, and one stops once it has met its y. The ends always count; a
+    node is connected with itself. Questions without id are left out, null ends are not
+    connected, unknown nodes only with themselves.
+    """
+    links = materialize(_links(edges).distinct())
+    asked = questions.where("question is not null").select("question", "x", "y").distinct()
+    shut = None if avoided is None else materialize(avoided.where("question is not null and node is not null").select("question", "node").distinct())
+
+    def step(frontier: DataFrame, _: int) -> DataFrame:
+        met = frontier.where("node = y").select("question").distinct()
+        going = frontier.join(met, "question", "left_anti")
+        new = going.join(links, going.node == links.src).select("question", links.dst.alias("node"), "y")
+        return new if shut is None else new.where("node <> y").join(shut, ["question", "node"], "left_anti").unionByName(new.where("node = y"))
 
+    start = asked.where("x is not null and y is not null").select("question", F.col("x").alias("node"), "y")
+    reached = _rounds(start, step, max_rounds, ["question", "node", "y"]).where("node = y").select("question", "y").distinct().withColumn("met", F.lit(True))
+    return asked.join(reached, ["question", "y"], "left").select("question", "x", "y", F.col("met").isNotNull().alias("connected"))
 
-def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_rounds: int = 1000) -> DataFrame:
+
+def front_door_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(question, node): the smallest front-door set of each (question, x, y) over an acyclic (src, dst); none has no row.
+
+    A member must lie on a way from x to y and have no cause but x (see ``CausalGraph.front_door``).
+    So it is an effect of x, no way holds two members, and every way begins with one: the set
+    is that of all effects of x which lead to y, or none if one of them is y or has another
+    cause. No sets are enumerated. Ways are walked upwards once for each distinct y.
+    """
+    links = materialize(_links(edges).distinct())
+    asked = questions.where("question is not null and x is not null and y is not null and x <> y").select("question", "x", "y").distinct()
+    above = closure(links, asked.select(F.col("y").alias("node")), above=True, max_rounds=max_rounds).withColumnRenamed("seed", "y")
+    effects = asked.join(links.select(F.col("src").alias("x"), F.col("dst").alias("node")), "x").join(above, ["y", "node"], "left_semi")
+    sole = degrees(links).where("only_parent is not null").select("node")
+    able = effects.where("node <> y").join(sole, "node", "left_semi")
+    unfit = effects.join(able.select("question", "node"), ["question", "node"], "left_anti").select("question").distinct()
+    return able.join(unfit, "question", "left_anti").select("question", "node")
+
+
+def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_rounds: int = 1000, cut: bool = False) -> DataFrame:
     """(question, x, y, separated): whether no path between x and y is open given the question's set.
 
     ``edges`` (src, dst), ``questions`` (question, x, y) and ``given`` (question, node) are tables
     of any size. All questions walk together: a state is a node and the way it was entered, a
     round one join with the edges upwards and one downwards, and a question stops once it has met
     its y. As for one graph, an unknown x or y is separated from all, and unknown nodes of the set
-    are ignored. Questions without id are left out.
+    are ignored. Questions without id are left out. With ``cut`` each question's graph lacks
+    the edges that leave its x, so only back-door paths are asked about.
     """
     links = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
@@ -229,18 +418,44 @@ def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_roun
     known = materialize(asked.join(nodes.withColumnRenamed("node", "x"), "x", "left_semi").join(nodes.withColumnRenamed("node", "y"), "y", "left_semi"))
     fixed = materialize(given.where("question is not null and node is not null").select("question", "node").distinct())
     up, down = links.select(F.col("dst").alias("node"), F.col("src").alias("next")), links.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    ancestors = _rounds(fixed, lambda f: f.join(up, "node").select("question", F.col("next").alias("node")), max_rounds)
+    ends = known.select("question", "x")
+
+    def climbed(f: DataFrame, _: int) -> DataFrame:
+        new = f.join(up, "node").select("question", F.col("next").alias("node"))
+        return new.join(ends.withColumnRenamed("x", "node"), ["question", "node"], "left_anti") if cut else new
+
+    ancestors = _rounds(fixed, climbed, max_rounds)
     no, yes = F.lit(False), F.lit(True)
     marked = fixed.select("question", "node", yes.alias("shut"), no.alias("lifts"), no.alias("met")).unionByName(ancestors.select("question", "node", no.alias("shut"), yes.alias("lifts"), no.alias("met")))
     marked = marked.unionByName(known.select("question", F.col("y").alias("node"), no.alias("shut"), no.alias("lifts"), yes.alias("met")))
     marks = materialize(marked.groupBy("question", "node").agg(*(F.max(c).alias(c) for c in ("shut", "lifts", "met"))))
 
-    def step(frontier: DataFrame) -> DataFrame:
+    def step(frontier: DataFrame, _: int) -> DataFrame:
         at = frontier.join(marks, ["question", "node"], "left").na.fill(False, ["shut", "lifts", "met"]).where("not met")
         goes_up = at.where("if(way = 'up', not shut, lifts)").join(up, "node").select("question", F.col("next").alias("node"), F.lit("up").alias("way"))
         goes_down = at.where("not shut").join(down, "node").select("question", F.col("next").alias("node"), F.lit("down").alias("way"))
+        if cut:
+            goes_up = goes_up.join(ends.withColumnRenamed("x", "node"), ["question", "node"], "left_anti")
+            leaving = at.join(ends.withColumnRenamed("x", "node"), ["question", "node"], "left_anti").where("not shut")
+            goes_down = leaving.join(down, "node").select("question", F.col("next").alias("node"), F.lit("down").alias("way"))
         return goes_up.unionByName(goes_down)
 
     start = known.select("question", F.col("x").alias("node"), F.explode(F.array(F.lit("up"), F.lit("down"))).alias("way"))
     reached = _rounds(start, step, max_rounds).join(marks.where("met"), ["question", "node"], "left_semi").select("question").distinct().withColumn("open", F.lit(True))
     return asked.join(reached, "question", "left").select("question", "x", "y", F.col("open").isNull().alias("separated"))
+
+
+def verified_adjustment(edges: DataFrame, questions: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(question, x, y, verified): whether the ``adjustment_sets`` of each (question, x, y) block every back-door path.
+
+    The table form of ``CausalGraph.backdoor`` in its ``verified`` mode: false where the outcome is in
+    the set, a path stays open in the graph without the treatment's effects, or an end is unknown.
+    """
+    asked = questions.where("question is not null").select("question", "x", "y").distinct()
+    sets = materialize(adjustment_sets(edges, asked, max_rounds))
+    told = separated(edges, asked, sets, max_rounds, cut=True)
+    holds = sets.withColumnRenamed("node", "y").withColumn("inside", F.lit(True))
+    nodes = _links(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("known", F.lit(True))
+    both = told.join(holds, ["question", "y"], "left").join(nodes.withColumnsRenamed({"node": "x", "known": "knows_x"}), "x", "left").join(nodes.withColumnsRenamed({"node": "y", "known": "knows_y"}), "y", "left")
+    good = F.col("separated") & F.col("inside").isNull() & F.col("knows_x").isNotNull() & F.col("knows_y").isNotNull()
+    return both.select("question", "x", "y", good.alias("verified"))

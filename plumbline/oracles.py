@@ -6,12 +6,6 @@ _L = "l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_extende
 _DIM = """coalesce(avg(y) FILTER (on_), 0) - coalesce(avg(y) FILTER (NOT on_), 0)"""
 _SE = """sqrt(var_samp(y) FILTER (on_) / count(*) FILTER (on_) + var_samp(y) FILTER (NOT on_) / count(*) FILTER (NOT on_))"""
 _E = "e AS (SELECT *, event_type <> 'error' AS ok FROM events)"
-_EDGES = """edges(graph, src, dst) AS (VALUES
- ('smoking','smoking','tar'),('smoking','tar','cancer'),('smoking','smoking','cancer'),
- ('confounder','Z','X'),('confounder','X','Y'),('confounder','Z','Y'),
- ('mediated','Z','X'),('mediated','X','M'),('mediated','M','Y'),('mediated','Z','Y'),
- ('mixed','A','B'),('mixed','B','C'),('mixed','C','D'),('mixed','A','E'),('mixed','B','E'),('mixed','E','D'),
- ('frontdoor','U','S'),('frontdoor','U','C'),('frontdoor','S','T'),('frontdoor','T','C'))"""
 _BETA = "a / (a + b) AS mean, a * b / ((a + b) * (a + b) * (a + b + 1)) AS variance"
 _SCORES = ", ".join("(" + " + ".join(f"CAST(contains(said, '{k}') AS INT)" for k in ks) + f") / {len(ks)}.0::DOUBLE AS s{i}" for i, ks in enumerate(KEYWORDS.values()))
 _ROUTED = f"""t0 AS (SELECT *, lower(CASE event_type WHEN 'click' THEN 'What is this? Define it, look up how many' WHEN 'view' THEN 'Why did the impact cause this effect' WHEN 'purchase' THEN 'uncertain: explore what if' WHEN 'signup' THEN 'Emergency! outage now' WHEN 'error' THEN 'nothing of note' ELSE '' END) AS said FROM events),
@@ -88,32 +82,6 @@ m AS (SELECT avg((xx*ty - tx*xy)/(tt*xx - tx*tx)) AS m FROM s)""", "abs(m.m - o.
 m AS (SELECT avg((xx*ty - tx*xy)/(tt*xx - tx*tx)) AS m FROM s)""", "abs(m.m - o.ate)/abs(o.ate) < 0.15"),
     "bootstrap_sequential": _refute("bootstrap_refutation", _draws(789, 20) + f", m AS (SELECT avg(a) AS m FROM (SELECT {_DIM} AS a FROM (SELECT rep, CAST(floor(u * n) AS BIGINT) % n AS i FROM w, z) JOIN g USING (i) GROUP BY rep))", "abs(m.m - o.ate)/abs(o.ate) < 0.2"),
     "study_estimate": "",
-    "dag_parents": f"""WITH {_EDGES}, nodes AS (SELECT graph, src AS node FROM edges UNION SELECT graph, dst FROM edges)
-SELECT graph, node, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM edges e WHERE e.graph = n.graph AND e.dst = n.node), '') AS parents, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges e WHERE e.graph = n.graph AND e.src = n.node), '') AS children, true AS acyclic FROM nodes n""",
-    "dag_closure": f"""WITH RECURSIVE {_EDGES}, c(graph, node, below) AS (SELECT graph, src, dst FROM edges UNION SELECT c.graph, c.node, e.dst FROM c JOIN edges e ON e.graph = c.graph AND e.src = c.below)
-SELECT graph, node, below FROM c""",
-    "backdoor_set": f"""WITH RECURSIVE {_EDGES}, c(graph, node, below) AS (SELECT graph, src, dst FROM edges UNION SELECT c.graph, c.node, e.dst FROM c JOIN edges e ON e.graph = c.graph AND e.src = c.below),
-q(graph, treatment, outcome) AS (VALUES ('smoking','smoking','cancer'),('confounder','X','Y'),('mediated','X','Y'),('mixed','C','D'),('frontdoor','S','C'))
-SELECT q.graph, treatment, outcome, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM edges e WHERE e.graph = q.graph AND e.dst = treatment AND NOT EXISTS (SELECT 1 FROM c WHERE c.graph = q.graph AND c.node = treatment AND c.below = e.src)), '') AS adjust FROM q""",
-    "dsep_table": f"""WITH RECURSIVE {_EDGES},
-q(graph, x, y, given) AS (VALUES ('mixed','A','D',''),('mixed','A','D','B,E'),('mixed','A','D','C'),('mixed','B','D','C,E'),('confounder','Z','Y','X'),('confounder','Z','Y',''),('mediated','X','Y','M,Z'),('frontdoor','U','T','S'),('frontdoor','U','T',''),('smoking','smoking','cancer','tar')),
-c(graph, node, below) AS (SELECT graph, src, dst FROM edges UNION SELECT c.graph, c.node, e.dst FROM c JOIN edges e ON e.graph = c.graph AND e.src = c.below),
-s(graph, x, y, given, node, way) AS (SELECT graph, x, y, given, x, w FROM q, (VALUES ('up'), ('down')) t(w)
-  UNION
-  SELECT s.graph, s.x, s.y, s.given, n.node, n.way FROM s, LATERAL (
-    SELECT e.src AS node, 'up' AS way FROM edges e WHERE e.graph = s.graph AND e.dst = s.node AND ((s.way = 'up' AND NOT list_contains(string_split(s.given, ','), s.node)) OR (s.way = 'down' AND (list_contains(string_split(s.given, ','), s.node) OR EXISTS (SELECT 1 FROM c WHERE c.graph = s.graph AND c.node = s.node AND list_contains(string_split(s.given, ','), c.below)))))
-    UNION ALL
-    SELECT e.dst, 'down' FROM edges e WHERE e.graph = s.graph AND e.src = s.node AND NOT list_contains(string_split(s.given, ','), s.node)) n)
-SELECT graph, x, y, given, NOT bool_or(node = y) AS separated FROM s GROUP BY 1, 2, 3, 4""",
-    "frontdoor_sets": f"""WITH RECURSIVE {_EDGES},
-q(graph, t, y) AS (VALUES ('smoking','smoking','cancer'),('confounder','X','Y'),('mediated','X','Y'),('mixed','C','D'),('frontdoor','S','C')),
-c(graph, node, below) AS (SELECT graph, src, dst FROM edges UNION SELECT c.graph, c.node, e.dst FROM c JOIN edges e ON e.graph = c.graph AND e.src = c.below),
-able AS (SELECT q.*, a.below AS v, row_number() OVER (PARTITION BY q.graph ORDER BY a.below) - 1 AS i FROM q JOIN c a ON a.graph = q.graph AND a.node = t JOIN c b ON b.graph = q.graph AND b.node = a.below AND b.below = y
-  WHERE a.below NOT IN (t, y) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = q.graph AND e.dst = a.below AND e.src <> t)),
-sets AS (SELECT graph, t, y, mask, list(v ORDER BY i) FILTER ((mask >> i) & 1 = 1) AS m FROM able, range(1, 16) AS r(mask) GROUP BY ALL HAVING mask < (1 << count(*))),
-p(graph, mask, m, y, node) AS (SELECT graph, mask, m, y, t FROM sets UNION SELECT p.graph, p.mask, p.m, p.y, e.dst FROM p JOIN edges e ON e.graph = p.graph AND e.src = p.node WHERE NOT list_contains(p.m, e.dst)),
-good AS (SELECT graph, arg_min(m, (len(m), m)) AS m FROM sets WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.graph = sets.graph AND p.mask = sets.mask AND p.node = sets.y) GROUP BY graph)
-SELECT q.graph, coalesce(array_to_string(list_sort(m), ','), '') AS mediators FROM q LEFT JOIN good USING (graph)""",
     "graph_reachable": f"""WITH RECURSIVE {_NODES}, c(node, depth) AS (SELECT x, 0 FROM (VALUES ('r0'), ('r1')) AS t(x) UNION SELECT e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.node)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY node""",
     "graph_ancestors": f"""WITH RECURSIVE {_NODES}, c(seed, node) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey FROM orders UNION SELECT c.seed, e.src FROM c JOIN e ON e.dst = c.node)
@@ -235,6 +203,49 @@ SELECT team, round(chi, 6) AS chi2, CAST(d AS BIGINT) AS df, round(crit, 6) AS c
 SQL["drift_keyed"] = f"""WITH {_ROUTED}, d(domain) AS (VALUES ('Clear'),('Complicated'),('Complex'),('Chaotic'),('Disorder')), g AS (SELECT nullif(user_id % 5, 0) AS team, domain, day(ts) > 15 AS late FROM r),
 s AS (SELECT team, d.domain, greatest(CAST(count(*) FILTER (g.domain = d.domain AND late) AS DOUBLE)/count(*) FILTER (late), 1e-10) AS p, greatest(CAST(count(*) FILTER (g.domain = d.domain AND NOT late) AS DOUBLE)/count(*) FILTER (NOT late), 1e-10) AS q, count(*) FILTER (late) AS n FROM d, g GROUP BY 1, 2)
 SELECT team, round(sum(p*ln(p/q)), 9) AS kl, sum(p*ln(p/q)) > 0.001 AS drifted, max(n) AS n FROM s GROUP BY 1"""
+_SUPPLIED = _NODES + ", f AS (SELECT * FROM e UNION ALL SELECT 's' || s_suppkey, 'c' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)"
+_SMALL = _NODES.replace(" UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders", "")
+SQL["dag_parents"] = f"""WITH {_SUPPLIED}, v AS (SELECT src AS node FROM f UNION SELECT dst FROM f), u AS (SELECT dst AS node, count(*) AS n, min(src) AS one FROM f GROUP BY 1), w AS (SELECT src AS node, count(*) AS n FROM f GROUP BY 1)
+SELECT node, coalesce(u.n, 0) AS n_parents, coalesce(w.n, 0) AS n_children, CASE WHEN u.n = 1 THEN one END AS only_parent, true AS acyclic FROM v LEFT JOIN u USING (node) LEFT JOIN w USING (node)"""
+SQL["dag_closure"] = f"""WITH RECURSIVE {_SUPPLIED}, c(seed, node) AS (SELECT dst, dst FROM f WHERE dst LIKE 's%' OR dst LIKE 'c%' UNION SELECT c.seed, f.dst FROM c JOIN f ON f.src = c.node) SELECT seed, node FROM c"""
+SQL["frontdoor_sets"] = f"""WITH RECURSIVE {_SUPPLIED}, o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+q AS (SELECT 'n' || c_nationkey AS x, 'o' || o_orderkey AS y FROM o UNION SELECT 'n' || c_nationkey, 'm' || c_mktsegment FROM customer UNION SELECT 'r' || n_regionkey, 'o' || o_orderkey FROM o UNION SELECT 'c' || c_custkey, 'o' || o_orderkey FROM o),
+a(y, node) AS (SELECT DISTINCT y, y FROM q UNION SELECT a.y, f.src FROM a JOIN f ON f.dst = a.node),
+k AS (SELECT q.x, q.y, f.dst AS node FROM q JOIN f ON f.src = q.x JOIN a ON a.y = q.y AND a.node = f.dst),
+n AS (SELECT dst AS node, count(*) AS parents FROM f GROUP BY 1),
+bad AS (SELECT DISTINCT x, y FROM k JOIN n USING (node) WHERE node = y OR parents > 1)
+SELECT x || '>' || y AS question, node FROM k WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.x = k.x AND bad.y = k.y)"""
+SQL["dsep_table"] = f"""WITH RECURSIVE {_SMALL}, f AS (SELECT * FROM e WHERE dst NOT LIKE 'm%' UNION ALL SELECT dst, src FROM e WHERE dst LIKE 'm%'),
+q AS (SELECT s_suppkey AS question, 's' || s_suppkey AS x, 'm' || c_mktsegment AS y, 'c' || c_custkey AS given FROM supplier JOIN customer ON s_suppkey = c_custkey),
+z AS (SELECT question, given AS node FROM q WHERE question % 2 = 1), a(question, node) AS (SELECT * FROM z UNION SELECT a.question, f.src FROM a JOIN f ON f.dst = a.node),
+s(question, node, way) AS (SELECT question, x, w FROM q, (VALUES ('up'), ('down')) AS t(w)
+  UNION SELECT s.question, CASE WHEN d.w = 'up' THEN f.src ELSE f.dst END, d.w FROM s, (VALUES ('up'), ('down')) AS d(w), f
+  WHERE s.node = CASE WHEN d.w = 'up' THEN f.dst ELSE f.src END AND CASE WHEN d.w = 'up' AND s.way = 'down' THEN EXISTS (SELECT 1 FROM a WHERE a.question = s.question AND a.node = s.node) ELSE NOT EXISTS (SELECT 1 FROM z WHERE z.question = s.question AND z.node = s.node) END)
+SELECT q.question, x, y, NOT EXISTS (SELECT 1 FROM s WHERE s.question = q.question AND s.node = q.y) AS separated FROM q"""
+SQL["backdoor_set"] = f"""WITH RECURSIVE {_SMALL}, f AS (SELECT * FROM e UNION ALL SELECT DISTINCT 'm' || c_mktsegment, 'r0' FROM customer),
+q AS (SELECT 's' || s_suppkey AS x, 'n' || s_nationkey AS y FROM supplier JOIN customer ON s_suppkey = c_custkey UNION SELECT 's' || s_suppkey, 'm' || c_mktsegment FROM supplier JOIN customer ON s_suppkey = c_custkey
+  UNION SELECT 'm' || c_mktsegment, 'r' || r_regionkey FROM customer, region),
+c(x, node) AS (SELECT DISTINCT x, f.dst FROM q JOIN f ON f.src = x UNION SELECT c.x, f.dst FROM c JOIN f ON f.src = c.node),
+z AS (SELECT DISTINCT x, src AS node FROM q JOIN f ON f.dst = x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.x = q.x AND c.node = f.src)),
+a(x, node) AS (SELECT * FROM z UNION SELECT a.x, f.src FROM a JOIN f ON f.dst = a.node WHERE f.src <> a.x),
+s(x, node, way) AS (SELECT DISTINCT x, x, w FROM q, (VALUES ('up'), ('down')) AS t(w)
+  UNION SELECT s.x, CASE WHEN d.w = 'up' THEN f.src ELSE f.dst END, d.w FROM s, (VALUES ('up'), ('down')) AS d(w), f
+  WHERE f.src <> s.x AND s.node = CASE WHEN d.w = 'up' THEN f.dst ELSE f.src END AND CASE WHEN d.w = 'up' AND s.way = 'down' THEN EXISTS (SELECT 1 FROM a WHERE a.x = s.x AND a.node = s.node) ELSE NOT EXISTS (SELECT 1 FROM z WHERE z.x = s.x AND z.node = s.node) END)
+SELECT x, y, NOT EXISTS (SELECT 1 FROM s WHERE s.x = q.x AND s.node = q.y) AND NOT EXISTS (SELECT 1 FROM z WHERE z.x = q.x AND z.node = q.y) AS verified FROM q"""
+SQL["graph_levels"] = f"""WITH RECURSIVE {_NODES}, d(node, l) AS (SELECT DISTINCT src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, l + 1 FROM d JOIN e ON e.src = d.node) SELECT node, max(l) AS level FROM d GROUP BY 1"""
+_CIRCULAR = _SMALL + ", f AS (SELECT * FROM e UNION ALL SELECT DISTINCT 'm' || c_mktsegment, 'r' || (length(c_mktsegment) % 5) FROM customer)"
+_CORE = f"""{_CIRCULAR}, r(a, b) AS (SELECT src, dst FROM f WHERE dst NOT LIKE 's%' UNION SELECT r.a, f.dst FROM r JOIN f ON f.src = r.b WHERE f.dst NOT LIKE 's%'), loop AS (SELECT a AS node FROM r WHERE a = b)"""
+SQL["graph_levels_circular"] = f"""WITH RECURSIVE {_CORE}, g AS (SELECT * FROM f UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders), behind(node) AS (SELECT node FROM loop UNION SELECT g.dst FROM behind JOIN g ON g.src = behind.node),
+d(node, l) AS (SELECT DISTINCT src, 0 FROM g WHERE src NOT IN (SELECT dst FROM g) UNION SELECT g.dst, l + 1 FROM d JOIN g ON g.src = d.node WHERE g.dst NOT IN (SELECT node FROM behind))
+SELECT node, max(l) AS level FROM d GROUP BY 1 UNION ALL SELECT node, NULL FROM behind"""
+SQL["graph_cycles"] = f"""WITH RECURSIVE {_CORE}, core AS (SELECT node FROM loop UNION (SELECT b FROM r JOIN loop ON a = node INTERSECT SELECT a FROM r JOIN loop ON b = node)),
+p AS (SELECT src, min(dst) AS dst FROM f WHERE src IN (SELECT node FROM core) AND dst IN (SELECT node FROM core) GROUP BY 1),
+w(start, node, n) AS (SELECT src, dst, 1 FROM p UNION ALL SELECT w.start, p.dst, n + 1 FROM w JOIN p ON p.src = w.node WHERE w.node <> w.start AND n < 40),
+ring AS (SELECT DISTINCT start FROM w WHERE node = start), least_of AS (SELECT start, min(node) AS cycle FROM w WHERE start IN (SELECT start FROM ring) GROUP BY 1)
+SELECT cycle, CASE WHEN l.start = cycle THEN 0 ELSE (SELECT min(n) FROM w WHERE w.start = cycle AND w.node = l.start) END AS position, l.start AS node FROM least_of l"""
+SQL["graph_avoiding"] = """SELECT o_orderkey AS question, 'n' || c_nationkey AS x, 'o' || o_orderkey AS y,
+CASE WHEN s_suppkey IS NULL THEN o_orderkey % 3 <> 1 ELSE o_orderkey % 3 = 2 AND s_nationkey = c_nationkey END AS connected
+FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_suppkey % 3 = 0"""
 SQL["study_estimate"] = SQL["ols_adjusted"]
 _CUTS = [round(sum(2.718281828459045**-1 / f for f in fs) * _P) for fs in [[1], [1, 1], [1, 1, 2], [1, 1, 2, 6], [1, 1, 2, 6, 24], [1, 1, 2, 6, 24, 120], [1, 1, 2, 6, 24, 120, 720], [1, 1, 2, 6, 24, 120, 720, 5040]]]
 _WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in _CUTS)
