@@ -96,13 +96,16 @@ def term_vectors(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def language_frames(docs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(lang, sources, totals, total, v): each language's sources in order with their occurrences of kept terms, and its vocabulary's size."""
+    """(lang, code, sources, totals, total, v): each language's sources in order with their occurrences of kept terms, and its vocabulary's size.
+
+    ``code`` is a number for the language that holds for one writing of the table.
+    """
     groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
     held = vectors.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     listed = groups.join(held, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).cast("long").alias("n")))).alias("g"))
     sizes = vectors.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("v"))
     zero = F.lit(0).cast("long")
-    return listed.join(sizes, "lang", "left").select("lang", F.col("g.source").alias("sources"), F.col("g.n").alias("totals"), F.coalesce("total", zero).alias("total"), F.coalesce("v", zero).alias("v"))
+    return listed.join(sizes, "lang", "left").select("lang", F.monotonically_increasing_id().alias("code"), F.col("g.source").alias("sources"), F.col("g.n").alias("totals"), F.coalesce("total", zero).alias("total"), F.coalesce("v", zero).alias("v"))
 
 
 def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
@@ -123,14 +126,18 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
     met = vectors.join(frames, "lang")
     v = F.col("v")
     own = F.transform("sources", lambda s: F.coalesce(F.try_element_at("by_source", s), F.lit(0).cast("long")))
-    wide = met.select("lang", F.zip_with(own, "totals", lambda c, n: probability(c, n, v)).alias("p"))
+    wide = met.select("code", F.zip_with(own, "totals", lambda c, n: probability(c, n, v)).alias("p"))
     # a vector without any excess for each language gives the pairs of an empty vocabulary
-    flat = frames.select("lang", F.transform("sources", lambda s: F.lit(1).cast("long")).alias("p"))
-    by_one = wide.unionByName(flat).select("lang", "p", F.posexplode("p").alias("i", "x"))
-    by_pair = by_one.select("lang", "i", F.posexplode(F.transform("p", lambda q: excess(F.col("x"), q))).alias("j", "f")).where("i <> j")
-    sums = by_pair.groupBy("lang", "i", "j").agg(F.sum("f").alias("value"))
+    flat = frames.select("code", F.transform("sources", lambda s: F.lit(1).cast("long")).alias("p"))
+    by_one = wide.unionByName(flat).select("code", "p", F.posexplode("p").alias("i", "x")).withColumn("square", F.col("x") * F.col("x"))
+    # (p - q)^2 div q = p^2 div q - 2 p + q: one division a pair; on the diagonal p itself is summed
+    by_pair = by_one.select("code", "i", F.posexplode(F.transform("p", lambda q: F.call_function("div", F.col("square"), q))).alias("j", "f"))
+    sums = materialize(by_pair.groupBy("code", "i", "j").agg(F.sum("f").alias("s")))
+    of = lambda c, name: sums.where("i = j").select("code", F.col("i").alias(c), F.col("s").alias(name))
+    value = (F.col("s") - 2 * F.col("p") + F.col("q")).alias("value")
+    valued = sums.where("i <> j").join(of("i", "p"), ["code", "i"]).join(of("j", "q"), ["code", "j"]).select("code", "i", "j", value)
     name = lambda c: F.element_at("sources", F.col(c) + 1)
-    pairs = sums.join(frames.select("lang", "sources"), "lang").select("lang", name("i").alias("source"), F.lit("pair").alias("part"), name("j").alias("item"), "value")
+    pairs = valued.join(frames.select("code", "lang", "sources"), "code").select("lang", name("i").alias("source"), F.lit("pair").alias("part"), name("j").alias("item"), "value")
 
     totals = F.map_from_arrays("sources", "totals")
     used = met.select("lang", "term", v, probability(F.col("n"), F.col("total"), v).alias("q"), totals.alias("t"), F.explode("by_source").alias("source", "c"))
