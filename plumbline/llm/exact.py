@@ -132,7 +132,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = doubted.groupBy("fp", "body").agg(F.count("*").alias("n")).where("n > 1")
     classes = groups.select("fp", F.unhex(F.sha2("body", 256)).alias("sha")).groupBy("fp", "sha").agg(F.count("*").alias("texts"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
-    kept = materialize(narrow.join(classes, ["fp", "sha"]).groupBy("fp", "sha").agg(first, F.count("*").alias("n"), F.max("texts").alias("texts")))
+    # copies are combined before they are shuffled, and only then meet the verified groups
+    held = narrow.groupBy("fp", "sha").agg(first, F.count("*").alias("n"))
+    kept = materialize(held.where("n > 1").join(classes, ["fp", "sha"]))
     found = narrow.join(kept, ["fp", "sha"], "left")
     alone = F.col("n").isNull()
     size = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share fingerprint and SHA-256")).cast("long")).otherwise(F.coalesce("n", F.lit(1)).cast("long"))
