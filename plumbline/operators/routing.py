@@ -165,13 +165,24 @@ def drift(current: DataFrame, reference: DataFrame, threshold: float, keys: Sequ
     Both sides are (keys, domain, n); other domains do not count. Shares under 1e-10 are raised
     to it, without scaling again. An empty side gives 0 and no drift. A null key is a key.
     """
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        sums = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"{name}{i}") for i, d in enumerate(domains)]
-        return df.groupBy(*keys).agg(*sums) if keys else df.agg(*sums)
-
-    c, r = shares(current, "c"), shares(reference, "r")
+    c, r = domain_shares(current, "c", keys, domains), domain_shares(reference, "r", keys, domains)
     both = join_null_safe(c, r, keys, "left").na.fill(0, [f"r{i}" for i in range(len(domains))]) if keys else c.crossJoin(r)
-    total = lambda n: reduce(add, (F.col(f"{n}{i}") for i in range(len(domains))))
+    return both.select(*keys, *drift_columns(len(domains), threshold))
+
+
+def count_columns(name: str, n: Column, domains: Sequence[str]) -> list[Column]:
+    """A sum of ``n`` for each domain, as name0, name1, ..."""
+    return [F.coalesce(F.sum(F.when(F.col("domain") == d, n)), F.lit(0)).alias(f"{name}{i}") for i, d in enumerate(domains)]
+
+
+def domain_shares(df: DataFrame, name: str, keys: Sequence[str], domains: Sequence[str]) -> DataFrame:
+    sums = count_columns(name, F.col("n"), domains)
+    return df.groupBy(*keys).agg(*sums) if keys else df.agg(*sums)
+
+
+def drift_columns(k: int, threshold: float) -> list[Column]:
+    """kl, drifted and n of the counts c0.. against r0.., k of each."""
+    total = lambda n: reduce(add, (F.col(f"{n}{i}") for i in range(k)))
     share = lambda n, i: F.greatest(F.try_divide(F.col(f"{n}{i}"), total(n)).cast("double"), F.lit(1e-10))
-    kl = F.when((total("c") > 0) & (total("r") > 0), reduce(add, (share("c", i) * F.log(share("c", i) / share("r", i)) for i in range(len(domains))))).otherwise(0.0)
-    return both.select(*keys, kl.alias("kl"), (kl > threshold).alias("drifted"), total("c").alias("n"))
+    kl = F.when((total("c") > 0) & (total("r") > 0), reduce(add, (share("c", i) * F.log(share("c", i) / share("r", i)) for i in range(k)))).otherwise(0.0)
+    return [kl.alias("kl"), (kl > threshold).alias("drifted"), total("c").alias("n")]

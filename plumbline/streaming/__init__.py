@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators import beliefs
 from plumbline.operators.guards import Bucket
+from plumbline.operators.routing import DOMAINS, count_columns, domain_shares, drift_columns
 
 
 def beta_stream(events: DataFrame, success: Column, keys: list[str], alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
@@ -44,6 +45,19 @@ def domain_counts(events: DataFrame, ts: str, domain: str, window: str, late: st
     return timed.groupBy(F.window("_ts", window).alias("w"), F.col(domain).alias("domain")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("starts"), "domain", "n")
 
 
+def drift_stream(events: DataFrame, ts: str, domain: str, reference: DataFrame, window: str, late: str, threshold: float, domains: Sequence[str] = tuple(DOMAINS)) -> DataFrame:
+    """(starts, kl, drifted, n): ``routing.drift`` of each window against a static ``reference`` (domain, n), in append mode.
+
+    One state row a window holds its counts; it becomes a drift row when the watermark passes
+    the window's end, so late rows within ``late`` still count and later ones do not. Other
+    domains and rows without time do not count; a window without rows has no row.
+    """
+    timed = events.select(F.col(ts).cast("timestamp").alias("ts"), F.col(domain).alias("domain")).withWatermark("ts", late)
+    counts = timed.groupBy(F.window("ts", window).alias("w")).agg(*count_columns("c", F.lit(1), domains))
+    both = counts.crossJoin(F.broadcast(domain_shares(reference, "r", (), domains)))  # one row
+    return both.select(F.col("w.start").alias("starts"), *drift_columns(len(domains), threshold))
+
+
 def rate_limit_stream(events: DataFrame, key: str, ts: str, event_id: str, capacity: int, rate: float, late: str | None = None) -> DataFrame:
     """(key, event_id, allowed): token buckets kept as keyed state across micro-batches.
 
