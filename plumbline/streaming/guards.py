@@ -129,6 +129,9 @@ class _Escalation(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         created, seq, event, by, reason, late = self.case.get() if self.case.exists() else (None, None, None, None, None, False)
         before, told = created, (event, by, reason) if created is not None else None
+        if created is not None and event == "created" and not late and self._ends(created) <= timerValues.getCurrentWatermarkInMs():
+            late = True  # its time was over before these rows came
+            yield self._row(key, "timed_out", by, reason, created)
         for r in rows:
             if r.event == "created":
                 created = r.at if created is None else min(created, r.at)
