@@ -14,15 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.packing import best_fit_placements, segments
-from plumbline.llm.tables import arrow_limits, settled, text_slices
+from plumbline.llm.tables import arrow_limits, materialize, settled, text_slices
 from plumbline.llm.vocabulary import byte_encoder
 
 END_ID = 50256
+#: Pieces of one length are ranked in so many groups by hash, at every size.
+SPREAD = 256
 
 
 class CapacityTree:
@@ -93,27 +95,64 @@ def plan_decreasing(counts: np.ndarray) -> np.ndarray:
     return segments([g for room in sorted(tree.groups) for g in tree.groups[room]], capacity)
 
 
+def _shrunk(ids: np.ndarray) -> bytes:
+    """16-bit ids with all low bytes before all high ones, compressed: they are written once and shuffled twice."""
+    return pa.compress(ids.view(np.uint8).reshape(-1, 2).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _grown(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 2 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(2, n).T).view("<u2").ravel()
+
+
 def encode_cut(docs: DataFrame, capacity: int, end_id: int, id_col: str, text_col: str, folder: str | None) -> DataFrame:
-    """(doc_id, start, length, ids, task, place): every document whole, ended by ``end_id``, in pieces of ``capacity`` but for the last.
+    """(doc_id, start, length, ids, digest): every document whole, ended by ``end_id``, in pieces of ``capacity`` but for the last.
 
-    ``place`` counts a task's pieces of one length from 0.
+    ``ids`` is compressed, ``digest`` a hash of what it holds.
     """
-    names, kinds = ["doc_id", "start", "length", "ids", "task", "place"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+    names, kinds = ["doc_id", "start", "length", "ids", "digest"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, met = byte_encoder(folder), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode = byte_encoder(folder)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 rows = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = np.array([*encode(text or ""), end_id], "<u2")
                     for s in range(0, len(ids), capacity):
-                        n = min(capacity, len(ids) - s)
-                        rows.append((doc, s, n, ids[s : s + n].tobytes(), task, met[n]))
-                        met[n] += 1
+                        own = ids[s : s + capacity]
+                        rows.append((doc, s, len(own), _shrunk(own), xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, start long, length long, ids binary, task int, place long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, start long, length long, ids binary, digest long")
+
+
+def _rows_of(capacity: int, end_id: int):
+    """Gathered pieces, in order of offset -> rows of the id matrix and how to take them apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("s")
+            at, own = held.offsets.to_numpy(), held.values
+            offset, length = (own.field(c).to_numpy() for c in ("offset", "length"))
+            matrix = np.full((batch.num_rows, capacity), end_id, "<u2")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            for r, o, n, data in zip(row, offset[at[0] : at[-1]], length[at[0] : at[-1]], own.field("ids")[int(at[0]) : int(at[-1])].to_pylist()):
+                matrix[r, o : o + n] = _grown(data, n)
+            spans = [(a, b) for a, b in zip(at, at[1:])]
+            ends = [(offset[a:b] + length[a:b]).astype(np.int32) for a, b in spans]
+            lists = lambda parts, kind: pa.array([p.tolist() for p in parts], pa.list_(kind))
+            doc, start = own.field("doc_id"), own.field("start").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("sequence_id"), pa.array([int(e[-1]) for e in ends], pa.int32()), pa.array([m.tobytes() for m in matrix], pa.binary()),
+                    lists([np.concatenate(([0], e)) for e in ends], pa.int32()), lists([offset[a:b] for a, b in spans], pa.int32()),
+                    pa.array([doc[int(a) : int(b)].to_pylist() for a, b in spans], pa.list_(pa.int64())), lists([start[a:b] for a, b in spans], pa.int64()),
+                ],
+                ["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "starts"],
+            )
+
+    return run
 
 
 def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -123,28 +162,24 @@ def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID,
     ``capacity`` little-endian unsigned 16-bit ids, filled up with ``end_id``; segment k is
     ids[cu_seqlens[k]:cu_seqlens[k + 1]] and holds the tokens of document doc_ids[k] from
     starts[k] on; position ids restart at 0 at each of position_resets. Sequences are numbered
-    from 0 without gaps; how many there are, and how full, does not depend on partitions.
+    from 0 without gaps. The rows depend on what ``docs`` holds only, not on its partitions or
+    the session: pieces of one length are ranked by id, start and content.
 
     Every row of ``docs`` is encoded whole and ended by ``end_id`` (null and empty texts: only
-    that), so each has at least one segment, repeated rows and null ids included. Which pieces
-    of one length go where follows the tasks that encoded them. Other columns do not matter, whatever their names. An
-    empty table gives an empty result.
+    that; very long ones are cut into many pieces), so each has at least one segment, repeated
+    rows and null ids included. Other columns do not matter, whatever their names. An empty
+    table gives an empty result.
     """
     arrow_limits(docs.sparkSession)
-    pieces = encode_cut(docs, capacity, end_id, id_col, text_col, folder)
-    placed = best_fit_placements(pieces, capacity, plan=plan_decreasing, counted=("task", "place"))
+    pieces = materialize(encode_cut(docs, capacity, end_id, id_col, text_col, folder).withColumn("key", F.monotonically_increasing_id()))
+    ties = ("doc_id", "start", "length", "digest")
+    # ranked without their ids, which are joined once; ``key`` holds for this writing of the pieces
+    placed = best_fit_placements(pieces.select(*ties, "key"), capacity, tie_cols=ties, spread=SPREAD, plan=plan_decreasing)
+    met = placed.select("key", "sequence_id", "offset").join(pieces, "key")
     # at most ``capacity`` pieces a sequence, and as many ids
-    rows = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids"))).alias("s"))
-    fill = "".join(f"{b:02X}" for b in int(end_id).to_bytes(2, "little"))
-    return rows.selectExpr(
-        "sequence_id",
-        "int(s[size(s) - 1].offset + s[size(s) - 1].length) as n_tokens",
-        f"rpad(aggregate(s, X'', (a, x) -> concat(a, x.ids)), {2 * capacity}, X'{fill}') as ids",
-        "concat(array(0), transform(s, x -> int(x.offset + x.length))) as cu_seqlens",
-        "transform(s, x -> int(x.offset)) as position_resets",
-        "s.doc_id as doc_ids",
-        "s.start as starts",
-    )
+    rows = met.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids"))).alias("s"))
+    schema = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
+    return rows.mapInArrow(settled(_rows_of(capacity, end_id)), schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> DataFrame:

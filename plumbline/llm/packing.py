@@ -146,7 +146,7 @@ def segments(groups: list, capacity: int) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def best_fit_placements(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", tie_cols: tuple = ("doc_id", "piece"), spread: int = 0, plan: Callable[[np.ndarray], np.ndarray] = plan_bins, counted: tuple[str, str] | None = None) -> DataFrame:
+def best_fit_placements(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", tie_cols: tuple = ("doc_id", "piece"), spread: int = 0, plan: Callable[[np.ndarray], np.ndarray] = plan_bins) -> DataFrame:
     """``pieces`` with sequence_id and offset: one packing of the whole table.
 
     Lengths must lie in 1..capacity, else ValueError. ``pieces`` is written once to the
@@ -156,21 +156,15 @@ def best_fit_placements(pieces: DataFrame, capacity: int = 2048, length_col: str
     so they should tell apart all rows that differ. ``plan`` makes the packing from the counts
     of lengths.
 
-    ``counted`` names two columns that pieces with large other columns may bring, so that ranking
-    need not shuffle them: a group, and the place from 0 among the pieces of that length in it.
-    They are left out of the result. What is joined then has a row a group and length, which is
-    broadcast while the planner finds it small.
-
     Repeated rows are packed once each; columns named sequence_id and offset are
     replaced, others may have any names; an empty table gives an empty result.
     """
     spark = pieces.sparkSession
     spread = spread or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset") and c not in (counted or ())]
+    keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     salt, size, n, base, other, local, rank = free_names(keep, "salt", "size", "n", "base", "other", "local", "rank")
-    group = F.col(counted[0]) if counted else F.pmod(F.xxhash64(*tie_cols), F.lit(spread))
-    place_in = [F.col(counted[1]).alias(local)] if counted else []
-    table = materialize(pieces.select(*keep, F.col(length_col).cast("long").alias(size), group.cast("int").alias(salt), *place_in))
+    group = F.pmod(F.xxhash64(*tie_cols), F.lit(spread))
+    table = materialize(pieces.select(*keep, F.col(length_col).cast("long").alias(size), group.cast("int").alias(salt)))
     per_salt = materialize(table.groupBy(size, salt).agg(F.count("*").alias(n)))
     totals = per_salt.groupBy(size).agg(F.sum(n)).limit(capacity + 2).collect()
     if any(k is None or not 0 < k <= capacity for k, _ in totals):
@@ -181,7 +175,7 @@ def best_fit_placements(pieces: DataFrame, capacity: int = 2048, length_col: str
     places = plan(counts)  # at most a few thousand rows for any corpus
     lengths, firsts = np.searchsorted(places[:, 0], np.arange(capacity + 2)), places[:, 1].copy()
     before = per_salt.select(size, F.col(salt).alias(other), (F.sum(n).over(Window.partitionBy(size).orderBy(salt)) - F.col(n)).alias(base))
-    ranked = table if counted else table.withColumn(local, F.row_number().over(Window.partitionBy(size, salt).orderBy(*tie_cols)) - 1)
+    ranked = table.withColumn(local, F.row_number().over(Window.partitionBy(size, salt).orderBy(*tie_cols)) - 1)
     ranked = ranked.join(before.withColumnRenamed(size, n), (F.col(size) == F.col(n)) & (F.col(salt) == F.col(other)))
     schema = ranked.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 

@@ -606,6 +606,14 @@ def test_token_binary_round_trip(spark, docs, table, tmp_path):
     sizes = lambda df: sorted(r.n_tokens for r in binary.pack_token_ids(df).select("n_tokens").collect())
     assert sizes(docs.repartition(7)) == sizes(docs.coalesce(1)) == sorted(r.n_tokens for r in binary.pack_token_ids(docs).collect())
     assert binary.pack_token_ids(none_of(docs)).count() == 0
+    whole = lambda df: sorted((r.sequence_id, bytes(r.ids), r.cu_seqlens, r.starts, [(i is not None, i) for i in r.doc_ids]) for r in binary.pack_token_ids(df).collect())
+    again = docs.unionByName(docs.where("doc_id < 9"))
+    once = whole(again.coalesce(1))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (8, 32):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert whole(again.repartition(n)) == once
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def one_by_one(lengths, capacity):
