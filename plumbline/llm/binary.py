@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.packing import best_fit_placements, segments
@@ -175,9 +175,14 @@ def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID,
     ties = ("doc_id", "start", "length", "digest")
     # ranked without their ids, which are joined once; ``key`` holds for this writing of the pieces
     placed = best_fit_placements(pieces.select(*ties, "key"), capacity, tie_cols=ties, spread=SPREAD, plan=plan_decreasing)
-    met = placed.select("key", "sequence_id", "offset").join(pieces, "key")
-    # at most ``capacity`` pieces a sequence, and as many ids
-    rows = met.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids"))).alias("s"))
+    entry = F.struct("offset", "doc_id", "start", "length", "ids")
+
+    def met(test: Column) -> DataFrame:
+        return placed.where(test).select("key", "sequence_id", "offset").join(pieces.where(test), "key")
+
+    # a piece as long as a sequence is one and is not gathered; of others a sequence has ``capacity`` at most
+    alone = met(F.col("length") == capacity).select("sequence_id", F.array(entry).alias("s"))
+    rows = alone.unionByName(met(F.col("length") < capacity).groupBy("sequence_id").agg(F.sort_array(F.collect_list(entry)).alias("s")))
     schema = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
     return rows.mapInArrow(settled(_rows_of(capacity, end_id)), schema)
 
