@@ -31,6 +31,8 @@ from plumbline.llm.tables import arrow_limits, materialize, release, settled
 LIMIT = 0.98
 #: Rows and int8 bytes that a tile holds at most.
 TILE, TILE_BYTES = 8192, 2 << 20
+#: A block with one possible pair in so many is multiplied whole.
+DENSE = 8
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +62,17 @@ def possible(a: Rows, b: Rows, limit: float, block: int = 512) -> Iterator[tuple
 def near_pairs(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) with cosine(a[i], b[j]) >= limit in double precision."""
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    for i, j in possible(quantise(a / na[:, None]), quantise(b / nb[:, None]), limit):
+    ua, ub = a / na[:, None], b / nb[:, None]
+    for i, j in possible(quantise(ua), quantise(ub), limit):
+        rows = np.unique(i)
+        if len(i) * DENSE > len(rows) * len(b):  # one product in double precision is less work
+            dots = ua[rows] @ ub.T
+            open_ = dots >= limit - 1e-9
+            sure = dots >= limit + 1e-9  # beyond any difference in the order of summing
+            x, y = np.nonzero(sure)
+            yield rows[x], y
+            x, y = np.nonzero(open_ & ~sure)
+            i, j = rows[x], y
         for k in range(0, len(i), 1 << 16):
             x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
             sure = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y]) >= limit
@@ -71,20 +83,22 @@ class _Forest:
     """Links of a tile pair, reduced to a spanning forest."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
+        self.root = np.arange(n)
 
     def add(self, xs: np.ndarray, ys: np.ndarray) -> None:
-        for x, y in zip(xs.tolist(), ys.tolist()):
-            if (a := self.root(x)) != (b := self.root(y)):
-                self.parent[max(a, b)] = min(a, b)
-                self.links.append((x, y))
+        """Unite the ends of many links at once: the greater root goes under the least root that it meets, until none is left."""
+        root = self.root
+        while len(xs):
+            a, b = root[xs], root[ys]
+            live = a != b
+            xs, ys = xs[live], ys[live]
+            np.minimum.at(root, np.maximum(a, b)[live], np.minimum(a, b)[live])
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        below = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return below, self.root[below]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -156,7 +170,7 @@ def _exact(limit: float):
                     np.add.at(links, j, copies[i])
                     forest.add(i, j)
                 hit = np.flatnonzero(links)
-                u, v = np.array(forest.links, np.int64).reshape(-1, 2).T
+                u, v = forest.links()
                 found = np.concatenate((ids[hit], ids[u]))
                 other = pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(ids[v], pa.int64())])
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.concatenate((links[hit], np.zeros(len(u), np.int64)))), other], ["class", "links", "other"])

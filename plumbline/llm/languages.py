@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, materialize, release, settled, text_slices
+from plumbline.llm.tables import arrow_limits, materialize, packed_counts, release, settled, text_slices, unpacked_counts
 from plumbline.llm.urls import host_of
 
 BUCKETS = 1 << 16
@@ -70,15 +70,15 @@ def train_languages(docs: DataFrame, max_docs: int = MAX_TRAIN) -> LanguageModel
     """A model from documents with ``lang``, up to ``max_docs`` of each language, so that rare ones are known too.
 
     Documents without id, lang or text do not train; without any other, the model knows no
-    language. Over MAX_LANGUAGES languages: ValueError.
+    language. Of more than MAX_LANGUAGES languages those with most documents are known, equals
+    by name. Tasks send a language's counts as one compressed array each, and the driver holds
+    one array a language.
     """
     arrow_limits(docs.sparkSession)
     named = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = named.groupBy("lang").agg(F.approx_count_distinct("doc_id")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     # a language's ids below this share of all hashes are half as many again as are wanted, so ranking them stays small
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(1.5 * max_docs / max(n, 1))) for lang, n in sizes), F.lit(1.0))
+    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(1.5 * max_docs / max(n, 1))) for lang, n in sizes), F.lit(0.0))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
     few = named.where(spot < share * (1 << 31)).select("doc_id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(spot, F.xxhash64("doc_id"), "doc_id"))
@@ -94,30 +94,44 @@ def train_languages(docs: DataFrame, max_docs: int = MAX_TRAIN) -> LanguageModel
                 row = np.repeat(np.arange(len(langs)), np.diff(offsets))
                 for lang in set(langs):
                     total[lang] = total.get(lang, 0) + np.bincount(grams[(langs == lang)[row]], minlength=BUCKETS)
-        for lang, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([packed_counts(x) for x in total.values()], pa.binary())], ["lang", "counts"])
 
-    rows = chosen.mapInArrow(settled(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect()
-    languages = sorted({r[0] for r in rows})
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, data in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[lang] = sums.get(lang, 0) + unpacked_counts(data)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([packed_counts(x) for x in sums.values()], pa.binary())], ["lang", "counts"])
+
+    schema = "lang string, counts binary"
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(settled(run), schema).repartition("lang").mapInArrow(settled(added), schema).collect())
+    languages = [lang for lang, _ in rows]
     counts = np.zeros((len(languages), BUCKETS))
-    place = {x: i for i, x in enumerate(languages)}
-    for lang, bucket, n in rows:
-        counts[place[lang], bucket] = n
+    for own, (_, data) in zip(counts, rows):
+        own[:] = unpacked_counts(data)
     counts += 0.5
     return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
 def html_text(html: str):
-    """The visible text of a page, as a column expression."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    """The visible text of a page, as a column expression; null stays null.
+
+    A script, style or comment that never ends goes to the end of the page, as in browsers; a
+    tag ends at the next < at the latest and is text if it does. So each character is looked at
+    a few times, however long the page.
+    """
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>", " ")
     return F.regexp_replace(bare, r"&#?\w{1,8};", " ")
 
 
 def page_records(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, text, host, suffix, declared) of raw pages (url, html): what ``identify`` takes."""
+    """(keys, text, host, suffix, declared) of raw pages (url, html): what ``identify`` takes.
+
+    One row a row; null pages have null text, null addresses no host; pages and addresses may
+    be of any length. An empty table gives an empty result.
+    """
     host = host_of(F.col("url"))
-    declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([^\"'\s>]*)", 1)
+    declared = F.regexp_extract("html", r"(?i)<html[^<>]*\blang\s*=\s*[\"']?([^\"'\s>]*)", 1)
     return pages.select(*keys, html_text("html").alias("text"), host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"), declared.alias("declared"))
 
 

@@ -12,17 +12,16 @@ raw ones, whatever the size of the corpus: n-grams of junk stand out of both ali
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import arrow_limits, mix64, row_of, settled, split_words, text_slices
+from plumbline.llm.tables import arrow_limits, materialize, mix64, packed_counts, release, row_of, settled, split_words, text_slices, unpacked_counts
 
 #: The least number of buckets.
 BUCKETS = 1 << 16
@@ -32,6 +31,9 @@ PER_BUCKET = 10
 SEGMENT = 1 << 10
 #: At most so many trusted documents (those with the least hash of their id) make the target.
 MAX_TRUSTED = 20_000
+#: n-grams of trusted texts after which no further one is taken. This bounds the table: 6.7 million
+#: buckets, 16 bytes each in a counting task and 8 in a scoring one, but for the last text's own.
+MAX_GRAMS = 1 << 26
 #: Mean log ratio in nats below which a document is not like the trusted ones.
 THRESHOLD = -0.35
 SYMBOLS = "[#*$%&|<>]"
@@ -97,29 +99,28 @@ def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts as the narrowest unsigned integers, their width in the first byte."""
-    own = counts.astype(np.min_scalar_type(int(counts.max())))
-    return bytes([own.itemsize]) + zlib.compress(own.tobytes(), 1)
+def trusted_within(docs: DataFrame, trusted: DataFrame, max_grams: int = MAX_GRAMS) -> tuple[DataFrame, int]:
+    """The trusted ids up to the one that brings the n-grams of their texts to ``max_grams``, and how many n-grams those are.
 
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)
-
-
-def table_size(docs: DataFrame, trusted: DataFrame) -> int:
-    """Buckets for at most PER_BUCKET trusted n-grams each, BUCKETS at least."""
+    Ids are taken in the order of their hash. There are MAX_TRUSTED at most, so is what is ordered here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = 0
         for batch in batches:
             for part in text_slices(batch, "text"):
                 n = np.diff(split_words(part.column("text"))[0])
-                grams += int((2 * n - (n > 0)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([grams])], ["grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(2 * n - (n > 0))], ["doc_id", "grams"])
+
+    held = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id")), "doc_id").select("doc_id", "text")
+    sizes = held.mapInArrow(settled(run), held.select("doc_id").schema.add("grams", "long")).groupBy("doc_id").agg(F.sum("grams").alias("grams"))
+    before = F.sum("grams").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("grams")
+    kept = materialize(sizes.withColumn("before", before).where(F.col("before") < max_grams).select("doc_id", "grams"))
+    return kept, kept.agg(F.sum("grams")).first()[0] or 0
+
 
-    grams = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id")), "doc_id").select("text").mapInArrow(settled(run), "grams long").agg(F.sum("grams")).first()[0]
-    return max(BUCKETS, -(-(grams or 0) // PER_BUCKET))
+def table_size(grams: int) -> int:
+    """Buckets for PER_BUCKET trusted n-grams each, BUCKETS at least."""
+    return max(BUCKETS, -(-grams // PER_BUCKET))
 
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -140,23 +141,23 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
                 np.add.at(total[0], at, 1)
                 np.add.at(total[1], at[good], 1)
         live = [k for k in range(-(-buckets // SEGMENT)) if total[0, k * SEGMENT : (k + 1) * SEGMENT].any()]
-        raw, good = ([_packed(x[k * SEGMENT : (k + 1) * SEGMENT]) for k in live] for x in total)
+        raw, good = ([packed_counts(x[k * SEGMENT : (k + 1) * SEGMENT]) for k in live] for x in total)
         yield pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), pa.array(raw, pa.binary()), pa.array(good, pa.binary())], ["segment", "raw", "good"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for k, *pair in zip(*(c.to_pylist() for c in batch.columns)):
-                new = [_unpacked(x) for x in pair]
+                new = [unpacked_counts(x) for x in pair]
                 sums[k] = [a + b for a, b in zip(sums[k], new)] if k in sums else new
-        raw, good = ([_packed(x[i]) for x in sums.values()] for i in (0, 1))
+        raw, good = ([packed_counts(x[i]) for x in sums.values()] for i in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(raw, pa.binary()), pa.array(good, pa.binary())], ["segment", "raw", "good"])
 
     schema = "segment long, raw binary, good binary"
     table = marked.mapInArrow(settled(run), schema).repartition("segment").mapInArrow(settled(added), schema)
     out = np.zeros((2, buckets), np.int64)
     for k, *pair in table.collect():
-        out[:, k * SEGMENT : (k + 1) * SEGMENT] = [_unpacked(x) for x in pair]
+        out[:, k * SEGMENT : (k + 1) * SEGMENT] = [unpacked_counts(x) for x in pair]
     return out
 
 
@@ -170,7 +171,7 @@ def log_ratio(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     return np.log((counts[1] + smoothing) / (expected + smoothing))
 
 
-def quality_signals(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, carry: tuple = ()) -> DataFrame:
+def quality_signals(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, max_grams: int = MAX_GRAMS, carry: tuple = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ratio, base_failed, kept).
 
     One row per row of ``docs``, repeated rows included; ``carry`` names further columns to
@@ -178,12 +179,15 @@ def quality_signals(docs: DataFrame, labels: DataFrame, buckets: int | None = No
     whatever their names. Null and empty texts have no words: base_failed, not kept, log_ratio
     0. Ties in the threshold are kept. Rows without doc_id are scored like others but are never
     trusted. Repeated labels count once. Without ``buckets`` the table's size follows from the
-    trusted texts. An empty table gives an empty result; without trusted texts every ratio is 0.
+    trusted texts, which ``max_trusted`` and ``max_grams`` bound; raw counts are of all texts. Very
+    long texts are read whole. An empty table gives an empty result; without trusted texts every
+    ratio is 0.
     """
     arrow_limits(docs.sparkSession)
-    trusted = trusted_ids(labels, max_trusted)
-    buckets = buckets or table_size(docs, trusted)
+    trusted, grams = trusted_within(docs, trusted_ids(labels, max_trusted), max_grams)
+    buckets = buckets or table_size(grams)
     weights = log_ratio(ngram_counts(docs, trusted, buckets))
+    release(trusted)
     own = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ratio double, base_failed boolean, kept boolean"
     names = [x.split()[0] for x in own.split(", ")]
     rest = [c for c in carry if c.lower() not in ("doc_id", "text", *names)]

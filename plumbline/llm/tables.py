@@ -4,30 +4,21 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Callable, Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+from plumbline.functions.frames import free_names  # noqa: F401
 from plumbline.scratch import materialize, new_table, release  # noqa: F401
 
 #: Text bytes that one vectorised step handles at once; keeps a Python worker's memory flat.
 CHUNK_BYTES = 4 << 20
 
 
-def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
-    """The wanted names, with underscores in front until no column, in any case of letters, has them."""
-    used, out = {c.lower() for c in taken}, []
-    for name in wanted:
-        while name.lower() in used:
-            name = "_" + name
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def arrow_limits(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so very long texts do not pile up in a worker.
 
@@ -104,3 +95,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts as the narrowest unsigned integers, their width in the first byte."""
+    own = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    return bytes([own.itemsize]) + zlib.compress(own.tobytes(), 1)
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)

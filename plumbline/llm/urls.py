@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tables import free_names, materialize, release
 
-#: The host of an address in lower case, after any scheme and user: a bracketed number, or up to a port, path, query, fragment or backslash.
-HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#\\@]*@)?(\[[^\]/?#]*\]|[^/:?#\\\s]+)"
-#: The same without scheme; there the host must hold a dot.
-BARE = r"^(?:[^/?#\\@:\s]*@)?([^/:?#\\\s@]+\.[^/:?#\\\s@]+)(?::[0-9]*)?(?:[/?#\\].*)?$"
+#: A host has so many characters at most; a longer one is none.
+MAX_HOST = 253
 #: Among entries of one domain and date the first of these wins.
 ACTIONS = ("block", "allow", "remove")
 
@@ -25,12 +23,26 @@ ACTIONS = ("block", "allow", "remove")
 def host_of(url: Column) -> Column:
     """The host of an address, in lower case and without a dot at its end; null if there is none.
 
-    Space and control characters around the address do not count. An address without a scheme
-    has a host if that holds a dot; a bracketed number is one part.
+    Read as browsers read it: space and control characters around the address, and tabs and
+    line ends inside it, do not count; a backslash is a slash; after a scheme of the web any
+    number of slashes may follow; a user goes up to the last @; %-codes are decoded; a bracketed
+    number is one part. An address without a scheme has a host if that holds a dot. A host
+    over MAX_HOST characters is none. Every step is linear in the address, however long.
     """
-    bare = F.regexp_replace(F.lower(url), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    host = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(bare, HOST, 1), F.lit("")), F.regexp_extract(bare, BARE, 1)), r"\.+$", "")
-    return F.nullif(host, F.lit(""))
+    clean = F.regexp_replace(F.trim(F.lower(url), F.lit("".join(map(chr, range(0x21))))), r"[\t\n\r]++", "")
+    slashed = F.translate(clean, "\\", "/")
+    web, other = r"^(?:https?|wss?|ftp):/*+", r"^(?:[a-z][a-z0-9+.-]*+:)?//+"
+    named = slashed.rlike(web) | slashed.rlike(other)
+    rest = F.when(slashed.rlike(web), F.regexp_replace(slashed, web, "")).otherwise(F.regexp_replace(slashed, other, ""))
+    # what may be a host and more stops at the first of these; a longer one cannot be a host
+    authority = F.regexp_extract(rest, r"^[^/?#]*+", 0)
+    last = F.substring_index(authority, "@", -1)
+    bracket = F.regexp_extract(last, r"^\[[^\]]*+\]", 0)
+    plain = F.regexp_extract(F.substring_index(last, ":", 1), r"^[^\x00-\x20]*+", 0)
+    coded = F.when(plain.contains("%"), F.lower(F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain))).otherwise(plain)
+    host = F.rtrim(F.when(bracket != "", bracket).otherwise(coded), F.lit("."))
+    bare = authority.rlike(r"^(?:[^@:\s]*+@)?[^@:\s]++(?::[0-9]*+)?$") & host.contains(".") & ~host.startswith(".")
+    return F.when((host != "") & (F.length(host) <= MAX_HOST) & (named | bare), host)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -51,7 +63,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", f
     """``captures`` with host, matched_domain, action and kept, one row per row, repeated ones included.
 
     Captures without a URL, host or fetch date (null or malformed) match nothing: matched_domain
-    is null and they are kept. Columns named as the result's own, in any case of letters, are
+    is null and they are kept, as are hosts over MAX_HOST characters; addresses may be of any length.
+    Columns named as the result's own, in any case of letters, are
     replaced; others may have any names. Empty tables give an empty result, or one without matches.
     Intervals and verdicts, an entry's and a host and date's, are written before they are joined,
     so that the captures of a hot host can be split over tasks.

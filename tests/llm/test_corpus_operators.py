@@ -647,7 +647,7 @@ def test_plan_is_best_fit_decreasing():
 def test_url_filters_by_hand(spark):
     entries = spark.createDataFrame([("bad.com", "block", "2024-01-10"), ("bad.com", "remove", "2024-02-01"), ("ok.bad.com", "allow", "2024-01-20"), ("same.org", "allow", "2024-01-01"), ("same.org", "block", "2024-01-01"), (None, "block", "2024-01-01"), ("com", "odd", "2024-01-01"), ("bad.com", "block", None), ("bad.com", "allow", "someday"), (" Dotted.NET. ", "block", "2024-01-01"), ("[2001:db8::1]", "block", "2024-01-01"), ("", "block", "2024-01-01")], "domain string, action string, dated string")
     rows = [("http://bad.com/x", "2024-01-09", True), ("http://bad.com/x", "2024-01-10", False), ("https://u@A.BAD.com:8/", "2024-01-31", False), ("https://ok.bad.com", "2024-01-19", False), ("https://ok.bad.com", "2024-01-20", True), ("http://bad.com/x", "2024-02-01", True), ("http://notbad.com", "2024-01-15", True), ("ftp://x.same.org/a?b", "2024-05-05", False), (None, "2024-01-15", True), ("", "2024-01-15", True), ("http://bad.com", None, True), ("http://bad.com/x", "2024-01-10", False)]
-    rows += [("  http://bad.com./x", "2024-01-15", False), ("//bad.com/x", "2024-01-15", False), ("bad.com/x?y", "2024-01-15", False), ("a.bad.com:80", "2024-01-15", False), ("http://bad.com", "not a date", True), ("http://bad.com", "2024-13-45", True), ("http://x.dotted.net", "2024-02-02", False), ("https://[2001:DB8::1]:443/", "2024-02-02", False), ("https://[2001:db8::2]/", "2024-02-02", True), ("http:\\\\bad.com", "2024-01-15", True), ("mailto", "2024-01-15", True), ("\thttp://bad.com\n", "2024-01-15", False)]
+    rows += [("  http://bad.com./x", "2024-01-15", False), ("//bad.com/x", "2024-01-15", False), ("bad.com/x?y", "2024-01-15", False), ("a.bad.com:80", "2024-01-15", False), ("http://bad.com", "not a date", True), ("http://bad.com", "2024-13-45", True), ("http://x.dotted.net", "2024-02-02", False), ("https://[2001:DB8::1]:443/", "2024-02-02", False), ("https://[2001:db8::2]/", "2024-02-02", True), ("http:\\\\bad.com", "2024-01-15", False), ("mailto", "2024-01-15", True), ("\thttp://bad.com\n", "2024-01-15", False)]
     captures = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, url string, fetched string, want boolean").selectExpr("*", "1 as Host", "2 as domain", "3 as starts", "4 as hit", "5 as _on", "6 as on", "7 as day", "8 as other", "9 as KEPT")
     got = urls.filter_urls(captures, entries).collect()
     assert len(got) == len(rows) and all(r.kept == r.want for r in got)
@@ -663,7 +663,7 @@ def test_sql_agrees(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.queries()[name](spark, SF)
     names = sorted(df.columns)
