@@ -4,7 +4,7 @@ Each test has two forms. The scalable ones draw by an integer hash of unit and r
 they need no order, every replicate is a conditional sum in the same pass over the rows, and
 any engine repeats them. The ``sequential`` ones make the draws of one linear congruential
 generator, row after row and replicate after replicate; a draw is computed from its place, so
-rows need not pass one after another. Only the shuffle of ``subset`` is one task a replicate.
+rows need not pass one after another, and the swaps of a shuffle are resolved by sorting.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.order import numbered
@@ -26,8 +26,6 @@ COIN = 2**31 - 1
 #: The sequential generator's multiplier, and each test's seed.
 MULTIPLIER = 6364136223846793005
 PLACEBO_SEED, CAUSE_SEED, SUBSET_SEED, BOOTSTRAP_SEED = 42, 123, 456, 789
-#: Rows that one task shuffles at most, in the sequential form of ``subset``.
-MAX_SHUFFLE = 5_000_000
 
 
 def passes(original: Column, refuted: Column, tolerance: float) -> Column:
@@ -206,31 +204,38 @@ def bootstrap_sequential(df: DataFrame, treatment: str, outcome: str, original:
     return _verdict(weighted.groupBy("rep").agg((mean(arm) - mean(~arm)).alias("ate")).agg(F.avg("ate").alias("m")), "bootstrap_refutation", original, tolerance)
 
 
-def shuffle_prefix(seed: int, first: int, n: int, size: int) -> np.ndarray:
-    """The first ``size`` of 0..n-1 after a partial Fisher-Yates shuffle whose draws start at place ``first``."""
-    left = np.arange(size)
-    other = left + (draws_at(seed, first + left) * (n - left)).astype(np.int64) % (n - left)
-    items = np.arange(n)
-    for i, j in zip(left.tolist(), other.tolist()):
-        items[i], items[j] = items[j], items[i]
-    return items[:size]
+def shuffled_prefix(spark: SparkSession, seed: int, replicates: int, n: int, size: int) -> DataFrame:
+    """(rep, position): the first ``size`` of 0..n-1 after each replicate's partial shuffle, draws one replicate after another.
 
-
-def subset_sequential(df: DataFrame, treatment: str, outcome: str, original: float, order: Sequence[str], fraction: float = 0.8, replicates: int = 10, seed: int = SUBSET_SEED, tolerance: float = 0.2) -> DataFrame:
-    """``subset_validation`` with the generator's draws: subsets of exactly ``fraction`` of the rows (two at least), without replacement.
-
-    A shuffle is sequential, so a replicate is one task that holds the rows' places: over
-    MAX_SHUFFLE rows, ValueError; ``subset_validation`` has no such bound.
+    Step i of a shuffle swaps places i and j >= i, and no later step touches place i. What it
+    puts there is what lay at j: j itself, or, if a step before i drew the same j, what the
+    last such step k had found at its own place. That is k itself, unless an earlier step drew
+    k, and so on: pointers to ever smaller steps, found by sorting draws and followed by
+    doubling, in a few rounds of joins over any number of rows.
     """
-    rows, n = _placed(df, treatment, outcome, order)
-    if n > MAX_SHUFFLE:
-        raise ValueError(f"{n} rows are over {MAX_SHUFFLE}: take subset_validation")
-    size = min(int(max(n * fraction, 2)), n)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for rep in frame["id"]:
-                yield pd.DataFrame({"rep": rep, "position": shuffle_prefix(seed, int(rep) * size, n, size)})
+            place = frame["id"].to_numpy()
+            i = place % size
+            yield pd.DataFrame({"rep": place // size, "i": i, "j": i + (draws_at(seed, place) * (n - i)).astype(np.int64) % (n - i)})
+
+    steps = materialize(spark.range(replicates * size).mapInPandas(run, "rep long, i long, j long"))
+    point = materialize(steps.where(f"i < j and j < {size}").groupBy("rep", F.col("j").alias("k")).agg(F.max("i").alias("to")))
+    while True:
+        on = point.select("rep", F.col("k").alias("to"), F.col("to").alias("then"))
+        after = materialize(point.join(on, ["rep", "to"], "left").select("rep", "k", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")))
+        release(point)
+        point = after.drop("moved")
+        if after.where("moved").isEmpty():
+            break
+    same = F.lag("i").over(Window.partitionBy("rep", "j").orderBy("i"))
+    found = steps.withColumn("k", same).join(point, ["rep", "k"], "left")
+    return found.select("rep", F.when(F.col("k").isNull(), F.col("j")).otherwise(F.coalesce("to", "k")).alias("position"))
+
 
-    chosen = df.sparkSession.range(0, replicates, 1, replicates).mapInPandas(run, "rep long, position long")
+def subset_sequential(df: DataFrame, treatment: str, outcome: str, original: float, order: Sequence[str], fraction: float = 0.8, replicates: int = 10, seed: int = SUBSET_SEED, tolerance: float = 0.2) -> DataFrame:
+    """``subset_validation`` with the generator's draws: subsets of exactly ``fraction`` of the rows (two at least), without replacement."""
+    rows, n = _placed(df, treatment, outcome, order)
+    chosen = shuffled_prefix(df.sparkSession, seed, replicates, n, min(int(max(n * fraction, 2)), n))
     return _verdict(difference_in_means(chosen.join(rows, "position"), "t", "y", ["rep"]).agg(F.avg("ate").alias("m")), "subset_validation", original, tolerance)

@@ -42,9 +42,9 @@ h0 AS (SELECT l.*, f.*, ((unit % {_P}) * a + ((unit >> 31) % {_P} * b) % {_P} +
 h1 AS (SELECT *, (xor(x0, x0 >> 15) * c) % {_P} AS x1 FROM h0), h AS (SELECT *, (xor(x1, x1 >> 13) * b) % {_P} AS u FROM h1)"""
 
 
-def _draws(seed: int, reps: int) -> str:
+def _draws(seed: int, reps: int, many: str = "n") -> str:
     """w: the sequential generator's draw u at each line of every replicate, in order; z: how many lines."""
-    out = [f"z AS (SELECT count(*) AS n FROM l), g AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice, y, t) - 1 AS i FROM l), g0 AS (SELECT rep, i, rep * n + i + 1 AS k, {seed}::HUGEINT AS s FROM g, z, range({reps}) AS x(rep))"]
+    out = [f"z AS (SELECT count(*) AS n FROM l), g AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice, y, t) - 1 AS i FROM l), g0 AS (SELECT rep, i, rep * {many} + i + 1 AS k, {seed}::HUGEINT AS s FROM g, z, range({reps}) AS x(rep) WHERE i < {many})"]
     mul, inc, bits = 6364136223846793005, 1, 26
     for j in range(bits):
         out.append(f"g{j + 1} AS (SELECT rep, i, k, CASE WHEN (k >> {j}) & 1 = 1 THEN (((s * {mul >> 32}) % 4294967296 * 4294967296 + s * {mul & 0xFFFFFFFF}) % 18446744073709551616 + {inc}::HUGEINT) % 18446744073709551616 ELSE s END AS s FROM g{j})")
@@ -246,6 +246,12 @@ SELECT cycle, CASE WHEN l.start = cycle THEN 0 ELSE (SELECT min(n) FROM w WHERE
 SQL["graph_avoiding"] = """SELECT o_orderkey AS question, 'n' || c_nationkey AS x, 'o' || o_orderkey AS y,
 CASE WHEN s_suppkey IS NULL THEN o_orderkey % 3 <> 1 ELSE o_orderkey % 3 = 2 AND s_nationkey = c_nationkey END AS connected
 FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_suppkey % 3 = 0"""
+_SIZE = "CAST(floor(n * 0.8::DOUBLE) AS BIGINT)"
+SQL["subset_sequential"] = _refute("subset_validation", _draws(456, 10, _SIZE) + f""", d AS (SELECT rep, i, i + CAST(floor(u * (n - i)) AS BIGINT) % (n - i) AS j, {_SIZE} AS size FROM w, z),
+up AS (SELECT rep, j AS k, max(i) AS p FROM d WHERE i < j AND j < size GROUP BY 1, 2), chain(rep, k, p) AS (SELECT * FROM up UNION ALL SELECT c.rep, c.k, up.p FROM chain c JOIN up ON up.rep = c.rep AND up.k = c.p),
+root AS (SELECT rep, k, min(p) AS v FROM chain GROUP BY 1, 2), s AS (SELECT rep, i, j, lag(i) OVER (PARTITION BY rep, j ORDER BY i) AS k FROM d),
+sel AS (SELECT s.rep, CASE WHEN s.k IS NULL THEN j ELSE coalesce(v, s.k) END AS i FROM s LEFT JOIN root ON root.rep = s.rep AND root.k = s.k),
+m AS (SELECT avg(a) AS m FROM (SELECT {_DIM} AS a FROM sel JOIN g USING (i) GROUP BY rep))""", "abs(m.m - o.ate)/abs(o.ate) < 0.2").replace("WITH l ", "WITH RECURSIVE l ", 1)
 SQL["study_estimate"] = SQL["ols_adjusted"]
 _CUTS = [round(sum(2.718281828459045**-1 / f for f in fs) * _P) for fs in [[1], [1, 1], [1, 1, 2], [1, 1, 2, 6], [1, 1, 2, 6, 24], [1, 1, 2, 6, 24, 120], [1, 1, 2, 6, 24, 120, 720], [1, 1, 2, 6, 24, 120, 720, 5040]]]
 _WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in _CUTS)

@@ -143,6 +143,18 @@ def test_sequential_refuters(spark):
     assert refuters.bootstrap_sequential(df, "t", "y", 0.3, ["id"], 4).first().refuted_effect == pytest.approx(np.mean(effects_))
 
 
+@pytest.mark.parametrize(("n", "size"), [(1, 1), (2, 2), (7, 7), (40, 32), (5000, 4000), (5000, 3)])
+def test_shuffled_prefix(spark, n, size):
+    got = refuters.shuffled_prefix(spark, 456, 3, n, size)
+    g = Sequential(456)
+    for rep in range(3):
+        items = list(range(n))
+        for i in range(size):
+            j = i + int(g.draw() * (n - i)) % (n - i)
+            items[i], items[j] = items[j], items[i]
+        assert sorted(r.position for r in got.where(F.col("rep") == rep).collect()) == sorted(items[:size])
+
+
 def test_null_groups_and_several_effects(spark):
     df = spark.createDataFrame([(1, "a", 1.0, 5.0), (2, None, 1.0, 6.0), (3, None, 0.0, 2.0), (4, "a", 0.0, 1.0), (5, "lone", 1.0, 7.0)], "id int, k string, t double, y double")
     got = {r.id: r.cf_outcome for r in effects.counterfactual_from_data(df, "t", "y", 0.0, ["k"]).collect()}
