@@ -435,6 +435,23 @@ def route_queries(spark, d):
     return _rounded(got.select("event_id", "domain", "confidence", "confident", "url", "tier", F.array_join(F.transform("all_scores", lambda s: s["domain"]), ",").alias("ranked")), 9)
 
 
+#: Keywords that the tables' invented prose holds.
+SYLLABLES = {"Clear": ["the on", "tion is", "hand"], "Complicated": ["enth", "onand", "thin", "erth"], "Complex": ["reou", "edti", "haat"], "Chaotic": ["whwh", "lyly", "tiontion"], "Own": ["ción", "ung ", "eau"]}
+
+
+def classify_documents(spark, d):
+    got = routing.route(routing.classify(read_table(spark, d, "documents"), "text", SYLLABLES), routing.route_table(spark, ROUTES))
+    return _rounded(got.select("doc_id", "domain", "confidence", "confident", "url", F.array_join(F.transform("all_scores", lambda s: s["domain"]), ",").alias("ranked")), 9)
+
+
+def classify_by_keywords(spark, d):
+    """Documents by a table of the longer words of all conversations, dealt to domains by their length."""
+    words = read_table(spark, d, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).where("length(keyword) > 5").distinct()
+    domain = F.element_at(F.array(*map(F.lit, [*routing.DOMAINS[:4], "Own", "Other"])), (F.length("keyword") % 6 + 1).cast("int"))
+    got = routing.classify_by_table(read_table(spark, d, "documents").select("doc_id", "text"), "text", words.select(domain.alias("domain"), "keyword"))
+    return _rounded(got.select("doc_id", "domain", "confidence", F.size("all_scores").alias("n_domains")), 9)
+
+
 def budget_running(spark, d):
     got = routing.downgrade(routing.spend(_routed(spark, d), "tier", ["event_id"], 20_000), routing.route_table(spark, ROUTES))
     return got.select("event_id", "cost_mills", "spent_mills", "within", "overage_mills", "suggested_tier", "final_url")
@@ -521,7 +538,7 @@ _ALL = [
     beta_posterior, normal_posterior, gamma_posterior, dirichlet_posterior, belief_running, belief_tracked, belief_categorical, belief_batch,
     tool_reliability, most_reliable_tool, unreliable_tools, registered_tools, mcmc_normal,
     policy_decisions, policy_text, policy_typed, risk_decisions, breaker_states, loop_checks, visit_history, rate_limits, rate_limits_reset, escalation_status, audit_recent, bias_uniformity, bias_keyed, bias_distribution, bias_approval,
-    route_queries, budget_running, budget_reset, budget_tiers, confusion, precision_recall, misrouting, drift_kl, drift_keyed, session_fold, session_reclassified, session_reasoning, confidence_levels, workflow_batch,
+    route_queries, classify_documents, classify_by_keywords, budget_running, budget_reset, budget_tiers, confusion, precision_recall, misrouting, drift_kl, drift_keyed, session_fold, session_reclassified, session_reasoning, confidence_levels, workflow_batch,
 ]
 
 

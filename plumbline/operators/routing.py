@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
 from typing import Protocol
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.frames import free_names, join_null_safe
 from plumbline.functions.order import running_total
+from plumbline.scratch import materialize
 
 # The domains in order, their default keywords, tier costs (in thousandths) and tiers.
 DOMAINS = ["Clear", "Complicated", "Complex", "Chaotic", "Disorder"]
@@ -24,6 +28,8 @@ KEYWORDS = {
 }
 TIER_MILLS = {"free": 0, "low": 10, "medium": 50, "high": 200}
 DOMAIN_TIER = {"Clear": "free", "Complicated": "low", "Complex": "medium", "Chaotic": "high", "Disorder": "free"}
+#: Keywords that one automaton holds, more or less.
+KEYWORD_BLOCK = 50_000
 THRESHOLD, FALLBACK, TIMEOUT_MS = 0.3, "Disorder", 30_000
 
 
@@ -46,6 +52,59 @@ def classify(df: DataFrame, text: str, keywords: dict[str, Sequence[str]] | None
     return best.withColumns({"domain": F.when(top > 0, F.col(listed)[0]["domain"]).otherwise(FALLBACK), "confidence": F.when(top > 0, top).otherwise(0.0), "all_scores": F.array(*(F.struct(F.col(listed)[i]["domain"].alias("domain"), (-F.col(listed)[i]["n"]).alias("score")) for i in range(len(ranked))))}).drop(listed)
 
 
+def _find(words: list[tuple[str, list[int]]], domains: list[str]):
+    """Rows (place, low) -> (place, domain, n): how many of a domain's words each text holds, in one pass over the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = ahocorasick.Automaton()
+        for k, (word, own) in enumerate(words):
+            matcher.add_word(word, (k, own))
+        matcher.make_automaton()
+        for batch in batches:
+            place, domain, n = [], [], []
+            for at, low in zip(batch.column("place").to_pylist(), batch.column("low").to_pylist()):
+                met = dict(value for _, value in matcher.iter(low)) if words else {}
+                per = Counter(d for own in met.values() for d in own)
+                place += [at] * len(per)
+                domain += [domains[d] for d in per]
+                n += per.values()
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(domain, pa.string()), pa.array(n, pa.int64())], ["place", "domain", "n"])
+
+    return run
+
+
+def classify_by_table(df: DataFrame, text: str, keywords: DataFrame, block: int = KEYWORD_BLOCK) -> DataFrame:
+    """``classify`` with a table of keywords (domain, keyword) of any size.
+
+    The keywords are dealt into blocks of about ``block`` by hash; of each block an automaton
+    finds all that a text holds in one pass over it, and the counts are added up by text and
+    domain. ``all_scores`` has the domains found, best first; ties go by the order of DOMAINS,
+    then by name. Repeated rows of the table count once, rows with a null or an empty keyword
+    or a null domain not at all; a null text holds nothing. ``df`` is written once, to give its
+    rows numbers.
+    """
+    words = materialize(keywords.select("domain", F.lower("keyword").alias("keyword")).where("domain is not null and keyword <> ''").distinct())
+    totals = words.groupBy("domain").agg(F.count("*").alias("total"))
+    place, scored = free_names([*df.columns, "domain", "confidence", "all_scores"], "place", "scored")
+    rows = materialize(df.drop("domain", "confidence", "all_scores").withColumn(place, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(place).alias("place"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    blocks = max(-(-words.count() // block), 1)
+    found = []
+    for b in range(blocks):
+        own: dict[str, list[int]] = {}
+        names: dict[str, int] = {}
+        for domain, keyword in words.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).toLocalIterator():
+            own.setdefault(keyword, []).append(names.setdefault(domain, len(names)))
+        found.append(texts.mapInArrow(_find(list(own.items()), list(names)), "place long, domain string, n long"))
+    hits = reduce(DataFrame.unionByName, found).groupBy("place", "domain").agg(F.sum("n").alias("n"))
+    first = reduce(lambda rest, i: F.when(F.col("domain") == DOMAINS[i], F.lit(i)).otherwise(rest), range(len(DOMAINS)), F.lit(len(DOMAINS)))
+    share = (F.col("n") / F.col("total")).alias("share")
+    ranked = hits.join(totals, "domain").select("place", F.struct((-share).alias("n"), first.alias("i"), "domain").alias("s")).groupBy("place").agg(F.sort_array(F.collect_list("s")).alias(scored)).withColumnRenamed("place", place)
+    best = F.col(scored)[0]
+    listed = F.transform(F.coalesce(scored, F.array()), lambda s: F.struct(s["domain"].alias("domain"), (-s["n"]).alias("score")))
+    return rows.join(ranked, place, "left").withColumns({"domain": F.coalesce(best["domain"], F.lit(FALLBACK)), "confidence": F.coalesce(-best["n"], F.lit(0.0)), "all_scores": listed}).drop(place, scored)
+
+
 class QueryClassifier(Protocol):
     """Anything that adds domain, confidence and all_scores to a table of texts."""
 
@@ -62,6 +121,16 @@ class KeywordClassifier:
         return classify(df, text, self.keywords)
 
 
+@dataclass(frozen=True)
+class TableClassifier:
+    """``classify_by_table`` with its keywords."""
+
+    keywords: DataFrame
+
+    def classify(self, df: DataFrame, text: str) -> DataFrame:
+        return classify_by_table(df, text, self.keywords)
+
+
 @dataclass(frozen=True)
 class Router:
     """A classifier, its targets and the rules of ``route``."""

@@ -246,6 +246,18 @@ SELECT cycle, CASE WHEN l.start = cycle THEN 0 ELSE (SELECT min(n) FROM w WHERE
 SQL["graph_avoiding"] = """SELECT o_orderkey AS question, 'n' || c_nationkey AS x, 'o' || o_orderkey AS y,
 CASE WHEN s_suppkey IS NULL THEN o_orderkey % 3 <> 1 ELSE o_orderkey % 3 = 2 AND s_nationkey = c_nationkey END AS connected
 FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_suppkey % 3 = 0"""
+_SYLLABLES = [("Clear", ["the on", "tion is", "hand"]), ("Complicated", ["enth", "onand", "thin", "erth"]), ("Complex", ["reou", "edti", "haat"]), ("Chaotic", ["whwh", "lyly", "tiontion"]), ("Own", ["ción", "ung ", "eau"])]
+_SHARES = ", ".join(f"{{'s': -(" + " + ".join(f"CAST(contains(low, '{k}') AS INT)" for k in ks) + f") / {len(ks)}.0::DOUBLE, 'i': {i}, 'n': '{d}'}}" for i, (d, ks) in enumerate(_SYLLABLES))
+SQL["classify_documents"] = f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), s AS (SELECT doc_id, list_sort([{_SHARES}]) AS s FROM t), b AS (SELECT *, -s[1].s AS c FROM s)
+SELECT doc_id, CASE WHEN c > 0 THEN s[1].n ELSE 'Disorder' END AS domain, round(CASE WHEN c > 0 THEN c ELSE 0 END, 9) AS confidence, c >= 0.3 AS confident,
+CASE WHEN c >= 0.3 THEN CASE s[1].n WHEN 'Clear' THEN 'http://clear' WHEN 'Complicated' THEN 'http://complicated' WHEN 'Complex' THEN 'http://complex' WHEN 'Chaotic' THEN 'http://chaotic' END END AS url,
+array_to_string(list_transform(s, lambda x: x.n), ',') AS ranked FROM b"""
+SQL["classify_by_keywords"] = """WITH k AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS keyword FROM conversations),
+w AS (SELECT keyword, list_extract(['Clear','Complicated','Complex','Chaotic','Own','Other'], CAST(length(keyword) % 6 + 1 AS INTEGER)) AS domain FROM k WHERE length(keyword) > 5),
+n AS (SELECT domain, count(*) AS total FROM w GROUP BY 1), d AS (SELECT doc_id, lower(text) AS low FROM documents),
+h AS (SELECT doc_id, domain, count(*) AS n FROM d JOIN w ON contains(low, keyword) GROUP BY 1, 2),
+s AS (SELECT doc_id, domain, n / total::DOUBLE AS share, row_number() OVER (PARTITION BY doc_id ORDER BY n / total::DOUBLE DESC, CASE domain WHEN 'Clear' THEN 0 WHEN 'Complicated' THEN 1 WHEN 'Complex' THEN 2 WHEN 'Chaotic' THEN 3 ELSE 5 END, domain) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM h JOIN n USING (domain))
+SELECT d.doc_id, coalesce(domain, 'Disorder') AS domain, round(coalesce(share, 0), 9) AS confidence, CAST(coalesce(c, 0) AS INTEGER) AS n_domains FROM d LEFT JOIN s ON s.doc_id = d.doc_id AND r = 1"""
 _SIZE = "CAST(floor(n * 0.8::DOUBLE) AS BIGINT)"
 SQL["subset_sequential"] = _refute("subset_validation", _draws(456, 10, _SIZE) + f""", d AS (SELECT rep, i, i + CAST(floor(u * (n - i)) AS BIGINT) % (n - i) AS j, {_SIZE} AS size FROM w, z),
 up AS (SELECT rep, j AS k, max(i) AS p FROM d WHERE i < j AND j < size GROUP BY 1, 2), chain(rep, k, p) AS (SELECT * FROM up UNION ALL SELECT c.rep, c.k, up.p FROM chain c JOIN up ON up.rep = c.rep AND up.k = c.p),

@@ -6,6 +6,7 @@ import concurrent.futures
 import functools
 import json
 import logging
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -14,7 +15,7 @@ from typing import Any, Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.scratch import materialize, release
+from plumbline.scratch import commit_text, list_names, materialize, release, remove
 
 #: Steps of a table of states between two writes of it.
 STEPS_A_WRITE = 20
@@ -190,14 +191,7 @@ class Workflow:
                 raise UnknownNode(at)
             self._tell("node_started", node=at, step=step)
             try:
-                if timeout_s is None:
-                    state = self.nodes[at](state)
-                else:
-                    pool = concurrent.futures.ThreadPoolExecutor(1)
-                    try:
-                        state = pool.submit(self.nodes[at], state).result(timeout_s)
-                    finally:
-                        pool.shutdown(wait=False, cancel_futures=True)
+                state = self.nodes[at](state) if timeout_s is None else _within(self.nodes[at], state, timeout_s)
             except concurrent.futures.TimeoutError as e:
                 self._tell("node_failed", node=at, step=step, error="timed out")
                 raise NodeTimedOut(f"{at}: over {timeout_s} s") from e
@@ -225,6 +219,30 @@ class Workflow:
         return self._run(checkpoint.state, checkpoint.next_node, checkpoint.steps_completed, max_steps, None)
 
 
+def _within(node: Callable[[Any], Any], state: Any, timeout_s: float) -> Any:
+    """The node's result, or TimeoutError after ``timeout_s``; the Spark jobs that it has started are cancelled then.
+
+    The node runs in a thread of its own under a tag of its own. Python code that starts no
+    Spark job cannot be stopped and ends by itself.
+    """
+    spark, tag = SparkSession.getActiveSession(), f"node-{uuid.uuid4().hex}"
+
+    def tagged() -> Any:
+        if spark is not None:
+            spark.addTag(tag)
+        return node(state)
+
+    pool = concurrent.futures.ThreadPoolExecutor(1)
+    try:
+        return pool.submit(tagged).result(timeout_s)
+    except concurrent.futures.TimeoutError:
+        if spark is not None:
+            spark.interruptTag(tag)
+        raise
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
 @dataclass
 class TableNode:
     """A step over a table of states: column updates, then the next node's name (null: the end)."""
@@ -233,20 +251,46 @@ class TableNode:
     target: Column
 
 
-def run_table(states: DataFrame, nodes: dict[str, TableNode], max_steps: int) -> DataFrame:
+def _saved_step(folder: str, spark: SparkSession) -> int | None:
+    """The last step whose manifest was committed in ``folder``."""
+    steps = [int(name) for name in list_names(spark, f"{folder}/manifest") if name.isdigit()]
+    return max(steps, default=None)
+
+
+def _save_step(folder: str, step: int, out: DataFrame) -> DataFrame:
+    """Write the states after ``step``, then commit the step, then drop the states before."""
+    spark, before = out.sparkSession, _saved_step(folder, out.sparkSession)
+    out.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/states/{step}")
+    commit_text(spark, f"{folder}/manifest/{step}", json.dumps({"step": step}))
+    if before is not None and before != step:
+        remove(spark, f"{folder}/manifest/{before}")
+        remove(spark, f"{folder}/states/{before}")
+    return spark.read.schema(out.schema).parquet(f"{folder}/states/{step}")
+
+
+def run_table(states: DataFrame, nodes: dict[str, TableNode], max_steps: int, folder: str | None = None) -> DataFrame:
     """``states`` (current_node and data columns) with final_node, steps and error.
 
     All rows take their steps together in one projection a step, without shuffle; a row that
     is done stays as it is. Every STEPS_A_WRITE steps the states are written, so that plans stay
     small, and once all are done no further step is made. Unfinished rows get the error max_steps_exceeded, rows that meet
     an unknown node node_not_found.
+
+    With ``folder`` (shared, of this run alone) the states are written there instead, and a
+    manifest is committed after them. A run that finds one goes on from its step, which
+    counts towards ``max_steps``, and does not look at ``states`` again; a crash costs the steps
+    since the last manifest. The folder is the caller's to remove once the result is written.
     """
+    spark, done = states.sparkSession, None
+    if folder is not None and (done := _saved_step(folder, spark)) is not None:
+        out = spark.read.parquet(f"{folder}/states/{done}")
     data = sorted({c for n in nodes.values() for c in n.updates})
-    out = states.withColumns({"final_node": F.lit(None).cast("string"), "steps": F.lit(0).cast("long"), "error": F.lit(None).cast("string")})
+    if done is None:
+        out = states.withColumns({"final_node": F.lit(None).cast("string"), "steps": F.lit(0).cast("long"), "error": F.lit(None).cast("string")})
     before = None
-    for step in range(max_steps):
-        if step and step % STEPS_A_WRITE == 0:
-            out = materialize(out)
+    for step in range(done or 0, max_steps):
+        if step and step % STEPS_A_WRITE == 0 and step != done:
+            out = materialize(out) if folder is None else _save_step(folder, step, out)
             if before is not None:
                 release(before)
             before = out

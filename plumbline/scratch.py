@@ -36,11 +36,40 @@ def shared_folder(spark: SparkSession) -> str:
 def new_table(spark: SparkSession) -> str:
     """A path in the shared folder for a table to be written, which ``release`` and the process's end remove."""
     path = f"{shared_folder(spark)}/{_PREFIX}{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    _live[path] = (target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target)
+    _live[path] = _path(spark, path)
     return path
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def commit_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside its place and renamed."""
+    system, target = _path(spark, path)
+    _, draft = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = system.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    system.delete(target, False)
+    if not system.rename(draft, target):
+        raise OSError(f"{path} could not be committed")
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    system, target = _path(spark, folder)
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _path(spark, path)
+    system.delete(target, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -1,5 +1,7 @@
 """Decision operators on small known cases."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -376,6 +378,27 @@ def test_classification(spark):
     assert tie.domain == "Clear"
 
 
+def test_keyword_tables(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abé "), rng.integers(1, 5))) for _ in range(400)]
+    table = [(["Complex", "Clear", "mine", "zz"][i % 4], w.upper() if i % 3 else w) for i, w in enumerate(words)] + [("Clear", ""), (None, "a"), ("mine", None), ("mine", words[2])]
+    texts = [None, "", "É a", *("".join(rng.choice(list("aBé xy"), 30)) for _ in range(25))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[5]])], "id int, text string").selectExpr("*", "1 as place", "'old' as domain", "2 as scored")
+    sets = {d: {w.lower() for k, w in table if k == d and w} for d in ("Clear", "Complex", "mine", "zz")}
+    want = {}
+    for i, t in enumerate([*texts, texts[5]]):
+        share = {d: sum(w in (t or "").lower() for w in ws) / len(ws) for d, ws in sets.items()}
+        want[i] = sorted(((d, s) for d, s in share.items() if s), key=lambda x: (-x[1], ["Clear", "Complex", "mine", "zz"].index(x[0])))
+    for block in (10**6, 37):
+        got = routing.classify_by_table(df, "text", spark.createDataFrame(table, "domain string, keyword string"), block).collect()
+        assert {r.id: [(s.domain, s.score) for s in r.all_scores] for r in got} == want and all(r.place == 1 and r.scored == 2 for r in got)
+        assert all((r.domain, r.confidence) == (want[r.id][0] if want[r.id] else ("Disorder", 0.0)) for r in got)
+    none = spark.createDataFrame([], "domain string, keyword string")
+    assert {r.domain for r in routing.classify_by_table(df, "text", none).collect()} == {"Disorder"}
+    some = {r.id: (r.domain, r.confidence) for r in routing.TableClassifier(spark.createDataFrame([("Clear", "a"), ("Clear", "b"), ("mine", "é")], "domain string, keyword string")).classify(df, "text").collect()}
+    assert some[2] == ("mine", 1.0) and some[0] == ("Disorder", 0.0)
+
+
 def test_routes_and_budget(spark):
     table = routing.route_table(spark, {"Clear": ("u0", "free"), "Chaotic": ("u1", "high")})
     asked = spark.createDataFrame([(1, "Clear", 0.9), (2, "Chaotic", 0.5), (3, "Chaotic", 0.1)], "id int, domain string, confidence double")
@@ -432,8 +455,6 @@ def test_workflow():
     assert found.value.path == ["a", "b", "c", "a"]
     sign = Workflow().add_node("in", lambda x: x).add_node("up", lambda x: x * 10).add_node("down", lambda x: x).set_entry("in").add_conditional_edge("in", lambda x: "up" if x > 0 else "down")
     assert (sign.execute(5, 9), sign.execute(-3, 9)) == (50, -3)
-    import time
-
     slow = Workflow().add_node("s", lambda x: time.sleep(0.5)).set_entry("s")
     with pytest.raises(NodeTimedOut):
         slow.execute_with_timeout(1, 5, 0.05)
@@ -674,6 +695,43 @@ def test_long_table_workflow(spark):
     assert got == {0: (-1, 1, None), 3: (0, 3, None), 50: (0, 50, None)}
 
 
+def test_table_workflow_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workflow, "STEPS_A_WRITE", 3)
+    states = spark.createDataFrame([(i, i, "a") for i in range(6)], "id int, x int, current_node string")
+    x = F.col("x")
+    good = {"a": TableNode({"x": x + 1}, F.when(x < 20, F.lit("a")).otherwise("b")), "b": TableNode({"x": x * 2}, F.lit(None).cast("string"))}
+    bad = good | {"a": TableNode({"x": F.when(x == 12, F.raise_error(F.lit("crash")).cast("int")).otherwise(x + 1)}, good["a"].target)}
+    want = sorted(map(tuple, run_table(states, good, 30).collect()))
+    place = f"file://{tmp_path}/run"
+    with pytest.raises(Exception, match="crash"):
+        run_table(states, bad, 30, place).collect()
+    saved = [int(p.name) for p in (tmp_path / "run" / "manifest").iterdir() if p.name.isdigit()]
+    assert saved == [6] and (tmp_path / "run" / "states" / "6").exists()
+    (tmp_path / "run" / "states" / "9").mkdir(exist_ok=True)  # states of a step that was not committed
+    gone = spark.createDataFrame([], states.schema)  # what has been done is not done again
+    assert sorted(map(tuple, run_table(gone, good, 30, place).collect())) == want
+    short = sorted(map(tuple, run_table(states, good, 8).collect()))
+    again = f"file://{tmp_path}/short"
+    run_table(states, good, 7, again).collect()
+    got = sorted(map(tuple, run_table(gone, good, 8, again).collect()))
+    assert got == short and {r[-1] for r in got} == {"max_steps_exceeded"}
+
+
+def test_a_node_that_takes_too_long_is_cancelled(spark):
+    def slow(state):
+        spark.range(0, 40, 1, 4).select(F.udf(lambda x: time.sleep(1) or x, "long")("id")).write.format("noop").mode("overwrite").save()
+
+    flow = workflow.Workflow()
+    flow.add_node("slow", slow)
+    flow.set_entry("slow")
+    with pytest.raises(workflow.NodeTimedOut):
+        flow.execute_with_timeout({}, 3, 2.0)
+    began = time.time()
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.time() - began < 15:
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
 def test_session_logs(spark):
     steps = spark.createDataFrame([("s", 2, "Clear", 0.9, None, "b"), ("s", 1, "Complex", 0.4, "approve", "a"), ("u", 1, "Clear", 0.2, None, None)], "session string, seq int, domain string, confidence double, decision string, reasoning string")
     assert [(r.session, r.log) for r in reasoning_log(steps).collect()] == [("s", ["a", "b"])]
