@@ -297,9 +297,18 @@ def registered_tools(spark, d):
     return _rounded(got.select("tool", "reliability", "total_calls", "recent_failures"), 9)
 
 
+def _normal_log_density(x, row):
+    """Of (mean, log deviation) with flat priors, from a group's n, mean m and population variance v."""
+    return -row["n"] * x[1] - row["n"] * (row["v"] + (row["m"] - x[0]) ** 2) / (2 * np.exp(2 * x[1]))
+
+
 def mcmc_normal(spark, d):
-    got = beliefs.metropolis(spark, lambda x: -0.5 * float(np.dot(x, x)), [0.0, 0.0], 2000, 500, target_rate=0.4)
-    return got.groupBy("dim").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), F.avg("acceptance_rate").alias("acceptance_rate"))
+    """Sampled posteriors of each event type's values, and whether they agree with the known ones within a standard deviation of these."""
+    groups = _events(spark, d).groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    got = beliefs.posterior_summaries(groups, ["event_type"], _normal_log_density, lambda r: [r["m"], 0.5 * np.log(r["v"])], 2000, 500)
+    per = got.groupBy("event_type").agg(F.avg(F.when(F.col("dim") == 0, F.col("mean"))).alias("a"), F.avg(F.when(F.col("dim") == 1, F.col("mean"))).alias("b"), F.count_distinct("chain").alias("chains"), F.min("acceptance_rate").alias("rate"))
+    sd = F.sqrt(F.col("v") / F.col("n"))
+    return per.join(groups, "event_type").select("event_type", "n", "chains", (F.abs(F.col("a") - F.col("m")) < sd).alias("mean_agrees"), (F.abs(F.col("b") - F.log("v") / 2) < 1 / F.sqrt(2 * F.col("n"))).alias("deviation_agrees"), ((F.col("rate") > 0.25) & (F.col("rate") < 0.55)).alias("rate_near_target"))
 
 
 def _risk():
@@ -381,6 +390,11 @@ def rate_limits(spark, d):
     return guards.rate_limit(_events(spark, d), "user_id", "ts", ["ts", "event_id"], 3, 0.00002).select("event_id", "allowed", "remaining")
 
 
+def rate_limits_peek(spark, d):
+    """As ``rate_limits``, but views only look."""
+    return guards.rate_limit(_events(spark, d), "user_id", "ts", ["ts", "event_id"], 3, 0.00002, F.col("event_type") != "view").select("event_id", "allowed", "remaining")
+
+
 def rate_limits_reset(spark, d):
     """As ``rate_limits``, but a signup resets its user's bucket."""
     live = epochs(_events(spark, d), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
@@ -537,7 +551,7 @@ _ALL = [
     graph_levels, graph_levels_circular, graph_cycles, graph_avoiding,
     beta_posterior, normal_posterior, gamma_posterior, dirichlet_posterior, belief_running, belief_tracked, belief_categorical, belief_batch,
     tool_reliability, most_reliable_tool, unreliable_tools, registered_tools, mcmc_normal,
-    policy_decisions, policy_text, policy_typed, risk_decisions, breaker_states, loop_checks, visit_history, rate_limits, rate_limits_reset, escalation_status, audit_recent, bias_uniformity, bias_keyed, bias_distribution, bias_approval,
+    policy_decisions, policy_text, policy_typed, risk_decisions, breaker_states, loop_checks, visit_history, rate_limits, rate_limits_peek, rate_limits_reset, escalation_status, audit_recent, bias_uniformity, bias_keyed, bias_distribution, bias_approval,
     route_queries, classify_documents, classify_by_keywords, budget_running, budget_reset, budget_tiers, confusion, precision_recall, misrouting, drift_kl, drift_keyed, session_fold, session_reclassified, session_reasoning, confidence_levels, workflow_batch,
 ]
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,34 +182,79 @@ def most_reliable(tools: DataFrame) -> DataFrame:
 # sampling
 
 
+def _checked(init: Sequence[float], draws: int, warmup: int, proposal_std: Sequence[float] | None) -> tuple[np.ndarray, np.ndarray]:
+    start = np.array(init, float)
+    steps = np.ones(len(start)) if proposal_std is None else np.array(proposal_std, float)
+    if draws < 1 or warmup < 0 or len(steps) != len(start) or not (steps > 0).all():
+        raise ValueError("draws >= 1, warmup >= 0 and a positive step for each dimension are needed")
+    return start, steps
+
+
+def _chain(log_density: Callable[[np.ndarray], float], start: np.ndarray, steps: np.ndarray, draws: int, warmup: int, target_rate: float | None, seed: list[int]) -> tuple[np.ndarray, float]:
+    """The draws of one chain and the share accepted after the warm-up."""
+    rng = np.random.default_rng(seed)
+    x, lp, scale, hits = start.copy(), log_density(start), 0.0, 0
+    out = np.zeros((draws, len(x)))
+    for i in range(warmup + draws):
+        new = x + rng.normal(size=len(x)) * steps * np.exp(scale)
+        lq = log_density(new)
+        yes = bool(np.log(rng.random()) < lq - lp)
+        if yes:
+            x, lp = new, lq
+        if i < warmup:
+            scale += (yes - target_rate) / np.sqrt(1 + i) if target_rate is not None else 0.0
+        else:
+            hits += yes
+            out[i - warmup] = x
+    return out, hits / draws
+
+
 def metropolis(spark: SparkSession, log_density: Callable[[np.ndarray], float], init: Sequence[float], draws: int, warmup: int, proposal_std: Sequence[float] | None = None, target_rate: float | None = None, chains: int = 4, seed: int = 0) -> DataFrame:
     """(chain, draw, dim, value, acceptance_rate): random-walk chains, one a task.
 
     With ``target_rate`` the step adapts during the warm-up: log s += (accepted - target) /
     sqrt(1 + i), from s = 1. A NaN log ratio is a rejection. Chains are seeded by (seed, chain).
     """
-    start = np.array(init, float)
-    steps = np.ones(len(start)) if proposal_std is None else np.array(proposal_std, float)
-    if draws < 1 or warmup < 0 or len(steps) != len(start) or not (steps > 0).all():
-        raise ValueError("draws >= 1, warmup >= 0 and a positive step for each dimension are needed")
+    start, steps = _checked(init, draws, warmup, proposal_std)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for chain in frame["id"]:
-                rng = np.random.default_rng([seed, int(chain)])
-                x, lp, scale, hits = start.copy(), log_density(start), 0.0, 0
-                out = np.zeros((draws, len(x)))
-                for i in range(warmup + draws):
-                    new = x + rng.normal(size=len(x)) * steps * np.exp(scale)
-                    lq = log_density(new)
-                    yes = bool(np.log(rng.random()) < lq - lp)
-                    if yes:
-                        x, lp = new, lq
-                    if i < warmup:
-                        scale += (yes - target_rate) / np.sqrt(1 + i) if target_rate is not None else 0.0
-                    else:
-                        hits += yes
-                        out[i - warmup] = x
-                yield pd.DataFrame({"chain": chain, "draw": np.repeat(np.arange(draws), len(x)), "dim": np.tile(np.arange(len(x)), draws), "value": out.ravel(), "acceptance_rate": hits / draws})
+                out, rate = _chain(log_density, start, steps, draws, warmup, target_rate, [seed, int(chain)])
+                yield pd.DataFrame({"chain": chain, "draw": np.repeat(np.arange(draws), len(start)), "dim": np.tile(np.arange(len(start)), draws), "value": out.ravel(), "acceptance_rate": rate})
 
     return spark.range(0, chains, 1, chains).mapInPandas(run, "chain long, draw long, dim long, value double, acceptance_rate double")
+
+
+def posterior_summaries(groups: DataFrame, keys: Sequence[str], log_density: Callable[[np.ndarray, dict], float], init: Callable[[dict], Sequence[float]], draws: int, warmup: int, target_rate: float | None = 0.4, chains: int = 4, seed: int = 0) -> DataFrame:
+    """(keys, chain, dim, mean, variance, acceptance_rate) of sampled posteriors, a chain a row of ``groups`` and number.
+
+    ``groups`` has a row a group with what its likelihood needs, such as sums made by an
+    aggregate; ``log_density(x, row)`` and ``init(row)`` see the row as a dict. Every chain of
+    every group is a task's own small work, dealt by hash; draws stay in the task. A group
+    whose start has no finite density has null figures. Chains are seeded by (seed, chain, a
+    hash of the keys), so results depend on neither partitions nor other groups.
+    """
+    _checked([0.0], draws, warmup, None)
+    names = free_names(groups.columns, "chain", "spot")
+    asked = groups.withColumn(names[0], F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).withColumn(names[1], F.xxhash64(*keys, names[0])).repartition(names[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for k, row in enumerate(batch.to_pylist()):
+                start = np.array(init(row), float)
+                density = lambda x: log_density(x, row)  # noqa: B023, E731
+                if np.isfinite(start).all() and np.isfinite(density(start)):
+                    drawn, rate = _chain(density, start, np.ones(len(start)), draws, warmup, target_rate, [seed, row[names[0]], row[names[1]] % 2**63])
+                    told = [(d, float(drawn[:, d].mean()), float(drawn[:, d].var(ddof=1)) if draws > 1 else None, rate) for d in range(len(start))]
+                else:
+                    told = [(d, None, None, None) for d in range(len(start))]
+                at += [k] * len(told)
+                out += told
+            dim, mean, variance, rate = zip(*out) if out else ((), (), (), ())
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in (*keys, names[0])]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(dim, pa.int64()), *(pa.array(c, pa.float64()) for c in (mean, variance, rate))], [*keys, "chain", "dim", "mean", "variance", "acceptance_rate"])
+
+    schema = groups.select(*keys).schema.add("chain", "integer").add("dim", "long").add("mean", "double").add("variance", "double").add("acceptance_rate", "double")
+    return asked.mapInArrow(run, schema)

@@ -144,30 +144,31 @@ class Bucket:
         return False, 0, math.ceil((1 - self.tokens) / self.rate * 1000) if self.rate else -1
 
 
-def rate_limit(df: DataFrame, key: str | Sequence[str], ts: str, order: Sequence[str], capacity: int, rate: float, consume: bool = True) -> DataFrame:
+def rate_limit(df: DataFrame, key: str | Sequence[str], ts: str, order: Sequence[str], capacity: int, rate: float, consume: bool | Column = True) -> DataFrame:
     """(key, order columns, allowed, remaining, retry_after_ms) of every call, in each key's order.
 
     The cap and the rejections make the state non-linear, so a key's calls are folded in
     order: rows are dealt by key, sorted, and streamed; only the current key's two numbers
-    are held. ``consume=False`` peeks. retry_after_ms is -1 where the rate is 0. Null and NaN are
+    are held. Where ``consume`` is false a call only peeks. retry_after_ms is -1 where the rate is 0. Null and NaN are
     keys like others. For resets give the columns of ``functions.order.epochs`` as key.
     """
     Bucket(capacity, rate)
     key = [key] if isinstance(key, str) else list(key)
     names = list(dict.fromkeys([*key, *order]))
-    (clock,) = free_names(names, "now")
-    rows = df.select(*names, (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias(clock)).repartition(*key).sortWithinPartitions(*key, *order)
-    schema = rows.drop(clock).schema.add("allowed", "boolean").add("remaining", "long").add("retry_after_ms", "long")
+    clock, takes = free_names(names, "now", "takes")
+    taken = F.coalesce(consume, F.lit(False)) if isinstance(consume, Column) else F.lit(consume)
+    rows = df.select(*names, taken.alias(takes), (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias(clock)).repartition(*key).sortWithinPartitions(*key, *order)
+    schema = rows.drop(clock, takes).schema.add("allowed", "boolean").add("remaining", "long").add("retry_after_ms", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, bucket = object(), None
         for batch in batches:
             out = []
-            for *k, now in zip(*(batch.column(c).to_pylist() for c in (*key, clock))):
+            for *k, now, uses in zip(*(batch.column(c).to_pylist() for c in (*key, clock, takes))):
                 k = ["NaN" if x != x else x for x in k]
                 if k != current:
                     current, bucket = k, Bucket(capacity, rate)
-                out.append(bucket.check(now, consume))
+                out.append(bucket.check(now, uses))
             allowed, remaining, wait = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(wait, pa.int64())], [*names, "allowed", "remaining", "retry_after_ms"])
 

