@@ -216,13 +216,21 @@ def pack_token_ids(docs: DataFrame, capacity: int = 2048, end_id: int = END_ID,
 
 
 def write_packed(packed: DataFrame, path: str) -> DataFrame:
-    """Write packed sequences as Parquet, a matrix row, its lengths and resets a record; returns what was written."""
+    """Write packed sequences as Parquet, a matrix row, its lengths and resets a record; returns what was written.
+
+    Null doc_ids stay null; an empty table is written as one. ``path`` must not exist yet.
+    """
     packed.write.option("compression", "zstd").parquet(path)
     return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def unpack_documents(packed: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of each segment: the way back, with ids as array<int>."""
+    """(doc_id, start, ids) of each segment: the way back, with ids as array<int>.
+
+    A row a segment, so a document over the capacity has several, told apart by start; null ids
+    and repeated rows come back as they went in. Fill is no segment. Further columns do not
+    matter; an empty table gives an empty result.
+    """
     segments = packed.select("ids", F.explode(F.arrays_zip("doc_ids", "starts", F.slice("cu_seqlens", F.lit(1), F.size("doc_ids")).alias("a"), F.slice("cu_seqlens", F.lit(2), F.size("doc_ids")).alias("b"))).alias("s"))
     pieces = segments.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.starts").alias("start"), F.hex(F.expr("substring(ids, 2 * s.a + 1, 2 * (s.b - s.a))")).alias("h"))
     ids = F.expr("transform(sequence(0, int(length(h) / 4) - 1), i -> int(conv(concat(substring(h, 4 * i + 3, 2), substring(h, 4 * i + 1, 2)), 16, 10)))")

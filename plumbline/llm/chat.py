@@ -104,7 +104,11 @@ def format_chats(chats: DataFrame, learn: str = "assistant", folder: str | None
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """What reading ``format_chats`` output back gives: turns, and the text under the loss mask."""
+    """What reading ``format_chats`` output back gives: turns, and the text under the loss mask.
+
+    A row each, whatever its columns' order and further columns: a conversation of any length
+    that fits in a task, repeated ones told each. An empty table gives an empty result.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]

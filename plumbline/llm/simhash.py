@@ -172,8 +172,8 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
     Rows with one fingerprint are one class, named by it, so rows that share a doc_id stay
     apart if their texts are. Repeated rows yield repeated rows. A row without doc_id links
     like any other but is never a name. Null and empty texts have fingerprint zero and link
-    like any other. Other columns do not matter, whatever their names. An empty table gives
-    an empty result.
+    like any other. Very long texts are hashed whole, all shingles with their repeats. Other
+    columns do not matter, whatever their names. An empty table gives an empty result.
     """
     signed = materialize(fingerprints(docs, width, id_col, text_col))
     classes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -192,7 +192,7 @@ def keep_representatives(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Among rows with that doc_id, or in a group without any, the text with the least hash
     stays, once however often its row is repeated (of rows that differ in other columns, which
-    must be orderable, the least). Null and empty texts are one group. Columns may have any
+    must be orderable, the least). Null and empty texts are one group, very long texts are read whole. Columns may have any
     names. An empty table gives an empty result.
     """
     found = simhash_components(docs, width)

@@ -224,7 +224,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 12, id_col: st
 
     Repeated rows: rows with one id never repeat each other, and each gets its own result; a
     reference to such an id is to one of its rows. Ties between places in one document take the
-    first. Rows without an id are kept whole and are no reference. Other columns do not matter,
+    first. Rows without an id are kept whole and are no reference. A very long text is parsed
+    whole, in the task of its row; what it shares is joined block by block. Other columns do not matter,
     whatever their names. An empty table gives an empty result.
     """
     arrow_limits(docs.sparkSession)
