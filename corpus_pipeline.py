@@ -1,4 +1,8 @@
-"""A corpus in five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus in five stages, each written as Parquet and read again as the next one's documents.
+
+Every stage reads the columns of documents by name, so that others do not matter, whatever
+their names; it works on whole texts however long, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the known languages go (null and empty texts are); lang becomes the language found, ties the first by name."""
+    """Documents in none of the known languages go (null and empty texts are); lang becomes the language found, ties the first by name. Repeated rows are judged each."""
     none = F.lit(None).cast("string")
     records = docs.select(*COLUMNS, F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
     found = languages.identify(records, languages.train_languages(docs), ["doc_id", "source", "n_chars"], carry_text=True)
