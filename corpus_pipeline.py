@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more met before go; a document left without a word goes."""
+    """Passages of 50 words or more met before go; a document left without a word goes, one that had none stays (null and empty texts). Rows of one id do not repeat each other."""
     cut = substrings.remove_repeats(docs, carry=("lang", "source"))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return cut.where("n_removed < n_words or n_words = 0").select("doc_id", text.alias("text"), "lang", "source", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))
