@@ -139,8 +139,9 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
     name = lambda c: F.element_at("sources", F.col(c) + 1)
     pairs = valued.join(frames.select("code", "lang", "sources"), "code").select("lang", name("i").alias("source"), F.lit("pair").alias("part"), name("j").alias("item"), "value")
 
-    totals = F.map_from_arrays("sources", "totals")
-    used = met.select("lang", "term", v, probability(F.col("n"), F.col("total"), v).alias("q"), totals.alias("t"), F.explode("by_source").alias("source", "c"))
+    # made once a term, before its sources become rows
+    asked = met.select("lang", "term", "v", probability(F.col("n"), F.col("total"), v).alias("q"), F.map_from_arrays("sources", "totals").alias("t"), "by_source")
+    used = asked.select("lang", "term", "v", "q", "t", F.explode("by_source").alias("source", "c"))
     p = probability(F.col("c"), F.element_at("t", F.col("source")), v)
     terms = used.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "q", p.alias("p")).where("p > q").select("lang", "source", "part", "item", excess(F.col("p"), F.col("q")).alias("value"))
     best = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item"))
