@@ -264,14 +264,15 @@ def levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         found.add(materialize(frontier) if _closes_rank(found) else frontier)
         got = frontier.join(links, frontier.node == links.src).groupBy(links.dst.alias("node")).agg(F.count("*").alias("seen"))
         both = got if waits is None else got.unionByName(waits.select("node", "seen")).groupBy("node").agg(F.sum("seen").alias("seen"))
+        # what waits and what is next are two views of one table
         counted = materialize(both.join(needs, "node"))
-        old = [t for t in (waits, None if found.holds(frontier) else frontier) if t is not None]
-        waits, frontier = counted.where("seen < needs"), materialize(counted.where("seen = needs").select("node", F.lit(i).alias("level")))
-        release(*old)
+        if not found.holds(frontier):
+            release(frontier)
+        waits, frontier = counted.where("seen < needs"), counted.where("seen = needs").select("node", F.lit(i).alias("level"))
     else:
         raise RuntimeError(f"no end within {max_rounds} rounds")
     every = materialize(nodes)
-    release(links, needs, *([] if waits is None else [waits]))
+    release(links, needs, *([] if waits is None else [waits]), keep=[t for _, t in found.tables])
     return every.join(found.rows() if found.tables else frontier, "node", "left")
 
 

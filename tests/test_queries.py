@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "events", "orders", "customer", "supplier", "nation", "region"):
+    for t in ("lineitem", "events", "orders", "customer", "supplier", "nation", "region", "documents", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
