@@ -20,7 +20,7 @@ from plumbline.plans.workflow import TableNode, run_table
 from plumbline.sources import read_table
 
 ROUTES = {"Clear": ("http://clear", "free"), "Complicated": ("http://complicated", "low"), "Complex": ("http://complex", "medium"), "Chaotic": ("http://chaotic", "high")}
-#: Query texts made from the event type, as the tables hold none.
+#: Texts in the words of the default keywords, made from the event type; ``classify_documents`` reads the tables' own texts.
 TEXTS = {"click": "What is this? Define it, look up how many", "view": "Why did the impact cause this effect", "purchase": "uncertain: explore what if", "signup": "Emergency! outage now", "error": "nothing of note"}
 
 
