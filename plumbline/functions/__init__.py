@@ -28,6 +28,11 @@ def needs_review(decision: Column | str) -> Column:
     return (F.col(decision) if isinstance(decision, str) else decision) == "escalate"
 
 
+def is_error(decision: Column | str) -> Column:
+    """Whether a policy could not be evaluated: such a decision is neither approved nor one for review."""
+    return (F.col(decision) if isinstance(decision, str) else decision) == "error"
+
+
 def fold_sessions(steps: DataFrame) -> DataFrame:
     """(session, depth, domain, confidence, level, has_rejection, requires_human) per session.
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline import scratch
-from plumbline.functions import confidence_level, fold_sessions, reasoning_log, reclassify
+from plumbline.functions import confidence_level, fold_sessions, is_approved, is_error, needs_review, reasoning_log, reclassify
 from plumbline.functions.order import epochs, numbered, running_total
 from plumbline.operators import beliefs, effects, guards, refuters, routing
 from plumbline.operators.graphs import CausalGraph, adjustment_sets, closure, reachable, separated
@@ -321,6 +321,8 @@ def test_policies(spark):
     # the first of rejection, escalation and error stands
     late = guards.policy_chain(guards.rule_policy(F.lit(False), "no"), guards.error("late"))
     early = guards.policy_chain(guards.error("early"), guards.rule_policy(F.lit(False), "no"))
+    kinds = df.select(F.explode(F.array(guards.approve(), guards.escalate("x"), guards.error("y"), guards.reject("z"))).alias("p")).limit(4)
+    assert [tuple(r) for r in kinds.select(is_approved("p.decision"), needs_review("p.decision"), is_error("p.decision")).collect()] == [(True, False, False), (False, True, False), (False, False, True), (False, False, False)]
     assert df.select(late.decision, early.decision, early.reason).first() == ("reject", "error", "Policy evaluation failed: early")
     who = spark.createDataFrame([("admin",), ("viewer",), (None,)], "role string")
     assert [r[0] for r in who.select(guards.policy_chain(guards.rule_policy("role = 'admin'")).decision).collect()] == ["approve", "reject", "reject"]
