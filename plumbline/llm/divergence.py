@@ -129,10 +129,12 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
     wide = met.select("code", F.zip_with(own, "totals", lambda c, n: probability(c, n, v)).alias("p"))
     # a vector without any excess for each language gives the pairs of an empty vocabulary
     flat = frames.select("code", F.transform("sources", lambda s: F.lit(1).cast("long")).alias("p"))
-    by_one = wide.unionByName(flat).select("code", "p", F.posexplode("p").alias("i", "x")).withColumn("square", F.col("x") * F.col("x"))
+    # rare terms share few vectors: equal ones are multiplied, not repeated
+    equal = wide.unionByName(flat).groupBy("code", "p").agg(F.count("*").alias("m"))
+    by_one = equal.select("code", "m", "p", F.posexplode("p").alias("i", "x")).withColumn("square", F.col("x") * F.col("x"))
     # (p - q)^2 div q = p^2 div q - 2 p + q: one division a pair; on the diagonal p itself is summed
-    by_pair = by_one.select("code", "i", F.posexplode(F.transform("p", lambda q: F.call_function("div", F.col("square"), q))).alias("j", "f"))
-    sums = materialize(by_pair.groupBy("code", "i", "j").agg(F.sum("f").alias("s")))
+    by_pair = by_one.select("code", "m", "i", F.posexplode(F.transform("p", lambda q: F.call_function("div", F.col("square"), q))).alias("j", "f"))
+    sums = materialize(by_pair.groupBy("code", "i", "j").agg(F.sum(F.col("f") * F.col("m")).alias("s")))
     of = lambda c, name: sums.where("i = j").select("code", F.col("i").alias(c), F.col("s").alias(name))
     value = (F.col("s") - 2 * F.col("p") + F.col("q")).alias("value")
     valued = sums.where("i <> j").join(of("i", "p"), ["code", "i"]).join(of("j", "q"), ["code", "j"]).select("code", "i", "j", value)
