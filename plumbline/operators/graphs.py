@@ -403,47 +403,97 @@ def front_door_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 10
     return able.join(unfit, "question", "left_anti").select("question", "node")
 
 
+#: Nodes of more edges are not looked at as twins; questions with more classes in their sets walk alone.
+TWIN_EDGES, SHARED_CLASSES = 32, 1000
+#: Parts of a class in a question's graph: those that it does not name, its x, members of its set, an x in its own set.
+REST, END, SHUT, SHUT_END = range(4)
+
+
+def twins(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, class, size): nodes of the same causes and the same effects in one class, named by the smallest.
+
+    Neighbours are compared as they are, of nodes with up to ``TWIN_EDGES`` edges; others are
+    classes by themselves.
+    """
+    ends = links.select(F.col("src").alias("node"), F.struct(F.lit(1).alias("way"), F.col("dst").alias("other")).alias("end")).unionByName(links.select(F.col("dst").alias("node"), F.struct(F.lit(0).alias("way"), F.col("src").alias("other")).alias("end")))
+    hubs = materialize(ends.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > TWIN_EDGES).select("node"))
+    told = ends.join(hubs, "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_set("end")).alias("ends"))
+    ends_of = materialize(nodes.join(hubs, "node", "left_anti").join(told, "node", "left").withColumn("ends", F.coalesce("ends", F.array())))
+    classes = ends_of.groupBy("ends").agg(F.min("node").alias("class"), F.count("*").alias("size"))
+    alone = nodes.join(hubs, "node", "left_semi").select("node", F.col("node").alias("class"), F.lit(1).cast("long").alias("size"))
+    return materialize(ends_of.join(classes, "ends").select("node", "class", "size").unionByName(alone))
+
+
 def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_rounds: int = 1000, cut: bool = False) -> DataFrame:
     """(question, x, y, separated): whether no path between x and y is open given the question's set.
 
     ``edges`` (src, dst), ``questions`` (question, x, y) and ``given`` (question, node) are tables
-    of any size. All questions walk together: a state is a node and the way it was entered, a
-    round one join with the edges upwards and one downwards, and a question stops once it has met
-    its y. As for one graph, an unknown x or y is separated from all, and unknown nodes of the set
-    are ignored. Questions without id are left out. With ``cut`` each question's graph lacks
-    the edges that leave its x, so only back-door paths are asked about.
+    of any size. As for one graph, an unknown x or y is separated from all, and unknown nodes of
+    the set are ignored. Questions without id are left out. With ``cut`` each question's graph
+    lacks the edges that leave its x, so only back-door paths are asked about.
+
+    Only what leads to a node that some question names is walked. There, twins behave alike but
+    for those that a question names, so a class of twins is one node, or a few parts of one,
+    and questions whose x and set are of the same classes walk once, whatever their y. A state
+    is a part of a class and the way it was entered, a round one join with the edges between
+    classes upwards and one downwards.
     """
-    links = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
+    links = materialize(_links(edges).distinct())
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     asked = questions.where("question is not null").select("question", "x", "y")
-    known = materialize(asked.join(nodes.withColumnRenamed("node", "x"), "x", "left_semi").join(nodes.withColumnRenamed("node", "y"), "y", "left_semi"))
-    fixed = materialize(given.where("question is not null and node is not null").select("question", "node").distinct())
-    up, down = links.select(F.col("dst").alias("node"), F.col("src").alias("next")), links.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    ends = known.select("question", "x")
-
-    def climbed(f: DataFrame, _: int) -> DataFrame:
-        new = f.join(up, "node").select("question", F.col("next").alias("node"))
-        return new.join(ends.withColumnRenamed("x", "node"), ["question", "node"], "left_anti") if cut else new
-
-    ancestors = _rounds(fixed, climbed, max_rounds)
+    known = materialize(asked.distinct().join(nodes.withColumnRenamed("node", "x"), "x", "left_semi").join(nodes.withColumnRenamed("node", "y"), "y", "left_semi").select("question", "x", "y"))
+    fixed = materialize(given.where("question is not null and node is not null").select("question", "node").distinct().join(nodes, "node", "left_semi").select("question", "node"))
+    named = known.select(F.explode(F.array("x", "y")).alias("node")).unionByName(fixed.select("node"))
+    above = materialize(reachable(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), named, max_rounds).select("node"))
+    inside = materialize(links.join(above.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    classes = twins(inside, above)
+    a, b = classes.select(F.col("node").alias("src"), F.col("class").alias("a")), classes.select(F.col("node").alias("dst"), F.col("class").alias("b"))
+    between = materialize(inside.join(a, "src").join(b, "dst").select("a", "b").distinct())
+    up, down = between.select(F.col("b").alias("class"), F.col("a").alias("next")), between.select(F.col("a").alias("class"), F.col("b").alias("next"))
+
+    # what each question names of a class
     no, yes = F.lit(False), F.lit(True)
-    marked = fixed.select("question", "node", yes.alias("shut"), no.alias("lifts"), no.alias("met")).unionByName(ancestors.select("question", "node", no.alias("shut"), yes.alias("lifts"), no.alias("met")))
-    marked = marked.unionByName(known.select("question", F.col("y").alias("node"), no.alias("shut"), no.alias("lifts"), yes.alias("met")))
-    marks = materialize(marked.groupBy("question", "node").agg(*(F.max(c).alias(c) for c in ("shut", "lifts", "met"))))
+    starts = known.select("question", "x").distinct()
+    marks = starts.select("question", "x", F.col("x").alias("node"), yes.alias("end"), no.alias("shut")).unionByName(starts.join(fixed, "question").select("question", "x", "node", no.alias("end"), yes.alias("shut")))
+    marks = marks.groupBy("question", "x", "node").agg(F.max("end").alias("end"), F.max("shut").alias("shut")).join(classes, "node")
+    some = lambda kind, on: F.when(F.max(on), F.lit(kind))
+    end, shut = F.col("end"), F.col("shut")
+    parts = F.array_compact(F.array(F.when(F.count("*") < F.first("size"), F.lit(REST)), some(END, end & ~shut), some(SHUT, shut & ~end), some(SHUT_END, end & shut)))
+    special = materialize(marks.groupBy("question", "x", "class").agg(parts.alias("parts")))
+    few = special.groupBy("question", "x").agg(F.count("*").alias("n")).where(F.col("n") <= SHARED_CLASSES)
+    shape = materialize(special.join(few, ["question", "x"], "left_semi").groupBy("question", "x").agg(F.sort_array(F.collect_list(F.struct("class", "parts"))).alias("shape")))
+    shapes = materialize(shape.select("shape").distinct().withColumn("walk", F.monotonically_increasing_id()))
+    alone = starts.join(few, ["question", "x"], "left_anti").withColumn("walk", -1 - F.monotonically_increasing_id())
+    walks = materialize(shape.join(shapes, "shape").select("question", "x", "walk").unionByName(alone.select("question", "x", "walk")))
+    apart = special.join(walks.where("walk < 0"), ["question", "x"]).select("walk", "class", "parts")
+    special = materialize(shapes.select("walk", F.inline("shape")).unionByName(apart))
+
+    def entered(new: DataFrame) -> DataFrame:
+        """(walk, class, ...) as the parts that the class has in the walk."""
+        found = new.distinct().join(special, ["walk", "class"], "left")
+        return found.withColumn("part", F.explode(F.coalesce("parts", F.array(F.lit(REST))))).drop("parts")
+
+    def climbed(f: DataFrame) -> DataFrame:
+        new = entered(f.join(up, "class").select("walk", F.col("next").alias("class")))
+        return new.where(~is_end) if cut else new
+
+    is_end, is_shut = F.col("part").isin(END, SHUT_END), F.col("part").isin(SHUT, SHUT_END)
+    each = special.select("walk", "class", F.explode("parts").alias("part"))
+    ancestors = materialize(_rounds(each.where(is_shut), lambda f, _: climbed(f).select("walk", "class", "part"), max_rounds))
+    lifting = ancestors.withColumn("lifts", yes)
 
     def step(frontier: DataFrame, _: int) -> DataFrame:
-        at = frontier.join(marks, ["question", "node"], "left").na.fill(False, ["shut", "lifts", "met"]).where("not met")
-        goes_up = at.where("if(way = 'up', not shut, lifts)").join(up, "node").select("question", F.col("next").alias("node"), F.lit("up").alias("way"))
-        goes_down = at.where("not shut").join(down, "node").select("question", F.col("next").alias("node"), F.lit("down").alias("way"))
-        if cut:
-            goes_up = goes_up.join(ends.withColumnRenamed("x", "node"), ["question", "node"], "left_anti")
-            leaving = at.join(ends.withColumnRenamed("x", "node"), ["question", "node"], "left_anti").where("not shut")
-            goes_down = leaving.join(down, "node").select("question", F.col("next").alias("node"), F.lit("down").alias("way"))
-        return goes_up.unionByName(goes_down)
-
-    start = known.select("question", F.col("x").alias("node"), F.explode(F.array(F.lit("up"), F.lit("down"))).alias("way"))
-    reached = _rounds(start, step, max_rounds).join(marks.where("met"), ["question", "node"], "left_semi").select("question").distinct().withColumn("open", F.lit(True))
-    return asked.join(reached, "question", "left").select("question", "x", "y", F.col("open").isNull().alias("separated"))
+        at = frontier.join(lifting, ["walk", "class", "part"], "left").na.fill(False, ["lifts"])
+        goes_up = climbed(at.where(F.when(F.col("way") == "up", ~is_shut).otherwise(F.col("lifts")))).withColumn("way", F.lit("up"))
+        leaving = at.where(~is_shut & ~is_end) if cut else at.where(~is_shut)
+        goes_down = entered(leaving.join(down, "class").select("walk", F.col("next").alias("class"))).withColumn("way", F.lit("down"))
+        return goes_up.unionByName(goes_down).select("walk", "class", "part", "way")
+
+    reached = _rounds(each.where(is_end).withColumn("way", F.explode(F.array(F.lit("up"), F.lit("down")))), step, max_rounds).select("walk", "class", "part").distinct()
+    kept = fixed.select("question", F.col("node").alias("y"), yes.alias("held"))
+    at_y = known.where("x <> y").join(walks, ["question", "x"]).join(kept, ["question", "y"], "left").join(classes.select(F.col("node").alias("y"), "class"), "y").withColumn("part", F.when(F.col("held"), F.lit(SHUT)).otherwise(F.lit(REST)))
+    met = at_y.join(reached, ["walk", "class", "part"], "left_semi").select("question", "x", "y").unionByName(known.where("x = y")).distinct().withColumn("open", yes)
+    return asked.join(met, ["question", "x", "y"], "left").select("question", "x", "y", F.col("open").isNull().alias("separated"))
 
 
 def verified_adjustment(edges: DataFrame, questions: DataFrame, max_rounds: int = 1000) -> DataFrame:
