@@ -347,20 +347,51 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.select("node", F.coalesce("n_parents", none).alias("n_parents"), F.coalesce("n_children", none).alias("n_children"), F.when(F.col("n_parents") == 1, F.col("first")).alias("only_parent"))
 
 
-def adjustment_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(node, component): which nodes reach each other, named by one of them; a node on no cycle has no row.
+
+    In the cyclic core each node takes the smallest node that reaches it as its colour. What
+    reaches that node inside its colour is its component; the rest is trimmed and coloured
+    again. Every round is linear in the core.
+    """
+    left, found = cyclic_core(edges), []
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colours = materialize(ends.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")))
+        for _ in range(max_rounds):
+            told = colours.where("moved").join(left, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
+            after = materialize(colours.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("moved")))
+            release(colours)
+            colours = after
+            if colours.where("moved").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"no end within {max_rounds} rounds")
+        named = colours.select("node", "colour")
+        both = left.join(named.select(F.col("node").alias("src"), F.col("colour").alias("from_colour")), "src").join(named.select(F.col("node").alias("dst"), F.col("colour").alias("to_colour")), "dst")
+        inner = materialize(both.where("from_colour = to_colour").select("src", "dst"))
+        back = reachable(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), named.where("node = colour").select("node"), max_rounds)
+        part = materialize(named.join(back, "node", "left_semi").withColumnRenamed("colour", "component"))
+        release(back, colours, left)
+        found.append(part)
+        gone = part.select("node")
+        left = cyclic_core(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        release(inner)
+    return reduce(DataFrame.unionByName, found) if found else left.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+
+
+def adjustment_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(question, node): for each treatment (question, x) its parents that it does not reach, over (src, dst).
 
     The table form of the back-door set in its ``parents`` mode; a treatment without any has no
-    row, a repeated question its rows once. A treatment reaches a parent only round a cycle,
-    so ways are walked inside the cyclic core alone: an acyclic graph needs none.
+    row, a repeated question its rows once. A treatment reaches a parent just when both are in
+    one strong component, so no ways are walked question by question.
     """
     asked = questions.where("question is not null and x is not null").select("question", "x").distinct()
     parents = asked.join(edges.where("src is not null").select("src", F.col("dst").alias("x")).distinct(), "x").select("question", "x", F.col("src").alias("node"))
-    core = cyclic_core(edges)
-    inside = parents.select("x", "node").distinct().join(core.select(F.col("src").alias("x")).distinct(), "x", "left_semi").join(core.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-    asks = inside.select(F.struct("x", "node").alias("question"), "x", F.col("node").alias("y"))
-    met = paths_avoiding(core, asks, max_rounds=max_rounds).where("connected and x <> y").select("x", F.col("y").alias("node"))
-    return parents.join(met, ["x", "node"], "left_anti").select("question", "node")
+    parts = strong_components(edges, max_rounds)
+    both = parents.join(parts.select(F.col("node").alias("x"), F.col("component").alias("own")), "x", "left").join(parts, "node", "left")
+    return both.where("x = node or own is null or component is null or own <> component").select("question", "node")
 
 
 def paths_avoiding(edges: DataFrame, questions: DataFrame, avoided: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:

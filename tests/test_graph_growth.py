@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.graphs import CausalGraph, separated
+from plumbline.operators.graphs import CausalGraph, adjustment_sets, separated, strong_components
 
 N = 300
 
@@ -51,3 +51,19 @@ def test_separated_tells_named_twins_apart(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     got = separated(frame(pairs, "src string, dst string"), frame([a[:3] for a in asked], "question string, x string, y string"), frame([(a[0], v) for a in asked for v in a[3]], "question string, node string")).collect()
     assert {r.question: r.separated for r in got} == {q: graph.d_separated(x, y, z) for q, x, y, z in asked}
+
+
+def test_adjustment_walks_no_ring_question_by_question(spark, shuffled):
+    both = named(spark, "c", "d")
+    edges = both.select(F.lit("r").alias("src"), F.col("a").alias("dst")).unionByName(both.select(F.col("a").alias("src"), F.lit("m").alias("dst"))).unionByName(both.select(F.col("b").alias("src"), F.lit("m").alias("dst"))).unionByName(spark.createDataFrame([("m", "r")], "src string, dst string"))
+    got, records = shuffled(lambda: adjustment_sets(edges, spark.createDataFrame([("q", "m")], "question string, x string")).collect())
+    assert {r.node for r in got} == {f"d{i}" for i in range(N)} and records < 20 * N
+
+
+def test_strong_components(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("g", "g"), ("z", "a")]
+    got = strong_components(spark.createDataFrame(pairs, "src string, dst string")).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r.component, set()).add(r.node)
+    assert sorted(map(sorted, parts.values())) == [["a", "b", "c"], ["d", "e"], ["g"]] and len(got) == 6
