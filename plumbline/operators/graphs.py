@@ -427,7 +427,9 @@ def front_door_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 10
     links = materialize(_links(edges).distinct())
     asked = questions.where("question is not null and x is not null and y is not null and x <> y").select("question", "x", "y").distinct()
     above = closure(links, asked.select(F.col("y").alias("node")), above=True, max_rounds=max_rounds).withColumnRenamed("seed", "y")
-    effects = asked.join(links.select(F.col("src").alias("x"), F.col("dst").alias("node")), "x").join(above, ["y", "node"], "left_semi")
+    # from what leads to y to its causes, not from x to all its effects: no more rows than the walk had
+    causes = above.join(links.select(F.col("dst").alias("node"), F.col("src").alias("x")), "node")
+    effects = materialize(asked.join(causes, ["x", "y"]).select("question", "x", "y", "node"))
     sole = degrees(links).where("only_parent is not null").select("node")
     able = effects.where("node <> y").join(sole, "node", "left_semi")
     unfit = effects.join(able.select("question", "node"), ["question", "node"], "left_anti").select("question").distinct()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.graphs import CausalGraph, adjustment_sets, separated, strong_components
+from plumbline.operators.graphs import CausalGraph, adjustment_sets, front_door_sets, separated, strong_components
 
 N = 300
 
@@ -67,3 +67,10 @@ def test_strong_components(spark):
     for r in got:
         parts.setdefault(r.component, set()).add(r.node)
     assert sorted(map(sorted, parts.values())) == [["a", "b", "c"], ["d", "e"], ["g"]] and len(got) == 6
+
+
+def test_front_door_reads_causes_not_all_effects(spark, shuffled):
+    both = named(spark, "c", "o")
+    edges = both.select(F.lit("n").alias("src"), F.col("a").alias("dst")).unionByName(both.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    got, records = shuffled(lambda: front_door_sets(edges, both.select("question", F.lit("n").alias("x"), F.col("b").alias("y"))).collect())
+    assert sorted((r.question, r.node) for r in got) == [(i, f"c{i}") for i in range(N)] and records < 20 * N
