@@ -397,23 +397,30 @@ def adjustment_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 10
 def paths_avoiding(edges: DataFrame, questions: DataFrame, avoided: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """(question, x, y, connected): whether a directed way leads from x to y that meets none of the question's ``avoided`` (question, node) in between.
 
-    All questions walk together, and one stops once it has met its y. The ends always count; a
-    node is connected with itself. Questions without id are left out, null ends are not
-    connected, unknown nodes only with themselves.
+    All questions walk together, each from the end with fewer edges on its way, down from x or
+    up from y, and one stops once it has met its other end. The ends always count; a node is
+    connected with itself. Questions without id are left out, null ends are not connected,
+    unknown nodes only with themselves.
     """
     links = materialize(_links(edges).distinct())
     asked = questions.where("question is not null").select("question", "x", "y").distinct()
     shut = None if avoided is None else materialize(avoided.where("question is not null and node is not null").select("question", "node").distinct())
+    ways = links.select(F.lit(False).alias("up"), F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(links.select(F.lit(True).alias("up"), F.col("dst").alias("node"), F.col("src").alias("next")))
+    below, above = links.groupBy(F.col("src").alias("x")).agg(F.count("*").alias("below")), links.groupBy(F.col("dst").alias("y")).agg(F.count("*").alias("above"))
+    turned = F.coalesce("above", F.lit(0)) < F.coalesce("below", F.lit(0))
+    walkers = asked.where("x is not null and y is not null").join(below, "x", "left").join(above, "y", "left").select("question", "x", "y", turned.alias("up"))
+    state = ["question", "x", "y", "up"]
+    arrived = "node = if(up, x, y)"
 
     def step(frontier: DataFrame, _: int) -> DataFrame:
-        met = frontier.where("node = y").select("question").distinct()
-        going = frontier.join(met, "question", "left_anti")
-        new = going.join(links, going.node == links.src).select("question", links.dst.alias("node"), "y")
-        return new if shut is None else new.where("node <> y").join(shut, ["question", "node"], "left_anti").unionByName(new.where("node = y"))
-
-    start = asked.where("x is not null and y is not null").select("question", F.col("x").alias("node"), "y")
-    reached = _rounds(start, step, max_rounds, ["question", "node", "y"]).where("node = y").select("question", "y").distinct().withColumn("met", F.lit(True))
-    return asked.join(reached, ["question", "y"], "left").select("question", "x", "y", F.col("met").isNotNull().alias("connected"))
+        met = frontier.where(arrived).select("question", "x", "y").distinct()
+        going = frontier.join(met, ["question", "x", "y"], "left_anti")
+        new = going.join(ways, ["up", "node"]).select(*state, F.col("next").alias("node"))
+        return new if shut is None else new.where(f"not ({arrived})").join(shut, ["question", "node"], "left_anti").select(*state, "node").unionByName(new.where(arrived))
+
+    start = walkers.select(*state, F.expr("if(up, y, x)").alias("node"))
+    reached = _rounds(start, step, max_rounds).where(arrived).select("question", "x", "y").distinct().withColumn("met", F.lit(True))
+    return asked.join(reached, ["question", "x", "y"], "left").select("question", "x", "y", F.col("met").isNotNull().alias("connected"))
 
 
 def front_door_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 1000) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.graphs import CausalGraph, adjustment_sets, front_door_sets, separated, strong_components
+from plumbline.operators.graphs import CausalGraph, adjustment_sets, front_door_sets, paths_avoiding, separated, strong_components
 
 N = 300
 
@@ -74,3 +74,11 @@ def test_front_door_reads_causes_not_all_effects(spark, shuffled):
     edges = both.select(F.lit("n").alias("src"), F.col("a").alias("dst")).unionByName(both.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     got, records = shuffled(lambda: front_door_sets(edges, both.select("question", F.lit("n").alias("x"), F.col("b").alias("y"))).collect())
     assert sorted((r.question, r.node) for r in got) == [(i, f"c{i}") for i in range(N)] and records < 20 * N
+
+
+def test_ways_are_walked_from_the_narrow_end(spark, shuffled):
+    both = named(spark, "c", "o")
+    edges = both.select(F.lit("n").alias("src"), F.col("a").alias("dst")).unionByName(both.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    asked = both.select("question", F.lit("n").alias("x"), F.col("b").alias("y"))
+    got, records = shuffled(lambda: paths_avoiding(edges, asked, both.where("question % 3 = 0").select("question", F.col("a").alias("node"))).collect())
+    assert {r.question: r.connected for r in got} == {i: i % 3 > 0 for i in range(N)} and records < 20 * N
