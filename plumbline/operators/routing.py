@@ -10,7 +10,10 @@ from operator import add
 from typing import Protocol
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,13 @@ TIER_MILLS = {"free": 0, "low": 10, "medium": 50, "high": 200}
 DOMAIN_TIER = {"Clear": "free", "Complicated": "low", "Complex": "medium", "Chaotic": "high", "Disorder": "free"}
 #: Keywords that one automaton holds, more or less.
 KEYWORD_BLOCK = 50_000
+#: Characters, as in a regular expression's class, that part lower-case texts into runs: ASCII other than a to z.
+BREAKS = r"\x00-\x60\x7B-\x7F"
+#: 1 for the bytes of UTF-8 that are not breaks.
+IN_RUN = np.ones(256, np.int8)
+IN_RUN[:0x61] = IN_RUN[0x7B:0x80] = 0
+#: Bytes of text, more or less, whose runs are numbered together.
+CHUNK_BYTES = 1 << 23
 THRESHOLD, FALLBACK, TIMEOUT_MS = 0.3, "Disorder", 30_000
 
 
@@ -52,8 +62,8 @@ def classify(df: DataFrame, text: str, keywords: dict[str, Sequence[str]] | None
     return best.withColumns({"domain": F.when(top > 0, F.col(listed)[0]["domain"]).otherwise(FALLBACK), "confidence": F.when(top > 0, top).otherwise(0.0), "all_scores": F.array(*(F.struct(F.col(listed)[i]["domain"].alias("domain"), (-F.col(listed)[i]["n"]).alias("score")) for i in range(len(ranked))))}).drop(listed)
 
 
-def _find(words: list[tuple[str, list[int]]], domains: list[str]):
-    """Rows (place, low) -> (place, domain, n): how many of a domain's words each text holds, in one pass over the text."""
+def _find(words: list[tuple[str, list[int]]]):
+    """Rows (place, low) -> (place, code, n): how many of a domain's words each text holds, in one pass over the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = ahocorasick.Automaton()
@@ -61,45 +71,165 @@ def _find(words: list[tuple[str, list[int]]], domains: list[str]):
             matcher.add_word(word, (k, own))
         matcher.make_automaton()
         for batch in batches:
-            place, domain, n = [], [], []
+            place, code, n = [], [], []
             for at, low in zip(batch.column("place").to_pylist(), batch.column("low").to_pylist()):
                 met = dict(value for _, value in matcher.iter(low)) if words else {}
                 per = Counter(d for own in met.values() for d in own)
                 place += [at] * len(per)
-                domain += [domains[d] for d in per]
+                code += per.keys()
                 n += per.values()
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(domain, pa.string()), pa.array(n, pa.int64())], ["place", "domain", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (place, code, n)], ["place", "code", "n"])
 
     return run
 
 
+def _phrase_hits(texts: DataFrame, phrases: DataFrame, many: int, block: int) -> DataFrame:
+    """(place, code, n) by automata of about ``block`` keywords; each reads all texts."""
+    blocks, found = max(-(-many // block), 1), []
+    for b in range(blocks):
+        own: dict[str, list[int]] = {}
+        for code, keyword in phrases.select("code", "keyword").where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).toLocalIterator():
+            own.setdefault(keyword, []).append(code)
+        found.append(texts.mapInArrow(_find(list(own.items())), "place long, code long, n long"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows (place, low) again, in tables of about ``size`` bytes of text, or one longer text."""
+    held, room = [], size
+    for batch in batches:
+        ends, begin = np.cumsum(np.asarray(pc.binary_length(batch.column("low")), np.int64)), 0
+        while begin < batch.num_rows:
+            before = ends[begin - 1] if begin else 0
+            end = max(int(np.searchsorted(ends, before + room, "right")), begin + 1)
+            held.append(batch.slice(begin, end - begin))
+            room, begin = room - int(ends[end - 1] - before), end
+            if room <= 0 or begin < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, room = [], size
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _different(x: np.ndarray) -> np.ndarray:
+    """The different whole numbers in order; a plain sort, which np.unique is several times slower than."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=x[:1] - 1) > 0]
+
+
+def _numbered_runs(shortest: int, size: int = CHUNK_BYTES):
+    """Rows (place, low), each text ending in a break -> a row for each text and one for each different run of a chunk of texts.
+
+    A text is (chunk, place, runs), its different runs by their numbers within the chunk; a run is (chunk, number, run).
+    """
+    names = ["chunk", "place", "runs", "number", "run"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, table in enumerate(_chunks(batches, size), TaskContext.get().partitionId() << 32):
+            texts = table["low"].combine_chunks().cast(pa.large_string())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+            text = np.frombuffer(texts.buffers()[2], np.uint8)[: offsets[-1]]
+            edges = np.diff(IN_RUN[text], prepend=0, append=0)
+            begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            long = (end - begin >= shortest) & (begin >= offsets[0])
+            begin, lengths = begin[long], (end - begin)[long]
+            places = np.concatenate([[0], np.cumsum(lengths)])
+            letters = text[np.repeat(begin - places[:-1], lengths) + np.arange(places[-1])]
+            coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(places), pa.py_buffer(letters)).dictionary_encode()
+            known, n, m = coded.dictionary, len(texts), len(coded.dictionary)
+            met = _different((np.searchsorted(offsets, begin, "right") - 1) * max(m, 1) + np.asarray(coded.indices))  # a text's run once
+            ends = np.cumsum(np.bincount(met // max(m, 1), minlength=n))
+            runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(met % max(m, 1), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), table["place"].combine_chunks(), runs, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, pa.int64()), pa.nulls(m, runs.type), pa.array(np.arange(m), pa.int32()), known.cast(pa.string())], names)
+
+    return split
+
+
+def _substrings(lengths: list[int]):
+    """Rows (id, run) -> (id, keyword): the different substrings of a run that are as long as some keyword."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts = [], []
+        for batch in batches:
+            for at, run in zip(batch.column("id").to_pylist(), batch.column("run").to_pylist()):
+                for size in lengths:
+                    if size > len(run):
+                        break
+                    own = {run[i : i + size] for i in range(len(run) - size + 1)}
+                    ids += [at] * len(own)
+                    parts += own
+                    if len(ids) >= 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.string())], ["id", "keyword"])
+                        ids, parts = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.string())], ["id", "keyword"])
+
+    return cut
+
+
+def _count_by_text(texts: pa.Table, runs: pa.Table) -> pa.Table:
+    """A chunk's texts (place, runs) and runs (number, words, codes) -> (place, code, n), each word once a text."""
+    if not texts.num_rows or not runs.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("place", "code", "n")})
+    lists, words = texts["runs"].combine_chunks(), runs["words"].combine_chunks()
+    word, first, own = np.unique(np.asarray(words.flatten()), return_index=True, return_inverse=True)
+    codes, of_word = np.unique(np.asarray(runs["codes"].combine_chunks().flatten())[first], return_inverse=True)
+    number, run, held = np.asarray(runs["number"]), np.asarray(lists.flatten()), np.asarray(words.value_lengths(), np.int64)
+    many, begin = np.zeros((2, max(number.max(), run.max(initial=0)) + 1), np.int64)
+    many[number], begin[number] = held, np.cumsum(held) - held
+    # every (text, run) is repeated for the run's words, then each (text, word) kept once
+    reps, at = many[run], np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    where = np.repeat(begin[run] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+    pairs = _different(np.repeat(at, reps) * len(word) + own[where])
+    cells = np.sort(pairs // len(word) * len(codes) + of_word[pairs % len(word)])
+    start = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1))
+    n, cells = np.diff(start, append=len(cells)), cells[start]
+    return pa.table({"place": np.asarray(texts["place"])[cells // len(codes)], "code": codes[cells % len(codes)], "n": n})
+
+
+def _run_hits(texts: DataFrame, plain: DataFrame, lengths: list[int]) -> DataFrame:
+    """(place, code, n) for keywords without breaks: such a keyword lies within one run of the text.
+
+    The texts are read once and kept by numbers of their runs. Each different run of the table is looked up
+    once, by an equality join of its substrings; what it holds goes back to the chunks of texts that have it.
+    """
+    ended = texts.select("place", F.concat("low", F.lit(" ")).alias("low"))
+    kept = materialize(ended.mapInArrow(_numbered_runs(lengths[0]), "chunk long, place long, runs array<int>, number int, run string"))
+    by_chunk = kept.where("run is not null").select("chunk", "number", "run")
+    runs = materialize(by_chunk.select("run").distinct().withColumn("id", F.monotonically_increasing_id()))
+    met = runs.select("id", "run").mapInArrow(_substrings(lengths), "id long, keyword string").join(plain, "keyword")
+    held = met.groupBy("id").agg(F.collect_list(F.struct("word", "code")).alias("words")).join(runs, "id").select("run", F.col("words.word").alias("words"), F.col("words.code").alias("codes"))
+    found = by_chunk.join(held, "run").select(F.col("chunk").alias("of"), "number", "words", "codes")
+    return kept.where("place is not null").select("chunk", "place", "runs").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_count_by_text, "place long, code long, n long")
+
+
 def classify_by_table(df: DataFrame, text: str, keywords: DataFrame, block: int = KEYWORD_BLOCK) -> DataFrame:
     """``classify`` with a table of keywords (domain, keyword) of any size.
 
-    The keywords are dealt into blocks of about ``block`` by hash; of each block an automaton
-    finds all that a text holds in one pass over it, and the counts are added up by text and
-    domain. ``all_scores`` has the domains found, best first; ties go by the order of DOMAINS,
+    Keywords without breaks (ASCII other than a to z) are looked up by joins, once for each different run
+    between breaks that the texts have. The others are dealt into blocks of about ``block`` by hash; of
+    each block an automaton finds all that a text holds in one pass over it. The counts are added up by
+    text and domain. ``all_scores`` has the domains found, best first; ties go by the order of DOMAINS,
     then by name. Repeated rows of the table count once, rows with a null or an empty keyword
     or a null domain not at all; a null text holds nothing. ``df`` is written once, to give its
     rows numbers.
     """
-    words = materialize(keywords.select("domain", F.lower("keyword").alias("keyword")).where("domain is not null and keyword <> ''").distinct())
-    totals = words.groupBy("domain").agg(F.count("*").alias("total"))
+    pairs = materialize(keywords.select("domain", F.lower("keyword").alias("keyword")).where("domain is not null and keyword <> ''").distinct())
+    totals = materialize(pairs.groupBy("domain").agg(F.count("*").alias("total")).withColumn("code", F.monotonically_increasing_id()))
+    broken = F.col("keyword").rlike(f"[{BREAKS}]").alias("broken")
+    words = materialize(pairs.join(totals, "domain").select("code", "keyword", broken, F.monotonically_increasing_id().alias("word")))
     place, scored = free_names([*df.columns, "domain", "confidence", "all_scores"], "place", "scored")
     rows = materialize(df.drop("domain", "confidence", "all_scores").withColumn(place, F.monotonically_increasing_id()))
     texts = rows.select(F.col(place).alias("place"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
-    blocks = max(-(-words.count() // block), 1)
-    found = []
-    for b in range(blocks):
-        own: dict[str, list[int]] = {}
-        names: dict[str, int] = {}
-        for domain, keyword in words.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).toLocalIterator():
-            own.setdefault(keyword, []).append(names.setdefault(domain, len(names)))
-        found.append(texts.mapInArrow(_find(list(own.items()), list(names)), "place long, domain string, n long"))
-    hits = reduce(DataFrame.unionByName, found).groupBy("place", "domain").agg(F.sum("n").alias("n"))
+    plain, phrases = words.where("not broken").select("word", "code", "keyword"), words.where("broken")
+    lengths = sorted(r[0] for r in plain.select(F.length("keyword")).distinct().collect())
+    many = phrases.count()
+    found = [_run_hits(texts, plain, lengths)] if lengths else []
+    found += [_phrase_hits(texts, phrases, many, block)] if many or not found else []
+    hits = reduce(DataFrame.unionByName, found).groupBy("place", "code").agg(F.sum("n").alias("n"))
     first = reduce(lambda rest, i: F.when(F.col("domain") == DOMAINS[i], F.lit(i)).otherwise(rest), range(len(DOMAINS)), F.lit(len(DOMAINS)))
     share = (F.col("n") / F.col("total")).alias("share")
-    ranked = hits.join(totals, "domain").select("place", F.struct((-share).alias("n"), first.alias("i"), "domain").alias("s")).groupBy("place").agg(F.sort_array(F.collect_list("s")).alias(scored)).withColumnRenamed("place", place)
+    ranked = hits.join(totals, "code").select("place", F.struct((-share).alias("n"), first.alias("i"), "domain").alias("s")).groupBy("place").agg(F.sort_array(F.collect_list("s")).alias(scored)).withColumnRenamed("place", place)
     best = F.col(scored)[0]
     listed = F.transform(F.coalesce(scored, F.array()), lambda s: F.struct(s["domain"].alias("domain"), (-s["n"]).alias("score")))
     return rows.join(ranked, place, "left").withColumns({"domain": F.coalesce(best["domain"], F.lit(FALLBACK)), "confidence": F.coalesce(-best["n"], F.lit(0.0)), "all_scores": listed}).drop(place, scored)
