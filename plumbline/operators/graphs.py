@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.scratch import materialize, release
+from plumbline.scratch import joined, materialize, release
 
 
 class CausalGraph:
@@ -203,7 +203,7 @@ def _rounds(start: DataFrame, step, max_rounds: int, keys: Sequence[str] | None
     keys = list(keys or frontier.columns)
     for i in range(1, max_rounds + 1):
         new = step(frontier, i).dropDuplicates(keys)
-        before, frontier = frontier, materialize(new.join(found.rows().select(*keys), keys, "left_anti"))
+        before, frontier = frontier, materialize(new.transform(joined, found.rows().select(*keys), keys, "left_anti"))
         if not found.holds(before):
             release(before)
         if frontier.isEmpty():
@@ -230,7 +230,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> Data
     """
     links = _links(edges)
     start = seeds.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0))
-    return _rounds(start, lambda f, i: f.join(links, f.node == links.src).select(links.dst.alias("node"), F.lit(i).alias("depth")), max_depth, ["node"])
+    return _rounds(start, lambda f, i: f.transform(joined, links, f.node == links.src).select(links.dst.alias("node"), F.lit(i).alias("depth")), max_depth, ["node"])
 
 
 def closure(edges: DataFrame, seeds: DataFrame, above: bool = False, max_rounds: int = 1000) -> DataFrame:
@@ -256,16 +256,16 @@ def levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     needs = materialize(links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("needs")))
     nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
     found = _Found()
-    frontier = materialize(nodes.join(needs, "node", "left_anti").withColumn("level", F.lit(0)))
+    frontier = materialize(nodes.transform(joined, needs, "node", "left_anti").withColumn("level", F.lit(0)))
     waits = None
     for i in range(1, max_rounds + 1):
         if frontier.isEmpty():
             break
         found.add(materialize(frontier) if _closes_rank(found) else frontier)
-        got = frontier.join(links, frontier.node == links.src).groupBy(links.dst.alias("node")).agg(F.count("*").alias("seen"))
+        got = frontier.transform(joined, links, frontier.node == links.src).groupBy(links.dst.alias("node")).agg(F.count("*").alias("seen"))
         both = got if waits is None else got.unionByName(waits.select("node", "seen")).groupBy("node").agg(F.sum("seen").alias("seen"))
         # what waits and what is next are two views of one table
-        counted = materialize(both.join(needs, "node"))
+        counted = materialize(both.transform(joined, needs, "node"))
         if not found.holds(frontier):
             release(frontier)
         waits, frontier = counted.where("seen < needs"), counted.where("seen = needs").select("node", F.lit(i).alias("level"))
@@ -273,7 +273,7 @@ def levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         raise RuntimeError(f"no end within {max_rounds} rounds")
     every = materialize(nodes)
     release(links, needs, *([] if waits is None else [waits]), keep=[t for _, t in found.tables])
-    return every.join(found.rows() if found.tables else frontier, "node", "left")
+    return every.transform(joined, found.rows() if found.tables else frontier, "node", "left")
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
@@ -283,10 +283,10 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     """
     links = materialize(_links(edges))
     left = materialize(levels(links).where("level is null").select("node"))
-    inner = materialize(links.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    inner = materialize(links.transform(joined, left.withColumnRenamed("node", "src"), "src", "left_semi").transform(joined, left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     turned = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     kept = materialize(levels(turned).where("level is null").select("node"))
-    core = materialize(inner.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    core = materialize(inner.transform(joined, kept.withColumnRenamed("node", "src"), "src", "left_semi").transform(joined, kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
     release(links, left, inner, kept)
     return core
 
@@ -359,8 +359,8 @@ def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         ends = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         colours = materialize(ends.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")))
         for _ in range(max_rounds):
-            told = colours.where("moved").join(left, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
-            after = materialize(colours.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("moved")))
+            told = colours.where("moved").transform(joined, left, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
+            after = materialize(colours.transform(joined, told, "node", "left").select("node", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("moved")))
             release(colours)
             colours = after
             if colours.where("moved").isEmpty():
@@ -368,14 +368,14 @@ def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         else:
             raise RuntimeError(f"no end within {max_rounds} rounds")
         named = colours.select("node", "colour")
-        both = left.join(named.select(F.col("node").alias("src"), F.col("colour").alias("from_colour")), "src").join(named.select(F.col("node").alias("dst"), F.col("colour").alias("to_colour")), "dst")
+        both = left.transform(joined, named.select(F.col("node").alias("src"), F.col("colour").alias("from_colour")), "src").transform(joined, named.select(F.col("node").alias("dst"), F.col("colour").alias("to_colour")), "dst")
         inner = materialize(both.where("from_colour = to_colour").select("src", "dst"))
         back = reachable(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), named.where("node = colour").select("node"), max_rounds)
-        part = materialize(named.join(back, "node", "left_semi").withColumnRenamed("colour", "component"))
+        part = materialize(named.transform(joined, back, "node", "left_semi").withColumnRenamed("colour", "component"))
         release(back, colours, left)
         found.append(part)
         gone = part.select("node")
-        left = cyclic_core(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = cyclic_core(inner.transform(joined, gone.withColumnRenamed("node", "src"), "src", "left_anti").transform(joined, gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
         release(inner)
     return reduce(DataFrame.unionByName, found) if found else left.select(F.col("src").alias("node"), F.col("dst").alias("component"))
 
@@ -388,9 +388,9 @@ def adjustment_sets(edges: DataFrame, questions: DataFrame, max_rounds: int = 10
     one strong component, so no ways are walked question by question.
     """
     asked = questions.where("question is not null and x is not null").select("question", "x").distinct()
-    parents = asked.join(edges.where("src is not null").select("src", F.col("dst").alias("x")).distinct(), "x").select("question", "x", F.col("src").alias("node"))
+    parents = asked.transform(joined, edges.where("src is not null").select("src", F.col("dst").alias("x")).distinct(), "x").select("question", "x", F.col("src").alias("node"))
     parts = strong_components(edges, max_rounds)
-    both = parents.join(parts.select(F.col("node").alias("x"), F.col("component").alias("own")), "x", "left").join(parts, "node", "left")
+    both = parents.transform(joined, parts.select(F.col("node").alias("x"), F.col("component").alias("own")), "x", "left").transform(joined, parts, "node", "left")
     return both.where("x = node or own is null or component is null or own <> component").select("question", "node")
 
 
@@ -457,11 +457,11 @@ def twins(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     ends = links.select(F.col("src").alias("node"), F.struct(F.lit(1).alias("way"), F.col("dst").alias("other")).alias("end")).unionByName(links.select(F.col("dst").alias("node"), F.struct(F.lit(0).alias("way"), F.col("src").alias("other")).alias("end")))
     hubs = materialize(ends.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > TWIN_EDGES).select("node"))
-    told = ends.join(hubs, "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_set("end")).alias("ends"))
-    ends_of = materialize(nodes.join(hubs, "node", "left_anti").join(told, "node", "left").withColumn("ends", F.coalesce("ends", F.array())))
+    told = ends.transform(joined, hubs, "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_set("end")).alias("ends"))
+    ends_of = materialize(nodes.transform(joined, hubs, "node", "left_anti").transform(joined, told, "node", "left").withColumn("ends", F.coalesce("ends", F.array())))
     classes = ends_of.groupBy("ends").agg(F.min("node").alias("class"), F.count("*").alias("size"))
-    alone = nodes.join(hubs, "node", "left_semi").select("node", F.col("node").alias("class"), F.lit(1).cast("long").alias("size"))
-    return materialize(ends_of.join(classes, "ends").select("node", "class", "size").unionByName(alone))
+    alone = nodes.transform(joined, hubs, "node", "left_semi").select("node", F.col("node").alias("class"), F.lit(1).cast("long").alias("size"))
+    return materialize(ends_of.transform(joined, classes, "ends").select("node", "class", "size").unionByName(alone))
 
 
 def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_rounds: int = 1000, cut: bool = False) -> DataFrame:
@@ -481,40 +481,40 @@ def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_roun
     links = materialize(_links(edges).distinct())
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     asked = questions.where("question is not null").select("question", "x", "y")
-    known = materialize(asked.distinct().join(nodes.withColumnRenamed("node", "x"), "x", "left_semi").join(nodes.withColumnRenamed("node", "y"), "y", "left_semi").select("question", "x", "y"))
-    fixed = materialize(given.where("question is not null and node is not null").select("question", "node").distinct().join(nodes, "node", "left_semi").select("question", "node"))
+    known = materialize(asked.distinct().transform(joined, nodes.withColumnRenamed("node", "x"), "x", "left_semi").transform(joined, nodes.withColumnRenamed("node", "y"), "y", "left_semi").select("question", "x", "y"))
+    fixed = materialize(given.where("question is not null and node is not null").select("question", "node").distinct().transform(joined, nodes, "node", "left_semi").select("question", "node"))
     named = known.select(F.explode(F.array("x", "y")).alias("node")).unionByName(fixed.select("node"))
     above = materialize(reachable(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), named, max_rounds).select("node"))
-    inside = materialize(links.join(above.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    inside = materialize(links.transform(joined, above.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
     classes = twins(inside, above)
     a, b = classes.select(F.col("node").alias("src"), F.col("class").alias("a")), classes.select(F.col("node").alias("dst"), F.col("class").alias("b"))
-    between = materialize(inside.join(a, "src").join(b, "dst").select("a", "b").distinct())
+    between = materialize(inside.transform(joined, a, "src").transform(joined, b, "dst").select("a", "b").distinct())
     up, down = between.select(F.col("b").alias("class"), F.col("a").alias("next")), between.select(F.col("a").alias("class"), F.col("b").alias("next"))
 
     # what each question names of a class
     no, yes = F.lit(False), F.lit(True)
     starts = known.select("question", "x").distinct()
-    marks = starts.select("question", "x", F.col("x").alias("node"), yes.alias("end"), no.alias("shut")).unionByName(starts.join(fixed, "question").select("question", "x", "node", no.alias("end"), yes.alias("shut")))
-    marks = marks.groupBy("question", "x", "node").agg(F.max("end").alias("end"), F.max("shut").alias("shut")).join(classes, "node")
+    marks = starts.select("question", "x", F.col("x").alias("node"), yes.alias("end"), no.alias("shut")).unionByName(starts.transform(joined, fixed, "question").select("question", "x", "node", no.alias("end"), yes.alias("shut")))
+    marks = marks.groupBy("question", "x", "node").agg(F.max("end").alias("end"), F.max("shut").alias("shut")).transform(joined, classes, "node")
     some = lambda kind, on: F.when(F.max(on), F.lit(kind))
     end, shut = F.col("end"), F.col("shut")
     parts = F.array_compact(F.array(F.when(F.count("*") < F.first("size"), F.lit(REST)), some(END, end & ~shut), some(SHUT, shut & ~end), some(SHUT_END, end & shut)))
     special = materialize(marks.groupBy("question", "x", "class").agg(parts.alias("parts")))
     few = special.groupBy("question", "x").agg(F.count("*").alias("n")).where(F.col("n") <= SHARED_CLASSES)
-    shape = materialize(special.join(few, ["question", "x"], "left_semi").groupBy("question", "x").agg(F.sort_array(F.collect_list(F.struct("class", "parts"))).alias("shape")))
+    shape = materialize(special.transform(joined, few, ["question", "x"], "left_semi").groupBy("question", "x").agg(F.sort_array(F.collect_list(F.struct("class", "parts"))).alias("shape")))
     shapes = materialize(shape.select("shape").distinct().withColumn("walk", F.monotonically_increasing_id()))
-    alone = starts.join(few, ["question", "x"], "left_anti").withColumn("walk", -1 - F.monotonically_increasing_id())
-    walks = materialize(shape.join(shapes, "shape").select("question", "x", "walk").unionByName(alone.select("question", "x", "walk")))
-    apart = special.join(walks.where("walk < 0"), ["question", "x"]).select("walk", "class", "parts")
+    alone = starts.transform(joined, few, ["question", "x"], "left_anti").withColumn("walk", -1 - F.monotonically_increasing_id())
+    walks = materialize(shape.transform(joined, shapes, "shape").select("question", "x", "walk").unionByName(alone.select("question", "x", "walk")))
+    apart = special.transform(joined, walks.where("walk < 0"), ["question", "x"]).select("walk", "class", "parts")
     special = materialize(shapes.select("walk", F.inline("shape")).unionByName(apart))
 
     def entered(new: DataFrame) -> DataFrame:
         """(walk, class, ...) as the parts that the class has in the walk."""
-        found = new.distinct().join(special, ["walk", "class"], "left")
+        found = new.distinct().transform(joined, special, ["walk", "class"], "left")
         return found.withColumn("part", F.explode(F.coalesce("parts", F.array(F.lit(REST))))).drop("parts")
 
     def climbed(f: DataFrame) -> DataFrame:
-        new = entered(f.join(up, "class").select("walk", F.col("next").alias("class")))
+        new = entered(f.transform(joined, up, "class").select("walk", F.col("next").alias("class")))
         return new.where(~is_end) if cut else new
 
     is_end, is_shut = F.col("part").isin(END, SHUT_END), F.col("part").isin(SHUT, SHUT_END)
@@ -523,17 +523,17 @@ def separated(edges: DataFrame, questions: DataFrame, given: DataFrame, max_roun
     lifting = ancestors.withColumn("lifts", yes)
 
     def step(frontier: DataFrame, _: int) -> DataFrame:
-        at = frontier.join(lifting, ["walk", "class", "part"], "left").na.fill(False, ["lifts"])
+        at = frontier.transform(joined, lifting, ["walk", "class", "part"], "left").na.fill(False, ["lifts"])
         goes_up = climbed(at.where(F.when(F.col("way") == "up", ~is_shut).otherwise(F.col("lifts")))).withColumn("way", F.lit("up"))
         leaving = at.where(~is_shut & ~is_end) if cut else at.where(~is_shut)
-        goes_down = entered(leaving.join(down, "class").select("walk", F.col("next").alias("class"))).withColumn("way", F.lit("down"))
+        goes_down = entered(leaving.transform(joined, down, "class").select("walk", F.col("next").alias("class"))).withColumn("way", F.lit("down"))
         return goes_up.unionByName(goes_down).select("walk", "class", "part", "way")
 
     reached = _rounds(each.where(is_end).withColumn("way", F.explode(F.array(F.lit("up"), F.lit("down")))), step, max_rounds).select("walk", "class", "part").distinct()
     kept = fixed.select("question", F.col("node").alias("y"), yes.alias("held"))
-    at_y = known.where("x <> y").join(walks, ["question", "x"]).join(kept, ["question", "y"], "left").join(classes.select(F.col("node").alias("y"), "class"), "y").withColumn("part", F.when(F.col("held"), F.lit(SHUT)).otherwise(F.lit(REST)))
-    met = at_y.join(reached, ["walk", "class", "part"], "left_semi").select("question", "x", "y").unionByName(known.where("x = y")).distinct().withColumn("open", yes)
-    return asked.join(met, ["question", "x", "y"], "left").select("question", "x", "y", F.col("open").isNull().alias("separated"))
+    at_y = known.where("x <> y").transform(joined, walks, ["question", "x"]).transform(joined, kept, ["question", "y"], "left").transform(joined, classes.select(F.col("node").alias("y"), "class"), "y").withColumn("part", F.when(F.col("held"), F.lit(SHUT)).otherwise(F.lit(REST)))
+    met = at_y.transform(joined, reached, ["walk", "class", "part"], "left_semi").select("question", "x", "y").unionByName(known.where("x = y")).distinct().withColumn("open", yes)
+    return asked.transform(joined, met, ["question", "x", "y"], "left").select("question", "x", "y", F.col("open").isNull().alias("separated"))
 
 
 def verified_adjustment(edges: DataFrame, questions: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -547,6 +547,6 @@ def verified_adjustment(edges: DataFrame, questions: DataFrame, max_rounds: int
     told = separated(edges, asked, sets, max_rounds, cut=True)
     holds = sets.withColumnRenamed("node", "y").withColumn("inside", F.lit(True))
     nodes = _links(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("known", F.lit(True))
-    both = told.join(holds, ["question", "y"], "left").join(nodes.withColumnsRenamed({"node": "x", "known": "knows_x"}), "x", "left").join(nodes.withColumnsRenamed({"node": "y", "known": "knows_y"}), "y", "left")
+    both = told.transform(joined, holds, ["question", "y"], "left").transform(joined, nodes.withColumnsRenamed({"node": "x", "known": "knows_x"}), "x", "left").transform(joined, nodes.withColumnsRenamed({"node": "y", "known": "knows_y"}), "y", "left")
     good = F.col("separated") & F.col("inside").isNull() & F.col("knows_x").isNotNull() & F.col("knows_y").isNotNull()
     return both.select("question", "x", "y", good.alias("verified"))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.graphs import CausalGraph, adjustment_sets, front_door_sets, paths_avoiding, separated, strong_components
+from plumbline.operators.graphs import CausalGraph, adjustment_sets, front_door_sets, paths_avoiding, reachable, separated, strong_components, twins
+from plumbline.scratch import materialize
 
 N = 300
 
@@ -82,3 +83,35 @@ def test_ways_are_walked_from_the_narrow_end(spark, shuffled):
     asked = both.select("question", F.lit("n").alias("x"), F.col("b").alias("y"))
     got, records = shuffled(lambda: paths_avoiding(edges, asked, both.where("question % 3 = 0").select("question", F.col("a").alias("node"))).collect())
     assert {r.question: r.connected for r in got} == {i: i % 3 > 0 for i in range(N)} and records < 20 * N
+
+
+@pytest.fixture
+def gathered(spark):
+    """The most MiB that a broadcast of the given work took on the driver, under Spark's own limit for broadcasts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def size(text):
+        number, unit = text.split("\n")[-1].split("(")[0].split()[:2]
+        return float(number) * {"B": 2**-20, "KiB": 2**-10, "MiB": 1, "GiB": 2**10}[unit]
+
+    def most(work):
+        first = store.executionsCount()
+        got = work()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        sizes, runs = [0.0], store.executionsList()
+        for i in range(first, runs.size()):
+            told, nodes = store.executionMetrics(runs.apply(i).executionId()), store.planGraph(runs.apply(i).executionId()).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                ids = [node.metrics().apply(k) for k in range(node.metrics().size())] if node.name() == "BroadcastExchange" else []
+                sizes += [size(told.apply(m.accumulatorId())) for m in ids if m.name() == "data size" and told.contains(m.accumulatorId())]
+        return got, max(sizes)
+
+    return most
+
+
+def test_driver_gathers_no_table_that_is_small_in_files_only(spark, gathered):
+    n = 50_000
+    nodes = materialize(spark.range(n).select(F.md5(F.col("id").cast("string")).alias("node")))
+    links = materialize(nodes.select(F.lit("r").alias("src"), F.col("node").alias("dst")).unionByName(nodes.select(F.col("node").alias("src"), F.lit("m").alias("dst"))))
+    got, most = gathered(lambda: (reachable(links, nodes).count(), twins(links, nodes).groupBy("class", "size").count().collect()))
+    assert got[0] == n + 1 and [(r["size"], r["count"]) for r in got[1]] == [(n, n)] and most < 8
